@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,7 @@ def local_session(cores: str = "8", shuffle: str = "8") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("rekurve")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", shuffle)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -32,3 +34,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rekurve-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def shared_scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path below the shared folder the cluster names; a temporary folder only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rekurve-")
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
