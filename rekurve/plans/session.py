@@ -27,13 +27,10 @@ def local_session(cores: str = "8", shuffle: str = "8") -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rekurve-ckpt-"))
-    return df.checkpoint(eager=True)
+    """Write to a table in the shared folder and read it back: survives lost executors, and its size is then known."""
+    path = shared_scratch(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_scratch(spark: SparkSession, tag: str) -> str:
