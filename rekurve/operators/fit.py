@@ -152,7 +152,7 @@ def _steps(model: Model, grids) -> list[float]:
     return [float(np.log(g[1] / g[0])) if model.log[j] else float(max(np.diff(g))) for j, g in enumerate(grids)]
 
 
-def _profile_pass(df, keys, model: Model, t, y, offset, amp, fixed=None, moves=None, weight=None, carry=(), pooled=None) -> DataFrame:
+def profile_pass(df, keys, model: Model, t, y, offset, amp, fixed=None, moves=None, weight=None, carry=(), pooled=None) -> DataFrame:
     """One round.  ``fixed``: the same candidates for all; ``moves``: around columns ``_k0[, _k1]`` of each row.
     ``pooled``: group columns whose curves share the winner; then candidate sums per group come back instead."""
     dims = len(model.log)
@@ -202,7 +202,7 @@ def first_candidates(model: Model, span) -> np.ndarray:
 def profile_round(df, keys, model: str, t="t", y="y", span=None, offset=True, amp=(0.0, np.inf)) -> DataFrame:
     """First round only: the best of the fixed candidates."""
     m = MODELS[model]
-    return _profile_pass(df, keys, m, t, y, offset, amp, fixed=first_candidates(m, span or time_range(df, t)))
+    return profile_pass(df, keys, m, t, y, offset, amp, fixed=first_candidates(m, span or time_range(df, t)))
 
 
 def profile_fit(
@@ -218,13 +218,13 @@ def profile_fit(
     span = span or time_range(df, t)
     dims, points = len(m.log), 6 if len(m.log) == 1 else 3
     ks = [f"_k{j}" for j in range(dims)]
-    best = _profile_pass(df, keys, m, t, y, offset, amp, fixed=first_candidates(m, span))
+    best = profile_pass(df, keys, m, t, y, offset, amp, fixed=first_candidates(m, span))
     steps = _steps(m, m.grid(*span))
     for _ in range(rounds + (2 if robust else 0)):
         won = best.select(*keys, *ks, F.col("amp").alias("_a"), F.col("baseline").alias("_b"), F.sqrt(F.col("rss") / F.col("n")).alias("_s"))
         rows = df.join(cut_lineage(won if robust else won.select(*keys, *ks)), list(keys))  # size known: written first
         weight = _robust_weight(m, robust, scale, dims) if robust else None
-        best = _profile_pass(rows, keys, m, t, y, offset, amp, moves=_zoom(m, steps, points), weight=weight, carry=["_a", "_b", "_s"] if robust else [])
+        best = profile_pass(rows, keys, m, t, y, offset, amp, moves=_zoom(m, steps, points), weight=weight, carry=["_a", "_b", "_s"] if robust else [])
         steps = [s / (points + 1) * 1.5 for s in steps]
     name = f"{model}_{robust}" if robust else model
     out = best.select(*keys, F.lit(name).alias("model"), "n", F.lit(dims + (2 if offset else 1)).alias("p"), "rss", "sst", "amp", "baseline", *[F.col(k).alias(f"p{j}") for j, k in enumerate(ks)])
@@ -419,14 +419,14 @@ def global_profile_fit(df, group: Sequence[str], curve: Sequence[str], model: st
         g = pooled.groupBy(*group, "i").agg(F.sum("rss").alias("rss"), *[F.first(k).alias(k) for k in ks])
         return g.groupBy(*group).agg(F.min_by(F.struct(*ks), F.struct("rss", "i")).alias("w")).select(*group, "w.*")
 
-    win = winner(_profile_pass(df, keys, m, t, y, True, amp, fixed=first_candidates(m, span), pooled=group))
+    win = winner(profile_pass(df, keys, m, t, y, True, amp, fixed=first_candidates(m, span), pooled=group))
     steps = _steps(m, m.grid(*span))
     for _ in range(rounds):
         rows = df.join(cut_lineage(win), group)
-        win = winner(_profile_pass(rows, keys, m, t, y, True, amp, moves=_zoom(m, steps, points), pooled=group))
+        win = winner(profile_pass(rows, keys, m, t, y, True, amp, moves=_zoom(m, steps, points), pooled=group))
         steps = [s / (points + 1) * 1.5 for s in steps]
     win = cut_lineage(win)
-    fits = cut_lineage(_profile_pass(df.join(win, group), keys, m, t, y, True, amp, moves=np.zeros((1, dims))))
+    fits = cut_lineage(profile_pass(df.join(win, group), keys, m, t, y, True, amp, moves=np.zeros((1, dims))))
     tot = fits.groupBy(*group).agg(F.sum("n").alias("n"), F.sum("rss").alias("rss"), F.sum("sst").alias("sst"), F.count(F.lit(1)).alias("curves"))
     table = win.select(*group, *[F.col(k).alias(f"p{j}") for j, k in enumerate(ks)]).join(tot, group)
     return table.withColumn("model", F.lit(model)).withColumn("p", 2 * F.col("curves") + dims), fits
@@ -479,7 +479,7 @@ def rate_spectrum(df: DataFrame, keys: Sequence[str], t="t", y="y", span=None, s
     """
     keys = list(keys)
     ex = _Exponentials([1], lattice(span or time_range(df, t), size))
-    grid = np.array(alphas if alphas is not None else np.logspace(-6, 1, 20))
+    grid = np.array(alphas if alphas is not None else np.logspace(-8, 0, 20))
 
     def solve(rows, n, sw, sy, syy, sx, sxy, sxx):
         g = _gram(sxx, ex.pairs, ex.n_cols) - sx[:, :, None] * sx[:, None, :] / n[:, None, None]
@@ -500,6 +500,7 @@ def rate_spectrum(df: DataFrame, keys: Sequence[str], t="t", y="y", span=None, s
             fits.append(np.clip(cyy - 2 * (x * c).sum(1) + np.einsum("ci,cij,cj->c", x, g, x), 1e-300, None))
             norms.append(np.clip((x * x).sum(1), 1e-300, None))
         px, py = np.log(np.array(fits)), np.log(np.array(norms))
+        px, py = ((v - v.min(0)) / np.maximum(v.max(0) - v.min(0), 1e-12) for v in (px, py))
         dx, dy = px[-1] - px[0], py[-1] - py[0]
         dist = np.abs(dy * (px - px[0]) - dx * (py - py[0]))
         pick, r = dist.argmax(axis=0), np.arange(len(rows))

@@ -184,3 +184,11 @@ def rolling_baseline(df: DataFrame, y: str = "y", window: int = 10, q: float = 0
 def signal_to_noise(signal: Column, background: Column, sd: Column | None = None) -> Column:
     poisson = F.sqrt(F.greatest(background, F.lit(1.0)))
     return (signal - background) / (poisson if sd is None else F.when(sd != 0, sd).otherwise(poisson))
+
+
+def detrend_exponential(df: DataFrame, fits: DataFrame, y: str = "y") -> DataFrame:
+    """Subtract a fitted decay ``amp, p0 (rate)``; curves without one are detrended linearly."""
+    lin = df.groupBy(*KEY).agg(F.regr_slope(F.col(y), F.col("t")).alias("slope"))
+    j = df.join(lin, KEY).join(fits.select(*KEY, "amp", "p0"), KEY, "left")
+    trend = F.when(F.col("amp") > 0, F.col("amp") * F.exp(-F.col("p0") * F.col("t"))).otherwise(F.col("slope") * F.col("t"))
+    return j.withColumn("detrended", F.col(y) - trend).drop("slope", "amp", "p0")
