@@ -127,13 +127,18 @@ def _profile_rss(sw, sy, syy, sx, sxy, sxx, offset: bool, amp: tuple[float, floa
         cxx, cxy, cyy = sxx - sx * sx / n, sxy - sx * sy[:, None] / n, (syy - sy * sy / sw)[:, None]
     else:
         cxx, cxy, cyy = sxx, sxy, syy[:, None]
-    ok = cxx > 1e-12 * np.maximum(sxx, 1e-300)
+    ok = (cxx > 1e-9 * sxx) & (sxx > 1e-100)
     a = np.clip(np.divide(cxy, cxx, out=np.zeros_like(cxy), where=ok), *amp)
     rss = np.where(ok, np.clip(cyy - 2 * a * cxy + a * a * cxx, 0, None), np.inf)
     base = (sy[:, None] - a * sx) / n if offset else np.zeros_like(a)
     return a, base, rss
 
 
+def _first_best(rss, sst):
+    """First candidate as good as the best one up to rounding, so equal fits always give the same parameters."""
+    return (rss <= (rss.min(axis=1) + 1e-9 * sst)[:, None]).argmax(axis=1)
+
+
 def _zoom(model: Model, steps, points):
     """Relative (log) or absolute moves around a winner, all combinations of the parameters."""
     axis = np.arange(-points, points + 1) / (points + 1)
@@ -170,7 +175,8 @@ def profile_pass(df, keys, model: Model, t, y, offset, amp, fixed=None, moves=No
 
     def best(rows, n, sw, sy, syy, sx, sxy, sxx):
         a, base, rss = _profile_rss(sw, sy, syy, sx, sxy, sxx, offset, amp)
-        k, r, p = rss.argmin(axis=1), np.arange(len(rows)), params(rows)
+        syc = syy - sy * sy / sw if offset else syy
+        k, r, p = _first_best(rss, syc), np.arange(len(rows)), params(rows)
         out = rows[list(keys)].copy()
         out["n"], out["sst"], out["rss"] = n.astype("int64"), syy - sy * sy / sw, rss[r, k]
         out["amp"], out["baseline"] = a[r, k], base[r, k]

@@ -160,13 +160,13 @@ def fill_forward(df: DataFrame, keys: Sequence[str], value: str, out: str, frame
     )
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """Distinct values with counts and average ranks: ``keys, [by], value, cnt, below, total, avg_rank``.
 
-    Copies of a value collapse before anything is sorted; ranks are over all ``by`` groups of a key together.
+    Copies of a value collapse before anything is sorted (``weight`` counts already collapsed rows); ranks are over all ``by`` groups of a key together.
     """
     clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    per = clean.groupBy(*keys, *by, value).agg(F.count(F.lit(1)).alias("cnt"))
+    per = clean.groupBy(*keys, *by, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("cnt"))
     tot = per.groupBy(*keys, value).agg(F.sum("cnt").alias("total")) if by else per.withColumnRenamed("cnt", "total")
     placed = running_sum(frame_index(tot, keys, [value], "_f"), keys, F.col("total"), "_cum", "_f")
     placed = placed.select(

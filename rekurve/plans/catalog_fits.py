@@ -83,8 +83,8 @@ def profile_sql(p0: str, n0: int, p1: str | None, n1: int, basis: str, unbounded
     return f"""WITH {SPAN}, cand AS (SELECT i * {n1} + j AS c, {p0} AS p0{second} FROM sp, range(0, {n0}) a(i), range(0, {n1}) b(j)),
  x AS (SELECT curve_id, c, p0, p1, norm AS y, {basis} AS x FROM (SELECT curve_id, norm, t_rel AS t FROM an), cand),
  mo AS (SELECT curve_id, c, any_value(p0) AS p0, any_value(p1) AS p1, count(*) AS n, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy, sum(x * x) AS qx FROM x GROUP BY 1, 2),
- rs AS (SELECT *, {a} AS amp, greatest(0, syy - 2 * {a} * sxy + {a} * {a} * sxx) AS rss FROM mo WHERE sxx > 1e-12 * qx),
- bs AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY rss, c) AS rn FROM rs)
+ rs AS (SELECT *, {a} AS amp, greatest(0, syy - 2 * {a} * sxy + {a} * {a} * sxx) AS rss FROM mo WHERE sxx > 1e-9 * qx AND qx > 1e-100),
+ ms AS (SELECT *, min(rss) OVER (PARTITION BY curve_id) AS ml FROM rs), bs AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY rss > ml + 1e-9 * syy, c) AS rn FROM ms)
  SELECT curve_id, n, CASE WHEN amp > 0 THEN {RD('p0', 5)} END AS p0, {RD('rss / greatest(syy, 1e-12)', 5)} AS unexplained FROM bs WHERE rn = 1"""
 
 
@@ -166,7 +166,7 @@ def t01(spark, sf):
     return fm.rank_models(scored(spark, sf), K, ["aic", "bic"]).select("curve_id", "model", "rank")
 
 
-@query("F17_delta_buckets", f"""WITH {FX}, d AS (SELECT curve_id, model, aic - min(aic) OVER (PARTITION BY curve_id) AS d FROM fk) SELECT curve_id, model, CASE WHEN d < 2 THEN 'substantial support' WHEN d >= 4 AND d <= 7 THEN 'considerably less support'
+@query("F17_delta_buckets", f"""WITH {FX}, d AS (SELECT curve_id, model, round(aic - min(aic) OVER (PARTITION BY curve_id), 6) AS d FROM fk) SELECT curve_id, model, CASE WHEN d < 2 THEN 'substantial support' WHEN d >= 4 AND d <= 7 THEN 'considerably less support'
  WHEN d > 10 THEN 'essentially no support' ELSE 'intermediate support' END AS support FROM d""")
 def f17(spark, sf):
     d = fm.with_deltas(scored(spark, sf), K, "aic")
@@ -330,7 +330,7 @@ def grouped_post(spark, sf):
 
 GLOBAL = SPAN + f""", {b.GRP}, cand AS (SELECT i, {geo('lo', '20 * hi', 40)} AS tau FROM sp, range(0, 40) r(i)), mo AS (SELECT grp, curve_id, i, any_value(tau) AS tau, regr_sxx(norm, 1 - exp(-t_rel / tau)) AS sxx, regr_sxy(norm, 1 - exp(-t_rel / tau)) AS sxy,
  regr_syy(norm, 1 - exp(-t_rel / tau)) AS syy, sum(power(1 - exp(-t_rel / tau), 2)) AS qx FROM an JOIN grp USING (curve_id), cand GROUP BY 1, 2, 3),
- rs AS (SELECT *, CASE WHEN sxx > 1e-12 * qx THEN greatest(0, syy - greatest(0, sxy) * greatest(0, sxy) / sxx) ELSE syy END AS rss FROM mo), tt AS (SELECT grp, i, any_value(tau) AS tau, sum(rss) AS rss FROM rs GROUP BY 1, 2)"""
+ rs AS (SELECT *, CASE WHEN sxx > 1e-9 * qx THEN greatest(0, syy - greatest(0, sxy) * greatest(0, sxy) / sxx) ELSE syy END AS rss FROM mo), tt AS (SELECT grp, i, any_value(tau) AS tau, sum(rss) AS rss FROM rs GROUP BY 1, 2)"""
 
 
 @query("F22_global_single_round", f"WITH {GLOBAL} SELECT grp, {RD('tau', 5)} AS tau, {RD('rss', 3)} AS rss FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rss, i) AS rn FROM tt) WHERE rn = 1")
