@@ -98,7 +98,7 @@ def s08(spark, sf):
     return page_files(spark, sf).filter(rs.usable_folder(F.col("folder"))).groupBy(F.col("folder").alias("grp")).agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("S09_data_file_filter", f"WITH {PAGE} SELECT page_id, item || ext AS file FROM pg WHERE ext <> '.tif' AND NOT starts_with(item, '~$') AND NOT starts_with(item, '.')")
+@query("S09_data_file_filter", f"WITH {PAGE} SELECT page_id, item || ext AS file FROM pg WHERE ext <> '.tif' AND NOT starts_with(item || ext, '~$') AND NOT starts_with(item || ext, '.')")
 def s09(spark, sf):
     return page_files(spark, sf).select("page_id", F.concat("item", "ext").alias("file")).filter(rs.is_data_file(F.col("file")))
 
