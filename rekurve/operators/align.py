@@ -26,7 +26,7 @@ def interpolate(df: DataFrame, keys: list[str], x: str, y: str, step: Column, po
 
 def align(df: DataFrame, points: int = 200, t: str = "t", y: str = "y", keep: list[str] = ()) -> DataFrame:
     """All curves on one grid from 0 to the largest time of any curve."""
-    d = attach(df, [], (F.max(t) / (points - 1)).alias("_st"))
+    d = attach(df, [], _st=lambda o: o(F.max(t)) / (points - 1))
     return interpolate(d, ["curve_id"], t, y, F.col("_st"), F.lit(points), "yi", list(keep))
 
 

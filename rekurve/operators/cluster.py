@@ -76,14 +76,14 @@ def separation(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFrame:
     c = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"c_{x}") for x in cols])
     d2 = sum((F.pow(F.col(x) - F.col(f"c_{x}"), 2) for x in cols), F.lit(0.0))
     s = cut_lineage(df.join(c, cluster).groupBy(cluster).agg(F.first("n").alias("n"), F.sum(d2).alias("ss"), F.avg(F.sqrt(d2)).alias("scatter"), *[F.first(f"c_{x}").alias(f"c_{x}") for x in cols]))
-    tot = s.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum("ss").alias("within"), *[(F.sum(F.col("n") * F.col(f"c_{x}")) / F.sum("n")).alias(f"g_{x}") for x in cols])
+    tot = s.agg(F.sum("n").alias("total_n"), F.count(F.lit(1)).alias("k"), F.sum("ss").alias("within"), *[(F.sum(F.col("n") * F.col(f"c_{x}")) / F.sum("n")).alias(f"g_{x}") for x in cols])
     between = s.crossJoin(F.broadcast(tot)).agg(F.sum(F.col("n") * sum((F.pow(F.col(f"c_{x}") - F.col(f"g_{x}"), 2) for x in cols), F.lit(0.0))).alias("between"))  # one row
     a = s.select(F.col(cluster).alias("a"), F.col("scatter").alias("sa"), *[F.col(f"c_{x}").alias(f"a_{x}") for x in cols])
     b = s.select(F.col(cluster).alias("b"), F.col("scatter").alias("sb"), *[F.col(f"c_{x}").alias(f"b_{x}") for x in cols])
     gap = F.sqrt(sum((F.pow(F.col(f"a_{x}") - F.col(f"b_{x}"), 2) for x in cols), F.lit(0.0)))
     db = a.join(b, F.col("a") != F.col("b")).groupBy("a").agg(F.max(F.try_divide(F.col("sa") + F.col("sb"), gap)).alias("r")).agg(F.avg("r").alias("davies_bouldin"))  # clusters by clusters
     j = tot.crossJoin(between).crossJoin(db)  # one row each
-    ch = F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("N") - F.col("k")))
+    ch = F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("total_n") - F.col("k")))
     return j.select("k", ch.alias("calinski_harabasz"), "davies_bouldin")
 
 

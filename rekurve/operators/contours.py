@@ -14,7 +14,7 @@ CON = ["object_id", "frame"]
 
 def uniform_radius(points: DataFrame, samples: int = 256) -> DataFrame:
     """Radius around the centroid at evenly spaced angles, periodic in the angle."""
-    d = attach(points, CON, F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    d = attach(points, CON, cx=F.avg("x"), cy=F.avg("y"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     d = d.select(*CON, "point_idx", F.pmod(F.atan2(dy, dx), F.lit(2 * PI)).alias("theta"), F.sqrt(dx * dx + dy * dy).alias("r"))
     first = d.groupBy(*CON).agg(F.min_by(F.struct("point_idx", "theta", "r"), F.struct("theta", "point_idx")).alias("f"))
@@ -60,7 +60,7 @@ def gamma_per_mode(spec: DataFrame, temperature: float = 298.15) -> DataFrame:
 
 def fluctuation_psd(points: DataFrame, samples: int, pixel_size: float = 1.0) -> DataFrame:
     """Average periodogram of the radius around the common centre of all frames, by point order."""
-    d = attach(points, ["object_id"], F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    d = attach(points, ["object_id"], cx=F.avg("x"), cy=F.avg("y"))
     r = F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)) * pixel_size
     rad = d.select(*CON, F.col("point_idx").alias("j"), r.alias("radius"))
     half = samples // 2

@@ -12,17 +12,18 @@ KEY = ["curve_id"]
 
 def pre_mean(df: DataFrame, *signals: str, time: str = "t") -> DataFrame:
     """Add ``pre_<signal>``: mean at negative times, else of the first max(3, 10 %) frames."""
-    d = attach(df, KEY, F.count(F.lit(1)).alias("n"))
+    d = attach(df, KEY, n=F.count(F.lit(1)))
     head = F.col("frame") < F.greatest(F.lit(3), F.floor(0.1 * F.col("n")))
-    aggs = [F.coalesce(F.avg(F.when(F.col(time) < 0, F.col(s))), F.avg(F.when(head, F.col(s)))).alias(f"pre_{s}") for s in signals]
-    return attach(d, KEY, *aggs).drop("n")
+    negative = lambda s: F.avg(F.when(F.col(time) < 0, F.col(s)))
+    early = lambda s: F.avg(F.when(head, F.col(s)))
+    return attach(d, KEY, **{f"pre_{s}": lambda o, s=s: F.coalesce(o(negative(s)), o(early(s))) for s in signals}).drop("n")
 
 
 def normalize_simple(df: DataFrame, signal: str, background: float, time: str = "t") -> DataFrame:
     d = pre_mean(df, signal, time=time)
     first_post = F.min_by(F.col(signal), F.when(F.col(time) >= 0, F.col("frame")))
     bad = F.max(F.when(F.col(signal).isNull() | F.isnan(signal) | (F.abs(signal) == float("inf")), 1).otherwise(0))
-    d = attach(d, KEY, first_post.alias("fp"), bad.alias("bad"))
+    d = attach(d, KEY, fp=first_post, bad=bad)
     pre = F.col(f"pre_{signal}")
     d = d.withColumn(
         "norm_error",
@@ -35,7 +36,7 @@ def normalize_simple(df: DataFrame, signal: str, background: float, time: str =
 
 
 def normalize_double(df: DataFrame, roi: str, ref: str, time: str = "t") -> DataFrame:
-    d = attach(pre_mean(df, roi, ref, time=time), KEY, F.min(ref).alias("ref_min"))
+    d = attach(pre_mean(df, roi, ref, time=time), KEY, ref_min=F.min(ref))
     proi, pref = F.col(f"pre_{roi}"), F.col(f"pre_{ref}")
     d = d.withColumn(
         "norm_error",
@@ -45,7 +46,7 @@ def normalize_double(df: DataFrame, roi: str, ref: str, time: str = "t") -> Data
 
 
 def normalize_full_scale(df: DataFrame, signal: str, time: str = "t") -> DataFrame:
-    d = attach(pre_mean(df, signal, time=time), KEY, F.min(F.when(F.col(time) >= 0, F.col(signal))).alias("post_min"))
+    d = attach(pre_mean(df, signal, time=time), KEY, post_min=F.min(F.when(F.col(time) >= 0, F.col(signal))))
     span = F.col(f"pre_{signal}") - F.col("post_min")
     d = d.withColumn("norm_error", F.when(F.col("post_min").isNull(), "no post-bleach frames").when(span <= 0, "pre-bleach must exceed post-bleach minimum"))
     return d.withColumn("norm", F.when(F.col("norm_error").isNull(), (F.col(signal) - F.col("post_min")) / span)).drop("post_min")
@@ -62,16 +63,16 @@ def normalize(df: DataFrame, mode: str, **kw) -> DataFrame:
 def three_region(df: DataFrame) -> DataFrame:
     """Background-corrected, reference-corrected recording plus per-curve levels."""
     d = df.withColumn("c1", F.col("roi1") - F.col("roi3")).withColumn("c2", F.col("roi2") - F.col("roi3"))
-    d = attach(d, KEY, earliest_min(F.col("c1"), F.col("frame")).alias("bleach"), F.count(F.lit(1)).alias("n"))
+    d = attach(d, KEY, bleach=earliest_min(F.col("c1"), F.col("frame")), n=F.count(F.lit(1)))
     head = F.col("frame") < F.least(F.lit(5), F.greatest(F.lit(1), F.col("bleach")))
     start = F.least(F.col("bleach") + 1, F.col("n") - 1)
     after = (F.col("frame") >= start) & (F.col("frame") < start + 3)
     mean_if = lambda cond, c: F.avg(F.when(cond, F.col(c)))
     d = attach(
         d, KEY,
-        mean_if(head, "c1").alias("pre1"), mean_if(head, "c2").alias("pre2"),
-        mean_if(after, "c1").alias("post1"), mean_if(after, "c2").alias("post2"),
-        F.max(F.when(F.col("frame") == 0, F.col("c1"))).alias("f1"), F.max(F.when(F.col("frame") == 0, F.col("c2"))).alias("f2"),
+        pre1=mean_if(head, "c1"), pre2=mean_if(head, "c2"),
+        post1=mean_if(after, "c1"), post2=mean_if(after, "c2"),
+        f1=F.max(F.when(F.col("frame") == 0, F.col("c1"))), f2=F.max(F.when(F.col("frame") == 0, F.col("c2"))),
     )
     safe = lambda pre, first: F.when(F.col(pre) > 0, F.col(pre)).when(F.col(first) > 0, F.col(first)).otherwise(1.0)
     d = d.withColumn("pre1", safe("pre1", "f1")).withColumn("pre2", safe("pre2", "f2"))
@@ -91,21 +92,21 @@ def double_with_floor(df: DataFrame, pre_frames: int = 5, floor: float = 1e-6) -
     """Floors both signals and uses up to ``pre_frames`` frames before the minimum of the bleached region."""
     d = df.withColumn("c1", F.greatest(F.col("roi1") - F.col("roi3"), F.lit(floor)))
     d = d.withColumn("c2", F.greatest(F.col("roi2") - F.col("roi3"), F.lit(floor)))
-    d = attach(d, KEY, earliest_min(F.col("roi1"), F.col("frame")).alias("bleach"))
+    d = attach(d, KEY, bleach=earliest_min(F.col("roi1"), F.col("frame")))
     near = (F.col("frame") < F.col("bleach")) & (F.col("frame") >= F.col("bleach") - pre_frames)
-    d = attach(d, KEY, F.avg(F.when(near, F.col("c1"))).alias("p1"), F.avg(F.when(near, F.col("c2"))).alias("p2"))
+    d = attach(d, KEY, p1=F.avg(F.when(near, F.col("c1"))), p2=F.avg(F.when(near, F.col("c2"))))
     return d.withColumn("norm", F.col("c1") / F.col("p1") * (F.col("p2") / F.col("c2")))
 
 
 def reference_ratio(df: DataFrame, pre_frames: int = 5, post_frames: int = 3) -> DataFrame:
     """Divide by the reference relative to its pre-bleach level, clipped to [0.1, 2]."""
     d = df.withColumn("c1", F.col("roi1") - F.col("roi3")).withColumn("c2", F.col("roi2") - F.col("roi3"))
-    d = attach(d, KEY, earliest_min(F.col("c1"), F.col("frame")).alias("bleach"))
+    d = attach(d, KEY, bleach=earliest_min(F.col("c1"), F.col("frame")))
     head = F.col("frame") < F.least(F.col("bleach"), F.lit(pre_frames))
     post = (F.col("frame") > F.col("bleach")) & (F.col("frame") <= F.col("bleach") + post_frames)
     d = attach(
-        d, KEY, F.avg(F.when(head, F.col("c1"))).alias("pre1"), F.avg(F.when(head, F.col("c2"))).alias("pre2"),
-        F.coalesce(F.avg(F.when(post, F.col("c1"))), F.min("c1")).alias("post1"),
+        d, KEY, pre1=F.avg(F.when(head, F.col("c1"))), pre2=F.avg(F.when(head, F.col("c2"))),
+        post1=lambda o: F.coalesce(o(F.avg(F.when(post, F.col("c1")))), o(F.min("c1"))),
     )
     ratio = F.when(F.col("pre2") > 0, clip(F.coalesce(F.col("c2") / F.col("pre2"), F.lit(1.0)), 0.1, 2.0)).otherwise(1.0)
     ok = F.col("pre1") > 0
@@ -134,9 +135,9 @@ def bleach_anchored(df: DataFrame, y: str = "y", use_max: bool = False) -> DataF
 
     ``use_max`` is the variant that takes the curve maximum when nothing precedes the minimum.
     """
-    b = attach(df, KEY, earliest_min(F.col(y), F.col("frame"), F.struct("frame", "t", F.col(y).alias("y"))).alias("b"))
+    b = attach(df, KEY, b=earliest_min(F.col(y), F.col("frame"), F.struct("frame", "t", F.col(y).alias("y"))))
     first = F.max(y) if use_max else F.max(F.when(F.col("frame") == 0, F.col(y)))
-    d = attach(b, KEY, F.coalesce(F.avg(F.when(F.col("frame") < F.col("b.frame"), F.col(y))), first).alias("pre"))
+    d = attach(b, KEY, pre=lambda o: F.coalesce(o(F.avg(F.when(F.col("frame") < F.col("b.frame"), F.col(y)))), o(first)))
     span = F.col("pre") - F.col("b.y")
     if use_max:
         norm = F.when(F.abs(span) < 1e-12, F.col(y) - F.col("b.y")).otherwise(F.try_divide(F.col(y) - F.col("b.y"), span))
@@ -150,9 +151,9 @@ def bleach_anchored(df: DataFrame, y: str = "y", use_max: bool = False) -> DataF
 
 def rescale_to_unit(df: DataFrame, y: str = "y") -> DataFrame:
     """Shift negatives up, then divide by the pre-bleach mean when it is more than 10 % from 1."""
-    d = attach(df, KEY, F.min(y).alias("lo"), earliest_min(F.col(y), F.col("frame")).alias("bleach"))
+    d = attach(df, KEY, lo=F.min(y), bleach=earliest_min(F.col(y), F.col("frame")))
     d = d.withColumn("z", F.when(F.col("lo") < 0, F.col(y) - F.col("lo")).otherwise(F.col(y)))
-    d = attach(d, KEY, F.avg(F.when(F.col("frame") < F.col("bleach"), F.col("z"))).alias("pre"))
+    d = attach(d, KEY, pre=F.avg(F.when(F.col("frame") < F.col("bleach"), F.col("z"))))
     off = (F.col("pre") > 0) & (F.abs(F.col("pre") - 1) > 1e-8 + 0.1)
     return d.withColumn("norm", F.when(off, F.col("z") / F.col("pre")).otherwise(F.col("z"))).drop("lo", "z")
 
@@ -171,7 +172,7 @@ def acquisition_trend(df: DataFrame, y: str) -> DataFrame:
 
 
 def detrend_linear(df: DataFrame, y: str = "y") -> DataFrame:
-    d = attach(df, KEY, F.regr_slope(F.col(y), F.col("t")).alias("slope"))
+    d = attach(df, KEY, slope=F.regr_slope(F.col(y), F.col("t")))
     return d.withColumn("detrended", F.col(y) - F.col("slope") * F.col("t"))
 
 

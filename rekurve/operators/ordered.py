@@ -20,11 +20,34 @@ def segment_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(SEGMENT_CONF, str(SEGMENT_ROWS)))
 
 
-def attach(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
-    """Add per-group aggregates to every row (aggregate with map-side combine, then an equi-join AQE can de-skew)."""
+def bounded(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether a counted bound is known: ``frame_index`` notes in its column's metadata the keys whose groups it found
+    to fit into a segment.  Projections, filters and one-to-one joins keep that note; ``unbound`` removes it."""
+    notes = [set(f.metadata["bounded_by"]) for f in df.schema.fields if "bounded_by" in f.metadata]
+    return bool(keys) and any(n and n <= set(keys) for n in notes)
+
+
+def unbound(df: DataFrame) -> DataFrame:
+    """Forget the bound, for steps that multiply rows."""
+    noted = {f.name for f in df.schema.fields if "bounded_by" in f.metadata}
+    return df.select(*[F.col(f"`{c}`").alias(c, metadata={}) if c in noted else F.col(f"`{c}`") for c in df.columns])
+
+
+def attach(df: DataFrame, keys: Sequence[str], **aggs: Column | Callable) -> DataFrame:
+    """Add per-group aggregates to every row: ``name=F.avg("y")``, or ``name=lambda o: o(F.sum("a")) / o(F.sum("b"))``.
+
+    Groups with a known bound use a window, which shares the shuffle of the neighbouring steps.  Otherwise the rows are
+    aggregated with map-side combine and joined back, where a hot group can be split.
+    """
+    windows = bounded(df, keys)
+    w = Window.partitionBy(*keys) if windows else None
+    over = (lambda c: c.over(w)) if windows else (lambda c: c)
+    cols = [(over(a) if isinstance(a, Column) else a(over)).alias(n) for n, a in aggs.items()]
+    if windows:
+        return df.select("*", *cols)
     if not keys:
-        return df.crossJoin(F.broadcast(df.agg(*aggs)))  # exactly one row
-    return df.join(df.groupBy(*keys).agg(*aggs), list(keys))
+        return df.crossJoin(F.broadcast(df.agg(*cols)))  # exactly one row
+    return df.join(df.groupBy(*keys).agg(*cols), list(keys))
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> list:
@@ -78,7 +101,8 @@ def frame_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
     hot = hot_groups(df, keys, rows)
     if not hot:
         w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("long") - 1)
+        pos = F.row_number().over(w).cast("long") - 1
+        return df.withColumn(out, pos.alias(out, metadata={"bounded_by": list(keys)}) if keys else pos)
     on = list(keys) or ["_all"]
     seg = _segment_by_splits(df, keys, order, hot, rows)
     sizes = seg.groupBy(*on, "_seg").agg(F.count(F.lit(1)).alias("_c"))
@@ -102,6 +126,8 @@ def windowed(
     frame: str = "frame",
 ) -> DataFrame:
     """Add columns computed over a frame-ordered window that looks at most ``before``/``after`` rows away."""
+    if bounded(df, keys):
+        return df.select("*", *[c.alias(n) for n, c in build(Window.partitionBy(*keys).orderBy(frame)).items()])
     rows = segment_rows(df)
     seg = F.floor(F.col(frame) / rows).cast("long")
     off = F.col(frame) % rows
@@ -125,6 +151,8 @@ def windowed(
 
 def running_sum(df: DataFrame, keys: Sequence[str], value: Column, out: str, frame: str = "frame") -> DataFrame:
     """Inclusive running sum by frame: per-segment window plus the total of the earlier segments."""
+    if bounded(df, keys):
+        return df.withColumn(out, F.sum(value).over(Window.partitionBy(*keys).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)))
     rows = segment_rows(df)
     work = df.withColumn("_seg", F.floor(F.col(frame) / rows).cast("long")).withColumn("_v", value)
     local = Window.partitionBy(*keys, "_seg").orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
@@ -142,6 +170,9 @@ def running_sum(df: DataFrame, keys: Sequence[str], value: Column, out: str, fra
 
 def fill_forward(df: DataFrame, keys: Sequence[str], value: str, out: str, frame: str = "frame") -> DataFrame:
     """Last non-null value at or before the frame."""
+    if bounded(df, keys):
+        w = Window.partitionBy(*keys).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
     rows = segment_rows(df)
     work = df.withColumn("_seg", F.floor(F.col(frame) / rows).cast("long"))
     local = Window.partitionBy(*keys, "_seg").orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
@@ -187,7 +218,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     Bounded groups use ``percentile``; hot groups are ranked by distinct value in segments instead.
     """
     clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    if not hot_groups(clean, keys, segment_rows(df)):
+    if bounded(df, keys) or not hot_groups(clean, keys, segment_rows(df)):
         ps = F.array(*[F.lit(float(p)) for p in probs])
         return clean.groupBy(*keys).agg(F.percentile(value, ps).alias(out))
     ranked = value_ranks(clean, keys, value)

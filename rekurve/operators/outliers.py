@@ -37,7 +37,7 @@ def iqr_flags(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), factor
 
 def zscore_flags(df: DataFrame, col: str, by: Sequence[str] = (), limit: float = 3.0) -> DataFrame:
     """O2."""
-    d = attach(df, list(by), F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
+    d = attach(df, list(by), _m=F.avg(col), _s=F.stddev_pop(col))
     z = F.when(F.col("_s") > 0, (F.col(col) - F.col("_m")) / F.col("_s"))
     return d.withColumn("z", z).withColumn("outlier", F.coalesce(F.abs("z") > limit, F.lit(False))).drop("_m", "_s")
 
@@ -59,7 +59,7 @@ def mad_flags(df: DataFrame, col: str, by: Sequence[str] = (), limit: float = 3.
 
     ``scale='reference'`` multiplies by 1.4826 instead.
     """
-    d = attach(_mad(df, col, by), list(by), F.stddev_pop(col).alias("_sd"))
+    d = attach(_mad(df, col, by), list(by), _sd=F.stddev_pop(col))
     mad = F.when(F.col("_mad") > 0, F.col("_mad")).otherwise(F.col("_sd") / 1.4826)
     f = 0.6745 if scale == "usual" else 1.4826
     z = F.when(mad > 0, f * (F.col(col) - F.col("_med")) / mad)
@@ -68,7 +68,7 @@ def mad_flags(df: DataFrame, col: str, by: Sequence[str] = (), limit: float = 3.
 
 def grubbs(df: DataFrame, key: str, col: str, by: Sequence[str]) -> DataFrame:
     """The most extreme value of each group and its G."""
-    d = attach(df.select(*by, key, col), list(by), F.avg(col).alias("_m"), F.stddev_samp(col).alias("_s"), F.count(col).alias("n"))
+    d = attach(df.select(*by, key, col), list(by), _m=F.avg(col), _s=F.stddev_samp(col), n=F.count(col))
     g = d.filter("n >= 3 and _s > 0").withColumn("g", F.abs(F.col(col) - F.col("_m")) / F.col("_s"))
     return g.groupBy(*by).agg(F.min_by(F.struct(key, col, "g", "n"), F.struct(-F.col("g"), F.col(key))).alias("x")).select(*by, "x.*")
 
@@ -86,7 +86,7 @@ DIXON = {3: 0.970, 4: 0.829, 5: 0.710, 6: 0.625, 7: 0.568, 8: 0.526, 9: 0.493, 1
 
 def dixon(df: DataFrame, key: str, col: str, by: Sequence[str]) -> DataFrame:
     """Gap over range at both ends of each group, from two order statistics per end."""
-    pos = attach(frame_index(df.filter(F.col(col).isNotNull()).select(*by, key, col), list(by), [col, key]), list(by), F.count(F.lit(1)).alias("n"))
+    pos = attach(frame_index(df.filter(F.col(col).isNotNull()).select(*by, key, col), list(by), [col, key]), list(by), n=F.count(F.lit(1)))
     at = lambda k, c: F.max(F.when(F.col("frame") == k, F.col(c)))
     g = pos.groupBy(*by).agg(
         F.first("n").alias("n"), at(F.lit(0), col).alias("a"), at(F.lit(1), col).alias("b"), at(F.col("n") - 2, col).alias("y"), at(F.col("n") - 1, col).alias("z"),

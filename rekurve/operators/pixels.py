@@ -135,7 +135,7 @@ def pixel_maps(pixels: DataFrame, bleach: int, end_frames: int = 5, radius: floa
 def bleach_mask(pixels: DataFrame, bleach: int, drop: float = 0.3, cell_quantile: float = 0.0) -> DataFrame:
     """Pixels that lost more than ``drop`` of their pre-bleach mean inside the cell (at least ``cell_quantile`` of the peak)."""
     g = pixels.groupBy(*PIX).agg(F.avg(F.when(F.col("frame") < bleach, F.col("v"))).alias("pre"), F.max(F.when(F.col("frame") == bleach, F.col("v"))).alias("post"))
-    g = attach(g, ["stack_id"], F.max("pre").alias("_top"))
+    g = attach(g, ["stack_id"], _top=F.max("pre"))
     return g.filter((F.col("pre") > 0) & ((F.col("pre") - F.col("post")) / F.col("pre") > drop) & (F.col("pre") >= cell_quantile * F.col("_top"))).select(*PIX, "pre")
 
 

@@ -2,43 +2,54 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rekurve.functions import tails
-from rekurve.operators.ordered import attach, frame_index, quantiles
+from rekurve.operators.ordered import attach, frame_index, quantiles, segment_rows, unbound
 from rekurve.plans.session import cut_lineage
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Even out rows before each is multiplied by the number of replicates."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *by)
+
+
 def draw(seed: int, *parts) -> Column:
     """32-bit number from md5 of seed and parts."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def permutation_test(df: DataFrame, group: str, value: str, row_id: str, first: str, second: str, reps: int, seed: int = 1, buckets: int = 1024) -> DataFrame:
-    """Share of relabelings whose absolute mean difference reaches the observed one.
+def permutation_test(df: DataFrame, group: str, value: str, row_id: str, first: str, second: str, reps: int, seed: int = 1) -> DataFrame:
+    """Mean difference of every relabeling next to the observed one: ``rep, diff, observed``.
 
     A relabeling takes the n1 rows with the smallest draws.  Draws are binned: whole bins below the cut only contribute
     their sums, and just the rows of the one bin that holds the cut are ordered.  No replicate is ever sorted.
     """
     two = df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull())
     isa = F.col(group) == first
-    obs = two.agg(F.count(F.when(isa, 1)).alias("n1"), F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.avg(F.when(isa, F.col(value))).alias("m1"), F.avg(F.when(~isa, F.col(value))).alias("m2"))
-    rows = two.select(row_id, value, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("h", draw(seed, "rep", row_id))
-    rows = rows.withColumn("bin", F.floor(F.col("h") / (4294967296 // buckets)).cast("int"))
+    obs = two.agg(F.count(F.when(isa, 1)), F.count(F.lit(1)), F.sum(value), F.avg(F.when(isa, F.col(value))) - F.avg(F.when(~isa, F.col(value)))).first()
+    n1, n, total, observed = obs
+    if not n1 or n1 == n:
+        raise ValueError("both groups need values")
+    shift = 32 - max(10, math.ceil(math.log2(max(n / segment_rows(df), 1))))  # a bin never holds more than a segment
+    rows = spread(two.select(row_id, value), row_id).select(row_id, value, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    rows = rows.withColumn("h", draw(seed, "rep", row_id)).withColumn("bin", F.shiftright("h", shift).cast("int"))
     bins = rows.groupBy("rep", "bin").agg(F.count(F.lit(1)).alias("c"), F.sum(value).alias("v"))
-    bins = bins.join(F.broadcast(obs.select("n1")))  # one row
     w = Window.partitionBy("rep").orderBy("bin")
-    bins = cut_lineage(bins.withColumn("upto", F.sum("c").over(w)).withColumn("before", F.col("upto") - F.col("c")))  # reps x buckets rows
-    whole = bins.filter("upto <= n1").groupBy("rep").agg(F.sum("v").alias("whole"))
-    cut = bins.filter("before < n1 and upto > n1").select("rep", "bin", (F.col("n1") - F.col("before")).alias("need"))
-    edge = frame_index(rows.join(F.broadcast(cut), ["rep", "bin"]), ["rep"], ["h", row_id], "pos").filter("pos < need").groupBy("rep").agg(F.sum(value).alias("part"))
-    reps_df = bins.select("rep").distinct().join(whole, "rep", "left").join(edge, "rep", "left").crossJoin(F.broadcast(obs))
+    bins = cut_lineage(bins.withColumn("upto", F.sum("c").over(w)).withColumn("before", F.col("upto") - F.col("c")))  # reps x bins rows
+    whole = bins.groupBy("rep").agg(F.sum(F.when(F.col("upto") <= n1, F.col("v"))).alias("whole"))
+    cut = bins.filter((F.col("before") < n1) & (F.col("upto") > n1)).select("rep", "bin", (n1 - F.col("before")).alias("need"))
+    in_bin = Window.partitionBy("rep").orderBy("h", row_id)
+    edge = rows.join(F.broadcast(cut), ["rep", "bin"]).withColumn("pos", F.row_number().over(in_bin) - 1).filter("pos < need")  # one row per replicate
     s1 = F.coalesce("whole", F.lit(0.0)) + F.coalesce("part", F.lit(0.0))
-    diff = s1 / F.col("n1") - (F.col("s") - s1) / (F.col("n") - F.col("n1"))
-    return reps_df.select("rep", diff.alias("diff"), (F.col("m1") - F.col("m2")).alias("observed"))
+    out = whole.join(edge.groupBy("rep").agg(F.sum(value).alias("part")), "rep", "left")
+    return out.select("rep", (s1 / n1 - (F.lit(total) - s1) / (n - n1)).alias("diff"), F.lit(observed).alias("observed"))
 
 
 def permutation_p(reps: DataFrame, smoothed: bool = False) -> DataFrame:
@@ -51,8 +62,8 @@ def bootstrap(df: DataFrame, group: Sequence[str], value: str, order: Sequence[s
     """Any Spark aggregate of a with-replacement sample per group and replicate: ``group, rep, stat``."""
     group = list(group)
     rows = frame_index(df.filter(F.col(value).isNotNull()).select(*group, *order, value), group, list(order))
-    rows = cut_lineage(attach(rows, group, F.count(F.lit(1)).alias("n")).select(*group, "frame", "n", value))
-    picks = rows.select(*group, "n", "frame", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    rows = cut_lineage(attach(rows, group, n=F.count(F.lit(1))).select(*group, "frame", "n", value))
+    picks = spread(unbound(rows).select(*group, "n", "frame"), *group, "frame").select(*group, "n", "frame", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     picks = picks.select(*group, "rep", (draw(seed, *group, "rep", "frame") % F.col("n")).alias("frame"))
     got = picks.join(rows.select(*group, "frame", value), [*group, "frame"])
     return got.groupBy(*group, "rep").agg(stat(F.col(value)).alias("stat"))
@@ -104,7 +115,7 @@ def residual_bootstrap_rows(df: DataFrame, keys: Sequence[str], t: str, y: str,
     keys = list(keys)
     rows = df.select(*keys, t, F.col(y).alias("_y"), fitted.alias("_fit"))
     rows = frame_index(rows, keys, [t, "_y"], "_f")
-    rows = cut_lineage(attach(rows, keys, F.count(F.lit(1)).alias("_n")))
+    rows = cut_lineage(attach(rows, keys, _n=F.count(F.lit(1))))
     ex = rows.select(*keys, t, "_fit", "_n", "_f", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     ex = ex.withColumn("_pick", draw(seed, *keys, "rep", "_f") % F.col("_n")).drop("_f")
     res = rows.select(*keys, F.col("_f").alias("_pick"), (F.col("_y") - F.col("_fit")).alias("_res"))
@@ -117,7 +128,7 @@ def curve_bootstrap_means(aligned: DataFrame, group: str, curve: str, reps: int,
     Curves get integer multiplicities, so the points are read once per replicate they occur in and never joined to draws.
     """
     ids = frame_index(aligned.select(group, curve).distinct(), [group], [curve])
-    ids = cut_lineage(attach(ids, [group], F.count(F.lit(1)).alias("n")))
+    ids = cut_lineage(attach(ids, [group], n=F.count(F.lit(1))))
     picks = ids.select(group, "n", "frame", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     mult = picks.select(group, "rep", (draw(seed, group, "rep", "frame") % F.col("n")).alias("frame")).groupBy(group, "rep", "frame").agg(F.count(F.lit(1)).alias("m"))
     chosen = mult.join(ids.select(group, "frame", curve), [group, "frame"])

@@ -21,11 +21,11 @@ def closest(value: Column, target: Column, frame: Column, cond: Column) -> Colum
 
 def terminal_slope(df: DataFrame, min_points: int = 10, window: float = 0.4, slope_limit: float = -0.001, r2_limit: float = 0.7) -> DataFrame:
     """Line through the last part of the recovery and what to do with the curve."""
-    b = attach(df, KEY, earliest_min(F.col("y"), F.col("frame"), F.struct("frame", "t")).alias("b"), F.count(F.lit(1)).alias("n"), F.max_by("t", "frame").alias("t_end"))
+    b = attach(df, KEY, b=earliest_min(F.col("y"), F.col("frame"), F.struct("frame", "t")), n=F.count(F.lit(1)), t_end=F.max_by("t", "frame"))
     rec = F.col("frame") >= F.col("b.frame")
     rt = F.col("t") - F.col("b.t")
     w0 = (F.col("t_end") - F.col("b.t")) * (1 - window)
-    d = attach(b.withColumn("rt", rt).withColumn("w0", w0), KEY, closest(F.col("rt"), F.col("w0"), F.col("frame"), rec).alias("start"))
+    d = attach(b.withColumn("rt", rt).withColumn("w0", w0), KEY, start=closest(F.col("rt"), F.col("w0"), F.col("frame"), rec))
     tail = F.col("frame") >= F.col("start")
     g = d.groupBy(*KEY).agg(
         F.first("n").alias("n"), F.first("b.frame").alias("bleach"), F.count(if_(tail, "t")).alias("points"),
@@ -49,7 +49,7 @@ def terminal_slope(df: DataFrame, min_points: int = 10, window: float = 0.4, slo
 
 def recruitment(df: DataFrame, baseline_frames: int = 3) -> DataFrame:
     """A10: rise over the mean of the first frames, first time at half maximum, trapezoid area."""
-    d = attach(df, KEY, F.avg(if_(F.col("frame") < baseline_frames, "y")).alias("base"), F.max("y").alias("hi"))
+    d = attach(df, KEY, base=F.avg(if_(F.col("frame") < baseline_frames, "y")), hi=F.max("y"))
     d = windowed(d, KEY, lambda w: {"area": (F.col("t") - F.lag("t").over(w)) * (F.col("y") + F.lag("y").over(w) - 2 * F.col("base")) / 2})
     half = F.col("base") + (F.col("hi") - F.col("base")) / 2
     return d.groupBy(*KEY).agg(
@@ -64,12 +64,12 @@ def shape_features(df: DataFrame) -> DataFrame:
     """Twelve curve-shape features."""
     d = windowed(df, KEY, lambda w: {"d2": F.col("y") - 2 * F.lag("y", 1).over(w) + F.lag("y", 2).over(w)}, before=2)
     d = attach(
-        d, KEY, earliest_min(F.col("y"), F.col("frame"), F.struct("frame", "t")).alias("b"), F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"),
+        d, KEY, b=earliest_min(F.col("y"), F.col("frame"), F.struct("frame", "t")), n=F.count(F.lit(1)), lo=F.min("y"),
     )
     m = F.col("n") - F.col("b.frame")
     rec = F.col("frame") >= F.col("b.frame")
     last5 = rec & (F.col("frame") >= F.col("n") - F.when(m >= 5, 5).otherwise(1))
-    d = attach(d, KEY, F.avg(if_(last5, "y")).alias("fin"))
+    d = attach(d, KEY, fin=F.avg(if_(last5, "y")))
     half = F.col("lo") + 0.5 * (F.col("fin") - F.col("lo"))
     pre, early = F.col("frame") < F.col("b.frame"), rec & (F.col("frame") < F.col("b.frame") + 5)
     g = d.groupBy(*KEY).agg(
@@ -97,7 +97,7 @@ def shape_features(df: DataFrame) -> DataFrame:
 def quality_features(df: DataFrame) -> DataFrame:
     """Signal quality and sampling regularity."""
     d = windowed(df, KEY, lambda w: {"dt": F.col("t") - F.lag("t").over(w)})
-    d = attach(d, KEY, earliest_min(F.col("y"), F.col("frame")).alias("bleach"))
+    d = attach(d, KEY, bleach=earliest_min(F.col("y"), F.col("frame")))
     pre = F.col("frame") < F.col("bleach")
     base = F.when(F.col("bleach") > 5, pre).otherwise(F.col("frame") < 5)
     null = F.col("y").isNull() | F.isnan("y")
@@ -146,15 +146,15 @@ def residual_diagnostics(df: DataFrame, y: str, fitted: str) -> DataFrame:
 
 def half_time_summary(df: DataFrame) -> DataFrame:
     """First time at or above halfway between the first value and the mean of the last five."""
-    d = attach(df, KEY, F.count(F.lit(1)).alias("n"), F.max(if_(F.col("frame") == 0, "y")).alias("y0"))
-    d = attach(d, KEY, F.avg(if_(F.col("frame") >= F.col("n") - 5, "y")).alias("yinf"))
+    d = attach(df, KEY, n=F.count(F.lit(1)), y0=F.max(if_(F.col("frame") == 0, "y")))
+    d = attach(d, KEY, yinf=F.avg(if_(F.col("frame") >= F.col("n") - 5, "y")))
     target = F.col("y0") + 0.5 * (F.col("yinf") - F.col("y0"))
     return d.groupBy(*KEY).agg(F.first("yinf").alias("plateau"), F.min_by("t", F.when(F.col("y") >= target, F.col("frame"))).alias("t_half"))
 
 
 def downsample(df: DataFrame, points: int = 300) -> DataFrame:
     """The frames at the truncated positions of an even grid from first to last; all frames of shorter curves."""
-    d = attach(df, KEY, F.count(F.lit(1)).alias("n"))
+    d = attach(df, KEY, n=F.count(F.lit(1)))
     step = (F.col("n") - 1) / F.lit(points - 1)
     j = F.ceil(F.col("frame") / step - 1e-9)
     hit = (j < points) & (F.floor(j * step + 1e-9) == F.col("frame"))
@@ -183,13 +183,13 @@ def drift(df: DataFrame, keys=("track_id",)) -> DataFrame:
 def clean_trace(df: DataFrame, t: str = "t", y: str = "y", min_points: int = 5) -> DataFrame:
     """Finite pairs only, and only curves that keep at least ``min_points``."""
     ok = df.filter(F.col(t).isNotNull() & F.col(y).isNotNull() & ~F.isnan(t) & ~F.isnan(y) & (F.abs(F.col(t)) < float("inf")) & (F.abs(F.col(y)) < float("inf")))
-    return attach(ok, KEY, F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_points).drop("_n")
+    return attach(ok, KEY, _n=F.count(F.lit(1))).filter(F.col("_n") >= min_points).drop("_n")
 
 
 def choose_signal(df: DataFrame, primary: str, fallback: str, out: str = "intensity") -> DataFrame:
     """Primary if enough finite values, else fallback, else the curve is dropped."""
     good = lambda c: F.count(F.when(F.col(c).isNotNull() & ~F.isnan(c), 1))
-    d = attach(df, KEY, good(primary).alias("_p"), good(fallback).alias("_f"), F.count(F.lit(1)).alias("_n"))
+    d = attach(df, KEY, _p=good(primary), _f=good(fallback), _n=F.count(F.lit(1)))
     use_p = F.col("_p") >= F.greatest(F.lit(4), F.floor(F.col("_n") / 2))
     d = d.withColumn("source", F.when(use_p, primary).when(F.col("_f") >= 4, fallback)).filter("source is not null")
     return d.withColumn(out, F.when(F.col("source") == primary, F.col(primary)).otherwise(F.col(fallback))).drop("_p", "_f", "_n")

@@ -79,7 +79,7 @@ def mean_effects(mom: DataFrame, group: str, keys: Sequence[str] = ()) -> DataFr
 
 def anova(mom: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """F, degrees of freedom, eta squared and omega squared from group moments."""
-    m = attach(mom, list(keys), F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_gm"))
+    m = attach(mom, list(keys), _n=F.sum("n"), _gm=lambda o: o(F.sum(F.col("n") * F.col("mean"))) / o(F.sum("n")))
     g = m.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("mean") - F.col("_gm"), 2)).alias("ssb"), F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("ssw")
     )
@@ -132,7 +132,7 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
 def shapiro(df: DataFrame, group: str, value: str) -> DataFrame:
     """W by Royston's approximation (calibrated up to 5000 values) and its p value, from positions and normal scores."""
     clean = df.filter(F.col(value).isNotNull()).select(group, value)
-    pos = attach(frame_index(clean, [group], [value]), [group], F.count(F.lit(1)).alias("n"), F.avg(value).alias("_mean"))
+    pos = attach(frame_index(clean, [group], [value]), [group], n=F.count(F.lit(1)), _mean=F.avg(value))
     m = tails.normal_quantile((F.col("frame") + 1 - 0.375) / (F.col("n") + 0.25))
     pos = pos.withColumn("m", m).withColumn("x", F.col(value) - F.col("_mean"))
     at = lambda k, c: F.max(F.when(F.col("frame") == k, F.col(c)))
@@ -277,7 +277,7 @@ def wasserstein(df: DataFrame, group: str, features: Sequence[str], first: str,
 def qq_points(df: DataFrame, group: str, value: str) -> DataFrame:
     """Ordered values with plotting positions; ``normal_scores`` adds the quantiles."""
     f = frame_index(df.filter(F.col(value).isNotNull()).select(group, value), [group], [value])
-    f = attach(f, [group], F.count(F.lit(1)).alias("n"))
+    f = attach(f, [group], n=F.count(F.lit(1)))
     return f.select(group, "frame", value, ((F.col("frame") + 0.5) / F.col("n")).alias("prob"))
 
 
@@ -367,7 +367,7 @@ def predictive_summary(draws: DataFrame, point: Sequence[str], value: str, obser
 
 def waic(loglik: DataFrame, point: Sequence[str], ll: str) -> DataFrame:
     """Expected log density, effective parameters and standard error from pointwise log-likelihood draws."""
-    d = attach(loglik, list(point), F.max(ll).alias("_top"))
+    d = attach(loglik, list(point), _top=F.max(ll))
     p = d.groupBy(*point).agg((F.max("_top") + F.ln(F.avg(F.exp(F.col(ll) - F.col("_top"))))).alias("lppd"), F.var_samp(ll).alias("p"))
     e = F.col("lppd") - F.coalesce("p", F.lit(0.0))
     return p.agg(F.sum(e).alias("elpd"), F.sum("p").alias("p_waic"), F.sqrt(F.count(F.lit(1)) * F.var_samp(e)).alias("se"), (-2 * F.sum(e)).alias("waic"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rekurve.operators.ordered import attach, frame_index
+from rekurve.operators.ordered import attach, frame_index, unbound
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,7 +17,7 @@ def curves(spark, sf) -> DataFrame:
         F.col("user_id").alias("curve_id"), "event_id", F.expr("unix_micros(cast(ts as timestamp))").alias("us"),
         F.col("value").alias("y"),
     )
-    framed = attach(frame_index(ev, ["curve_id"], ["us", "event_id"]), ["curve_id"], F.min("us").alias("us0"))
+    framed = attach(frame_index(ev, ["curve_id"], ["us", "event_id"]), ["curve_id"], us0=F.min("us"))
     return framed.select("curve_id", "frame", "event_id", ((F.col("us") - F.col("us0")) / 86400000000.0).alias("t"), "y")
 
 
@@ -119,7 +119,7 @@ B6 = """b6 AS (SELECT object_id, frame, point_idx, r, r * cos(point_idx * (2 * 3
 def pixels(spark, sf) -> DataFrame:
     """8x8 image stacks, one per label."""
     e = table(spark, sf, "embeddings").select(F.col("label").alias("stack_id"), "vec_id", "embedding")
-    f = frame_index(e, ["stack_id"], ["vec_id"])
+    f = unbound(frame_index(e, ["stack_id"], ["vec_id"]))
     p = f.select("stack_id", "frame", F.posexplode("embedding").alias("i", "e"))
     return p.select(
         "stack_id", "frame", F.expr("cast(i div 8 as int)").alias("py"), F.expr("cast(i % 8 as int)").alias("px"),

@@ -111,7 +111,7 @@ def p12(spark, sf):
 @query("N09_plateau", f"""WITH {B1}, g AS (SELECT curve_id, min(y) AS lo, max(y) AS hi FROM b1 GROUP BY 1)
  SELECT curve_id, frame, {RD('(y - lo) / (hi - lo)')} AS norm FROM b1 JOIN g USING (curve_id) WHERE hi - lo >= 1e-10""")
 def n09(spark, sf):
-    d = od.attach(b.curves(spark, sf), K, F.min("y").alias("lo"), F.max("y").alias("hi"))
+    d = od.attach(b.curves(spark, sf), K, lo=F.min("y"), hi=F.max("y"))
     d = d.withColumn("norm", nz.plateau_normalize(F.col("y"), F.col("lo"), F.col("hi"))).filter("norm is not null")
     return pick(d, ["curve_id", "frame"], ["norm"])
 
@@ -366,7 +366,7 @@ RES = ["rmse", "max_abs", "durbin_watson", "mape", "mean_res", "sd_res"]
  d AS (SELECT *, res - lag(res) OVER (PARTITION BY curve_id ORDER BY frame) AS dres FROM r), g AS (SELECT curve_id, sqrt(avg(res * res)) AS rmse, max(abs(res)) AS max_abs, coalesce(sum(dres * dres) / sum(res * res), 2.0) AS durbin_watson,
  avg(abs(res / (y + 1e-10))) * 100 AS mape, avg(res) AS mean_res, stddev_pop(res) AS sd_res FROM d GROUP BY 1) SELECT {pick_sql(['curve_id'], RES, 4)} FROM g""")
 def a15(spark, sf):
-    d = od.attach(b.curves(spark, sf), K, F.regr_slope("y", "t").alias("s"), F.regr_intercept("y", "t").alias("i"))
+    d = od.attach(b.curves(spark, sf), K, s=F.regr_slope("y", "t"), i=F.regr_intercept("y", "t"))
     return pick(sh.residual_diagnostics(d.withColumn("fit", F.col("s") * F.col("t") + F.col("i")), "y", "fit"), ["curve_id"], RES, 4)
 
 

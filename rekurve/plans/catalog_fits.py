@@ -59,7 +59,7 @@ def m17(spark, sf):
 def m18(spark, sf):
     from rekurve.operators.ordered import attach
 
-    d = attach(b.curves(spark, sf), K, ql.inverse_logit(F.avg("y") / 100 - 2).alias("m"), F.exp(F.stddev_samp("y") / 500).alias("k"))
+    d = attach(b.curves(spark, sf), K, m=lambda o: ql.inverse_logit(o(F.avg("y")) / 100 - 2), k=lambda o: F.exp(o(F.stddev_samp("y")) / 500))
     slow, fast = ql.ordered_rates(F.col("k"), F.lit(0.5))
     r = lambda k: 1 - F.exp(-k * F.col("t"))
     return d.select("curve_id", "frame", rd(0.1 + F.col("m") * r(slow)).alias("one"), rd(0.1 + F.col("m") * (0.6 * r(fast) + 0.4 * r(slow))).alias("two"))

@@ -111,7 +111,7 @@ def damage_experiment(df: DataFrame, keys: Sequence[str], damage: str = "damage"
     first, second = F.least(damage, bleach), F.greatest(damage, bleach)
     seg = F.when(F.col("frame") >= second, F.when(F.col(bleach) >= F.col(damage), "recovery").otherwise("recruitment")).when(F.col("frame") >= first, F.when(F.col(bleach) >= F.col(damage), "recruitment").otherwise("recovery"))
     s = df.withColumn("segment", seg).filter("segment is not null")
-    s = od.attach(s, [*keys, "segment"], F.min("t").alias("_t0")).withColumn("t_seg", F.col("t") - F.col("_t0"))
+    s = od.attach(s, [*keys, "segment"], _t0=F.min("t")).withColumn("t_seg", F.col("t") - F.col("_t0"))
     rec = fit.profile_fit(s.filter("segment = 'recovery'"), [*keys, "segment"], "single", "t_seg", y)
     rise = fit.profile_fit(s.filter("segment = 'recruitment'"), [*keys, "segment"], "single", "t_seg", y)
     return fm.add_criteria(rec.unionByName(rise))
@@ -150,7 +150,7 @@ def mean_curve_fits(aligned: DataFrame, group: list[str], models: Sequence[str]
     m = cut_lineage(al.mean_curve(aligned, group))
     if weighted:
         m = m.filter("sem > 0")
-        m = od.attach(m, group, F.avg(1 / (F.col("sem") * F.col("sem"))).alias("_w"))
+        m = od.attach(m, group, _w=F.avg(1 / (F.col("sem") * F.col("sem"))))
         # weights enter as repeated evidence: scale both sides of the normal equations by sqrt(w) via a weighted moment pass
         return fm.add_criteria(_weighted_profile(m.withColumn("_wt", 1 / (F.col("sem") * F.col("sem")) / F.col("_w")), group, models))
     parts = [fit.profile_fit(m, group, name, "x", "mean") for name in models]
@@ -181,7 +181,7 @@ def per_cell(df: DataFrame, w: float = 1.0) -> DataFrame:
     """bleach, pre-bleach level, post-bleach fit with one or two rates, mobile fraction and quality flag."""
     b = bl.pre_bleach_level(df)
     j = df.join(b, KEY).filter(F.col("frame") >= F.col("bleach"))
-    j = od.attach(j, KEY, F.min("t").alias("_t0"), F.count(F.lit(1)).alias("_n")).filter("_n >= 4").withColumn("t_post", F.col("t") - F.col("_t0"))
+    j = od.attach(j, KEY, _t0=F.min("t"), _n=F.count(F.lit(1))).filter("_n >= 4").withColumn("t_post", F.col("t") - F.col("_t0"))
     rows = cut_lineage(j.select("curve_id", "t_post", "y", "pre"))
     fits = cut_lineage(fm.add_criteria(fit.exponential_fits(rows, KEY, (1, 2), "t_post", "y")))
     pick = fm.parsimonious(fits.filter("model = 'single'"), fits.filter("model = 'double'"), KEY).select(*KEY, "model")
@@ -195,8 +195,8 @@ def per_cell(df: DataFrame, w: float = 1.0) -> DataFrame:
 
 def one_call(df: DataFrame, y: str = "y", w: float = 1.0) -> DataFrame:
     """divide by the mean of the first max(2, n/10) points, fit all models, choose by AICc, derive features."""
-    d = od.attach(df, KEY, F.count(F.lit(1)).alias("_n"))
-    d = od.attach(d, KEY, F.avg(F.when(F.col("frame") < F.greatest(F.lit(2), F.floor(F.col("_n") / 10)), F.col(y))).alias("_pre"))
+    d = od.attach(df, KEY, _n=F.count(F.lit(1)))
+    d = od.attach(d, KEY, _pre=F.avg(F.when(F.col("frame") < F.greatest(F.lit(2), F.floor(F.col("_n") / 10)), F.col(y))))
     d = d.withColumn("norm", F.col(y) / F.col("_pre"))
     post = cut_lineage(bl.post_bleach(d, "norm", points=4, floor_negative=True).select("curve_id", "t_post", "y_post"))
     fits = cut_lineage(fit_all_models(post, KEY))
@@ -213,7 +213,7 @@ def cli_metrics(rec: DataFrame, w: float = 0.72) -> DataFrame:
     n = nz.double_with_floor(rec).filter("p1 is not null").select("curve_id", "frame", "t", F.col("norm").alias("y"))
     z = bl.time_zero(n).filter("half_frame > 0")
     post = n.join(z, KEY).filter(F.col("frame") >= F.col("bleach")).withColumn("frame", F.col("frame") - F.col("bleach"))
-    post = od.attach(post, KEY, F.min("t").alias("_t0")).withColumn("t_post", F.col("t") - F.col("_t0") + F.col("half_frame"))
+    post = od.attach(post, KEY, _t0=F.min("t")).withColumn("t_post", F.col("t") - F.col("_t0") + F.col("half_frame"))
     post = post.withColumn("y", F.when(F.col("frame") == 0, F.col("f_zero")).otherwise(F.col("y")))
     rows = cut_lineage(sh.downsample(post.select("curve_id", "frame", "t_post", "y")))
     fits = cut_lineage(fit.exponential_fits(rows, KEY, (1, 2), "t_post", "y"))
