@@ -214,8 +214,9 @@ def profile_round(df, keys, model: str, t="t", y="y", span=None, offset=True, am
 def profile_fit(
     df: DataFrame, keys: Sequence[str], model: str, t: str = "t", y: str = "y", rounds: int = 3, offset: bool = True,
     amp: tuple[float, float] = (0.0, np.inf), span: tuple[float, float] | None = None, robust: str | None = None, scale: float | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Best fit per curve: ``model, n, p, rss, sst, amp, baseline, p0[, p1]``.
+    """Best fit per curve: ``model, n, p, rss, sst, amp, baseline, p0[, p1]``; ``weight`` names a column of row weights.
 
     ``robust`` (huber, tukey, soft_l1) reweighs every row by its residual from the previous winner during the zoom
     rounds (F11); residuals are divided by ``scale``, by default the previous root mean square.
@@ -224,13 +225,15 @@ def profile_fit(
     span = span or time_range(df, t)
     dims, points = len(m.log), 6 if len(m.log) == 1 else 3
     ks = [f"_k{j}" for j in range(dims)]
-    best = profile_pass(df, keys, m, t, y, offset, amp, fixed=first_candidates(m, span))
+    own = (lambda tt, yy, b: b[weight].to_numpy(float)) if weight else None
+    extra = [weight] if weight else []
+    best = profile_pass(df, keys, m, t, y, offset, amp, fixed=first_candidates(m, span), weight=own, carry=extra)
     steps = _steps(m, m.grid(*span))
     for _ in range(rounds + (2 if robust else 0)):
         won = best.select(*keys, *ks, F.col("amp").alias("_a"), F.col("baseline").alias("_b"), F.sqrt(F.col("rss") / F.col("n")).alias("_s"))
         rows = df.join(cut_lineage(won if robust else won.select(*keys, *ks)), list(keys))  # size known: written first
-        weight = _robust_weight(m, robust, scale, dims) if robust else None
-        best = profile_pass(rows, keys, m, t, y, offset, amp, moves=_zoom(m, steps, points), weight=weight, carry=["_a", "_b", "_s"] if robust else [])
+        wfn = _robust_weight(m, robust, scale, dims) if robust else own
+        best = profile_pass(rows, keys, m, t, y, offset, amp, moves=_zoom(m, steps, points), weight=wfn, carry=["_a", "_b", "_s"] if robust else extra)
         steps = [s / (points + 1) * 1.5 for s in steps]
     name = f"{model}_{robust}" if robust else model
     out = best.select(*keys, F.lit(name).alias("model"), "n", F.lit(dims + (2 if offset else 1)).alias("p"), "rss", "sst", "amp", "baseline", *[F.col(k).alias(f"p{j}") for j, k in enumerate(ks)])

@@ -23,8 +23,7 @@ def segment_rows(df: DataFrame) -> int:
 def bounded(df: DataFrame, keys: Sequence[str]) -> bool:
     """Whether a counted bound is known: ``frame_index`` notes in its column's metadata the keys whose groups it found
     to fit into a segment.  Projections, filters and one-to-one joins keep that note; ``unbound`` removes it."""
-    notes = [set(f.metadata["bounded_by"]) for f in df.schema.fields if "bounded_by" in f.metadata]
-    return bool(keys) and any(n and n <= set(keys) for n in notes)
+    return any(set(f.metadata["bounded_by"]) <= set(keys) for f in df.schema.fields if "bounded_by" in f.metadata)
 
 
 def unbound(df: DataFrame) -> DataFrame:
@@ -50,6 +49,11 @@ def attach(df: DataFrame, keys: Sequence[str], **aggs: Column | Callable) -> Dat
     return df.join(df.groupBy(*keys).agg(*cols), list(keys))
 
 
+def reindex(df: DataFrame, position: Column, frame: str = "frame") -> DataFrame:
+    """Renumber frames inside their groups, keeping the noted bound."""
+    return df.withColumn(frame, position.alias(frame, metadata=df.schema[frame].metadata))
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> list:
     """Groups above ``limit`` rows; at most rows/limit of them, so the list is small by construction."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -102,7 +106,7 @@ def frame_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
     if not hot:
         w = Window.partitionBy(*keys).orderBy(*order)
         pos = F.row_number().over(w).cast("long") - 1
-        return df.withColumn(out, pos.alias(out, metadata={"bounded_by": list(keys)}) if keys else pos)
+        return df.withColumn(out, pos.alias(out, metadata={"bounded_by": list(keys)}))
     on = list(keys) or ["_all"]
     seg = _segment_by_splits(df, keys, order, hot, rows)
     sizes = seg.groupBy(*on, "_seg").agg(F.count(F.lit(1)).alias("_c"))

@@ -213,7 +213,7 @@ def j03(spark, sf):
 @query("N20_align", f"""WITH {ANCH}, src AS (SELECT curve_id, frame - bleach AS frame, t_rel AS t, norm AS y FROM an), lim AS (SELECT max(t) / 199 AS step FROM src), {interp_sql(200)}
  SELECT curve_id, j, {RD('x')} AS x, {RD('yi', 5)} AS yi FROM ip""")
 def n20(spark, sf):
-    d = nz.bleach_anchored(b.curves(spark, sf)).withColumn("frame", F.col("frame") - F.col("bleach"))
+    d = od.reindex(nz.bleach_anchored(b.curves(spark, sf)), F.col("frame") - F.col("bleach"))
     a = al.align(d, 200, "t_rel", "norm")
     return a.select("curve_id", "j", rd("x").alias("x"), rd("yi", 5).alias("yi"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rekurve.functions import models as mo, tails
 from rekurve.functions.basis import MODELS
-from rekurve.operators import align as al, bleach as bl, fit, fit_metrics as fm, normalize as nz, quality as ql
+from rekurve.operators import align as al, bleach as bl, fit, fit_metrics as fm, normalize as nz, ordered as od, quality as ql
 from rekurve.plans import bindings as b, workflows as wf
 from rekurve.plans.bindings import B1
 from rekurve.plans.catalog_curves import ANCH
@@ -360,7 +360,7 @@ def f23(spark, sf):
 
 def aligned_groups(spark, sf):
     a = nz.bleach_anchored(b.curves(spark, sf))
-    d = a.select("curve_id", (F.col("frame") - F.col("bleach")).alias("frame"), F.col("t_rel").alias("t"), F.col("norm").alias("y"))
+    d = od.reindex(a, F.col("frame") - F.col("bleach")).select("curve_id", "frame", F.col("t_rel").alias("t"), F.col("norm").alias("y"))
     return al.align(d, 60).join(b.curve_groups(spark, sf), "curve_id")
 
 

@@ -149,34 +149,15 @@ def mean_curve_fits(aligned: DataFrame, group: list[str], models: Sequence[str]
     """fit the mean curve of each group; with ``weighted`` the points count by inverse squared SEM."""
     m = cut_lineage(al.mean_curve(aligned, group))
     if weighted:
-        m = m.filter("sem > 0")
-        m = od.attach(m, group, _w=F.avg(1 / (F.col("sem") * F.col("sem"))))
-        # weights enter as repeated evidence: scale both sides of the normal equations by sqrt(w) via a weighted moment pass
-        return fm.add_criteria(_weighted_profile(m.withColumn("_wt", 1 / (F.col("sem") * F.col("sem")) / F.col("_w")), group, models))
-    parts = [fit.profile_fit(m, group, name, "x", "mean") for name in models]
+        m = od.attach(m.filter("sem > 0"), group, _mean=F.avg(1 / (F.col("sem") * F.col("sem"))))
+        m = cut_lineage(m.withColumn("_wt", 1 / (F.col("sem") * F.col("sem")) / F.col("_mean")))
+    parts = [fit.profile_fit(m, group, name, "x", "mean", weight="_wt" if weighted else None) for name in models]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return fm.add_criteria(out)
 
 
-def _weighted_profile(rows, group, models):
-    from rekurve.functions.basis import MODELS
-
-    outs = []
-    for name in models:
-        m = MODELS[name]
-        span = fit.time_range(rows, "x")
-        first = fit.profile_pass(rows, group, m, "x", "mean", True, (0.0, float("inf")), fixed=fit.first_candidates(m, span), weight=lambda tt, yy, b: b["_wt"].to_numpy(float), carry=["_wt"])
-        dims = len(m.log)
-        o = first.select(*group, F.lit(name).alias("model"), "n", F.lit(dims + 2).alias("p"), "rss", "sst", "amp", "baseline", *[F.col(f"_k{j}").alias(f"p{j}") for j in range(dims)])
-        outs.append(o if dims == 2 else o.withColumn("p1", F.lit(None).cast("double")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
-
-
 def per_cell(df: DataFrame, w: float = 1.0) -> DataFrame:
     """bleach, pre-bleach level, post-bleach fit with one or two rates, mobile fraction and quality flag."""
     b = bl.pre_bleach_level(df)
@@ -210,9 +191,9 @@ def best_features(fits: DataFrame, by: str = "aicc") -> DataFrame:
 
 def cli_metrics(rec: DataFrame, w: float = 0.72) -> DataFrame:
     """double normalization with floors, time-zero correction, even down-sampling, one reaction-diffusion fit, single fit as fallback."""
-    n = nz.double_with_floor(rec).filter("p1 is not null").select("curve_id", "frame", "t", F.col("norm").alias("y"))
+    n = cut_lineage(nz.double_with_floor(rec).filter("p1 is not null").select("curve_id", "frame", "t", F.col("norm").alias("y")))
     z = bl.time_zero(n).filter("half_frame > 0")
-    post = n.join(z, KEY).filter(F.col("frame") >= F.col("bleach")).withColumn("frame", F.col("frame") - F.col("bleach"))
+    post = od.reindex(n.join(z, KEY).filter(F.col("frame") >= F.col("bleach")), F.col("frame") - F.col("bleach"))
     post = od.attach(post, KEY, _t0=F.min("t")).withColumn("t_post", F.col("t") - F.col("_t0") + F.col("half_frame"))
     post = post.withColumn("y", F.when(F.col("frame") == 0, F.col("f_zero")).otherwise(F.col("y")))
     rows = cut_lineage(sh.downsample(post.select("curve_id", "frame", "t_post", "y")))
