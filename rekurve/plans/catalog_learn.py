@@ -150,7 +150,7 @@ def o15(spark, sf):
     return d.select("cell_id", "cluster").withColumn("silhouette", F.lit(sil))
 
 
-@query("O16_separation", f"""WITH {FEAT}, c AS (SELECT cluster, count(*) AS n, avg(price) AS cp, avg(bal) AS cb FROM ft GROUP BY 1), s AS (SELECT cluster, any_value(n) AS n, any_value(cp) AS cp, any_value(cb) AS cb, sum(power(price - cp, 2) + power(bal - cb, 2)) AS ss, avg(sqrt(power(price - cp, 2) + power(bal - cb, 2))) AS sc FROM ft JOIN c USING (cluster) GROUP BY 1),
+@query("O16_separation", f"""WITH {FEAT}, c AS (SELECT cluster, count(*) AS n, avg(price) AS cp, avg(bal) AS cb FROM ft GROUP BY 1), s AS (SELECT cluster, any_value(c.n) AS n, any_value(cp) AS cp, any_value(cb) AS cb, sum(power(price - cp, 2) + power(bal - cb, 2)) AS ss, avg(sqrt(power(price - cp, 2) + power(bal - cb, 2))) AS sc FROM ft JOIN c USING (cluster) GROUP BY 1),
  g AS (SELECT avg(price) AS gp, avg(bal) AS gb FROM ft), t AS (SELECT sum(n) AS nn, count(*) AS k, sum(ss) AS w, sum(n * (power(cp - gp, 2) + power(cb - gb, 2))) AS bt FROM s, g), d AS (SELECT a.cluster, max((a.sc + b.sc) / sqrt(power(a.cp - b.cp, 2) + power(a.cb - b.cb, 2))) AS r FROM s a JOIN s b ON a.cluster <> b.cluster GROUP BY 1)
  SELECT k, {RD('(bt / (k - 1)) / (w / (nn - k))', 5)} AS calinski_harabasz, {RD('(SELECT avg(r) FROM d)', 4)} AS davies_bouldin FROM t""")
 def o16(spark, sf):
@@ -181,10 +181,10 @@ def event_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-@query("Z01_live_bleach", f"WITH {B1}, d AS (SELECT curve_id, frame, y, lag(y) OVER (PARTITION BY curve_id ORDER BY frame) AS p FROM b1), k AS (SELECT curve_id, min(frame) FILTER ((p - y) / p > 0.3) AS bleach FROM d GROUP BY 1) SELECT curve_id, any_value(bleach) AS bleach, {RD('avg(y)', 4)} AS pre_mean FROM b1 JOIN k USING (curve_id) WHERE frame < bleach GROUP BY 1")
+@query("Z01_live_bleach", f"WITH {B1}, d AS (SELECT curve_id, frame, y, lag(y) OVER (PARTITION BY curve_id ORDER BY frame) AS p FROM b1), k AS (SELECT curve_id, min(frame) FILTER ((p - y) / p > 0.3) AS bleach FROM d GROUP BY 1) SELECT curve_id, any_value(bleach) AS bleach, {RD('avg(y)')} AS pre_mean FROM b1 JOIN k USING (curve_id) WHERE frame < bleach GROUP BY 1")
 def z01(spark, sf):
     s = event_stream(spark, sf).select(F.col("user_id").alias("curve_id"), F.expr("unix_micros(cast(ts as timestamp))").alias("us"), "event_id", F.col("value").alias("y"))
-    return live.run_available(live.live_bleach(s), shared_scratch(spark, "live")).withColumn("pre_mean", rd("pre_mean", 4))
+    return live.run_available(live.live_bleach(s), shared_scratch(spark, "live")).withColumn("pre_mean", rd("pre_mean"))
 
 
 @query("Z02_live_positions")
@@ -195,11 +195,11 @@ def z02(spark, sf):
     return live.run_available(live.live_positions(s), shared_scratch(spark, "live"))
 
 
-@query("Z03_live_means", f"""WITH l AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events) SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS grp, {RD('avg(value)', 4)} AS mean, count(*) AS n FROM events, l WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= wm GROUP BY 1, 2""")
+@query("Z03_live_means", f"""WITH l AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events) SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS grp, {RD('avg(value)')} AS mean, count(*) AS n FROM events, l WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= wm GROUP BY 1, 2""")
 def z03(spark, sf):
     m = live.live_means(event_stream(spark, sf).select(F.expr("cast(concat(cast(ts as string), 'Z') as timestamp)").alias("ts"), F.col("event_type").alias("grp"), "value"), "ts", "grp", "value")
     r = live.run_available(m, shared_scratch(spark, "live"))
-    return r.select(F.date_format(F.to_utc_timestamp("start", F.current_timezone()), "yyyy-MM-dd").alias("day"), "grp", rd("mean", 4).alias("mean"), "n")
+    return r.select(F.date_format(F.to_utc_timestamp("start", F.current_timezone()), "yyyy-MM-dd").alias("day"), "grp", rd("mean").alias("mean"), "n")
 
 
 # ---- user functions ----------------------------------------------------------------------------------------------------
