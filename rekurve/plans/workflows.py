@@ -178,7 +178,7 @@ def one_call(df: DataFrame, y: str = "y", w: float = 1.0) -> DataFrame:
     """divide by the mean of the first max(2, n/10) points, fit all models, choose by AICc, derive features."""
     d = od.attach(df, KEY, _n=F.count(F.lit(1)))
     d = od.attach(d, KEY, _pre=F.avg(F.when(F.col("frame") < F.greatest(F.lit(2), F.floor(F.col("_n") / 10)), F.col(y))))
-    d = d.withColumn("norm", F.col(y) / F.col("_pre"))
+    d = d.select("curve_id", "frame", "t", (F.col(y) / F.col("_pre")).alias("norm"))
     post = cut_lineage(bl.post_bleach(d, "norm", points=4, floor_negative=True).select("curve_id", "t_post", "y_post"))
     fits = cut_lineage(fit_all_models(post, KEY))
     return best_features(fits)
