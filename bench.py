@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 QUERIES = [
     "N06_three_region", "N18_post_bleach", "N20_align", "A02_mean_curve", "A11_shape_features", "F01_fit_single_round", "F01_fit_single", "F02_fit_double",
-    "F12_fit_all_models", "F22_global_fit", "F27_per_cell_pipeline", "F31_recording_metrics", "X03_mann_whitney", "X05_kruskal", "X17_permutation",
+    "F12_fit_all_models", "F22_global_fit", "F27_per_cell_fits", "F31_recording_metrics", "X03_mann_whitney", "X05_kruskal", "X17_permutation",
     "X18_bootstrap_interval", "X23_mixed_model", "G03_drift_shifts", "G09_otsu_area", "J09_nearest_neighbors", "O09_isolation_forest", "P15_downsample",
 ]
 

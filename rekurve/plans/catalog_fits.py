@@ -384,7 +384,7 @@ def f26(spark, sf):
     return c.withColumn("labels", F.concat_ws("|", ql.mean_curve_labels(mobile=F.when(F.col("param") == "mobile_fraction", F.col("difference")), kon_fold=F.when(F.col("param") == "tau", 1 / F.col("fold")))))
 
 
-@query("F27_per_cell_pipeline")
+@query("F27_per_cell_fits")
 def f27(spark, sf):
     return wf.per_cell(b.curves(spark, sf))
 

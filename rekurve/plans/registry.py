@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, functions as F
 
+from rekurve.plans.session import ship_package
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -13,7 +17,13 @@ def query(name: str, sql: str | None = None):
 
     def keep(fn):
         assert name not in QUERIES, name
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

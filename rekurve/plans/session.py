@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,7 @@ def local_session(cores: str = "8", shuffle: str = "8") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -38,3 +41,14 @@ def shared_scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder the cluster names; a temporary folder only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rekurve-")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rekurve_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    base = os.path.join(tempfile.mkdtemp(prefix="rekurve-"), "rekurve")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "rekurve"))  # Spark copies it to every executor
+    sc._rekurve_shipped = True
