@@ -23,7 +23,7 @@ def vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(v).transform(v).drop("_raw")
 
 
-def mixture(df: DataFrame, cols: Sequence[str], max_k: int = 6, sensitivity: str | None = "medium", seed: int = 42, min_size: int = 3):
+def mixture(df: DataFrame, cols: Sequence[str], max_k: int = 6, sensitivity: str | None = "medium", seed: int = 42, min_size: int = 3, starts: int = 2):
     """Gaussian mixture with the number of components by BIC: (rows with cluster and probability, k, list of BICs).
 
     With a sensitivity the search stops at the first component that gains too little; without one the smallest BIC wins.
@@ -43,14 +43,20 @@ def mixture(df: DataFrame, cols: Sequence[str], max_k: int = 6, sensitivity: str
     for k in range(2, max_k + 1):
         if n < k * min_size:
             break
-        m = GaussianMixture(k=k, seed=seed, featuresCol="features", predictionCol="cluster", probabilityCol="_p").fit(v)
+        need = GAIN[sensitivity] if sensitivity else 0.0
         params = k * (d + d * (d + 1) / 2) + k - 1
-        bic = -2 * m.summary.logLikelihood + params * math.log(n)
-        small = min(m.summary.clusterSizes) < min_size
-        bics.append(bic)
-        gain = best[1] - bic
-        if not small and gain > (GAIN[sensitivity] if sensitivity else 0.0):
-            best = (m, bic, k)
+        top = None
+        for start in range(starts):  # more starts only while k components do not yet convince
+            m = GaussianMixture(k=k, seed=seed + start, tol=1e-3, featuresCol="features", predictionCol="cluster", probabilityCol="_p").fit(v)
+            bic = -2 * m.summary.logLikelihood + params * math.log(n)
+            small = min(m.summary.clusterSizes) < min_size
+            if top is None or (small, bic) < (top[2], top[1]):
+                top = (m, bic, small)
+            if not top[2] and best[1] - top[1] > need:
+                break
+        bics.append(top[1])
+        if not top[2] and best[1] - top[1] > need:
+            best = (top[0], top[1], k)
         elif sensitivity:
             break
     if best[0] is None:
