@@ -114,7 +114,7 @@ def kinetic_subpopulations(df: DataFrame, key: str, group: str, diff: str, resid
     d = cut_lineage(d.select(key, group, "log_d", "log_r"))
     out = None
     for r in d.select(group).distinct().collect():  # experimental groups: a handful, each fit is a distributed job
-        got, _, _ = mixture(d.filter(F.col(group) == r[group]), ["log_d", "log_r"], max_k, None)
+        got, _, _ = mixture(d.filter(F.col(group) == r[group]), ["log_d", "log_r"], max_k, None, starts=1)
         out = got if out is None else out.unionByName(got)
     out = cut_lineage(out)
     med = quantiles(out, [group, "cluster"], "log_d", [0.5]).select(group, "cluster", F.col("q")[0].alias("m"))
