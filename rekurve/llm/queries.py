@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rekurve.llm import simhash
+from rekurve.llm import simhash, subspace, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,37 @@ def hex64(c: Column) -> Column:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     d = simhash.near_duplicate_notes(notes(spark, sf))
     return d.select(F.col("experiment_id").alias("doc_id"), hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    cells = e.select(F.col("vec_id").alias("cell_id"), F.col("embedding").alias("features"), F.col("label").alias("condition"))
+    return subspace.near_duplicate_cells(cells).withColumnRenamed("cell_id", "vec_id")
+
+
+#: Fixed by the contract: host, path, verdict.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op2_url_filters")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in RULES])
+    rules = spark.range(1).select(F.inline(rows))
+    return url_rules.judge_pages(spark.read.parquet(f"{sf}/pages.parquet"), rules)
+
+
+ORACLES["op2_url_filters"] = """
+with u as (
+  select page_id, coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end, '') as rest from pages
+), p as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) as path from u
+), r as (
+  select * from (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) t(h, x, v)
+), hit as (
+  select p.*, (select max_by(struct_pack(rule := h || x, verdict := v), length(h || x)) from r
+               where (host = h or ends_with(host, '.' || h)) and starts_with(path, x)) as best from p
+)
+select page_id, host, path, best.rule as rule, coalesce(best.verdict, 'allow') as verdict from hit
+"""
