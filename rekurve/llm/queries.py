@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rekurve.llm import simhash, subspace, url_rules
+from rekurve.llm import language, sharding, simhash, subspace, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,16 @@ with u as (
 )
 select page_id, host, path, best.rule as rule, coalesce(best.verdict, 'allow') as verdict from hit
 """
+
+
+@query("op3_sharding")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    files = d.select(F.col("doc_id").alias("file_id"), F.col("text").alias("raw_data_json"))
+    return sharding.shard_files(files).withColumnsRenamed({"file_id": "doc_id", "raw_crc32": "text_crc32"})
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    d = language.note_languages(notes(spark, sf, F.col("lang").alias("language")))
+    return d.select(F.col("experiment_id").alias("doc_id"), "held_out", F.col("language").alias("lang_pred"), "score")
