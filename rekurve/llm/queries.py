@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rekurve.llm import language, sharding, simhash, subspace, url_rules
+from rekurve.llm import bpe, language, sharding, simhash, subspace, token_counts, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +78,15 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     d = language.note_languages(notes(spark, sf, F.col("lang").alias("language")))
     return d.select(F.col("experiment_id").alias("doc_id"), "held_out", F.col("language").alias("lang_pred"), "score")
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    d = token_counts.count_note_tokens(notes(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+    return d.withColumnRenamed("experiment_id", "doc_id")
+
+
+@query("op6_bpe_encoding")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    d = bpe.note_digests(notes(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+    return d.withColumnRenamed("experiment_id", "doc_id")
