@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rekurve.llm import bpe, language, sharding, simhash, subspace, token_counts, url_rules
+from rekurve.llm import bpe, language, lz_fingerprints, packing, sharding, simhash, subspace, token_counts, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,14 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     d = bpe.note_digests(notes(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
     return d.withColumnRenamed("experiment_id", "doc_id")
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    d = packing.pack_notes(notes(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+    return d.withColumnsRenamed({"experiment_id": "doc_id", "note_tokens": "doc_tokens"})
+
+
+@query("op9_lz_fingerprints")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return lz_fingerprints.note_fingerprints(notes(spark, sf)).withColumnRenamed("experiment_id", "doc_id")
