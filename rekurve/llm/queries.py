@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rekurve.llm import bpe, language, lz_fingerprints, packing, sharding, simhash, subspace, token_counts, url_rules
+from rekurve.llm import bpe, language, lz_fingerprints, packing, sharding, simhash, subspace, token_counts, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,13 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_lz_fingerprints")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return lz_fingerprints.note_fingerprints(notes(spark, sf)).withColumnRenamed("experiment_id", "doc_id")
+
+
+def reviews(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("experiment_id"), "toxic")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    d = toxicity.toxic_notes(notes(spark, sf, F.col("lang").alias("language")), reviews(spark, sf))
+    return d.withColumnRenamed("experiment_id", "doc_id")
