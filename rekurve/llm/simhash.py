@@ -18,11 +18,11 @@ NODE_LIMIT = 50_000
 FRONTIER, LEAVES = 1 << 16, 32
 
 
-def fingerprint_of(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """A bit is 1 if more than half of the shingle hashes have it; 0 for a text without words."""
+def fingerprints_of(text: str | None, words: int = SHINGLE_WORDS, tables: int = 1) -> list[int]:
+    """A bit is 1 if more than half of the shingle hashes have it; 0 for a text without words.  Tables after the first mix the hashes anew."""
     t = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six white-space bytes only
     if not t:
-        return 0
+        return [0] * tables
     if len(t) <= words:
         h = np.array([xxhash.xxh64_intdigest(b" ".join(t), SEED)], np.uint64)
     else:
@@ -30,19 +30,29 @@ def fingerprint_of(text: str | None, words: int = SHINGLE_WORDS) -> int:
         ends = np.cumsum(np.fromiter(map(len, t), np.int64, len(t)) + 1)
         a, b = [0, *ends[:-words].tolist()], (ends[words - 1 :] - 1).tolist()
         h = np.fromiter([digest(line[i:j], SEED) for i, j in zip(a, b)], np.uint64, len(b))
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    out = []
+    for table in range(tables):
+        if table:
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+        ones = np.zeros(64, np.int64)
+        for k in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]))
+    return out
+
 
+def fingerprint_of(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    return fingerprints_of(text, words)[0]
 
-def fingerprint(description: Column, words: int = SHINGLE_WORDS) -> Column:
-    """The 64 bits as a long."""
 
-    @F.pandas_udf("long")
+def fingerprints(description: Column, words: int = SHINGLE_WORDS, tables: int = 1) -> Column:
+    """An array of ``tables`` times 64 bits as longs."""
+
+    @F.pandas_udf("array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(np.array([fingerprint_of(t, words) for t in s], np.uint64).view(np.int64))
+            yield pd.Series([np.array(fingerprints_of(t, words, tables), np.uint64).view(np.int64) for t in s])
 
     return run.asNondeterministic()(description)  # so that a filter on it doesn't compute it twice
 
@@ -155,20 +165,33 @@ def trie_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     return dealt.mapInPandas(walk, "a long, b long")
 
 
-def near_duplicate_notes(experiments: DataFrame, experiment_id: str = "experiment_id", description: str = "description", words: int = SHINGLE_WORDS, bits: int = BITS) -> DataFrame:
+def near_duplicate_notes(
+    experiments: DataFrame, experiment_id: str = "experiment_id", description: str = "description", words: int = SHINGLE_WORDS, bits: int = BITS, tables: int = 1
+) -> DataFrame:
     """``experiment_id, fingerprint, component_id`` for every row of ``experiments(experiment_id long, description string)``.
 
     ``fingerprint`` is the SimHash as a long; ``component_id`` the smallest id that links of at most ``bits`` differing bits reach.
     Missing, empty and blank descriptions have fingerprint zero and link like any other.  Repeated rows keep a row each; copies share a
     fingerprint, which is joined once.  A row without an id keeps its fingerprint, links nothing and has no component.  Other columns,
     whatever their names, are ignored; an empty table gives no rows.
+
+    With more ``tables``, descriptions have so many independent fingerprints and link if any of them is within the budget: what one
+    fingerprint misses by chance another finds.  ``fingerprint`` is the first.
     """
     ship_package(experiments.sparkSession)
-    d = experiments.select(F.col(experiment_id).cast("long").alias("experiment_id"), fingerprint(F.col(description), words).alias("fingerprint"))
+    d = experiments.select(F.col(experiment_id).cast("long").alias("experiment_id"), fingerprints(F.col(description), words, tables).alias("all"))
     d = cut_lineage(d)
-    prints = cut_lineage(d.filter("experiment_id is not null").groupBy(F.col("fingerprint").alias("value")).agg(F.min("experiment_id").alias("node")))
-    groups = components(trie_links(prints, bits))
-    of = prints.join(groups, "node", "left").select(F.col("value").alias("fingerprint"), F.coalesce("component", "node").alias("component_id"))
+    prints = cut_lineage(d.filter("experiment_id is not null").groupBy("all").agg(F.min("experiment_id").alias("node")))
+    edges = None
+    for k in range(tables):
+        own = prints.select(F.col("all")[k].alias("value"), "node")
+        if tables > 1:  # fingerprints that agree in this table alone
+            first = cut_lineage(own.groupBy("value").agg(F.min("node").alias("node")))
+            own, same = first, own.withColumnRenamed("node", "a").join(first.withColumnRenamed("node", "b"), "value").filter("a <> b").select("a", "b")
+            edges = same if edges is None else edges.unionByName(same)
+        found = trie_links(own, bits)
+        edges = found if edges is None else edges.unionByName(found)
+    of = prints.join(components(edges), "node", "left").select("all", F.coalesce("component", "node").alias("component_id"))
     of = cut_lineage(of)
-    out = d.join(of, "fingerprint", "left")
-    return out.select("experiment_id", "fingerprint", F.when(F.col("experiment_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = d.join(of, "all", "left")
+    return out.select("experiment_id", F.col("all")[0].alias("fingerprint"), F.when(F.col("experiment_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -81,6 +81,22 @@ def test_notes(spark):
     assert simhash.near_duplicate_notes(spark.createDataFrame([], NOTES)).count() == 0
 
 
+def test_more_tables(spark):
+    rng = np.random.default_rng(8)
+    base = [" ".join(rng.choice(["spot", "cell", "signal", "bleach", "plateau", "lamin", "drift", "probe"], 60)) for _ in range(12)]
+    texts = base + [" ".join("other" if k == j else w for k, w in enumerate(t.split())) for j, t in enumerate(base)] + base[:3]
+    ids = list(range(50, 50 + len(texts)))
+    prints = [simhash.fingerprints_of(t, 5, 4) for t in texts]
+    par = {i: i for i in ids}
+    for _ in ids:
+        for i, a in zip(ids, prints):
+            for j, b in zip(ids, prints):
+                if any(bin(x ^ y).count("1") <= 6 for x, y in zip(a, b)):
+                    par[i] = par[j] = min(par[i], par[j])
+    got = simhash.near_duplicate_notes(spark.createDataFrame(list(zip(ids, texts)), NOTES), words=5, bits=6, tables=4).collect()
+    assert {r.experiment_id: r.component_id for r in got} == par and len(set(par.values())) < len(base) + 6
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
