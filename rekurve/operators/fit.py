@@ -1,25 +1,28 @@
 """Fitting millions of curves at once (section 2.10).
 
 Given the nonlinear parameters every model is linear in its amplitudes and offset, so the best amplitudes and the
-residual sum of squares follow from second moments.  One round over the rows evaluates a set of candidates for all
-curves: each task adds up the moments of the curves it sees, only these sums are shuffled by curve, and the best
-candidate per curve is kept.  The next round narrows the candidates around it.  A curve may be spread over any number
-of tasks, so a hot curve costs no more than its share of the scan.
+residual sum of squares follow from second moments.  A pass evaluates a set of candidates for each curve, which depend on
+its own times alone, and keeps the best; the next one narrows the candidates around it.  The rows of a curve are brought
+together once and all passes follow each other there.  A curve too large for that stays spread over its tasks: each adds up
+the moments it sees and only these sums are shuffled, so it costs no more than its share of the scan.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from rekurve.functions.basis import MODELS, Model, rise
-from rekurve.functions.models import geometric
+from rekurve.operators.ordered import SEGMENT_CONF, SEGMENT_ROWS
 from rekurve.plans.session import cut_lineage
 
+LOCAL_ROWS = 20_000  # rows of whole curves that a task works on at once
+TOLERANCE = 1e-6  # relative width of the last candidates
 HELD_CURVES = 4096  # partial sums a task keeps before it passes them on
 
 
@@ -32,6 +35,13 @@ def _sums_by_key(b: pd.DataFrame, keys: list[str], values: np.ndarray) -> tuple[
     return b.iloc[first], np.add.reduceat(values[order], starts, axis=0), first
 
 
+def _products(tt, yy, b, columns, pairs, weight) -> np.ndarray:
+    x = columns(tt, b)
+    w = np.ones(len(b)) if weight is None else weight(tt, yy, b)
+    wx = x * w[:, None]
+    return np.column_stack([np.ones(len(b)), w, w * yy, w * yy * yy, wx, wx * yy[:, None], wx[:, pairs[:, 0]] * x[:, pairs[:, 1]]])
+
+
 def _accumulate(keys: list[str], carry: list[str], t: str, y: str, columns: Callable, pairs: np.ndarray, weight: Callable | None):
     """mapInPandas body: per curve n, sum(w), sum(wy), sum(wyy), sum(wx), sum(wxy), sum(w x_i x_j)."""
 
@@ -48,11 +58,7 @@ def _accumulate(keys: list[str], carry: list[str], t: str, y: str, columns: Call
         for b in batches:
             if not len(b):
                 continue
-            tt, yy = b[t].to_numpy(float), b[y].to_numpy(float)
-            x = columns(tt, b)
-            w = np.ones(len(b)) if weight is None else weight(tt, yy, b)
-            wx = x * w[:, None]
-            vals = np.column_stack([np.ones(len(b)), w, w * yy, w * yy * yy, wx, wx * yy[:, None], wx[:, pairs[:, 0]] * x[:, pairs[:, 1]]])
+            vals = _products(b[t].to_numpy(float), b[y].to_numpy(float), b, columns, pairs, weight)
             rows, sums, _ = _sums_by_key(b, keys, vals)
             for key, extra, s in zip(rows[keys].itertuples(index=False, name=None), rows[carry].itertuples(index=False, name=None) if carry else itertools.repeat(()), sums):
                 if key in held:
@@ -94,29 +100,106 @@ def _types(df: DataFrame, cols: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {t[c]}" for c in cols)
 
 
-def moment_round(df, keys, t, y, columns, n_cols, pairs, solve, out_schema, carry=(), weight=None) -> DataFrame:
-    """One pass over the rows and one shuffle of partial sums."""
-    keys, carry = list(keys), list(carry)
-    pairs = np.array(pairs, dtype=int).reshape(-1, 2)
-    part = df.select(*keys, *carry, t, y).mapInPandas(
-        _accumulate(keys, carry, t, y, columns, pairs, weight), _types(df, [*keys, *carry]) + ", m array<double>"
-    )
-    grouped = part.repartition(*keys).sortWithinPartitions(*keys)
+@dataclass
+class Pass:
+    """One look at the rows: candidate columns per row, and how the sums of a curve become its best candidate."""
+
+    columns: Callable  # (times, rows) -> row x candidate column
+    n_cols: int
+    pairs: np.ndarray
+    solve: Callable  # (one row per curve, sums ...) -> frames
+    schema: str
+    carry: Sequence[str] = ()
+    weight: Callable | None = None
+
+    def solved(self, rows: pd.DataFrame, m: np.ndarray) -> Iterator[pd.DataFrame]:
+        k = self.n_cols
+        return self.solve(rows, m[:, 0], m[:, 1], m[:, 2], m[:, 3], m[:, 4 : 4 + k], m[:, 4 + k : 4 + 2 * k], m[:, 4 + 2 * k :])
+
+
+def moment_round(df: DataFrame, keys: Sequence[str], t: str, y: str, p: Pass) -> DataFrame:
+    """A pass over rows that lie anywhere, and one shuffle of partial sums."""
+    keys, carry = list(keys), list(p.carry)
+    part = df.select(*keys, *carry, t, y).mapInPandas(_accumulate(keys, carry, t, y, p.columns, p.pairs, p.weight), _types(df, [*keys, *carry]) + ", m array<double>")
+    return part.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_merge_then(keys, p.solved), p.schema)
+
+
+def _local_round(b: pd.DataFrame, starts: np.ndarray, t: str, y: str, p: Pass) -> pd.DataFrame:
+    """The same pass over whole curves in memory, which lie one behind the other."""
+    tt, yy = b[t].to_numpy(float), b[y].to_numpy(float)
+    m = np.add.reduceat(_products(tt, yy, b, p.columns, p.pairs, p.weight), starts, axis=0)
+    return next(p.solved(b.iloc[starts].reset_index(drop=True), m))
 
-    def unpack(rows, m):
-        k, p = n_cols, pairs
-        n, sw, sy, syy = m[:, 0], m[:, 1], m[:, 2], m[:, 3]
-        sx, sxy, sxx = m[:, 4 : 4 + k], m[:, 4 + k : 4 + 2 * k], m[:, 4 + 2 * k :]
-        return solve(rows, n, sw, sy, syy, sx, sxy, sxx)
 
-    return grouped.mapInPandas(_merge_then(keys, unpack), out_schema)
+def curve_span(df: DataFrame, keys: Sequence[str], t: str = "t") -> DataFrame:
+    """Shortest positive and longest time of every curve (``_lo, _hi``); they set its first candidates, and nothing else does."""
+    g = df.groupBy(*keys).agg(F.min(F.when(F.col(t) > 0, F.col(t))).alias("_lo"), F.max(t).alias("_hi"))
+    hi = F.when(F.col("_hi") > 0, F.col("_hi")).otherwise(1.0)
+    return g.select(*keys, F.greatest(F.coalesce("_lo", F.lit(1e-3)), hi * 1e-4).alias("_lo"), hi.alias("_hi"))
 
 
-def time_range(df: DataFrame, t: str = "t") -> tuple[float, float]:
-    """Smallest positive and largest time over all rows; they set the first candidates."""
-    r = df.agg(F.min(F.when(F.col(t) > 0, F.col(t))).alias("lo"), F.max(t).alias("hi")).first()
-    hi = r["hi"] if r["hi"] and r["hi"] > 0 else 1.0
-    return max(r["lo"] or 1e-3, hi * 1e-4), hi
+def _local_span(tt: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hi = np.fmax.reduceat(tt, starts)
+    hi = np.where(hi > 0, hi, 1.0)
+    lo = np.minimum.reduceat(np.where(tt > 0, tt, np.inf), starts)
+    return np.maximum(np.where(np.isfinite(lo), lo, 1e-3), hi * 1e-4), hi
+
+
+def fit_curves(df: DataFrame, keys: Sequence[str], t: str, y: str, extra: Sequence[str], first: Pass, zooms: Sequence[Pass], winner: Sequence[str]) -> DataFrame:
+    """A first pass over candidates set by each curve's span, then passes around each curve's last ``winner`` columns.
+
+    The rows are clustered by curve in one exchange, and all passes over a curve follow each other in memory.  Only a curve above
+    ``spark.rekurve.segmentRows`` stays spread over its tasks: there every pass adds up moments map-side and shuffles the sums.
+    """
+    keys, extra, winner = list(keys), list(extra), list(winner)
+    df = df.select(*keys, *extra, t, y)
+    spark = df.sparkSession
+    limit = int(spark.conf.get(SEGMENT_CONF, str(SEGMENT_ROWS)))
+    large = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit))
+    some = not large.isEmpty()
+    usual = df.join(large, keys, "left_anti") if some else df
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def fitted(b: pd.DataFrame) -> pd.DataFrame:
+            new = np.zeros(len(b), bool)
+            new[0] = True
+            for k in keys:
+                v = b[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            starts = np.flatnonzero(new)
+            size = np.diff(np.r_[starts, len(b)])
+            lo, hi = _local_span(b[t].to_numpy(float), starts)
+            b = b.assign(_lo=np.repeat(lo, size), _hi=np.repeat(hi, size))
+            w = _local_round(b, starts, t, y, first)
+            for z in zooms:
+                b = b.assign(**{c: np.repeat(w[c].to_numpy(), size) for c in winner})
+                w = _local_round(b, starts, t, y, z)
+            return w
+
+        for p in batches:
+            held.append(p)
+            if sum(map(len, held)) < LOCAL_ROWS:
+                continue
+            b = pd.concat(held, ignore_index=True)
+            last = np.logical_and.reduce([(b[k] == b[k].iloc[-1]).to_numpy() for k in keys])
+            done = len(b) - int(last[::-1].argmin() if not last.all() else len(b))
+            held = [b.iloc[done:]]
+            if done:
+                yield fitted(b.iloc[:done])
+        if held and sum(map(len, held)):
+            yield fitted(pd.concat(held, ignore_index=True))
+
+    out = usual.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, first.schema)
+    if some:
+        rows = cut_lineage(df.join(large.drop("_n"), keys, "left_semi"))
+        rows = rows.join(cut_lineage(curve_span(rows, keys, t)), keys)
+        w = moment_round(rows, keys, t, y, first)
+        for z in zooms:
+            w = moment_round(rows.join(cut_lineage(w.select(*keys, *winner)), keys), keys, t, y, z)
+        out = out.unionByName(w)
+    return out
 
 
 # ---- one amplitude and offset, one or two nonlinear parameters ----------------------------------------------------------
@@ -139,111 +222,126 @@ def _first_best(rss, sst):
     return (rss <= (rss.min(axis=1) + 1e-9 * sst)[:, None]).argmax(axis=1)
 
 
-def _zoom(model: Model, steps, points):
-    """Relative (log) or absolute moves around a winner, all combinations of the parameters."""
+def _axes(dims: int, points: int) -> np.ndarray:
+    """Moves around a winner in parts of a step, all combinations of the parameters."""
     axis = np.arange(-points, points + 1) / (points + 1)
-    return np.array(list(itertools.product(*[axis * s for s in steps])))
+    return np.array(list(itertools.product(*[axis] * dims)))
 
 
-def _moved(model: Model, p: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
+def _moved(model: Model, p: list[np.ndarray], steps: list[np.ndarray], axes: np.ndarray) -> list[np.ndarray]:
+    """Candidates per row: steps are relative (log) or absolute."""
     out = []
     for j, v in enumerate(p):
-        c = v[:, None] * np.exp(moves[:, j])[None, :] if model.log[j] else v[:, None] + moves[:, j][None, :]
-        out.append(np.clip(c, *model.limits[j]))
+        m = steps[j][:, None] * axes[None, :, j]
+        out.append(np.clip(v[:, None] * np.exp(m) if model.log[j] else v[:, None] + m, *model.limits[j]))
     return out
 
 
-def _steps(model: Model, grids) -> list[float]:
-    return [float(np.log(g[1] / g[0])) if model.log[j] else float(max(np.diff(g))) for j, g in enumerate(grids)]
+def _first(model: Model, lo: np.ndarray, hi: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Candidates and first steps per row, from the span of the row's curve."""
+    span, back = np.unique(lo + 1j * hi, return_inverse=True)
+    cands, steps = [], []
+    for s in span:
+        grids = model.grid(float(s.real), float(s.imag))
+        cands.append(np.array(list(itertools.product(*grids))))
+        steps.append([np.log(g[1] / g[0]) if model.log[j] else np.max(np.diff(g)) for j, g in enumerate(grids)])
+    c, st = np.array(cands)[back], np.array(steps)[back]
+    dims = range(len(model.log))
+    return [c[:, :, j] for j in dims], [st[:, j] for j in dims]
 
 
-def profile_pass(df, keys, model: Model, t, y, offset, amp, fixed=None, moves=None, weight=None, carry=(), pooled=None) -> DataFrame:
-    """One round.  ``fixed``: the same candidates for all; ``moves``: around columns ``_k0[, _k1]`` of each row.
+def profile_pass(keys, model: Model, types: str, offset=True, amp=(0.0, np.inf), axes=None, shrink=1.0, weight=None, carry=(), pooled=None, pooled_types="") -> Pass:
+    """A pass over the first candidates (``_lo, _hi`` of each row), or over ``axes`` around columns ``_k0[, _k1]`` by steps ``_st0[, _st1]``.
     ``pooled``: group columns whose curves share the winner; then candidate sums per group come back instead."""
     dims = len(model.log)
-    ks = [f"_k{j}" for j in range(dims)]
-    n_cols = len(fixed) if fixed is not None else len(moves)
+    ks, sts = [f"_k{j}" for j in range(dims)], [f"_st{j}" for j in range(dims)]
+    n_cols = len(axes) if axes is not None else len(list(itertools.product(*model.grid(1e-3, 1.0))))
 
-    def columns(tt, b):
-        p = [fixed[:, j][None, :] for j in range(dims)] if fixed is not None else _moved(model, [b[k].to_numpy(float) for k in ks], moves)
-        return model.basis(tt[:, None], *p)
+    def params(rows) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        if axes is None:
+            return _first(model, rows["_lo"].to_numpy(float), rows["_hi"].to_numpy(float))
+        steps = [rows[c].to_numpy(float) for c in sts]
+        return _moved(model, [rows[k].to_numpy(float) for k in ks], steps, axes), [c * shrink for c in steps]
 
-    def params(rows):
-        if fixed is not None:
-            return [np.broadcast_to(fixed[:, j], (len(rows), n_cols)) for j in range(dims)]
-        return _moved(model, [rows[k].to_numpy(float) for k in ks], moves)
+    def columns(tt, b):
+        return model.basis(tt[:, None], *params(b)[0])
 
     def best(rows, n, sw, sy, syy, sx, sxy, sxx):
         a, base, rss = _profile_rss(sw, sy, syy, sx, sxy, sxx, offset, amp)
         syc = syy - sy * sy / sw if offset else syy
-        k, r, p = _first_best(rss, syc), np.arange(len(rows)), params(rows)
+        (p, steps), k, r = params(rows), _first_best(rss, syc), np.arange(len(rows))
         out = rows[list(keys)].copy()
         out["n"], out["sst"], out["rss"] = n.astype("int64"), syy - sy * sy / sw, rss[r, k]
         out["amp"], out["baseline"] = a[r, k], base[r, k]
         for j in range(dims):
-            out[f"_k{j}"] = p[j][r, k]
-        yield out[np.isfinite(out["rss"])]
+            out[f"_k{j}"], out[f"_st{j}"] = p[j][r, k], steps[j]
+        yield out
 
     def pool(rows, n, sw, sy, syy, sx, sxy, sxx):
         rss = _profile_rss(sw, sy, syy, sx, sxy, sxx, offset, amp)[2]
         rss = np.where(np.isfinite(rss), rss, (syy - sy * sy / sw)[:, None])
         head, tot, first = _sums_by_key(rows, list(pooled), rss)
-        p = [q[first] for q in params(rows)]
+        p, steps = params(rows)
         for i in range(len(head)):
-            yield pd.DataFrame({**{g: [head.iloc[i][g]] * n_cols for g in pooled}, "i": range(n_cols), "rss": tot[i], **{f"_k{j}": p[j][i] for j in range(dims)}})
-
-    kcols = "".join(f", _k{j} double" for j in range(dims))
-    schema = _types(df, keys) + ", n long, sst double, rss double, amp double, baseline double" + kcols
+            at = first[i]
+            yield pd.DataFrame({
+                **{g: [head.iloc[i][g]] * n_cols for g in pooled}, "i": range(n_cols), "rss": tot[i],
+                **{f"_k{j}": p[j][at] for j in range(dims)}, **{f"_st{j}": [steps[j][at]] * n_cols for j in range(dims)},
+            })
+
+    kcols = "".join(f", _k{j} double, _st{j} double" for j in range(dims))
+    schema = f"{types}, n long, sst double, rss double, amp double, baseline double" + kcols
     if pooled:
-        schema = _types(df, pooled) + ", i int, rss double" + kcols
-    use = [] if fixed is not None else ks
-    diag = [(i, i) for i in range(n_cols)]
-    return moment_round(df, keys, t, y, columns, n_cols, diag, pool if pooled else best, schema, [*use, *[c for c in carry if c not in use]], weight)
+        schema = f"{pooled_types}, i int, rss double" + kcols
+    use = ["_lo", "_hi"] if axes is None else [*ks, *sts]
+    diag = np.array([(i, i) for i in range(n_cols)])
+    return Pass(columns, n_cols, diag, pool if pooled else best, schema, [*use, *[c for c in carry if c not in use]], weight)
 
 
-def first_candidates(model: Model, span) -> np.ndarray:
-    return np.array(list(itertools.product(*model.grid(*span))))
+def _rounds(first: float, shrink: float, rounds: int | None) -> int:
+    """Passes until a step of about ``first`` is below TOLERANCE."""
+    return int(np.ceil(np.log(TOLERANCE / first) / np.log(shrink))) if rounds is None else rounds
 
 
-def profile_round(df, keys, model: str, t="t", y="y", span=None, offset=True, amp=(0.0, np.inf)) -> DataFrame:
-    """First round only: the best of the fixed candidates."""
-    m = MODELS[model]
-    return profile_pass(df, keys, m, t, y, offset, amp, fixed=first_candidates(m, span or time_range(df, t)))
+def profile_round(df, keys, model: str, t="t", y="y", offset=True, amp=(0.0, np.inf)) -> DataFrame:
+    """First pass only: the best of each curve's first candidates."""
+    first = profile_pass(keys, MODELS[model], _types(df, keys), offset, amp)
+    return fit_curves(df, keys, t, y, [], first, [], []).filter("rss < double('inf')")
 
 
 def profile_fit(
-    df: DataFrame, keys: Sequence[str], model: str, t: str = "t", y: str = "y", rounds: int = 3, offset: bool = True,
-    amp: tuple[float, float] = (0.0, np.inf), span: tuple[float, float] | None = None, robust: str | None = None, scale: float | None = None,
-    weight: str | None = None,
+    df: DataFrame, keys: Sequence[str], model: str, t: str = "t", y: str = "y", rounds: int | None = None, offset: bool = True,
+    amp: tuple[float, float] = (0.0, np.inf), robust: str | None = None, scale: float | None = None, weight: str | None = None,
 ) -> DataFrame:
     """Best fit per curve: ``model, n, p, rss, sst, amp, baseline, p0[, p1]``; ``weight`` names a column of row weights.
 
+    Candidates depend on the curve's own times and are narrowed until they are within TOLERANCE (or for ``rounds`` passes).
+    A curve that no candidate fits (fewer than two different times) keeps its row, with NULL for what can't be known.
     ``robust`` (huber, tukey, soft_l1) reweighs every row by its residual from the previous winner during the zoom
     rounds (F11); residuals are divided by ``scale``, by default the previous root mean square.
     """
-    m = MODELS[model]
-    span = span or time_range(df, t)
+    m, keys = MODELS[model], list(keys)
     dims, points = len(m.log), 6 if len(m.log) == 1 else 3
-    ks = [f"_k{j}" for j in range(dims)]
+    ks, sts = [f"_k{j}" for j in range(dims)], [f"_st{j}" for j in range(dims)]
     own = (lambda tt, yy, b: b[weight].to_numpy(float)) if weight else None
-    extra = [weight] if weight else []
-    best = profile_pass(df, keys, m, t, y, offset, amp, fixed=first_candidates(m, span), weight=own, carry=extra)
-    steps = _steps(m, m.grid(*span))
-    for _ in range(rounds + (2 if robust else 0)):
-        won = best.select(*keys, *ks, F.col("amp").alias("_a"), F.col("baseline").alias("_b"), F.sqrt(F.col("rss") / F.col("n")).alias("_s"))
-        rows = df.join(cut_lineage(won if robust else won.select(*keys, *ks)), list(keys))  # size known: written first
-        wfn = _robust_weight(m, robust, scale, dims) if robust else own
-        best = profile_pass(rows, keys, m, t, y, offset, amp, moves=_zoom(m, steps, points), weight=wfn, carry=["_a", "_b", "_s"] if robust else extra)
-        steps = [s / (points + 1) * 1.5 for s in steps]
+    extra, types, shrink = [weight] if weight else [], _types(df, keys), 1.5 / (points + 1)
+    first = profile_pass(keys, m, types, offset, amp, weight=own, carry=extra)
+    wfn = _robust_weight(m, robust, scale, dims) if robust else own
+    again = ["amp", "baseline", "rss", "n"] if robust else []
+    zoom = profile_pass(keys, m, types, offset, amp, axes=_axes(dims, points), shrink=shrink, weight=wfn, carry=[*again, *extra])
+    passes = _rounds(0.4, shrink, rounds) + (2 if robust and rounds is not None else 0)
+    best = fit_curves(df, keys, t, y, extra, first, [zoom] * passes, [*ks, *sts, *again])
     name = f"{model}_{robust}" if robust else model
-    out = best.select(*keys, F.lit(name).alias("model"), "n", F.lit(dims + (2 if offset else 1)).alias("p"), "rss", "sst", "amp", "baseline", *[F.col(k).alias(f"p{j}") for j, k in enumerate(ks)])
+    known = lambda c: F.when(F.col("rss") < np.inf, F.col(c))
+    out = best.select(*keys, F.lit(name).alias("model"), "n", F.lit(dims + (2 if offset else 1)).alias("p"), known("rss").alias("rss"), "sst", known("amp").alias("amp"), known("baseline").alias("baseline"), *[known(k).alias(f"p{j}") for j, k in enumerate(ks)])
     return out if dims == 2 else out.withColumn("p1", F.lit(None).cast("double"))
 
 
 def _robust_weight(m: Model, loss: str, scale: float | None, dims: int):
     def weight(tt, yy, b):
-        fit = b["_b"].to_numpy() + b["_a"].to_numpy() * m.basis(tt, *[b[f"_k{j}"].to_numpy(float) for j in range(dims)])
-        r = np.abs(yy - fit) / (scale if scale else np.maximum(b["_s"].to_numpy(), 1e-12))
+        fit = b["baseline"].to_numpy() + b["amp"].to_numpy() * m.basis(tt, *[b[f"_k{j}"].to_numpy(float) for j in range(dims)])
+        rms = np.sqrt(b["rss"].to_numpy() / b["n"].to_numpy())
+        r = np.abs(yy - fit) / (scale if scale else np.maximum(np.where(np.isfinite(rms), rms, 1.0), 1e-12))
         if loss == "huber":
             return np.where(r <= 1, 1.0, 1 / np.maximum(r, 1e-300))
         if loss == "tukey":
@@ -320,23 +418,19 @@ def _best_subset(choices, order, taus, n, sy, syy, sx, sxy, gram, max_amp, chunk
     return rss, (sy - level) / n, np.take_along_axis(amps, o, 1), np.take_along_axis(tt, o, 1)
 
 
-def lattice(span: tuple[float, float], size: int = 18) -> list[float]:
-    return geometric(span[0], 5 * span[1], size)
-
-
 class _Exponentials:
-    """Candidate columns of one pass for all requested orders: a fixed lattice, or moves around each curve's winners."""
-
-    def __init__(self, orders, taus=None, step=None, side=3):
-        self.orders = list(orders)
-        self.taus = None if taus is None else np.array(taus)
-        if self.taus is not None:
-            self.groups = {o: [list(range(len(taus)))] for o in self.orders}
-            self.n_cols = len(taus)
-            self.pairs = np.array([(i, j) for i in range(self.n_cols) for j in range(i, self.n_cols)])
+    """Candidate columns of one pass for all requested orders: a lattice over each curve's span, or moves around its winners."""
+
+    def __init__(self, orders, size: int | None = None, side=3):
+        self.orders, self.size = list(orders), size
+        if size:
+            self.groups = {o: [list(range(size))] for o in self.orders}
+            self.n_cols = size
+            self.pairs = np.array([(i, j) for i in range(size) for j in range(i, size)])
         else:
-            self.mult = np.exp(step * np.arange(-side, side + 1) / (side + 1))
-            width, pos, owner = len(self.mult), 0, []
+            self.axis = np.arange(-side, side + 1) / (side + 1)
+            self.shrink = 1.6 / (side + 1)
+            width, pos, owner = len(self.axis), 0, []
             self.groups = {}
             for o in self.orders:
                 self.groups[o] = [list(range(pos + g * width, pos + (g + 1) * width)) for g in range(o)]
@@ -344,19 +438,28 @@ class _Exponentials:
                 pos += o * width
             self.n_cols = pos
             self.pairs = np.array([(i, j) for i in range(pos) for j in range(i, pos) if i == j or (owner[i][0] == owner[j][0] and owner[i] != owner[j])])
-        self.plans = {o: _choices(self.groups[o], o) if self.taus is not None or o > 1 else [(np.array([[i] for i in self.groups[o][0]]),) * 2] for o in self.orders}
-        self.cols = [] if self.taus is not None else [f"_t{o}_{g}" for o in self.orders for g in range(o)]
+        self.plans = {o: _choices(self.groups[o], o) if size or o > 1 else [(np.array([[i] for i in self.groups[o][0]]),) * 2] for o in self.orders}
+        self.winner = [*[f"_t{o}_{g}" for o in self.orders for g in range(o)], "_step"]
+        self.carry = ["_lo", "_hi"] if size else self.winner
 
     def candidates(self, b: pd.DataFrame) -> np.ndarray:
-        if self.taus is not None:
-            return np.broadcast_to(self.taus, (len(b), self.n_cols))
-        return np.concatenate([b[c].to_numpy(float)[:, None] * self.mult[None, :] for c in self.cols], axis=1)
+        """From the shortest time of the curve to five times the longest, or around the winners."""
+        if self.size:
+            lo, hi = b["_lo"].to_numpy(float)[:, None], b["_hi"].to_numpy(float)[:, None]
+            return lo * (5 * hi / lo) ** (np.arange(self.size) / (self.size - 1))
+        mult = np.exp(b["_step"].to_numpy(float)[:, None] * self.axis)
+        return np.concatenate([b[c].to_numpy(float)[:, None] * mult for c in self.winner[:-1]], axis=1)
+
+    def next_step(self, b: pd.DataFrame) -> np.ndarray:
+        if self.size:
+            return np.log(5 * b["_hi"].to_numpy(float) / b["_lo"].to_numpy(float)) / (self.size - 1)
+        return b["_step"].to_numpy(float) * self.shrink
 
     def columns(self, tt, b):
-        return rise(tt[:, None], self.taus[None, :] if self.taus is not None else self.candidates(b))
+        return rise(tt[:, None], self.candidates(b))
 
 
-def _exponential_pass(df, keys, ex: _Exponentials, t, y, max_amp) -> DataFrame:
+def _exponential_pass(keys, types: str, ex: _Exponentials, max_amp) -> Pass:
     keys = list(keys)
 
     def solve(rows, n, sw, sy, syy, sx, sxy, sxx):
@@ -368,12 +471,13 @@ def _exponential_pass(df, keys, ex: _Exponentials, t, y, max_amp) -> DataFrame:
             out[f"rss{o}"], out[f"base{o}"] = rss, base
             for i in range(o):
                 out[f"_a{o}_{i}"], out[f"_t{o}_{i}"] = amps[:, i], tt[:, i]
+        out["_step"] = ex.next_step(rows)
         yield out
 
-    schema = _types(df, keys) + ", n long, sst double"
+    schema = f"{types}, n long, sst double"
     for o in ex.orders:
         schema += f", rss{o} double, base{o} double" + "".join(f", _a{o}_{i} double, _t{o}_{i} double" for i in range(o))
-    return moment_round(df, keys, t, y, ex.columns, ex.n_cols, ex.pairs, solve, schema, carry=ex.cols)
+    return Pass(ex.columns, ex.n_cols, ex.pairs, solve, schema + ", _step double", ex.carry)
 
 
 def _name(o: int) -> str:
@@ -389,66 +493,61 @@ def _long_fits(wide: DataFrame, keys, orders) -> DataFrame:
         )
         for o in orders
     ]
-    long = wide.select(*keys, "n", "sst", F.explode(F.array(*rows)).alias("f")).filter("f.rss < double('inf')")
-    return long.select(*keys, "f.model", "n", "f.p", "f.rss", "sst", "f.baseline", "f.amps", "f.taus")
+    long = wide.select(*keys, "n", "sst", F.explode(F.array(*rows)).alias("f"))
+    known = lambda c: F.when(F.col("f.rss") < np.inf, F.col(f"f.{c}")).alias(c)
+    return long.select(*keys, "f.model", "n", "f.p", known("rss"), "sst", *[known(c) for c in ("baseline", "amps", "taus")])
 
 
-def exponential_round(df, keys, orders=(1, 2, 3), t="t", y="y", span=None, max_amp=np.inf, size: int = 18) -> DataFrame:
-    """First round only, on the fixed lattice."""
-    return _long_fits(_exponential_pass(df, keys, _Exponentials(orders, lattice(span or time_range(df, t), size)), t, y, max_amp), list(keys), orders)
+def exponential_round(df, keys, orders=(1, 2, 3), t="t", y="y", max_amp=np.inf, size: int = 18) -> DataFrame:
+    """First pass only, on the lattice of each curve."""
+    first = _exponential_pass(keys, _types(df, keys), _Exponentials(orders, size), max_amp)
+    return _long_fits(fit_curves(df, keys, t, y, [], first, [], []), list(keys), orders).filter("rss is not null")
 
 
 def exponential_fits(
-    df: DataFrame, keys: Sequence[str], orders: Sequence[int] = (1, 2, 3), t: str = "t", y: str = "y", rounds: int = 4, max_amp: float = np.inf,
-    span: tuple[float, float] | None = None, side: int = 3,
+    df: DataFrame, keys: Sequence[str], orders: Sequence[int] = (1, 2, 3), t: str = "t", y: str = "y", rounds: int | None = None, max_amp: float = np.inf, side: int = 3,
 ) -> DataFrame:
-    """Sums of one to three exponentials; all orders share every pass.  Amplitudes are within [0, max_amp] and at most
-    the range of a lattice from the shortest time to five times the longest is searched before zooming."""
+    """Sums of one to three exponentials; all orders share every pass.  Amplitudes are within [0, max_amp] and a lattice from
+    the curve's shortest time to five times its longest is searched before zooming.  A curve without a fit keeps its rows, with NULL."""
     keys = list(keys)
-    taus = lattice(span or time_range(df, t))
-    wide = _exponential_pass(df, keys, _Exponentials(orders, taus), t, y, max_amp)
-    step = float(np.log(taus[1] / taus[0]))
-    for _ in range(rounds):
-        ex = _Exponentials(orders, step=step, side=side)
-        rows = df.join(cut_lineage(wide.select(*keys, *ex.cols)), keys)  # size known: written first
-        wide = _exponential_pass(rows, keys, ex, t, y, max_amp)
-        step = step / (side + 1) * 1.6
+    first, near = _Exponentials(orders, 18), _Exponentials(orders, side=side)
+    types = _types(df, keys)
+    passes = _rounds(0.6, near.shrink, rounds)
+    wide = fit_curves(df, keys, t, y, [], _exponential_pass(keys, types, first, max_amp), [_exponential_pass(keys, types, near, max_amp)] * passes, near.winner)
     return _long_fits(wide, keys, orders)
 
 
 # ---- global fits: shared nonlinear parameters per group, own amplitude and offset per curve -----------------------------
-def global_profile_fit(df, group: Sequence[str], curve: Sequence[str], model: str, t="t", y="y", rounds: int = 3, span=None, amp=(0.0, np.inf)) -> tuple[DataFrame, DataFrame]:
-    """(group table: shared parameters, total rss; curve table: amplitude, baseline)."""
+def global_profile_fit(df, group: Sequence[str], curve: Sequence[str], model: str, t="t", y="y", rounds: int | None = None, amp=(0.0, np.inf)) -> tuple[DataFrame, DataFrame]:
+    """(group table: shared parameters, total rss; curve table: amplitude, baseline) (F22); candidates follow the group's span."""
     m = MODELS[model]
-    span = span or time_range(df, t)
     group, keys, dims = list(group), [*group, *curve], len(m.log)
-    ks, points = [f"_k{j}" for j in range(dims)], 6 if dims == 1 else 3
-
-    def winner(pooled):
-        g = pooled.groupBy(*group, "i").agg(F.sum("rss").alias("rss"), *[F.first(k).alias(k) for k in ks])
-        return g.groupBy(*group).agg(F.min_by(F.struct(*ks), F.struct("rss", "i")).alias("w")).select(*group, "w.*")
-
-    win = winner(profile_pass(df, keys, m, t, y, True, amp, fixed=first_candidates(m, span), pooled=group))
-    steps = _steps(m, m.grid(*span))
-    for _ in range(rounds):
-        rows = df.join(cut_lineage(win), group)
-        win = winner(profile_pass(rows, keys, m, t, y, True, amp, moves=_zoom(m, steps, points), pooled=group))
-        steps = [s / (points + 1) * 1.5 for s in steps]
-    win = cut_lineage(win)
-    fits = cut_lineage(profile_pass(df.join(win, group), keys, m, t, y, True, amp, moves=np.zeros((1, dims))))
+    ks, sts, points = [f"_k{j}" for j in range(dims)], [f"_st{j}" for j in range(dims)], 6 if dims == 1 else 3
+    types, gtypes, shrink = _types(df, keys), _types(df, group), 1.5 / (points + 1)
+
+    def winner(rows, p):
+        pooled = moment_round(rows, keys, t, y, p)
+        g = pooled.groupBy(*group, "i").agg(F.sum("rss").alias("rss"), *[F.first(k).alias(k) for k in [*ks, *sts]])
+        return cut_lineage(g.groupBy(*group).agg(F.min_by(F.struct(*ks, *sts), F.struct("rss", "i")).alias("w")).select(*group, "w.*"))
+
+    win = winner(df.join(cut_lineage(curve_span(df, group, t)), group), profile_pass(keys, m, types, amp=amp, pooled=group, pooled_types=gtypes))
+    zoom = profile_pass(keys, m, types, amp=amp, axes=_axes(dims, points), shrink=shrink, pooled=group, pooled_types=gtypes)
+    for _ in range(_rounds(0.4, shrink, rounds)):
+        win = winner(df.join(win, group), zoom)
+    fits = cut_lineage(moment_round(df.join(win, group), keys, t, y, profile_pass(keys, m, types, amp=amp, axes=np.zeros((1, dims)))))
+    fits = fits.withColumn("rss", F.when(F.col("rss") < np.inf, F.col("rss")).otherwise(F.col("sst")))  # a flat curve has no amplitude
     tot = fits.groupBy(*group).agg(F.sum("n").alias("n"), F.sum("rss").alias("rss"), F.sum("sst").alias("sst"), F.count(F.lit(1)).alias("curves"))
     table = win.select(*group, *[F.col(k).alias(f"p{j}") for j, k in enumerate(ks)]).join(tot, group)
     return table.withColumn("model", F.lit(model)).withColumn("p", 2 * F.col("curves") + dims), fits
 
 
-def global_exponential_fit(df, group: Sequence[str], curve: Sequence[str], order: int, t="t", y="y", rounds: int = 4, span=None, max_amp=np.inf, side: int = 3) -> tuple[DataFrame, DataFrame]:
+def global_exponential_fit(df, group: Sequence[str], curve: Sequence[str], order: int, t="t", y="y", rounds: int = 8, max_amp=np.inf, side: int = 3) -> tuple[DataFrame, DataFrame]:
     """Shared rates per group for a sum of ``order`` exponentials (F22): (group table, curve table)."""
     group, keys = list(group), [*group, *curve]
-    taus = lattice(span or time_range(df, t), 14)
     cols = [f"_t{order}_{i}" for i in range(order)]
 
     def winner(data, ex):
-        combos = np.array(list(itertools.combinations(range(ex.n_cols), order) if ex.taus is not None else itertools.product(*ex.groups[order])))
+        combos = np.array(list(itertools.combinations(range(ex.n_cols), order) if ex.size else itertools.product(*ex.groups[order])))
 
         def solve(rows, n, sw, sy, syy, sx, sxy, sxx):
             g, best = _gram(sxx, ex.pairs, ex.n_cols), np.full((len(rows), len(combos)), np.inf)
@@ -457,37 +556,62 @@ def global_exponential_fit(df, group: Sequence[str], curve: Sequence[str], order
                     best = np.minimum(best, solve_subsets(n, sy, syy, sx, sxy, g, combos[:, list(which)], max_amp)[1])
             best = np.where(np.isfinite(best), best, (syy - sy * sy / n)[:, None])
             head, tot, first = _sums_by_key(rows, group, best)
-            cand = ex.candidates(rows)[first]
+            cand, step = ex.candidates(rows)[first], ex.next_step(rows)[first]
             for i in range(len(head)):
                 tt = cand[i][combos]
-                yield pd.DataFrame({**{c: [head.iloc[i][c]] * len(combos) for c in group}, "i": range(len(combos)), "rss": tot[i], **{c: tt[:, j] for j, c in enumerate(cols)}})
+                yield pd.DataFrame({**{c: [head.iloc[i][c]] * len(combos) for c in group}, "i": range(len(combos)), "rss": tot[i], "_step": step[i], **{c: tt[:, j] for j, c in enumerate(cols)}})
 
-        schema = _types(data, group) + ", i int, rss double" + "".join(f", {c} double" for c in cols)
-        pooled = moment_round(data, keys, t, y, ex.columns, ex.n_cols, ex.pairs, solve, schema, carry=ex.cols)
-        g = pooled.groupBy(*group, "i").agg(F.sum("rss").alias("rss"), *[F.first(c).alias(c) for c in cols])
-        return g.groupBy(*group).agg(F.min_by(F.struct(*cols), F.struct("rss", "i")).alias("w")).select(*group, "w.*")
+        schema = _types(data, group) + ", i int, rss double, _step double" + "".join(f", {c} double" for c in cols)
+        pooled = moment_round(data, keys, t, y, Pass(ex.columns, ex.n_cols, ex.pairs, solve, schema, ex.carry))
+        g = pooled.groupBy(*group, "i").agg(F.sum("rss").alias("rss"), *[F.first(c).alias(c) for c in [*cols, "_step"]])
+        return cut_lineage(g.groupBy(*group).agg(F.min_by(F.struct(*cols, "_step"), F.struct("rss", "i")).alias("w")).select(*group, "w.*"))
 
-    win = winner(df, _Exponentials([order], taus))
-    step = float(np.log(taus[1] / taus[0]))
+    win = winner(df.join(cut_lineage(curve_span(df, group, t)), group), _Exponentials([order], 14))
     for _ in range(rounds):
-        win = winner(df.join(cut_lineage(win), group), _Exponentials([order], step=step, side=side))
-        step = step / (side + 1) * 1.6
-    win = cut_lineage(win)
-    fits = cut_lineage(_long_fits(_exponential_pass(df.join(win, group), keys, _Exponentials([order], step=0.0, side=0), t, y, max_amp), keys, [order]))
-    tot = fits.groupBy(*group).agg(F.sum("n").alias("n"), F.sum("rss").alias("rss"), F.sum("sst").alias("sst"), F.count(F.lit(1)).alias("curves"))
+        win = winner(df.join(win, group), _Exponentials([order], side=side))
+    last = _exponential_pass(keys, _types(df, keys), _Exponentials([order], side=0), max_amp)
+    fits = cut_lineage(_long_fits(moment_round(df.join(win, group), keys, t, y, last), keys, [order]))
+    tot = fits.groupBy(*group).agg(F.sum("n").alias("n"), F.sum(F.coalesce("rss", "sst")).alias("rss"), F.sum("sst").alias("sst"), F.count(F.lit(1)).alias("curves"))
     table = win.select(*group, F.array_sort(F.array(*cols)).alias("taus")).join(tot, group)
     return table.withColumn("model", F.lit(_name(order))).withColumn("p", (order + 1) * F.col("curves") + order), fits
 
 
 # ---- rate spectrum ------------------------------------------------------------------------------------------------------
-def rate_spectrum(df: DataFrame, keys: Sequence[str], t="t", y="y", span=None, size: int = 24, alphas: Sequence[float] | None = None, iterations: int = 400) -> DataFrame:
+def nonnegative(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The minimum of x h x / 2 - c x over x >= 0 for a positive definite ``h``, exactly: variables enter by the steepest
+    gradient and leave where a step meets zero, until no gradient asks for more."""
+    n = len(c)
+    x, free = np.zeros(n), np.zeros(n, bool)
+    tol = 1e-12 * max(np.abs(c).max(), 1e-300)
+    for _ in range(30 * n):
+        g = np.where(free, -np.inf, c - h @ x)
+        k = int(g.argmax())
+        if g[k] <= tol:
+            break
+        free[k] = True
+        while True:
+            new = np.zeros(n)
+            new[free] = np.linalg.solve(h[np.ix_(free, free)], c[free])
+            below = free & (new <= 0)
+            if not below.any():
+                x = new
+                break
+            part = x[below] / np.maximum(x[below] - new[below], 1e-300)
+            x = x + part.min() * (new - x)
+            gone = below & (x <= 1e-15 * max(np.abs(x).max(), 1e-300))
+            free &= ~(gone if gone.any() else below)
+            x[~free] = 0
+    return x
+
+
+def rate_spectrum(df: DataFrame, keys: Sequence[str], t="t", y="y", size: int = 24, alphas: Sequence[float] | None = None) -> DataFrame:
     """non-negative amplitudes on a logarithmic rate lattice with Tikhonov damping.
 
     The damping is the corner of the curve of log residual against log norm over ``alphas`` (largest distance from the
     chord).  Columns: ``alpha, rss, taus, weights, area, mean_rate, half_time``.
     """
     keys = list(keys)
-    ex = _Exponentials([1], lattice(span or time_range(df, t), size))
+    ex = _Exponentials([1], size)
     grid = np.array(alphas if alphas is not None else np.logspace(-8, 0, 20))
 
     def solve(rows, n, sw, sy, syy, sx, sxy, sxx):
@@ -497,14 +621,7 @@ def rate_spectrum(df: DataFrame, keys: Sequence[str], t="t", y="y", span=None, s
         gn, cn = g / unit[:, None, None], c / unit[:, None]
         sols, fits, norms = [], [], []
         for a in grid:
-            h = gn + a * np.eye(ex.n_cols)
-            step = 1 / np.linalg.norm(h, 2, axis=(1, 2))
-            x = np.zeros_like(cn)
-            z, k = x.copy(), 1.0
-            for _ in range(iterations):  # accelerated projected gradient
-                new = np.maximum(z - step[:, None] * (np.einsum("cij,cj->ci", h, z) - cn), 0)
-                k2 = (1 + np.sqrt(1 + 4 * k * k)) / 2
-                z, x, k = new + (k - 1) / k2 * (new - x), new, k2
+            x = np.array([nonnegative(gi + a * np.eye(ex.n_cols), ci) for gi, ci in zip(gn, cn)])
             sols.append(x)
             fits.append(np.clip(cyy - 2 * (x * c).sum(1) + np.einsum("ci,cij,cj->c", x, g, x), 1e-300, None))
             norms.append(np.clip((x * x).sum(1), 1e-300, None))
@@ -513,19 +630,19 @@ def rate_spectrum(df: DataFrame, keys: Sequence[str], t="t", y="y", span=None, s
         dx, dy = px[-1] - px[0], py[-1] - py[0]
         dist = np.abs(dy * (px - px[0]) - dx * (py - py[0]))
         pick, r = dist.argmax(axis=0), np.arange(len(rows))
-        x = np.array(sols)[pick, r]
+        x, taus = np.array(sols)[pick, r], ex.candidates(rows)
         area = x.sum(1)
         safe = np.where(area > 0, area, 1.0)
-        rate = (x / ex.taus[None, :]).sum(1) / safe
+        rate = (x / taus).sum(1) / safe
         out = rows[keys].copy()
         out["alpha"], out["rss"] = grid[pick], np.array(fits)[pick, r]
-        out["taus"], out["weights"] = [ex.taus.tolist()] * len(rows), list(x)
+        out["taus"], out["weights"] = list(taus), list(x)
         out["area"], out["mean_rate"] = area, np.where(area > 0, rate, np.nan)
         out["half_time"] = np.where(rate > 0, np.log(2) / np.where(rate > 0, rate, 1.0), np.nan)
         yield out
 
     schema = _types(df, keys) + ", alpha double, rss double, taus array<double>, weights array<double>, area double, mean_rate double, half_time double"
-    return moment_round(df, keys, t, y, ex.columns, ex.n_cols, ex.pairs, solve, schema)
+    return fit_curves(df, keys, t, y, [], Pass(ex.columns, ex.n_cols, ex.pairs, solve, schema, ex.carry), [], [])
 
 
 def spectrum_peaks(spec: DataFrame, keys: Sequence[str], floor: float = 0.01) -> DataFrame:

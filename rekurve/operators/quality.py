@@ -147,9 +147,11 @@ def effect_label(d: Column, cuts=(0.2, 0.5, 0.8)) -> Column:
 
 
 def delta_aic_bucket(delta: Column) -> Column:
-    """F17; rounded because differences of exactly 4 are common (equal residuals, two more parameters)."""
+    """F17; rounded because differences of exactly 4 are common (equal residuals, two more parameters).  NULL if no model can be judged."""
     delta = F.round(delta, 6)
-    return F.when(delta < 2, "substantial support").when((delta >= 4) & (delta <= 7), "considerably less support").when(delta > 10, "essentially no support").otherwise("intermediate support")
+    # fixed values: the four labels
+    label = F.when(delta < 2, "substantial support").when((delta >= 4) & (delta <= 7), "considerably less support").when(delta > 10, "essentially no support").otherwise("moderate support")
+    return F.when(delta.isNotNull() & ~F.isnan(delta), label)
 
 
 def mobile_fraction(i0: Column, i_inf: Column, pre: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rekurve.functions import models as mo, tails
-from rekurve.functions.basis import MODELS
 from rekurve.operators import align as al, bleach as bl, fit, fit_metrics as fm, normalize as nz, ordered as od, quality as ql
 from rekurve.plans import bindings as b, workflows as wf
 from rekurve.plans.bindings import B1
@@ -66,7 +65,12 @@ def m18(spark, sf):
 
 
 # ---- first rounds: exact oracles ---------------------------------------------------------------------------------------
-SPAN = ANCH + ", sp AS (SELECT greatest(min(t_rel) FILTER (t_rel > 0), max(t_rel) * 1e-4) AS lo, max(t_rel) AS hi FROM an)"
+def span_sql(key: str, rows: str) -> str:
+    hi = "(CASE WHEN max(t_rel) > 0 THEN max(t_rel) ELSE 1.0 END)"
+    return f"sp AS (SELECT {key}, greatest(coalesce(min(t_rel) FILTER (t_rel > 0), 1e-3), {hi} * 1e-4) AS lo, {hi} AS hi FROM {rows} GROUP BY 1)"
+
+
+SPAN = ANCH + ", " + span_sql("curve_id", "an")
 
 
 def anchored(spark, sf):
@@ -80,8 +84,8 @@ def geo(lo: str, hi: str, n: int) -> str:
 def profile_sql(p0: str, n0: int, p1: str | None, n1: int, basis: str, unbounded: bool = False) -> str:
     a = "coalesce(sxy / nullif(sxx, 0), 0)" if unbounded else "greatest(0, coalesce(sxy / nullif(sxx, 0), 0))"
     second = f", {p1} AS p1" if p1 else ", NULL::DOUBLE AS p1"
-    return f"""WITH {SPAN}, cand AS (SELECT i * {n1} + j AS c, {p0} AS p0{second} FROM sp, range(0, {n0}) a(i), range(0, {n1}) b(j)),
- x AS (SELECT curve_id, c, p0, p1, norm AS y, {basis} AS x FROM (SELECT curve_id, norm, t_rel AS t FROM an), cand),
+    return f"""WITH {SPAN}, cand AS (SELECT curve_id, i * {n1} + j AS c, {p0} AS p0{second} FROM sp, range(0, {n0}) a(i), range(0, {n1}) b(j)),
+ x AS (SELECT curve_id, c, p0, p1, norm AS y, {basis} AS x FROM (SELECT curve_id, norm, t_rel AS t FROM an) JOIN cand USING (curve_id)),
  mo AS (SELECT curve_id, c, any_value(p0) AS p0, any_value(p1) AS p1, count(*) AS n, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy, sum(x * x) AS qx FROM x GROUP BY 1, 2),
  rs AS (SELECT *, {a} AS amp, greatest(0, syy - 2 * {a} * sxy + {a} * {a} * sxx) AS rss FROM mo WHERE sxx > 1e-9 * qx AND qx > 1e-100),
  ms AS (SELECT *, min(rss) OVER (PARTITION BY curve_id) AS ml FROM rs), bs AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY rss > ml + 1e-9 * syy, c) AS rn FROM ms)
@@ -112,7 +116,7 @@ def f01(spark, sf):
 
 
 # first round of one, two and three rates on an 18-point lattice
-EX = SPAN + """, la AS (SELECT i, lo * power(5 * hi / lo, i / 17.0) AS tau FROM sp, range(0, 18) r(i)), ex AS (SELECT curve_id, frame, i, norm AS y, 1 - exp(-t_rel / tau) AS x FROM an, la),
+EX = SPAN + """, la AS (SELECT curve_id, i, lo * power(5 * hi / lo, i / 17.0) AS tau FROM sp, range(0, 18) r(i)), ex AS (SELECT curve_id, frame, i, norm AS y, 1 - exp(-t_rel / tau) AS x FROM an JOIN la USING (curve_id)),
  cy AS (SELECT curve_id, i, count(*) AS n, covar_pop(x, y) * count(*) AS c, regr_syy(y, x) AS syy FROM ex GROUP BY 1, 2),
  gm AS (SELECT a.curve_id, a.i, b.i AS j, covar_pop(a.x, b.x) * count(*) AS g FROM ex a JOIN ex b ON a.curve_id = b.curve_id AND a.frame = b.frame AND a.i <= b.i GROUP BY 1, 2, 3),
  o1 AS (SELECT curve_id, i, syy - c * c / g AS rss, n, syy, c / g AS m FROM cy JOIN gm USING (curve_id, i) WHERE i = j AND g > 0 AND c / g >= 0),
@@ -128,9 +132,10 @@ EX = SPAN + """, la AS (SELECT i, lo * power(5 * hi / lo, i / 17.0) AS tau FROM
  r2 AS (SELECT curve_id, min(rss) AS rss, any_value(n) AS n, any_value(syy) AS sst FROM (SELECT curve_id, rss, n, syy FROM o2 WHERE m1 >= 0 AND m2 >= 0 UNION ALL SELECT curve_id, rss, n, syy FROM o1) GROUP BY 1),
  r3 AS (SELECT curve_id, min(rss) AS rss, any_value(n) AS n, any_value(syy) AS sst FROM (SELECT curve_id, syy - m1 * q1 - m2 * q2 - m3 * q3 AS rss, n, syy FROM o3 WHERE m1 >= 0 AND m2 >= 0 AND m3 >= 0 UNION ALL SELECT curve_id, rss, n, sst FROM r2) GROUP BY 1),
  fx AS (SELECT curve_id, 'single' AS model, 3 AS p, n, greatest(0, rss) AS rss, sst FROM r1 UNION ALL SELECT curve_id, 'double', 5, n, greatest(0, rss), sst FROM r2 UNION ALL SELECT curve_id, 'triple', 7, n, greatest(0, rss), sst FROM r3)"""
-# criteria on curves that are long enough to carry seven parameters
-FX = EX + """, fk AS (SELECT *, CASE WHEN sst = 0 THEN 0 ELSE 1 - rss / sst END AS r2, n * ln(rss / n) + 2 * p AS aic, n * ln(rss / n) + p * ln(n) AS bic, n * ln(rss / n) + 2 * p + 2.0 * p * (p + 1) / (n - p - 1) AS aicc,
- 1 - (1 - (1 - rss / sst)) * (n - 1) / (n - p - 1) AS adj_r2, rss / (n - p) AS red_chi2 FROM fx WHERE n > 20)"""
+# criteria; a model with too many parameters for the points has infinite information criteria
+FX = EX + """, fk AS (SELECT *, CASE WHEN sst = 0 THEN 0 ELSE 1 - rss / sst END AS r2, CASE WHEN n <= p + 2 THEN 'inf'::DOUBLE WHEN rss > 0 THEN n * ln(rss / n) + 2 * p END AS aic,
+ CASE WHEN n <= p + 2 THEN 'inf'::DOUBLE WHEN rss > 0 THEN n * ln(rss / n) + p * ln(n) END AS bic, CASE WHEN n <= p + 2 THEN 'inf'::DOUBLE WHEN rss > 0 THEN n * ln(rss / n) + 2 * p + 2.0 * p * (p + 1) / (n - p - 1) END AS aicc,
+ CASE WHEN n > p + 1 THEN 1 - (1 - (CASE WHEN sst = 0 THEN 0 ELSE 1 - rss / sst END)) * (n - 1) / (n - p - 1) END AS adj_r2, CASE WHEN n > p THEN rss / (n - p) END AS red_chi2 FROM fx)"""
 
 
 def lattice_fits(spark, sf, orders=(1, 2, 3)):
@@ -138,7 +143,7 @@ def lattice_fits(spark, sf, orders=(1, 2, 3)):
 
 
 def scored(spark, sf):
-    return cut_lineage(fm.add_criteria(lattice_fits(spark, sf).filter("n > 20")))
+    return cut_lineage(fm.add_criteria(lattice_fits(spark, sf)))
 
 
 for _o, _n, _name in ((2, "double", "F02_fit_double_round"), (3, "triple", "F03_fit_triple_round")):
@@ -156,7 +161,7 @@ def f13(spark, sf):
     return scored(spark, sf).select("curve_id", "model", "n", "p", *[rd(c, 4).alias(c) for c in CRIT])
 
 
-@query("F16_best_model", f"WITH {FX} SELECT curve_id, model, {RD('aicc', 4)} AS aicc, {RD('r2', 5)} AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY aicc, model) AS rn FROM fk) WHERE rn = 1")
+@query("F16_best_model", f"WITH {FX} SELECT curve_id, model, {RD('aicc', 4)} AS aicc, {RD('r2', 5)} AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY aicc, p, model) AS rn FROM fk) WHERE rn = 1")
 def f16(spark, sf):
     return fm.choose_best(scored(spark, sf), K, "aicc").select("curve_id", "model", rd("aicc", 4).alias("aicc"), rd("r2", 5).alias("r2"))
 
@@ -166,26 +171,26 @@ def t01(spark, sf):
     return fm.rank_models(scored(spark, sf), K, ["aic", "bic"]).select("curve_id", "model", "rank")
 
 
-@query("F17_delta_buckets", f"""WITH {FX}, d AS (SELECT curve_id, model, round(aic - min(aic) OVER (PARTITION BY curve_id), 6) AS d FROM fk) SELECT curve_id, model, CASE WHEN d < 2 THEN 'substantial support' WHEN d >= 4 AND d <= 7 THEN 'considerably less support'
- WHEN d > 10 THEN 'essentially no support' ELSE 'intermediate support' END AS support FROM d""")
+@query("F17_delta_buckets", f"""WITH {FX}, d AS (SELECT curve_id, model, round(aic - min(aic) OVER (PARTITION BY curve_id), 6) AS d FROM fk) SELECT curve_id, model, CASE WHEN isnan(d) THEN NULL WHEN d < 2 THEN 'substantial support' WHEN d >= 4 AND d <= 7 THEN 'considerably less support'
+ WHEN d > 10 THEN 'essentially no support' ELSE 'moderate support' END AS support FROM d""")
 def f17(spark, sf):
     d = fm.with_deltas(scored(spark, sf), K, "aic")
     return d.select("curve_id", "model", ql.delta_aic_bucket(F.col("delta")).alias("support"))
 
 
-@query("F18_parsimonious", f"WITH {FX} SELECT a.curve_id, CASE WHEN a.n >= 6 AND a.bic - b.bic > 10 THEN 'double' ELSE 'single' END AS model FROM fk a JOIN fk b ON a.curve_id = b.curve_id AND a.model = 'single' AND b.model = 'double'")
+@query("F18_parsimonious", f"WITH {FX} SELECT a.curve_id, CASE WHEN a.n >= 6 AND isfinite(b.bic) AND a.bic - b.bic > 10 THEN 'double' ELSE 'single' END AS model FROM fk a JOIN fk b ON a.curve_id = b.curve_id AND a.model = 'single' AND b.model = 'double'")
 def f18(spark, sf):
     s = scored(spark, sf)
     return fm.parsimonious(s.filter("model = 'single'"), s.filter("model = 'double'"), K).select("curve_id", "model")
 
 
-@query("F19_akaike_weights", f"""WITH {FX}, d AS (SELECT curve_id, model, aicc - min(aicc) OVER (PARTITION BY curve_id) AS d FROM fk) SELECT curve_id, model, {RD('exp(-d / 2) / sum(exp(-d / 2)) OVER (PARTITION BY curve_id)', 4)} AS weight,
- sum((d < 2)::INT) OVER (PARTITION BY curve_id) > 1 AS ambiguous FROM d""")
+@query("F19_akaike_weights", f"""WITH {FX}, d AS (SELECT curve_id, model, CASE WHEN isfinite(min(aicc) OVER (PARTITION BY curve_id)) THEN aicc - min(aicc) OVER (PARTITION BY curve_id) END AS d FROM fk) SELECT curve_id, model, {RD('exp(-d / 2) / sum(exp(-d / 2)) OVER (PARTITION BY curve_id)', 4)} AS weight,
+ coalesce(sum((d < 2)::INT) OVER (PARTITION BY curve_id) > 1, false) AS ambiguous FROM d""")
 def f19(spark, sf):
     return fm.with_deltas(scored(spark, sf), K).select("curve_id", "model", rd("weight", 4).alias("weight"), "ambiguous")
 
 
-@query("F20_nested_f", f"""WITH {FX} SELECT a.curve_id, {RD('((a.rss - b.rss) / 2) / (b.rss / (b.n - 5))', 3)} AS f_stat, b.n - 5 AS df2 FROM fk a JOIN fk b ON a.curve_id = b.curve_id AND a.model = 'single' AND b.model = 'double'""")
+@query("F20_nested_f", f"""WITH {FX} SELECT a.curve_id, {RD('CASE WHEN b.n > 5 AND b.rss > 0 THEN ((a.rss - b.rss) / 2) / (b.rss / (b.n - 5)) END', 3)} AS f_stat, b.n - 5 AS df2 FROM fk a JOIN fk b ON a.curve_id = b.curve_id AND a.model = 'single' AND b.model = 'double'""")
 def f20(spark, sf):
     s = scored(spark, sf)
     return fm.f_statistic(s.filter("model = 'single'"), s.filter("model = 'double'"), K).select("curve_id", rd("f_stat", 3).alias("f_stat"), "df2")
@@ -204,13 +209,13 @@ def f21(spark, sf):
     return wf.nested_choice(*[s.filter(F.col("model") == m) for m in ("single", "double", "triple")], K)
 
 
-@query("F24_consensus_model", f"WITH {FX}, e AS (SELECT model, aicc - min(aicc) OVER (PARTITION BY curve_id) AS e FROM fk) SELECT model, count(*) AS curves, {RD('sum(e)', 2)} AS excess FROM e GROUP BY 1")
+@query("F24_consensus_model", f"WITH {FX}, e AS (SELECT model, aicc - min(aicc) OVER (PARTITION BY curve_id) AS e FROM fk WHERE isfinite(aicc)) SELECT model, count(*) AS curves, {RD('sum(e)', 2)} AS excess FROM e GROUP BY 1")
 def f24(spark, sf):
     return fm.consensus(scored(spark, sf), K).select("model", "curves", rd("excess", 2).alias("excess"))
 
 
-@query("A20_model_wins", f"""WITH {FX}, w AS (SELECT model, count(*) AS wins FROM (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY aicc, model) AS rn FROM fk) WHERE rn = 1 GROUP BY 1)
- SELECT fk.model, {RD('avg(r2)', 5)} AS mean_r2, {RD('avg(aicc)', 3)} AS mean_aicc, coalesce(any_value(wins), 0) AS wins FROM fk LEFT JOIN w USING (model) GROUP BY 1""")
+@query("A20_model_wins", f"""WITH {FX}, w AS (SELECT model, count(*) AS wins FROM (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY aicc, p, model) AS rn FROM fk WHERE isfinite(aicc)) WHERE rn = 1 GROUP BY 1)
+ SELECT fk.model, {RD('avg(r2)', 5)} AS mean_r2, {RD('avg(aicc) FILTER (isfinite(aicc))', 3)} AS mean_aicc, coalesce(any_value(wins), 0) AS wins FROM fk LEFT JOIN w USING (model) GROUP BY 1""")
 def a20(spark, sf):
     return fm.model_wins(scored(spark, sf), K).select("model", rd("mean_r2", 5).alias("mean_r2"), rd("mean_aicc", 3).alias("mean_aicc"), "wins")
 
@@ -328,19 +333,15 @@ def grouped_post(spark, sf):
     return cut_lineage(p.select("grp", "curve_id", F.col("t_post").alias("t"), F.col("y_post").alias("y")))
 
 
-GLOBAL = SPAN + f""", {b.GRP}, cand AS (SELECT i, {geo('lo', '20 * hi', 40)} AS tau FROM sp, range(0, 40) r(i)), mo AS (SELECT grp, curve_id, i, any_value(tau) AS tau, regr_sxx(norm, 1 - exp(-t_rel / tau)) AS sxx, regr_sxy(norm, 1 - exp(-t_rel / tau)) AS sxy,
- regr_syy(norm, 1 - exp(-t_rel / tau)) AS syy, sum(power(1 - exp(-t_rel / tau), 2)) AS qx FROM an JOIN grp USING (curve_id), cand GROUP BY 1, 2, 3),
+GLOBAL = ANCH + f""", {b.GRP}, {span_sql("grp", "an JOIN grp USING (curve_id)")}, cand AS (SELECT grp, i, {geo('lo', '20 * hi', 40)} AS tau FROM sp, range(0, 40) r(i)), mo AS (SELECT grp, curve_id, i, any_value(tau) AS tau, regr_sxx(norm, 1 - exp(-t_rel / tau)) AS sxx, regr_sxy(norm, 1 - exp(-t_rel / tau)) AS sxy,
+ regr_syy(norm, 1 - exp(-t_rel / tau)) AS syy, sum(power(1 - exp(-t_rel / tau), 2)) AS qx FROM an JOIN grp USING (curve_id) JOIN cand USING (grp) GROUP BY 1, 2, 3),
  rs AS (SELECT *, CASE WHEN sxx > 1e-9 * qx THEN greatest(0, syy - greatest(0, sxy) * greatest(0, sxy) / sxx) ELSE syy END AS rss FROM mo), tt AS (SELECT grp, i, any_value(tau) AS tau, sum(rss) AS rss FROM rs GROUP BY 1, 2)"""
 
 
 @query("F22_global_single_round", f"WITH {GLOBAL} SELECT grp, {RD('tau', 5)} AS tau, {RD('rss', 3)} AS rss FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rss, i) AS rn FROM tt) WHERE rn = 1")
 def f22r(spark, sf):
     a = cut_lineage(anchored(spark, sf).join(b.curve_groups(spark, sf), "curve_id").select("grp", "curve_id", "t", "y"))
-    m = MODELS["single"]
-    pooled = fit.profile_pass(a, ["grp", "curve_id"], m, "t", "y", True, (0.0, float("inf")), fixed=fit.first_candidates(m, fit.time_range(a)), pooled=["grp"])
-    g = pooled.groupBy("grp", "i").agg(F.sum("rss").alias("rss"), F.first("_k0").alias("tau"))
-    w = g.groupBy("grp").agg(F.min_by(F.struct("tau", "rss"), F.struct("rss", "i")).alias("w"))
-    return w.select("grp", rd("w.tau", 5).alias("tau"), rd("w.rss", 3).alias("rss"))
+    return fit.global_profile_fit(a, ["grp"], ["curve_id"], "single", rounds=0)[0].select("grp", rd("p0", 5).alias("tau"), rd("rss", 3).alias("rss"))
 
 
 @query("F22_global_fit")
@@ -350,7 +351,7 @@ def f22(spark, sf):
 
 @query("F22_global_anomalous")
 def f22a(spark, sf):
-    return fit.global_profile_fit(grouped_post(spark, sf), ["grp"], ["curve_id"], "anomalous", rounds=2)[0]
+    return fit.global_profile_fit(grouped_post(spark, sf), ["grp"], ["curve_id"], "anomalous")[0]
 
 
 @query("F23_unified_workflow")

@@ -221,7 +221,7 @@ def x21(spark, sf):
     base = cut_lineage(fit.profile_fit(p, ["curve_id"], "single"))
     j = p.join(base.select("curve_id", "amp", "baseline", "p0"), "curve_id")
     rows = cut_lineage(rs.residual_bootstrap_rows(j, ["curve_id"], "t", "y", F.col("baseline") + F.col("amp") * (1 - F.exp(-F.col("t") / F.col("p0"))), 10))
-    re = cut_lineage(fit.profile_fit(rows, ["curve_id", "rep"], "single", rounds=2))
+    re = cut_lineage(fit.profile_fit(rows, ["curve_id", "rep"], "single"))
     return quantiles(re, ["curve_id"], "p0", [0.025, 0.5, 0.975]).select("curve_id", F.col("q")[0].alias("tau_lo"), F.col("q")[1].alias("tau_median"), F.col("q")[2].alias("tau_hi"))
 
 
@@ -230,7 +230,7 @@ def x22(spark, sf):
     from rekurve.operators.ordered import quantiles
 
     m = cut_lineage(rs.curve_bootstrap_means(cut_lineage(aligned_groups(spark, sf)), "grp", "curve_id", 20))
-    f = cut_lineage(fit.profile_fit(m, ["grp", "rep"], "single", "x", "mean", rounds=2))
+    f = cut_lineage(fit.profile_fit(m, ["grp", "rep"], "single", "x", "mean"))
     mom_ = cut_lineage(st.moments(f.withColumn("log_tau", F.ln("p0")), [], "grp", "log_tau"))
     tests = st.adjust(st.with_p(st.welch(mom_, "grp")).select("g1", "g2", "p_value"), "p_value")
     ci = quantiles(f, ["grp"], "p0", [0.025, 0.5, 0.975]).select("grp", "q")

@@ -19,9 +19,8 @@ def fit_all_models(post: DataFrame, keys: Sequence[str], t: str = "t_post", y: s
     The reaction-diffusion models are the double and triple fits under other names, so they cost no extra pass.
     """
     keys = list(keys)
-    span = fit.time_range(post, t)
-    ex = cut_lineage(fit.exponential_fits(post, keys, (1, 2, 3), t, y, span=span))
-    an = fit.profile_fit(post, keys, "anomalous", t, y, span=span)
+    ex = cut_lineage(fit.exponential_fits(post, keys, (1, 2, 3), t, y))
+    an = fit.profile_fit(post, keys, "anomalous", t, y)
     an = an.select(*keys, "model", "n", "p", "rss", "sst", "baseline", F.array("amp").alias("amps"), F.array("p0").alias("taus"), F.col("p1").alias("beta"))
     ex = ex.withColumn("beta", F.lit(None).cast("double"))
     rd = ex.filter("model = 'double'").withColumn("model", F.lit("reaction_diffusion"))
@@ -86,17 +85,15 @@ def single_intervals(rows: DataFrame, fits: DataFrame, keys: Sequence[str], t: s
 def recruitment_models(df: DataFrame, keys: Sequence[str], t: str = "t", y: str = "y") -> DataFrame:
     """F8: exponential, double exponential and sigmoidal rise; ``best`` marks the smallest AIC."""
     keys = list(keys)
-    span = fit.time_range(df, t)
-    ex = fit.exponential_fits(df, keys, (1, 2), t, y, span=span).select(*keys, F.concat("model", F.lit("_recruitment")).alias("model"), "n", "p", "rss", "sst", "baseline", F.get("amps", F.lit(0)).alias("amp"), (1 / F.get("taus", F.lit(0))).alias("rate"))
-    sg = fit.profile_fit(df, keys, "sigmoid", t, y, span=span).select(*keys, F.lit("sigmoid_recruitment").alias("model"), "n", "p", "rss", "sst", "baseline", "amp", F.col("p0").alias("rate"))
+    ex = fit.exponential_fits(df, keys, (1, 2), t, y).select(*keys, F.concat("model", F.lit("_recruitment")).alias("model"), "n", "p", "rss", "sst", "baseline", F.get("amps", F.lit(0)).alias("amp"), (1 / F.get("taus", F.lit(0))).alias("rate"))
+    sg = fit.profile_fit(df, keys, "sigmoid", t, y).select(*keys, F.lit("sigmoid_recruitment").alias("model"), "n", "p", "rss", "sst", "baseline", "amp", F.col("p0").alias("rate"))
     return mark_best(fm.add_criteria(ex.unionByName(sg)), keys)
 
 
 def expansion_models(df: DataFrame, keys: Sequence[str], t: str = "t", y: str = "y") -> DataFrame:
     """exponential, linear and power-law growth of an area."""
     keys = list(keys)
-    span = fit.time_range(df, t)
-    parts = [fit.profile_fit(df, keys, f"expansion_{m}", t, y, span=span, amp=(-float("inf"), float("inf")), rounds=0 if m == "linear" else 3) for m in ("exponential", "linear", "power")]
+    parts = [fit.profile_fit(df, keys, f"expansion_{m}", t, y, amp=(-float("inf"), float("inf")), rounds=0 if m == "linear" else None) for m in ("exponential", "linear", "power")]
     out = parts[0].unionByName(parts[1].withColumn("p", F.lit(2))).unionByName(parts[2])
     return mark_best(fm.add_criteria(out), keys)
 
@@ -207,8 +204,7 @@ def cli_metrics(rec: DataFrame, w: float = 0.72) -> DataFrame:
 def robust_methods(df: DataFrame, keys: Sequence[str], t: str, y: str) -> DataFrame:
     """the same model under each loss, ranked by AIC of the unweighted residuals."""
     keys = list(keys)
-    span = fit.time_range(df, t)
-    parts = [fit.profile_fit(df, keys, "single", t, y, span=span, robust=r) for r in ("soft_l1", "huber", "tukey")]
+    parts = [fit.profile_fit(df, keys, "single", t, y, robust=r) for r in ("soft_l1", "huber", "tukey")]
     allf = parts[0].unionByName(parts[1]).unionByName(parts[2])
     per = cut_lineage(allf)
     rows = df.join(per.select(*keys, "model", "amp", "baseline", "p0"), keys)

@@ -101,6 +101,75 @@ def test_fit_does_not_depend_on_partitioning(exponentials):
         assert one[k]["rss"] == pytest.approx(many[k]["rss"], rel=1e-6, abs=1e-9) and one[k]["taus"] == pytest.approx(many[k]["taus"], rel=1e-6)
 
 
+def test_fit_does_not_depend_on_other_curves(spark, exponentials):
+    base = exponentials.drop("n")
+    mixed = base
+    for power in (-3, 3, 6):
+        other = base.select(F.concat("curve_id", F.lit(f"_{power}")).alias("curve_id"), (F.col("t") * 10.0**power).alias("t"), "y")
+        mixed = mixed.unionByName(other)
+    alone, together = rows(fit.exponential_fits(base, K, (1, 2))), rows(fit.exponential_fits(mixed, K, (1, 2)))
+    for k, r in alone.items():
+        assert together[k]["taus"] == pytest.approx(r["taus"], rel=1e-6) and together[k]["amps"] == pytest.approx(r["amps"], rel=1e-6)
+    for name in ("soumpasis", "anomalous", "sigmoid"):
+        one, all_ = rows(fit.profile_fit(base, K, name)), rows(fit.profile_fit(mixed, K, name))
+        for k, r in one.items():
+            assert (all_[k]["p0"], all_[k]["amp"]) == (pytest.approx(r["p0"], rel=1e-6), pytest.approx(r["amp"], rel=1e-6))
+    for power in (-3, 3, 6):  # and scales with the unit of time
+        s = together[f"single_{power}", "single"]
+        assert s["taus"][0] == pytest.approx(0.25 * 10.0**power, rel=1e-3)
+
+
+def test_large_curves_fit_the_same(spark, exponentials, small_segments):
+    d = exponentials.filter("curve_id in ('single', 'noisy')")
+    spread = rows(fit.exponential_fits(d, K, (1, 2), rounds=3)), rows(fit.profile_fit(d, K, "single", rounds=3, robust="huber"))
+    spark.conf.unset("spark.rekurve.segmentRows")
+    local = rows(fit.exponential_fits(d, K, (1, 2), rounds=3)), rows(fit.profile_fit(d, K, "single", rounds=3, robust="huber"))
+    for a, b in zip(spread, local):
+        for k, r in a.items():
+            assert b[k]["rss"] == pytest.approx(r["rss"], rel=1e-6, abs=1e-9)
+            assert r["p0"] == pytest.approx(b[k]["p0"], rel=1e-6) if "p0" in r else r["taus"] == pytest.approx(b[k]["taus"], rel=1e-5)
+
+
+def test_every_curve_keeps_its_row(spark):
+    d = spark.createDataFrame([("point", 0.0, 1.0), ("flat", 0.0, 2.0), ("flat", 1.0, 2.0), ("flat", 2.0, 2.0), ("two", 1.0, 1.0), ("two", 2.0, 3.0)], "curve_id string, t double, y double")
+    assert {r["curve_id"] for r in fit.profile_fit(d, K, "single").collect()} == {"point", "flat", "two"}
+    got = rows(fit.exponential_fits(d, K, (1, 2)))
+    assert len(got) == 6 and got["point", "single"]["rss"] is None and got["point", "single"]["n"] == 1
+
+
+def test_spectrum_is_the_minimum():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        a = rng.normal(size=(9, 6))
+        h, c = a.T @ a + 1e-6 * np.eye(6), rng.normal(size=6)
+        x = fit.nonnegative(h, c)
+        best = min(((0.5 * z @ h @ z - c @ z), i) for i, z in enumerate(_corners(h, c, itertools, np)))[0]
+        assert (x >= 0).all() and 0.5 * x @ h @ x - c @ x == pytest.approx(best, rel=1e-9, abs=1e-12)
+        g = h @ x - c
+        assert (g >= -1e-9).all() and np.abs(g[x > 0]).max(initial=0) < 1e-9
+
+
+def _corners(h, c, itertools, np):
+    yield np.zeros(len(c))
+    for k in range(1, len(c) + 1):
+        for s in itertools.combinations(range(len(c)), k):
+            z = np.zeros(len(c))
+            z[list(s)] = np.linalg.solve(h[np.ix_(s, s)], c[list(s)])
+            if (z >= 0).all():
+                yield z
+
+
+def test_delta_labels(spark):
+    from rekurve.operators.quality import delta_aic_bucket
+
+    got = [r[0] for r in spark.createDataFrame([(1.0,), (3.0,), (5.0,), (8.0,), (12.0,), (None,)], "d double").select(delta_aic_bucket(F.col("d"))).collect()]
+    assert got == ["substantial support", "moderate support", "considerably less support", "moderate support", "essentially no support", None]
+
+
 def test_weighted_mean_fit(spark):
     d = curve(spark, "w", 100, 10, "0.8 * (1 - exp(-t)) + if(t > 5, 0.5, 0.0)").withColumn("w", F.when(F.col("t") > 5, 1e-9).otherwise(1.0))
     r = fit.profile_fit(d, K, "single", weight="w").first()
