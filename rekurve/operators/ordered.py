@@ -153,23 +153,26 @@ def windowed(
     )
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], value: Column, out: str, frame: str = "frame") -> DataFrame:
-    """Inclusive running sum by frame: per-segment window plus the total of the earlier segments."""
+def running(df: DataFrame, keys: Sequence[str], value: Column, out: str, agg: Callable = F.sum, merge: Callable = lambda a, b: a + b, frame: str = "frame", reverse: bool = False) -> DataFrame:
+    """Inclusive running aggregate by frame (from the end if ``reverse``): a window per segment, merged with the aggregate of the segments before it."""
+    towards = (lambda c: F.desc(c)) if reverse else (lambda c: F.asc(c))
     if bounded(df, keys):
-        return df.withColumn(out, F.sum(value).over(Window.partitionBy(*keys).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)))
+        return df.withColumn(out, agg(value).over(Window.partitionBy(*keys).orderBy(towards(frame)).rowsBetween(Window.unboundedPreceding, 0)))
     rows = segment_rows(df)
     work = df.withColumn("_seg", F.floor(F.col(frame) / rows).cast("long")).withColumn("_v", value)
-    local = Window.partitionBy(*keys, "_seg").orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
-    work = work.withColumn(out, F.sum("_v").over(local))
-    totals = work.groupBy(*keys, "_seg").agg(F.sum("_v").alias("_tot"))
-    ahead = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "_seg", F.sum("_tot").over(ahead).alias("_carry")).filter("_carry is not null")
-    # only later segments carry anything: at most rows/segment_rows rows
-    return (
-        work.join(F.broadcast(carry), [*keys, "_seg"], "left")
-        .withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0)))
-        .drop("_seg", "_v", "_carry")
-    )
+    local = Window.partitionBy(*keys, "_seg").orderBy(towards(frame)).rowsBetween(Window.unboundedPreceding, 0)
+    work = work.withColumn(out, agg("_v").over(local))
+    totals = work.groupBy(*keys, "_seg").agg(agg("_v").alias("_tot"))
+    ahead = Window.partitionBy(*keys).orderBy(towards("_seg")).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per segment: small beside the rows, and joined as Spark sees fit
+    carry = totals.select(*keys, "_seg", agg("_tot").over(ahead).alias("_carry")).filter("_carry is not null")
+    merged = F.when(F.col("_carry").isNull(), F.col(out)).when(F.col(out).isNull(), F.col("_carry")).otherwise(merge(F.col(out), F.col("_carry")))
+    return work.join(carry, [*keys, "_seg"], "left").withColumn(out, merged).drop("_seg", "_v", "_carry")
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], value: Column, out: str, frame: str = "frame") -> DataFrame:
+    """Inclusive running sum by frame."""
+    return running(df, keys, value, out, frame=frame)
 
 
 def fill_forward(df: DataFrame, keys: Sequence[str], value: str, out: str, frame: str = "frame") -> DataFrame:

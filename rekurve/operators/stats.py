@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rekurve.functions import tails
+from rekurve.operators import ordered as od
 from rekurve.operators.groups import pairs
 from rekurve.operators.ordered import attach, frame_index, quantiles, running_sum, value_ranks, windowed
+from rekurve.plans.session import cut_lineage
 
 
 def moments(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
@@ -169,25 +171,35 @@ def shapiro(df: DataFrame, group: str, value: str) -> DataFrame:
     return g.select(group, "n", "w", p.alias("p_value"))
 
 
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m; above 1000 by its asymptotic series, which is exact to the last digit there."""
+    few = F.expr("aggregate(sequence(1, cast({m} as int)), 0.0D, (s, i) -> s + 1.0D / i)".replace("{m}", "least(_m, 1000)"))
+    return F.when(m <= 1000, few).otherwise(F.ln(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m))
+
+
 def adjust(df: DataFrame, p: str, method: str = "bh", keys: Sequence[str] = (), out: str = "p_adj") -> DataFrame:
-    """None, bonferroni, holm, bh, by; NULL p values stay NULL and do not count."""
+    """None, bonferroni, holm, bh, by; NULL p values stay NULL and do not count.
+
+    Equal p values have equal adjusted ones, so a family is ranked by distinct value; running minima and maxima go by ordered
+    segments, and a family of any size is spread over tasks.
+    """
     if method == "none":
         return df.withColumn(out, F.col(p))
-    fam = Window.partitionBy(*keys)
-    m = F.count(p).over(fam)
+    keys = list(keys)
     if method == "bonferroni":
-        return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * m)))
-    rest = [c for c in df.columns if c != p and c not in keys]
-    asc = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(p), *rest)
-    r = df.withColumn("_r", F.row_number().over(asc)).withColumn("_m", m)
+        d = od.attach(df, keys, _m=F.count(p))
+        return d.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * F.col("_m")))).drop("_m")
+    df = cut_lineage(df)  # read several times below
+    v = od.frame_index(od.value_ranks(df, keys, p), keys, [p], "_f")
+    v = od.attach(v, keys, _m=F.sum("total"))
     if method == "holm":
-        raw = F.col(p) * (F.col("_m") - F.col("_r") + 1)
-        adj = F.max(raw).over(asc.rowsBetween(Window.unboundedPreceding, 0))
+        raw = F.col(p) * (F.col("_m") - F.col("below"))
+        v = od.running(v, keys, raw, "_adj", F.max, F.greatest, "_f")
     else:
-        scale = F.lit(1.0) if method == "bh" else F.expr("aggregate(sequence(1, cast(_m as int)), 0.0D, (s, i) -> s + 1.0D / i)")
-        raw = F.col(p) * F.col("_m") / F.col("_r") * scale
-        adj = F.min(raw).over(asc.rowsBetween(0, Window.unboundedFollowing))
-    return r.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), adj))).drop("_r", "_m")
+        raw = F.col(p) * F.col("_m") / (F.col("below") + F.col("total")) * (harmonic(F.col("_m")) if method == "by" else F.lit(1.0))
+        v = od.running(v, keys, raw, "_adj", F.min, F.least, "_f", reverse=True)
+    j = df.join(v.select(*keys, p, "_adj"), [*keys, p], "left")
+    return j.select(*df.columns, F.when(F.col("_adj").isNotNull(), F.least(F.lit(1.0), F.col("_adj"))).alias(out))
 
 
 def choose_tests(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -9,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+STAGES: list[str] = []  # paths that this process staged
+
 
 def local_session(cores: str = "8", shuffle: str = "8") -> SparkSession:
     spark = (
@@ -38,9 +41,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def shared_scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder the cluster names; a temporary folder only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rekurve-")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets a temporary folder that goes with it; on a cluster that is an error, because executors
+    would write where the driver and other executors can't read.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        sc = spark.sparkContext
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share: {sc.master} is no local master")
+        base = getattr(sc, "_rekurve_scratch", None)
+        if base is None:
+            base = sc._rekurve_scratch = tempfile.mkdtemp(prefix="rekurve-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    STAGES.append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Remove the tables that this session staged so far; call it when no result that reads them is needed any more."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while STAGES:
+        path = jvm.org.apache.hadoop.fs.Path(STAGES.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def ship_package(spark: SparkSession) -> None:
