@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import csv
 
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from rekurve.plans.session import cut_lineage
 from rekurve.sources.schema import standardize
 
 DATA_FILE = r"(?i)\.(json|csv|xls|xlsx)$"
@@ -18,12 +21,30 @@ RADIUS_DEFAULT, RADIUS_WIDE, WIDE_KEYWORDS = 6 * 0.12, 12 * 0.12, ["laser", "ir"
 
 
 def read_curves(spark: SparkSession, path: str) -> DataFrame:
-    """All CSV recordings below ``path``: ``curve_id`` is the file name without extension."""
-    raw = (
-        spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "[!.~]*.csv").csv(path)
-        .withColumn("path", F.col("_metadata.file_path"))
-    )
-    return standardize(raw, keep=["path"]).withColumn("curve_id", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
+    """All CSV recordings below ``path``.  ``curve_id`` is the file's place below ``path`` without its extension, so files of the same
+    name in two folders stay two curves; columns are resolved for every header that occurs, whatever its order."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[!.~]*.csv")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = files.text(path).select(F.col("_metadata.file_path").alias("path"), "value", place.alias("place"))
+    heads = lines.groupBy("path").agg(F.min_by("value", "place").alias("head"), F.min("place").alias("place"))
+    kinds = sorted(r["head"] for r in heads.select("head").distinct().collect())  # one for each layout of recordings
+    if len(kinds) < 2:
+        raw = files.option("header", True).csv(path).withColumn("path", F.col("_metadata.file_path"))
+        out = standardize(raw, keep=["path"])
+    else:
+        heads = cut_lineage(heads)
+        parts = []
+        for kind in kinds:
+            names = next(csv.reader([kind]))
+            body = lines.join(heads.filter(F.col("head") == kind).select("path", F.col("place").alias("_first")), "path").filter("place <> _first and value <> ''")
+            parts.append(standardize(body.select("path", F.from_csv("value", ", ".join(f"`{n}` string" for n in names)).alias("r")).select("path", "r.*"), keep=["path"]))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p, allowMissingColumns=True)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
+    below = F.regexp_replace(F.regexp_replace("path", r"^[A-Za-z][\w+.-]*:(//[^/]*)?", ""), r"\.[^./]+$", "")
+    own = F.when(below.startswith(root), F.substring(below, len(root) + 1, 1 << 20))
+    return out.withColumn("curve_id", F.coalesce(own, F.regexp_extract(below, r"([^/]+)$", 1)))
 
 
 def is_data_file(name: Column) -> Column:
@@ -88,6 +109,6 @@ def distinct_contents(df: DataFrame, content: str, order: list[str]) -> DataFram
 
 
 def best_per_file(df: DataFrame, file: list[str], order: list[str]) -> DataFrame:
-    """Flag exactly one row per file as best."""
-    w = Window.partitionBy(*file).orderBy(*order)
-    return df.withColumn("is_best", F.row_number().over(w) == 1)
+    """Flag exactly one row per file as best; a file's rows are never sorted, only the least is found.  Rows must differ in ``order``."""
+    best = df.groupBy(*file).agg(F.min(F.struct(*order)).alias("_best"))
+    return df.join(best, file).withColumn("is_best", F.struct(*order) == F.col("_best")).drop("_best")
