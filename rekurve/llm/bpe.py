@@ -6,7 +6,8 @@ import hashlib
 import heapq
 import json
 import os
-import unicodedata
+import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,6 +37,20 @@ def byte_letters() -> list[str]:
 LETTERS = byte_letters()
 
 
+def letters_of(word: str) -> str:
+    """The letters that stand for the bytes of a word; printable ASCII stands for itself."""
+    return word if word.isascii() and word.isprintable() else "".join([LETTERS[b] for b in word.encode("utf-8")])
+
+
+def plain_splitter(pattern: str) -> Callable[[str], list[str]]:
+    """The split of lower-case texts below ``PLAIN`` for the faster ``re``: the classes, which must stand in brackets, are written out."""
+    alphabet = sorted({c for i in range(ord(PLAIN)) for c in chr(i) + chr(i).lower()})
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        member = regex.compile(name).match
+        pattern = pattern.replace(name, "".join(re.escape(c) for c in alphabet if member(c)))
+    return re.compile(pattern).findall
+
+
 def merge_scan(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     """Parts of a short word: boundaries and the ranks of adjacent parts in two arrays; the least rank, leftmost first, loses its boundary."""
     at = [*range(len(word) - 1), len(word)]  # the last letter and the end mark are one part
@@ -117,9 +132,9 @@ class WordTokenizer:
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self.shown.update({i: t for t, i in self.special.items()})
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.split = regex.compile(self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.split = plain_splitter(self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.path, self.library, self.native = path, None, native
-        self.memory = Memory(self._word)
+        self.memory, self.id_memory = Memory(self._word), Memory(self._ids)
 
     def _whole(self):
         if self.library is None:
@@ -138,35 +153,41 @@ class WordTokenizer:
         return [norm[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(norm)]
 
     def parts(self, word: str) -> list[str]:
-        w = "".join([LETTERS[b] for b in word.encode("utf-8")]) + END
+        w = letters_of(word) + END
         return merge_scan(w, self.ranks) if len(w) <= SHORT else merge_heap(w, self.ranks)
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        """The word's ids as little-endian 32-bit integers, and its tokens as shown by decoding."""
+    def _id_list(self, word: str) -> list[int]:
         if self.native:
-            ids = [t.id for t in self._whole().model.tokenize("".join([LETTERS[b] for b in word.encode("utf-8")]))]
-        else:
-            ids = [self.ids[p] for p in self.parts(word)]
-        return np.array(ids, "<u4").tobytes(), " ".join([self.shown[i] for i in ids])
+            return [t.id for t in self._whole().model.tokenize(letters_of(word))]
+        return [self.ids[p] for p in self.parts(word)]
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """All ids (four bytes each) and the decoded text: the library's encode without added special tokens, and decode with special ones kept."""
+    def _ids(self, word: str) -> bytes:
+        """The word's ids as little-endian 32-bit integers."""
+        ids = self._id_list(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> tuple[bytes, str]:
+        """The word's ids as bytes, and its tokens as shown by decoding."""
+        ids = self._id_list(word)
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.shown[i] for i in ids])
+
+    def _each(self, text: str | None, word: Callable[[str], object], special: Callable[[str], object]) -> list:
+        """What ``word`` gives for the words of a text and ``special`` for its special tokens, in their order."""
         text = text or ""
-        get = self.memory.__getitem__
         if self.cut is None or not self.cut.search(text):
-            rows = [get(w) for w in self.words(text)]
-        else:
-            rows = []
-            for part in self.cut.split(text):
-                rows += [(np.array([self.special[part]], "<u4").tobytes(), part)] if part in self.special else [get(w) for w in self.words(part)]
+            return [word(w) for w in self.words(text)]
+        out = []
+        for part in self.cut.split(text):
+            out += [special(part)] if part in self.special else [word(w) for w in self.words(part)]
+        return out
+
+    def encode(self, text: str | None) -> tuple[bytes, str]:
+        """All ids (four bytes each) and the decoded text: the library's encode without added special tokens, and decode with special ones kept."""
+        rows = self._each(text, self.memory.__getitem__, lambda s: (struct.pack("<I", self.special[s]), s))
         return b"".join([r[0] for r in rows]), " ".join([r[1] for r in rows])
 
     def ids_of(self, text: str | None) -> bytes:
-        text = text or ""
-        get = self.memory.__getitem__
-        if self.cut is None or not self.cut.search(text):
-            return b"".join([get(w)[0] for w in self.words(text)])
-        return self.encode(text)[0]
+        return b"".join(self._each(text, self.id_memory.__getitem__, lambda s: struct.pack("<I", self.special[s])))
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.shown[i] for i in ids)
