@@ -114,14 +114,18 @@ def similar_join(items: DataFrame, lib: DataFrame, key: str, cols: dict[str, str
     """Every item with the library rows inside its tolerance box.
 
     The first column is cut into logarithmic buckets of ``width`` and the items are copied into each bucket their
-    range touches, which turns the range join into an equi-join with a residual filter.
+    range touches, which turns the range join into an equi-join with a residual filter.  Zeros, which match zeros alone,
+    have a bucket of their own.
     """
+    if not 0 <= tolerance < 1:
+        raise ValueError("the tolerance must be at least 0 and below 1")
     first_item, first_lib = next(iter(cols.items()))
+    zero = F.lit(-(10**9)).cast("long")
     bucket = lambda c: F.floor(F.ln(c) / F.lit(width)).cast("long")
-    pos = items.filter(F.col(first_item) > 0)
     lo, hi = F.col(first_item) * (1 - tolerance), F.col(first_item) * (1 + tolerance)
-    spread = pos.withColumn("_b", F.explode(F.sequence(bucket(lo) - 1, bucket(hi) + 1)))
-    keyed = lib.filter(F.col(first_lib) > 0).withColumn("_b", bucket(F.col(first_lib)))
+    touched = F.when(F.col(first_item) > 0, F.sequence(bucket(lo) - 1, bucket(hi) + 1)).when(F.col(first_item) == 0, F.array(zero))
+    spread = items.withColumn("_b", F.explode(touched))
+    keyed = lib.withColumn("_b", F.when(F.col(first_lib) > 0, bucket(F.col(first_lib))).when(F.col(first_lib) == 0, zero)).filter("_b is not null")
     j = spread.join(keyed, "_b").drop("_b")
     for i, r in cols.items():
         j = j.filter(F.col(r).between(F.col(i) * (1 - tolerance), F.col(i) * (1 + tolerance)))

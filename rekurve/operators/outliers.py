@@ -167,14 +167,11 @@ def isolation_forest(df: DataFrame, key: str, cols: Sequence[str], trees: int =
     The model is at most trees x 2 x sample nodes whatever the table size; the rows are read twice.
     """
     cols = list(cols)
-    n = df.count()
-    per_row = trees * sample / max(n, 1)
-    if per_row <= 1:  # every row serves at most one tree
-        h = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-        picked = df.select(key, *cols, h.alias("_h")).filter(F.col("_h") < per_row).withColumn("tree", F.floor(F.col("_h") / per_row * trees).cast("int"))
-    else:  # the table is smaller than the samples of all trees together
-        ex = df.select(key, *cols, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        picked = ex.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("tree")), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)))
+    share = min(1.0, sample / max(df.count(), 1))
+    # a draw of its own for every row and tree, whatever the size of the table; only the few hits become rows
+    draw = lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), t), 11) / F.lit(float(1 << 53))
+    hits = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < share)
+    picked = df.select(key, *cols, F.explode(hits).alias("tree"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
@@ -223,18 +220,30 @@ def mahalanobis(df: DataFrame, cols: Sequence[str], mean: np.ndarray, cov: np.nd
     return df.withColumn(out, expr)
 
 
-def elliptic_envelope(df: DataFrame, cols: Sequence[str], contamination: float = 0.1, steps: int = 5) -> DataFrame:
-    """Covariance concentrated on the half of the rows with the smallest distances, then a distance quantile."""
-    cols = list(cols)
-    mean, cov = _cov(df, cols)
-    for _ in range(steps):
+def _concentrated(df: DataFrame, cols: Sequence[str], mean: np.ndarray, cov: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Moments of the half of the rows nearest to the moments before, until its volume shrinks no more: log volume, mean, covariance."""
+    size = np.inf
+    while True:
         d = mahalanobis(df, cols, mean, cov)
         half = quantiles(d, [], "md2", [0.5]).first()["q"][0]
-        new = _cov(d.filter(F.col("md2") <= half), cols)
-        done = np.allclose(new[0], mean, rtol=1e-9) and np.allclose(new[1], cov, rtol=1e-9)
-        mean, cov = new
-        if done:
-            break
+        mean, cov = _cov(d.filter(F.col("md2") <= half), cols)
+        now = float(np.linalg.slogdet(cov)[1])
+        if not now < size - 1e-9:
+            return min(now, size), mean, cov
+        size = now
+
+
+def elliptic_envelope(df: DataFrame, cols: Sequence[str], contamination: float = 0.1) -> DataFrame:
+    """The half of the rows with the least volume, then a quantile of the distances from its moments.
+
+    It is sought from the moments of all rows and from the medians with squared median deviations, which far rows don't
+    move; the smaller volume wins.
+    """
+    cols = list(cols)
+    middle = [quantiles(df, [], c, [0.5]).first()["q"][0] for c in cols]
+    apart = [quantiles(df.select(F.abs(F.col(c) - F.lit(m)).alias("_d")), [], "_d", [0.5]).first()["q"][0] for c, m in zip(cols, middle)]
+    starts = [_cov(df, cols), (np.array(middle, float), np.diag(np.array(apart, float) ** 2))]
+    _, mean, cov = min((_concentrated(df, cols, *s) for s in starts), key=lambda found: found[0])
     d = mahalanobis(df, cols, mean, cov)
     cut = quantiles(d, [], "md2", [1 - contamination]).first()["q"][0]
     return d.withColumn("outlier", F.col("md2") > cut)

@@ -5,6 +5,7 @@ Only single images, image rows or image columns (bounded by the camera) are ever
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,7 +184,9 @@ SMOOTH = [float(w) for w in np.exp(-0.5 * np.arange(-4, 5) ** 2) / np.exp(-0.5 *
 
 def edge_radius(pixels: DataFrame, cx, cy, r0: float, r_min: float, r_max: float) -> DataFrame:
     """Radius whose ring (one pixel to each side) holds the most gradient, after smoothing over radii."""
-    radii = [float(x) for x in np.arange(max(r_min, r0 - 3), min(r_max, r0 + 4), 0.5)]
+    # fixed values: from 3 below r0 (or r_min) in steps of one half to less than 4 above it (or r_max)
+    low, high = max(r_min, r0 - 3), min(r_max, r0 + 4)
+    radii = [low + 0.5 * i for i in range(max(0, math.ceil(2 * (high - low))))]
     n = len(radii)
     d = F.sqrt(dist2(cx, cy))
     g = sobel(pixels).groupBy(*IMG).agg(F.array(*[F.coalesce(F.sum(F.when((d >= r - 1) & (d <= r + 1), F.col("grad"))), F.lit(0.0)) for r in radii]).alias("e"))

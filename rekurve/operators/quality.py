@@ -36,11 +36,13 @@ def fit_check(r2: Column, lo: Column, hi: Column, min_r2: float = 0.8) -> Column
     return reasons((r2 < min_r2, "low r2"), (~finite(lo) | ~finite(hi), "interval not finite"))
 
 
+#: The sentences of fit notes.
+FIT_NOTES = ["Fit did not converge.", "R-squared < 0.95.", "tau_s is shorter than frame interval.", "mobile_fraction is outside (0, 1]."]
+
+
 def fit_notes(converged: Column, r2: Column, tau: Column, dt: Column, mobile: Column) -> Column:
-    return notes(
-        (~converged, "Fit did not converge."), (r2 < 0.95, "R-squared < 0.95."), (tau < dt, "tau_s is shorter than frame interval."),
-        (~((mobile > 0) & (mobile <= 1)), "mobile_fraction is outside (0, 1]."),
-    )
+    doubts = [~converged, r2 < 0.95, tau < dt, (mobile <= 0) | (mobile > 1)]
+    return notes(*zip(doubts, FIT_NOTES))
 
 
 def clamp_results(df: DataFrame, mobile: str = "mobile_fraction") -> DataFrame:

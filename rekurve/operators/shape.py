@@ -124,7 +124,7 @@ def statistical_features(df: DataFrame) -> DataFrame:
     )
     n, k4 = F.col("n"), F.col("ku") + 3
     q = quantiles(df, KEY, "y", [0.25, 0.5, 0.75])
-    return g.join(q, KEY).select(
+    return g.join(q, KEY, "left").select(
         *KEY, "mean", "sd", F.when((n >= 3) & (F.col("sd") > 0), F.try_divide(n * n * F.col("sk"), (n - 1) * (n - 2))).otherwise(0.0).alias("skew"),
         F.when((n >= 4) & (F.col("sd") > 0), F.try_divide((n + 1) * (n - 1) * k4 - 3 * (n - 1) * (n - 1), (n - 2) * (n - 3))).otherwise(0.0).alias("kurt"),
         F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"),

@@ -39,80 +39,73 @@ def _segments(df: DataFrame) -> DataFrame:
     return df.withColumn("_seg", F.floor(F.col("frame") / segment_rows(df)).cast("long"))
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Max-plus products of two stacks of square matrices, one middle state after the other to stay within their size."""
+    out = a[:, :, 0, None] + b[:, None, 0, :]
+    for s in range(1, a.shape[1]):
+        np.maximum(out, a[:, :, s, None] + b[:, None, s, :], out=out)
+    return out
+
+
+def _levels(steps: np.ndarray) -> list[np.ndarray]:
+    """Products of the steps by halves: level by level pairs of neighbours, filled up with units to a power of two, up to a single matrix."""
+    n, k, _ = steps.shape
+    unit = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)
+    out = [np.concatenate([steps, np.broadcast_to(unit, ((1 << (n - 1).bit_length()) - n, k, k))])]
+    while len(out[-1]) > 1:
+        out.append(_product(out[-1][0::2], out[-1][1::2]))
+    return out
+
+
+def _best_states(levels: list[np.ndarray], entry: int, last: int, n: int) -> np.ndarray:
+    """States after each of the n steps on a best path from ``entry`` to ``last``: between two known states the one in the middle is found, level by level."""
+    ends = np.array([entry, last])
+    for m in reversed(levels[:-1]):
+        i = np.arange(len(ends) - 1)
+        middle = (m[0::2][i, ends[:-1]] + m[1::2][i, :, ends[1:]]).argmax(1)
+        ends = np.insert(ends, i + 1, middle)
+    return ends[1 : n + 1]
+
+
 def viterbi(df: DataFrame, cols: list[str], transition: np.ndarray, loc: np.ndarray, scale: np.ndarray, init: np.ndarray) -> DataFrame:
     """Most probable state path for known Gaussian states.
 
-    A segment of a track maps the best score of every entry state to every exit state (a max-plus matrix); the small
-    matrices are chained per track to find each segment's end state, then every segment is decoded on its own.
+    A frame is a max-plus matrix from the state before to its own.  Products of halves give for every segment of a track
+    the best score from each entry to each exit state; the same products over the segments fix where each starts and ends,
+    and then every segment finds its states from the middle outwards.  A track of n frames takes log n vector steps.
     """
     lt, li = np.log(np.clip(transition, 1e-12, None)), np.log(np.clip(init, 1e-12, None))
     sc = np.clip(scale, 1e-6, None)
     k, dim = loc.shape
-
-    def emit(obs):
-        d = (obs[:, None, :] - loc[None]) / sc[None]
-        return -0.5 * dim * np.log(2 * np.pi) - np.log(sc).sum(1)[None] - 0.5 * (d * d).sum(2)
-
-    def forward(e, start):
-        """Scores and back pointers for one (entry row) score vector."""
-        dp, ptr = start, np.zeros((len(e), k), int)
-        for t in range(len(e)):
-            s = dp[:, None] + lt
-            ptr[t] = s.argmax(0)
-            dp = s[ptr[t], np.arange(k)] + e[t]
-        return dp, ptr
-
     seg = _segments(df)
     tt = {f.name: f.dataType.simpleString() for f in df.schema.fields}["track_id"]
 
+    def steps(pdf: pd.DataFrame) -> np.ndarray:
+        d = (pdf[cols].to_numpy(float)[:, None, :] - loc[None]) / sc[None]
+        e = -0.5 * (d * d).sum(2) - np.log(sc).sum(1) - 0.5 * dim * np.log(2 * np.pi)
+        out = lt[None] + e[:, None, :]
+        if pdf["_seg"].iloc[0] == 0:
+            out[0] = li + e[0]  # whatever the state before
+        return out
+
     def matrix(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        e = emit(pdf[cols].to_numpy(float))
-        first = pdf["_seg"].iloc[0] == 0
-        if first:
-            m = np.tile(li + e[0], (k, 1))
-            e = e[1:]
-        else:
-            m = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)
-        for row in e:
-            m = (m[:, :, None] + lt[None]).max(1) + row
+        m = _levels(steps(pdf.sort_values("frame")))[-1][0]
         return pd.DataFrame({"track_id": [pdf["track_id"].iloc[0]], "_seg": [pdf["_seg"].iloc[0]], "m": [m.ravel().tolist()]})
 
     mats = cut_lineage(seg.groupBy("track_id", "_seg").applyInPandas(matrix, f"track_id {tt}, _seg long, m array<double>"))
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_seg")
-        ms = [np.array(m).reshape(k, k) for m in pdf["m"]]
-        scores = [ms[0][0]]
-        for m in ms[1:]:
-            scores.append((scores[-1][:, None] + m).max(0))
-        ends = [int(scores[-1].argmax())]
-        for i in range(len(ms) - 1, 0, -1):
-            ends.append(int((scores[i - 1] + ms[i][:, ends[-1]]).argmax()))
-        ends = ends[::-1]
-        starts = [-1] + ends[:-1]
-        return pd.DataFrame({"track_id": pdf["track_id"].to_numpy(), "_seg": pdf["_seg"].to_numpy(), "entry": starts, "exit": ends})
+        levels = _levels(np.array(pdf["m"].tolist(), float).reshape(-1, k, k))
+        ends = _best_states(levels, 0, int(levels[-1][0][0].argmax()), len(pdf))
+        return pd.DataFrame({"track_id": pdf["track_id"].to_numpy(), "_seg": pdf["_seg"].to_numpy(), "entry": np.r_[0, ends[:-1]], "exit": ends})
 
     # one row per segment: frames / segment_rows rows per track
     ends = mats.groupBy("track_id").applyInPandas(chain, f"track_id {tt}, _seg long, entry int, exit int")
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
-        e = emit(pdf[cols].to_numpy(float))
-        entry, last = int(pdf["entry"].iloc[0]), int(pdf["exit"].iloc[0])
-        n = len(pdf)
-        path = np.zeros(n, int)
-        path[-1] = last
-        if entry < 0:
-            _, ptr = forward(e[1:], li + e[0])
-            for t in range(n - 1, 0, -1):
-                path[t - 1] = ptr[t - 1, path[t]]
-        else:
-            start = np.full(k, -np.inf)
-            start[entry] = 0.0
-            _, ptr = forward(e, start)
-            for t in range(n - 1, 0, -1):
-                path[t - 1] = ptr[t, path[t]]
+        path = _best_states(_levels(steps(pdf)), int(pdf["entry"].iloc[0]), int(pdf["exit"].iloc[0]), len(pdf))
         return pd.DataFrame({"track_id": pdf["track_id"].to_numpy(), "frame": pdf["frame"].to_numpy(), "state": path})
 
     return seg.join(ends, ["track_id", "_seg"]).groupBy("track_id", "_seg").applyInPandas(decode, f"track_id {tt}, frame long, state int")
@@ -138,7 +131,8 @@ def kalman(df: DataFrame, q_pos: float = 0.01, q_vel: float = 0.1, r: float = 1.
     The gains depend on the frame number only, so a segment is an affine map of the state it starts from: every segment
     is run once from zero to get its map, the maps are chained per track, and every segment is run from its true start.
     """
-    gains = kalman_gains(2000, q_pos, q_vel, r)
+    longest = df.groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    gains = kalman_gains(longest, q_pos, q_vel, r)  # until they settle, or for the longest track
     a = np.array([[1, 1.0], [0, 1.0]])
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     tt, ft = types["track_id"], types["frame"]
