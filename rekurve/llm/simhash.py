@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -57,11 +57,12 @@ def fingerprints(description: Column, words: int = SHINGLE_WORDS, tables: int =
     return run.asNondeterministic()(description)  # so that a filter on it doesn't compute it twice
 
 
-def _links(vals: np.ndarray, group: np.ndarray, side: np.ndarray, bits: int) -> np.ndarray:
+def _links(vals: np.ndarray, group: np.ndarray, side: np.ndarray, bits: int, others: list[np.ndarray] = [], apart: int = 0) -> np.ndarray:
     """Pairs of nodes of the binary tries over ``vals``, walked together; returns for each row the first row it is linked to.
 
     Rows are sorted by group and value.  A node is a row range whose values share the leading bits.  ``side`` is 0 in a group that joins
-    with itself; a group with sides 1 and 2 joins the one with the other.
+    with itself; a group with sides 1 and 2 joins the one with the other.  With ``others`` a pair also has at most ``apart`` differing bits
+    in its values and these further fingerprints together.
     """
     n = len(vals)
     parent = np.arange(n)
@@ -91,7 +92,11 @@ def _links(vals: np.ndarray, group: np.ndarray, side: np.ndarray, bits: int) ->
         w = np.repeat(n2, size)
         i, j = np.repeat(l1, size) + k // w, np.repeat(l2, size) + k % w
         near = (i < j) & (np.bitwise_count(vals[i] ^ vals[j]) <= bits)
-        link(i[near], j[near])
+        i, j = i[near], j[near]
+        if others:
+            total = sum((np.bitwise_count(v[i] ^ v[j]).astype(np.int64) for v in (vals, *others)), np.zeros(len(i), np.int64))
+            i, j = i[total <= apart], j[total <= apart]
+        link(i, j)
 
     cut = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (side[1:] != side[:-1]), True][: n + 1]) if n else np.zeros(1, int)
     lo, hi = cut[:-1], cut[1:]
@@ -122,9 +127,12 @@ def _links(vals: np.ndarray, group: np.ndarray, side: np.ndarray, bits: int) ->
     return root(np.arange(n))
 
 
-def trie_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
+def trie_links(prints: DataFrame, bits: int = BITS, others: Sequence[str] = (), apart: int = 0) -> DataFrame:
     """Edges ``a, b`` that connect what is within ``bits`` differing bits; ``prints``: distinct ``value`` (long) with a ``node`` (long).
 
+    ``others`` names columns with further fingerprints (long).  A pair then links only if all its fingerprints together differ in at most
+    ``apart`` bits, which keeps unrelated texts apart however many there are.
+
     Two values within the budget agree on one of ``bits + 1`` stretches of the 64.  So the trie is built once for every rotation that
     brings a stretch to the front, and a walk starts at pairs of equal top nodes; Spark deals the tries out by top node.  Within a task,
     node pairs are walked together, differing bits add up, and a pair over the budget is dropped.  A top node with more than
@@ -135,8 +143,7 @@ def trie_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     blocks = bits + 1
     size = 64 // blocks
     rotated = [F.struct(F.lit(k).alias("block"), F.expr(f"shiftleft(value, {k * size}) | shiftrightunsigned(value, {64 - k * size})" if k else "value").alias("turned")) for k in range(blocks)]
-    d = prints.select("node", F.explode(F.array(*rotated)).alias("r")).select("node", "r.*").withColumn("top", F.shiftrightunsigned("turned", 64 - size))
-    d = cut_lineage(d)
+    d = prints.select("node", *others, F.explode(F.array(*rotated)).alias("r")).select("node", *others, "r.*").withColumn("top", F.shiftrightunsigned("turned", 64 - size))
     crowded = d.groupBy("block", "top").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > NODE_LIMIT)
     crowded = cut_lineage(crowded)  # at most rows / NODE_LIMIT
     usual = d.join(crowded, ["block", "top"], "left_anti").withColumns({"qa": F.lit(-1), "qb": F.lit(-1), "side": F.lit(0)})
@@ -144,7 +151,7 @@ def trie_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     masks = F.array(*[F.lit(m) for m in range(256) if bin(m).count("1") <= bits])
     dense = d.join(crowded.drop("n"), ["block", "top"]).withColumn("q", sub).withColumn("other", F.explode(F.transform(masks, lambda m: F.col("q").bitwiseXOR(m))))
     dense = dense.withColumns({"qa": F.least("q", "other"), "qb": F.greatest("q", "other"), "side": F.when(F.col("q") == F.col("other"), 0).when(F.col("q") < F.col("other"), 1).otherwise(2)})
-    cols = ["node", "block", "turned", "top", "qa", "qb", "side"]
+    cols = ["node", *others, "block", "turned", "top", "qa", "qb", "side"]
     dealt = usual.select(cols).unionByName(dense.select(cols)).repartition(width(spark), "block", "top", "qa", "qb")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +165,7 @@ def trie_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
         vals, side, node = vals[order], p.side.to_numpy(np.int64)[order], p.node.to_numpy(np.int64)[order]
         keys = [k[order] for k in keys]
         group = np.cumsum(np.r_[False, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-        first = _links(vals, group, side, bits)
+        first = _links(vals, group, side, bits, [p[c].to_numpy(np.int64)[order].view(np.uint64) for c in others], apart)
         tied = first != np.arange(len(vals))
         yield pd.DataFrame({"a": node[tied], "b": node[first[tied]]})
 
@@ -166,7 +173,14 @@ def trie_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def near_duplicate_notes(
-    experiments: DataFrame, experiment_id: str = "experiment_id", description: str = "description", words: int = SHINGLE_WORDS, bits: int = BITS, tables: int = 1
+    experiments: DataFrame,
+    experiment_id: str = "experiment_id",
+    description: str = "description",
+    words: int = SHINGLE_WORDS,
+    bits: int = BITS,
+    tables: int = 1,
+    checks: int = 0,
+    apart: int = 0,
 ) -> DataFrame:
     """``experiment_id, fingerprint, component_id`` for every row of ``experiments(experiment_id long, description string)``.
 
@@ -176,20 +190,29 @@ def near_duplicate_notes(
     whatever their names, are ignored; an empty table gives no rows.
 
     With more ``tables``, descriptions have so many independent fingerprints and link if any of them is within the budget: what one
-    fingerprint misses by chance another finds.  ``fingerprint`` is the first.
+    fingerprint misses by chance another finds.  ``fingerprint`` is the first.  With ``checks`` (fewer than ``tables``), such a pair also
+    has at most ``apart`` differing bits in that fingerprint and the next ``checks`` ones together: among n descriptions a single budget
+    meets about n * n unrelated pairs with a fixed small chance, and the check makes that chance negligible.
     """
     ship_package(experiments.sparkSession)
+    if checks >= tables:
+        checks = tables - 1
     d = experiments.select(F.col(experiment_id).cast("long").alias("experiment_id"), fingerprints(F.col(description), words, tables).alias("all"))
     d = cut_lineage(d)
     prints = cut_lineage(d.filter("experiment_id is not null").groupBy("all").agg(F.min("experiment_id").alias("node")))
+    others = [f"other{i}" for i in range(checks)]
     edges = None
     for k in range(tables):
-        own = prints.select(F.col("all")[k].alias("value"), "node")
-        if tables > 1:  # fingerprints that agree in this table alone
-            first = cut_lineage(own.groupBy("value").agg(F.min("node").alias("node")))
-            own, same = first, own.withColumnRenamed("node", "a").join(first.withColumnRenamed("node", "b"), "value").filter("a <> b").select("a", "b")
+        own = prints.select(F.col("all")[k].alias("value"), "node", *[F.col("all")[(k + 1 + i) % tables].alias(c) for i, c in enumerate(others)])
+        if tables > 1:  # what agrees in this table: all that is near to the first is joined to it at once and walks no trie
+            first = own.groupBy("value").agg(F.min(F.struct("node", *others)).alias("first"))
+            away = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"first.{c}"))) for c in others), F.lit(0))
+            own = own.join(first, "value").withColumns({"leads": F.col("node") == F.col("first.node"), "near": away <= apart if others else F.lit(True)})
+            own = cut_lineage(own.select("value", "node", *others, F.col("first.node").alias("to"), (F.col("leads") | ~F.col("near")).alias("walks")))
+            same = own.filter(~F.col("walks")).select(F.col("node").alias("a"), F.col("to").alias("b"))
+            own = own.filter("walks").select("value", "node", *others)
             edges = same if edges is None else edges.unionByName(same)
-        found = trie_links(own, bits)
+        found = trie_links(own, bits, others, apart)
         edges = found if edges is None else edges.unionByName(found)
     of = prints.join(components(edges), "node", "left").select("all", F.coalesce("component", "node").alias("component_id"))
     of = cut_lineage(of)

@@ -50,7 +50,9 @@ def test_stages(spark, tables):
     for _ in range(4):
         for i, a in enumerate(prints):
             for j, b in enumerate(prints[:i]):
-                if any((x ^ y).bit_count() <= cp.COPY_BITS for x, y in zip(a, b)):
+                bits = [(x ^ y).bit_count() for x, y in zip(a, b)]
+                three = [sum(bits[(k + i) % cp.COPY_TABLES] for i in range(cp.COPY_CHECKS + 1)) for k in range(cp.COPY_TABLES)]
+                if any(x <= cp.COPY_BITS and y <= cp.COPY_APART for x, y in zip(bits, three)):
                     own[i] = own[j] = min(own[i], own[j])
     groups = defaultdict(list)
     for r, g in zip(second, own):

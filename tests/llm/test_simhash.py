@@ -81,20 +81,36 @@ def test_notes(spark):
     assert simhash.near_duplicate_notes(spark.createDataFrame([], NOTES)).count() == 0
 
 
-def test_more_tables(spark):
+@pytest.mark.parametrize("tables, checks, apart", [(4, 0, 0), (4, 2, 24), (3, 2, 20)])
+def test_more_tables(spark, tables, checks, apart):
     rng = np.random.default_rng(8)
     base = [" ".join(rng.choice(["spot", "cell", "signal", "bleach", "plateau", "lamin", "drift", "probe"], 60)) for _ in range(12)]
     texts = base + [" ".join("other" if k == j else w for k, w in enumerate(t.split())) for j, t in enumerate(base)] + base[:3]
     ids = list(range(50, 50 + len(texts)))
-    prints = [simhash.fingerprints_of(t, 5, 4) for t in texts]
+    prints = [simhash.fingerprints_of(t, 5, tables) for t in texts]
+
+    def linked(a, b):
+        bits = [(x ^ y).bit_count() for x, y in zip(a, b)]
+        return any(bits[k] <= 6 and (not checks or sum(bits[(k + i) % tables] for i in range(checks + 1)) <= apart) for k in range(tables))
+
     par = {i: i for i in ids}
     for _ in ids:
         for i, a in zip(ids, prints):
             for j, b in zip(ids, prints):
-                if any(bin(x ^ y).count("1") <= 6 for x, y in zip(a, b)):
+                if linked(a, b):
                     par[i] = par[j] = min(par[i], par[j])
-    got = simhash.near_duplicate_notes(spark.createDataFrame(list(zip(ids, texts)), NOTES), words=5, bits=6, tables=4).collect()
-    assert {r.experiment_id: r.component_id for r in got} == par and len(set(par.values())) < len(base) + 6
+    got = simhash.near_duplicate_notes(spark.createDataFrame(list(zip(ids, texts)), NOTES), words=5, bits=6, tables=tables, checks=checks, apart=apart).collect()
+    assert {r.experiment_id: r.component_id for r in got} == par and len(base) <= len(set(par.values())) < len(base) + 9
+
+
+def test_check_of_further_fingerprints(spark):
+    """Equal and close values stay apart when their further fingerprints differ; those that lead a value and those that don't both link."""
+    rng = np.random.default_rng(5)
+    far, near = rng.integers(-(2**63), 2**63 - 1, 2).tolist()
+    rows = [(1, 0b0, far), (2, 0b1, far ^ 0b11), (3, 0b0, near), (4, 0b1, near ^ 0b1), (5, 0b111111, near)]
+    d = spark.createDataFrame(rows, "node long, value long, other long")
+    got = {r.node: r.component for r in common.components(simhash.trie_links(d, 2, ["other"], 5)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3}
 
 
 def test_components(spark):
