@@ -220,9 +220,13 @@ def x21(spark, sf):
     p = post(spark, sf).select("curve_id", F.col("t_post").alias("t"), F.col("y_post").alias("y"))
     base = cut_lineage(fit.profile_fit(p, ["curve_id"], "single"))
     j = p.join(base.select("curve_id", "amp", "baseline", "p0"), "curve_id")
-    rows = cut_lineage(rs.residual_bootstrap_rows(j, ["curve_id"], "t", "y", F.col("baseline") + F.col("amp") * (1 - F.exp(-F.col("t") / F.col("p0"))), 10))
+    rows = cut_lineage(rs.residual_bootstrap_rows(j, ["curve_id"], "t", "y", F.col("baseline") + F.col("amp") * (1 - F.exp(-F.col("t") / F.col("p0"))), 50))
     re = cut_lineage(fit.profile_fit(rows, ["curve_id", "rep"], "single"))
-    return quantiles(re, ["curve_id"], "p0", [0.025, 0.5, 0.975]).select("curve_id", F.col("q")[0].alias("tau_lo"), F.col("q")[1].alias("tau_median"), F.col("q")[2].alias("tau_hi"))
+    mobile = ql.mobile_fraction(F.col("baseline"), F.col("baseline") + F.col("amp"), F.lit(1.0))
+    values = {"tau": F.col("p0"), "mobile_fraction": mobile, "diffusion": F.try_divide(F.lit(1.0), 4 * F.col("p0"))}  # radius 1
+    long = re.select("curve_id", F.explode(F.array(*[F.struct(F.lit(k).alias("param"), v.cast("double").alias("v")) for k, v in values.items()])).alias("s")).select("curve_id", "s.*")
+    q = quantiles(long.filter("v is not null"), ["curve_id", "param"], "v", [0.025, 0.5, 0.975])
+    return q.select("curve_id", "param", F.col("q")[0].alias("lo"), F.col("q")[1].alias("median"), F.col("q")[2].alias("hi"))
 
 
 @query("X22_curve_bootstrap")
