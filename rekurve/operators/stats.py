@@ -261,14 +261,17 @@ def tost_p(tests: DataFrame) -> DataFrame:
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Contingency of two labels; one row."""
-    n = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
+    """Contingency of two labels; one row.  Rows without one of the labels don't count.
+
+    Only cells that occur are formed: an empty cell adds its expected count, and all expected counts add up to the total.
+    """
+    n = df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
     ra, rb = n.groupBy(a).agg(F.sum("o").alias("ra")), n.groupBy(b).agg(F.sum("o").alias("rb"))
     tot = n.agg(F.sum("o").alias("t"))
-    # every cell of the table, including empty ones: labels by labels
-    cells = ra.crossJoin(rb).crossJoin(F.broadcast(tot)).join(n, [a, b], "left")
+    cells = n.join(ra, a).join(rb, b).crossJoin(F.broadcast(tot))  # one row
     e = F.col("ra") * F.col("rb") / F.col("t")
-    return cells.agg(F.sum(F.pow(F.coalesce("o", F.lit(0)) - e, 2) / e).alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"), F.sum(F.coalesce("o", F.lit(0))).alias("n"))
+    chi2 = F.sum(F.pow(F.col("o") - e, 2) / e - e) + F.first("t")
+    return cells.agg(chi2.alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"), F.coalesce(F.sum("o"), F.lit(0)).alias("n"))
 
 
 def wasserstein(df: DataFrame, group: str, features: Sequence[str], first: str, second: str, keys: Sequence[str] = ()) -> DataFrame:
