@@ -18,18 +18,24 @@ NODE_LIMIT = 50_000
 FRONTIER, LEAVES = 1 << 16, 32
 
 
-def fingerprints_of(text: str | None, words: int = SHINGLE_WORDS, tables: int = 1) -> list[int]:
-    """A bit is 1 if more than half of the shingle hashes have it; 0 for a text without words.  Tables after the first mix the hashes anew."""
+def shingles_of(text: str | None, words: int) -> np.ndarray:
+    """The hash of every shingle in order; a text of fewer words is one shingle, and one without words has none."""
     t = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six white-space bytes only
     if not t:
-        return [0] * tables
+        return np.zeros(0, np.uint64)
     if len(t) <= words:
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(t), SEED)], np.uint64)
-    else:
-        line, digest = b" ".join(t), xxhash.xxh64_intdigest
-        ends = np.cumsum(np.fromiter(map(len, t), np.int64, len(t)) + 1)
-        a, b = [0, *ends[:-words].tolist()], (ends[words - 1 :] - 1).tolist()
-        h = np.fromiter([digest(line[i:j], SEED) for i, j in zip(a, b)], np.uint64, len(b))
+        return np.array([xxhash.xxh64_intdigest(b" ".join(t), SEED)], np.uint64)
+    line, digest = b" ".join(t), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, t), np.int64, len(t)) + 1)
+    a, b = [0, *ends[:-words].tolist()], (ends[words - 1 :] - 1).tolist()
+    return np.fromiter([digest(line[i:j], SEED) for i, j in zip(a, b)], np.uint64, len(b))
+
+
+def fingerprints_of(text: str | None, words: int = SHINGLE_WORDS, tables: int = 1) -> list[int]:
+    """A bit is 1 if more than half of the shingle hashes have it; 0 for a text without words.  Tables after the first mix the hashes anew."""
+    h = shingles_of(text, words)
+    if not len(h):
+        return [0] * tables
     out = []
     for table in range(tables):
         if table:
