@@ -55,3 +55,19 @@ def test_odd_rows(spark):
     assert got[500] == got[501] == [0] and sorted(got[502]) == [0, 1] and got[None] == got[503] == [1]
     assert toxicity.toxic_notes(d.limit(0), r).count() == 0
     assert toxicity.toxic_notes(d.limit(3), r.limit(0)).count() == 3
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_one_label_alone(label):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["signal", "plateau", "fool", "cell", "slowly"], n)) for n in [10] * 60 + [300] * 60]
+    m = toxicity.fit(texts, np.full(120, label), ["en"] * 120, np.ones(120), np.linspace(0, 0.99, 120))
+    assert {s >= 0.5 for s in toxicity.Scorer(m).scores([*texts, "unseen words", "", None])} == {label == 1}
+    assert max(toxicity.Scorer(toxicity.fit([], np.zeros(0), [], np.zeros(0), np.zeros(0))).scores(texts)) < 0.5
+
+
+def test_label_only_in_the_checked_fifth():
+    texts = ["the signal came back slowly", "plateau reached", "a plateau of the signal", "a fool came back"] * 30
+    y = np.array([0, 0, 0, 1] * 30)
+    m = toxicity.fit(texts, y, ["en"] * 120, np.ones(120), np.where(y, 0.9, 0.1))
+    assert [s >= 0.5 for s in toxicity.Scorer(m).scores(texts)] == y.astype(bool).tolist()
