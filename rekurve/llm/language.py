@@ -39,6 +39,16 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def has_letter(text: Column) -> Column:
+    """If a text has a word in the sense of ``words_of``."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(WORD.search(t or "")) for t in texts], dtype=bool)
+
+    return run(text)
+
+
 def script_of(word: str) -> int:
     return int(SCRIPT_OF[np.searchsorted(STARTS, ord(word[0]), "right") - 1])
 
@@ -72,9 +82,12 @@ class Model:
         bucket, start = triples(words)
         out = np.add.reduceat(self.logs[bucket], start, axis=0)
         first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
-        out[~self.scripts[SCRIPT_OF[np.searchsorted(STARTS, first, "right") - 1]]] = -np.inf
+        ruled_out = ~self.scripts[SCRIPT_OF[np.searchsorted(STARTS, first, "right") - 1]]
+        out[ruled_out] = -np.inf
         # letters of a word depend on each other: damp long words, so that no one word outweighs a sentence
-        return np.maximum((out - out.max(1, keepdims=True)) * 0.6, -12)
+        out = np.maximum((out - out.max(1, keepdims=True)) * 0.6, -12)
+        out[ruled_out] = -np.inf  # no floor for these
+        return out
 
 
 def viterbi(scores: np.ndarray, codes: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:

@@ -62,3 +62,9 @@ def test_nothing_to_learn(spark):
     d = spark.createDataFrame([(1, "a word", None)], NOTES)
     assert [tuple(r)[2:4] for r in language.note_languages(d).collect()] == [("und", 0.0)]
     assert language.note_languages(d.limit(0)).count() == 0
+
+
+def test_one_word_of_another_script(spark):
+    more = [(900, "the cell was bleached and клетка the signal came back", None)]
+    got = next(r for r in language.note_languages(fixture(spark, more)).collect() if r.experiment_id == 900)
+    assert [(s.language, s.words) for s in got.spans] == [("en", 5), ("ru", 1), ("en", 4)] and got.score < 1

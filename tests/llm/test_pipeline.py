@@ -81,3 +81,9 @@ def test_empty(spark, tables):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_no_language_to_learn(spark):
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(["the cell was bleached", "клетка", "", None, "12 34 ...", "7 a"] * 5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted(r.doc_id % 6 for r in cp.known_language(spark, docs, "").collect()) == [0] * 5 + [1] * 5 + [5] * 5
