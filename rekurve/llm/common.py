@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from rekurve.plans.session import cut_lineage, ship_package
 
@@ -72,14 +77,50 @@ def positions(df: DataFrame, by: list[str], ident: list[str], rows: int, per_tas
     parts = max(1, -(-rows // per_task))
     d = df.withColumn("_part", F.pmod(F.xxhash64(*ident), F.lit(parts)).cast("int"))
     counts = d.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     own = Window.partitionBy(*by, "_part").orderBy(*ident)
     return d.withColumn("_own", F.row_number().over(own) - 1).join(starts, [*by, "_part"]).withColumn(name, F.col("_start") + F.col("_own")).drop("_part", "_own", "_start")
 
 
+def ranks(df: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """``df`` with the place of each row in its group, from 0 without a gap, by ``order`` (missing values first).
+
+    Rows are cut into ranges of ``by`` and ``order`` and written, so a group of any size lies in neighbouring ranges and no task gets it
+    whole; ``order`` must tell all rows of a group apart.  A range numbers its rows as they pass, and only the group that a range begins
+    with is moved on, by what the ranges before hold of it: one number for each range, which is all that is sent to every task.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    keys = [F.col(c).asc_nulls_first() for c in (*by, *order)]
+    d = df.repartitionByRange(width(spark), *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, begun, seen = None, 0, 0  # the keys of the row before, where its group began, and rows so far
+        for p in batches:
+            if not p.num_rows:
+                continue
+            new = np.zeros(p.num_rows, bool)
+            for k, c in enumerate(by):
+                col = pa.concat_arrays([p.column(c)[:1] if held is None else held[k], p.column(c)])
+                same = pc.fill_null(pc.equal(col[1:], col[:-1]), False).to_numpy(zero_copy_only=False)
+                none = pc.is_null(col).to_numpy(zero_copy_only=False)
+                new |= ~(same | (none[1:] & none[:-1]))
+            held = [p.column(c)[-1:] for c in by]
+            at = seen + np.arange(p.num_rows)
+            start = np.maximum.accumulate(np.where(new, at, begun))
+            begun, seen = int(start[-1]), seen + p.num_rows
+            yield pa.RecordBatch.from_arrays([*p.columns, pa.array(at), pa.array(at - start)], [*p.schema.names, "_at", "_own"])
+
+    d = cut_lineage(d.mapInArrow(number, T.StructType([*d.schema.fields, T.StructField("_at", T.LongType()), T.StructField("_own", T.LongType())])))
+    ends = d.groupBy("_part").agg(F.min_by(F.struct(*by), "_at").alias("head"), F.max_by(F.struct(*by, "_own"), "_at").alias("tail"))
+    both = F.array(F.struct(F.col("head").alias("of"), F.lit(0).cast("long").alias("n")), F.struct(F.struct(*[f"tail.{c}" for c in by]).alias("of"), (F.col("tail._own") + 1).alias("n")))
+    before = Window.partitionBy("of").orderBy("_part").rangeBetween(Window.unboundedPreceding, -1)
+    moved = ends.select("_part", F.inline(both)).withColumn("_moved", F.sum("n").over(before)).filter("n = 0 and _moved > 0").select("_part", "_moved")
+    d = d.join(F.broadcast(cut_lineage(moved)), "_part", "left")  # at most a row for each range
+    return d.withColumn(name, F.col("_own") + F.when(F.col("_at") == F.col("_own"), F.coalesce("_moved", F.lit(0))).otherwise(0)).drop("_part", "_at", "_own", "_moved")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every end of an edge ``a, b`` (longs); component is the smallest node that can be reached.
 
@@ -107,4 +148,4 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([], "node long, component long") if out is None else out
 
 
-__all__ = ["SAMPLE_PER_RANGE", "components", "cut_lineage", "free_name", "held_out", "literal", "positions", "range_index", "range_splits", "share_hash", "ship_package", "width"]
+__all__ = ["SAMPLE_PER_RANGE", "components", "cut_lineage", "free_name", "held_out", "literal", "positions", "range_index", "range_splits", "ranks", "share_hash", "ship_package", "width"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rekurve.llm import bpe, language, lz_fingerprints, packing, sharding, simhash, subspace, token_counts, toxicity, url_rules
+from rekurve.llm import bpe, language, lz_fingerprints, packing, sharding, simhash, subspace, tight_packing, token_counts, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,8 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     d = toxicity.toxic_notes(notes(spark, sf, F.col("lang").alias("language")), reviews(spark, sf))
     return d.withColumnRenamed("experiment_id", "doc_id")
+
+
+@query("op11_best_fit_packing")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return tight_packing.pack_tightly(notes(spark, sf), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("experiment_id", "doc_id")
