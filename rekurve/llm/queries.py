@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rekurve.llm import bpe, language, lz_fingerprints, packing, sharding, simhash, subspace, tight_packing, token_counts, toxicity, url_rules
+from rekurve.llm import bpe, language, lz_fingerprints, merkle, packing, sharding, simhash, subspace, tight_packing, token_counts, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,54 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_best_fit_packing")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return tight_packing.pack_tightly(notes(spark, sf), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("experiment_id", "doc_id")
+
+
+FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query("op12_merkle_manifest")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(FIELDS)
+    altered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    claim = merkle.leaf_digest(*[altered if c == "n_chars" else F.col(c) for c in FIELDS])
+    m = merkle.file_manifest(d, FIELDS, "doc_id", "lang", claim)
+    m = m.select(F.col("file_id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings_text(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), merkle.folded(F.col("claim"), F.col("proof")).alias("folded_root"))
+    return m.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: CRC-32 of the digits of a number, a byte and its eight shifts at a time.
+CRC32 = "xor(list_reduce(list_concat([4294967295], flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split({0}::varchar, '')])), lambda h, x: case when x >= 0 then xor(h, x) else xor(h >> 1, 3988292384 * (h & 1)) end), 4294967295)"
+_PARTS = ["coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')".format(c) for c in FIELDS]
+_TREE = """
+  select {by}, pos, n, digest, 0 as level from {base}
+  union all
+  select {by}, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' order by pos)), any_value(level) + 1
+  from {name} where n > 1 group by {by}, pos // 2"""
+_SIDES = """
+  select {key}, t.level, case when s.pos < t.pos then s.digest end as l, case when s.pos > t.pos then s.digest end as r
+  from {base} b join {name} t on {same} and t.pos = b.pos >> t.level and t.n > 1 left join {name} s on {sibling} and s.level = t.level and s.pos = xor(t.pos, 1)"""
+ORACLES["op12_merkle_manifest"] = f"""
+with recursive leaf as (
+  select doc_id, lang, sha256({' || '.join(_PARTS)}) as digest,
+         sha256({' || '.join(_PARTS).replace('n_chars', f"(n_chars + case when {CRC32.format('doc_id')} % 7 = 0 then 1 else 0 end)")}) as claim
+  from documents
+), base as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, digest) - 1 as pos, count(*) over (partition by lang) as n, row_number() over () as id from leaf
+), tree as ({_TREE.format(by='lang', base='base', name='tree')}
+), top as (
+  select lang, digest, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n, 0 as one from tree where n = 1
+), crown as ({_TREE.format(by='one', base='top', name='crown')}
+), steps as ({_SIDES.format(key='b.id', base='base', name='tree', same='t.lang is not distinct from b.lang', sibling='s.lang is not distinct from t.lang')}
+  union all
+  select d.id, 1000 + c.level, c.l, c.r from base d join ({_SIDES.format(key='b.lang', base='top', name='crown', same='true', sibling='true')}) c on c.lang is not distinct from d.lang
+), proof as (
+  select id, list({{'l': coalesce(l, ''), 'r': coalesce(r, '')}} order by level) as s from steps group by id
+), fold as (
+  select b.id, b.claim as node, coalesce(p.s, []) as s from base b left join proof p using (id)
+  union all
+  select id, sha256(s[1].l || node || s[1].r), s[2:] from fold where len(s) > 0
+)
+select b.doc_id, b.digest as leaf, t.digest as subroot, c.digest as root,
+       sha256(coalesce(array_to_string(list_transform(p.s, lambda x: x.l || x.r), ''), '')) as proof_sha256, f.node as folded_root, f.node = c.digest as verified
+from base b join top t on t.lang is not distinct from b.lang join crown c on c.n = 1 left join proof p using (id) join fold f on f.id = b.id and len(f.s) = 0
+"""
