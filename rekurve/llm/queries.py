@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rekurve.llm import bpe, language, lz_fingerprints, merkle, packing, sharding, simhash, subspace, tight_packing, token_counts, toxicity, url_rules
+from rekurve.llm import bpe, language, lz_fingerprints, merkle, packing, sharding, simhash, state_tree, subspace, tight_packing, token_counts, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +167,46 @@ select b.doc_id, b.digest as leaf, t.digest as subroot, c.digest as root,
        sha256(coalesce(array_to_string(list_transform(p.s, lambda x: x.l || x.r), ''), '')) as proof_sha256, f.node as folded_root, f.node = c.digest as verified
 from base b join top t on t.lang is not distinct from b.lang join crown c on c.n = 1 left join proof p using (id) join fold f on f.id = b.id and len(f.s) = 0
 """
+
+
+@query("op13_conversation_trie")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").withColumnsRenamed({"conv_id": "cell_id", "turn": "frame"})
+    nodes = state_tree.with_digests(*state_tree.state_tree(*state_tree.families(state_tree.states(turns, state=("role", "text")))))
+    names = {"cell_id": "conv_id", "parent_cell_id": "parent_conv_id", "n_cells": "n_convs", "saved_words": "saved_tokens"}
+    return nodes.drop("ending").withColumnsRenamed(names)
+
+
+ORACLES["op13_conversation_trie"] = f"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), named as (
+  select conv_id, turn, md5(strlen(role) || ':' || role || strlen(text) || ':' || text) as name, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from said
+), t as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, name) as pos from named
+), c as (
+  select conv_id, conv_id - conv_id % 20 as base, {CRC32.format('conv_id')} % 4 as h from (select distinct conv_id from t)
+), k as (
+  select c.*, (select count(*) from t where t.conv_id = c.base and t.pos <= c.h) as k from c
+), built as (
+  select k.conv_id, t.pos, t.name, t.words from k join t on t.conv_id = k.base and t.pos <= k.h
+  union all
+  select k.conv_id, k.k + t.pos - k.h, t.name, t.words from k join t on t.conv_id = k.conv_id and t.pos > k.h
+), way as (
+  select conv_id, pos as depth, words, string_agg(name, '') over (partition by conv_id order by pos) as prefix from built
+  union all
+  select conv_id, 0, 0, '' from c
+), node as (
+  select prefix, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words from way group by prefix
+), child as (
+  select n.*, p.conv_id as parent_conv_id, (select count(*) from node s where s.depth = n.depth + 1 and s.prefix[:-33] = n.prefix) as n_children
+  from node n left join node p on n.depth > 0 and p.prefix = n.prefix[:-33]
+), sub as (
+  select w.prefix, sum(case when n.n_children = 0 then 1 else 0 end)::bigint as n_leaves, sum((n.n_convs - 1) * n.words)::bigint as saved_tokens
+  from child n join way w on w.conv_id = n.conv_id and w.depth <= n.depth group by 1
+), ends as (
+  select prefix, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as digest from (select conv_id, max_by(prefix, depth) as prefix from way group by 1) group by 1
+)
+select n.conv_id, n.depth::bigint as depth, n.parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, coalesce(e.digest, sha256('')) as ends_sha256
+from child n join sub s using (prefix) left join ends e using (prefix)
+"""
