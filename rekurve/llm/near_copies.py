@@ -1,4 +1,4 @@
-"""Near copies by the true similarity of their word shingles: minimum hashes bring pairs together, the shingle sets themselves decide."""
+"""Near copies by the true similarity of their word shingles: fingerprint tries and minimum hashes bring pairs together, the shingle sets decide."""
 
 from __future__ import annotations
 
@@ -6,27 +6,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rekurve.llm.common import components, cut_lineage, ship_package, width
-from rekurve.llm.simhash import shingles_of
+from rekurve.llm.simhash import BITS, fingerprint_of_hashes, shingles_of, trie_links
 
 #: A pair that shares 0.8 of its shingles agrees on a minimum hash with chance 0.8, on all of a band with 0.33, and on one band or more with 0.99995.
 BANDS, BAND_ROWS = 25, 5
 FACTORS = np.random.default_rng(7).integers(0, 1 << 31, BANDS * BAND_ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
-#: A pair goes to its texts if its share of equal minimum hashes is less than this below the bound: 4.5 standard deviations at 0.8.
+#: In the last step, a pair goes to its texts if its share of equal minimum hashes is less than this below the bound: 4.5 standard deviations at 0.8.
 MARGIN = 0.16
-#: Rounds in which what shares a band is held against one text of it; then all pairs that are still unconnected.  Texts of a part that one task compares.
-ROUNDS, PART = 3, 2000
+#: Turns in which a text is held against one text that shares a band with it; then all pairs that are still unconnected.
+TURNS = 3
+#: Members of a band that one task compares by their minimum hashes, and shingles of the texts whose sets one task holds for each side.
+PART, PART_SHINGLES = 2000, 200_000
 
 
-def sketch_of(text: str | None, words: int) -> tuple[bytes, int, bytes, list[int]]:
-    """A digest of the set of shingles, its size, a byte of each minimum hash, and a key for each band; a text without words has no band."""
-    h = np.unique(shingles_of(text, words))
+def sketch_of(text: str | None, words: int) -> tuple[bytes, int, int, bytes, list[int]]:
+    """A digest of the set of shingles, its size, the SimHash, a byte of each minimum hash, and a key for each band; a text without words has no band."""
+    all_of_them = shingles_of(text, words)
+    h = np.unique(all_of_them)
     digest = xxhash.xxh3_128_digest(h.tobytes())
     if not len(h):
-        return digest, 0, b"", []
+        return digest, 0, 0, b"", []
     x, least = (h >> np.uint64(32)).astype(np.uint32), np.full(len(FACTORS), (1 << 32) - 1, np.uint32)
     for i in range(0, len(x), 512):
         np.minimum(least, (x[i : i + 512, None] * FACTORS).min(0), out=least)
@@ -34,123 +38,194 @@ def sketch_of(text: str | None, words: int) -> tuple[bytes, int, bytes, list[int
     for column in least.astype(np.uint64).reshape(BANDS, BAND_ROWS).T:
         key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return digest, len(h), ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes(), key.view(np.int64).tolist()
+    marks = ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+    return digest, len(h), int(np.uint64(fingerprint_of_hashes(all_of_them)).view(np.int64)), marks, key.view(np.int64).tolist()
 
 
 def sketches(text: Column, words: int) -> Column:
-    @F.pandas_udf("digest binary, size int, marks binary, bands array<long>")
+    @F.pandas_udf("digest binary, size int, print long, marks binary, bands array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([sketch_of(t, words) for t in s], columns=["digest", "size", "marks", "bands"])
+            yield pd.DataFrame([sketch_of(t, words) for t in s], columns=["digest", "size", "print", "marks", "bands"])
 
     return run.asNondeterministic()(text)
 
 
-def alike(p: np.ndarray, q: np.ndarray, least: float) -> bool:
-    """If two sets share ``least`` of what they have together."""
-    common = len(np.intersect1d(p, q, assume_unique=True))
-    return common >= least * (len(p) + len(q) - common) - 1e-9
-
-
-def promising(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs ``a, b`` whose sizes and minimum hashes leave the bound possible."""
-
-    @F.pandas_udf("double")
-    def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
-        p, q = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (a, b))
-        return pd.Series((p == q).mean(1) if len(a) else np.zeros(0))
-
-    for end in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("marks").alias(f"marks_{end}")), end)
-    pairs = pairs.filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9)
-    return pairs.filter(agreeing("marks_a", "marks_b") >= least - MARGIN).select("a", "b")
+def shingle_sets(text: Column, words: int) -> Column:
+    """The sorted distinct shingle hashes, eight bytes each."""
 
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([np.unique(shingles_of(t, words)).tobytes() for t in s])
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs ``a, b`` whose texts share ``least`` of their shingles; ``texts``: ``node, text``."""
+    return run.asNondeterministic()(text)
 
-    @F.pandas_udf("boolean")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        held, own = None, None
-        for a, b in batches:
-            out = []
-            for x, y in zip(a, b):
-                if own is None or x != held:
-                    held, own = x, np.unique(shingles_of(x, words))
-                out.append(alike(own, np.unique(shingles_of(y, words)), least))
-            yield pd.Series(out, dtype=bool)
 
-    for end in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
-    return pairs.filter(run("text_a", "text_b")).select("a", "b")
+def linked(sets: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Of the pairs ``a, b``, a tree of edges over those whose sets share ``least`` of what they have together."""
+    nodes = list(sets)
+    place = {n: i for i, n in enumerate(nodes)}
+    size = np.array([len(sets[n]) for n in nodes], np.int64)
+    start = np.cumsum(size) - size
+    ids = np.unique(np.concatenate([sets[n] for n in nodes]), return_inverse=True)[1]
+    x, y = (np.fromiter((place[n] for n in side.tolist()), np.int64, len(side)) for side in (a, b))
+    often = np.bincount(np.r_[x, y], minlength=len(nodes))
+    x, y = np.where(often[x] >= often[y], x, y), np.where(often[x] >= often[y], y, x)  # x has the hubs
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    parent, out, flag = list(range(len(nodes))), [], np.zeros(int(ids.max(initial=-1)) + 1, bool)
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for own in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1) if len(x) else []:
+        hub = x[own[0]]
+        mine = ids[start[hub] : start[hub] + size[hub]]
+        flag[mine] = True
+        for k in range(0, len(own), 256):
+            other = y[own[k : k + 256]]
+            n = size[other]
+            first = np.cumsum(n) - n
+            at = np.repeat(start[other] - first, n) + np.arange(int(n.sum()))
+            common = np.add.reduceat(flag[ids[at]].astype(np.int64), first) if len(at) else np.zeros(len(other), np.int64)
+            for i in other[common >= least * (n + size[hub] - common) - 1e-9].tolist():
+                p, q = root(i), root(hub)
+                if p != q:
+                    parent[p] = q
+                    out.append((nodes[i], nodes[hub]))
+        flag[mine] = False
+    return out
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Edges ``a, b`` that connect what the pairs ``a, b`` whose texts share ``least`` of their shingles connect.
+
+    The nodes of the pairs are dealt into parts of about ``PART_SHINGLES`` shingles; a pair belongs to its two parts, and a text's set goes
+    once to every pair of parts where it is asked for.  A task decides all pairs of two parts and gives a tree of edges.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "size"), "node")
+    ends = cut_lineage(ends)
+    parts = max(1, -(-(ends.agg(F.sum("size")).first()[0] or 0) // PART_SHINGLES))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("long")
+    sets = cut_lineage(texts.join(ends, "node").select("node", shingle_sets(F.col("text"), words).alias("hashes")))
+    dealt = pairs.select("a", "b", F.least(part("a"), part("b")).alias("low"), F.greatest(part("a"), part("b")).alias("high"))
+    needs = dealt.select(F.explode(F.array("a", "b")).alias("node"), "low", "high").distinct()
+    needs = cut_lineage(needs.join(sets, "node"))
+
+    def decide(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = linked({n: np.frombuffer(h, np.uint64) for n, h in zip(right["node"], right["hashes"])}, left["a"].to_numpy(), left["b"].to_numpy(), least) if len(left) else []
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("low", "high").cogroup(needs.groupBy("low", "high")).applyInPandas(decide, "a long, b long")
+
+
+def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, node, component``, those of a key together: the nodes whose component is not that of the first node of their key, with that node."""
+    held = None
+    for p in batches:
+        if not p.num_rows:
+            continue
+        key, node, comp = (p.column(c).to_numpy() for c in ("key", "node", "component"))
+        if held is not None:
+            key, node, comp = np.r_[held[0], key], np.r_[held[1], node], np.r_[held[2], comp]
+        first = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))
+        held = key[-1], node[first[-1]], comp[first[-1]]
+        apart = comp != comp[first]
+        yield pa.RecordBatch.from_arrays([pa.array(node[apart]), pa.array(node[first][apart])], ["node", "to"])
 
 
 def unconnected(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """All promising pairs ``a, b`` within a key of ``members(key, node, component)`` that differ in their component.
+    """All pairs ``a, b`` within a key of ``members(key, node, component)`` that differ in their component and may be near copies.
 
-    Members of a key are cut into parts of about ``PART``, and each pair of parts is compared by one task.
+    Members of a key that are not of its largest component are held against all of its members.  These are cut into parts and those into
+    chunks of about ``PART``; a member goes to every chunk and one outside of the largest component also to every part, so what is sent
+    grows with the square of those outside only, and no more than one task's part and chunk are held at a time.
     """
-    parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    d = members.join(parts, "key").join(nodes.select("node", "size", "marks"), "node")
-    d = d.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    d = d.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("parts", "other").repartition(width(members.sparkSession), "key", "low", "high")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [p for p in batches if len(p)]
-        if not held:
-            return
-        for _, g in pd.concat(held, ignore_index=True).groupby(["key", "low", "high"], sort=False):
-            if len(g) < 2:
-                continue
-            marks = np.frombuffer(b"".join(g.marks), np.uint8).reshape(len(g), -1)
-            node, comp, size, own = (g[c].to_numpy(np.int64) for c in ("node", "component", "size", "own"))
-            cross = g.low.iloc[0] != g.high.iloc[0]
-            for i in range(0, len(g), 32):
-                k = slice(i, i + 32)
-                good = (node[k, None] < node) & (comp[k, None] != comp) & (np.minimum(size[k, None], size) >= least * np.maximum(size[k, None], size) - 1e-9)
-                if cross:
-                    good &= own[k, None] != own
-                a, b = np.nonzero(good)
-                near = np.concatenate([(marks[k][a[j : j + 50_000]] == marks[b[j : j + 50_000]]).mean(1) >= least - MARGIN for j in range(0, len(a), 50_000)] or [np.zeros(0, bool)])
-                if near.any():
-                    yield pd.DataFrame({"a": node[k][a[near]], "b": node[b[near]]})
-
-    return d.mapInPandas(compare, "a long, b long").distinct()
+    of = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    of = of.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most"))
+    of = of.select("key", F.ceil(F.col("all") / PART).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("most.n")) / PART).cast("int").alias("chunks"), F.col("most.component").alias("main"))
+    d = members.join(cut_lineage(of), "key").join(nodes.select("node", "size", "marks"), "node")
+    d = d.withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "chunk": F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")})
+    each = lambda n, row: F.transform(F.sequence(F.lit(0), F.col(n) - 1), row)
+    as_member = each("chunks", lambda k: F.struct(F.col("part").alias("p"), k.alias("c"), F.lit(False).alias("asks")))
+    as_asking = each("parts", lambda k: F.struct(k.alias("p"), F.col("chunk").alias("c"), F.lit(True).alias("asks")))
+    d = d.withColumn("outside", F.col("component") != F.col("main"))
+    d = d.select("key", "node", "component", "size", "marks", "outside", F.inline(F.when(F.col("outside"), F.concat(as_member, as_asking)).otherwise(as_member)))
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        asks = g["asks"].to_numpy(bool)
+        x, y = g[asks], g[~asks]
+        mark = [np.frombuffer(b"".join(t.marks), np.uint8).reshape(len(t), -1) if len(t) else np.zeros((0, 1), np.uint8) for t in (x, y)]
+        (n1, c1, s1), (n2, c2, s2) = ([t[c].to_numpy(np.int64) for c in ("node", "component", "size")] for t in (x, y))
+        twice, out = y["outside"].to_numpy(bool), []  # such a pair is met from both ends
+        for i in range(len(x)):
+            good = (c2 != c1[i]) & (~twice | (n1[i] < n2)) & (np.minimum(s1[i], s2) >= least * np.maximum(s1[i], s2) - 1e-9)
+            at = np.flatnonzero(good)
+            at = at[(mark[1][at] == mark[0][i]).mean(1) >= least - MARGIN]
+            if len(at):
+                out.append(pd.DataFrame({"a": n1[i], "b": n2[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+
+    found = d.groupBy("key", "p", "c").applyInPandas(compare, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, row: str, text: str, words: int, least: float) -> DataFrame:
     """``row, component_id`` for every row of ``docs``: the smallest row that links reach; ``row`` is a long that repeats in no other row.
 
     Two texts link if their sets of shingles of ``words`` words (lower case; a shorter text is one shingle) have a Jaccard similarity of
-    ``least`` or more; texts without words link with each other.  No link is below the bound.  Equal sets are one node.  Nodes that agree
-    in a band of minimum hashes are candidates: first each of them against one node of its band, which connects a large group of copies
-    by as many comparisons as it has texts, and at last all pairs in a band that are not connected.  Only candidates' texts are shuffled.
+    ``least`` or more; missing texts and those without words link with each other.  No link is below the bound.  Repeated rows and equal
+    sets are one node, other columns are ignored, whatever their names, and an empty table gives no rows.
+
+    Candidates come first from the binary tries over SimHash fingerprints, which connect what differs little.  Nodes that agree in a band of
+    minimum hashes are candidates too: in each turn a node gets one of the nodes that lead its bands, which connects a large group of
+    copies by as many comparisons as it has texts, and at last all pairs in a band that are not connected are met.  ``docs`` is read more
+    than once, so it has to be a written table or one that repeats its rows exactly.
     """
     ship_package(docs.sparkSession)
     d = cut_lineage(docs.select(F.col(row).alias("node"), sketches(F.col(text), words).alias("s")).select("node", "s.*"))
-    lead = cut_lineage(d.groupBy("digest").agg(F.min("node").alias("node")))
-    nodes = cut_lineage(d.join(lead.select("node"), "node", "left_semi"))
+    same = cut_lineage(d.groupBy("digest").agg(F.min("node").alias("node")))
+    nodes = cut_lineage(d.join(same.select("node"), "node", "left_semi"))
     texts = docs.select(F.col(row).alias("node"), F.col(text).alias("text"))
-    m = nodes.select("node", F.explode("bands").alias("key"))
-    m = cut_lineage(m.join(m.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key", "left_semi"))
-    links = tested = of = None
-    for turn in range(ROUNDS + 1):
-        named = m.withColumn("component", F.col("node")) if of is None else cut_lineage(m.join(of, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
-        first = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "component")).alias("first"))
-        first = first.filter("low <> high").select("key", F.col("first.node").alias("to"), F.col("first.component").alias("at"))
-        m = cut_lineage(named.join(first, "key"))
-        if m.isEmpty():
-            break
-        if turn < ROUNDS:
-            pairs = m.filter("component <> at").select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-        else:
-            pairs = unconnected(m.select("key", "node", "component"), nodes, least)
-        m = m.select("key", "node")
+    links = of = tested = None
+
+    def connect(pairs: DataFrame) -> None:
+        """Decide the pairs ``a, b`` (a < b) that were not met before, and what is connected then."""
+        nonlocal links, of, tested
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
-        good = cut_lineage(verified(cut_lineage(promising(pairs, nodes, least)) if turn < ROUNDS else pairs, texts, words, least))
+        good = cut_lineage(verified(pairs, nodes, texts, words, least))
         tested, links = (pairs, good) if tested is None else (tested.unionByName(pairs), links.unionByName(good))
         of = cut_lineage(components(links))
-    found = lead if of is None else lead.join(of, "node", "left").select("digest", F.coalesce("component", "node").alias("node"))
-    return d.select(F.col("node").alias(row), "digest").join(cut_lineage(found.select("digest", F.col("node").alias("component_id"))), "digest").drop("digest")
+
+    prints = nodes.filter("size > 0").select("node", F.col("print").alias("value"))
+    lone = cut_lineage(prints.groupBy("value").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
+    alike = prints.join(lone.filter("n > 1"), "value").filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = trie_links(lone.select("value", F.col("first").alias("node")), BITS)
+    connect(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(alike).distinct())
+
+    m = nodes.select("node", F.explode("bands").alias("key"))
+    for turn in range(TURNS + 1):
+        m = m.join(of, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        m = cut_lineage(m)
+        mixed = m.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+        m = cut_lineage(m.join(cut_lineage(mixed), "key", "left_semi"))
+        if m.isEmpty():
+            break
+        if turn < TURNS:
+            draw = F.xxhash64("node", F.lit(turn))
+            dealt = m.withColumn("draw", draw).repartitionByRange(width(docs.sparkSession), "key", "draw", "node").sortWithinPartitions("key", "draw", "node")
+            pairs = dealt.select("key", "node", "component").mapInArrow(lead, "node long, to long")
+            pairs = pairs.groupBy("node").agg(F.min_by("to", F.xxhash64("to", "node", F.lit(turn))).alias("to"))
+            pairs = pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+        else:
+            pairs = unconnected(m, nodes, least)
+        connect(pairs)
+        m = m.select("key", "node")
+    found = same.join(of, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return d.select(F.col("node").alias(row), "digest").join(cut_lineage(found), "digest").drop("digest")

@@ -31,20 +31,23 @@ def shingles_of(text: str | None, words: int) -> np.ndarray:
     return np.fromiter([digest(line[i:j], SEED) for i, j in zip(a, b)], np.uint64, len(b))
 
 
+def fingerprint_of_hashes(h: np.ndarray) -> int:
+    """A bit is 1 if more than half of the shingle hashes have it; 0 where there is none."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints_of(text: str | None, words: int = SHINGLE_WORDS, tables: int = 1) -> list[int]:
-    """A bit is 1 if more than half of the shingle hashes have it; 0 for a text without words.  Tables after the first mix the hashes anew."""
+    """The fingerprint of a text; tables after the first mix the shingle hashes anew."""
     h = shingles_of(text, words)
-    if not len(h):
-        return [0] * tables
     out = []
     for table in range(tables):
         if table:
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(32)
-        ones = np.zeros(64, np.int64)
-        for k in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]))
+        out.append(fingerprint_of_hashes(h))
     return out
 
 

@@ -55,15 +55,45 @@ def texts():
     return out + ["one two", "One  two", "one", "", None, " \n", "a b c d e", "a b c d f"]
 
 
-@pytest.mark.parametrize("rounds, part", [(3, 2000), (0, 7)])
-def test_true_similarity_decides(spark, texts, monkeypatch, rounds, part):
-    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+@pytest.mark.parametrize("turns, part, shingles", [(2, 2000, 200_000), (0, 7, 1500)])
+def test_true_similarity_decides(spark, texts, monkeypatch, turns, part, shingles):
+    monkeypatch.setattr(near_copies, "TURNS", turns)
     monkeypatch.setattr(near_copies, "PART", part)
+    monkeypatch.setattr(near_copies, "PART_SHINGLES", shingles)
     d = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
     got = {r.row: r.component_id for r in near_copies.near_copies(cp.cut_lineage(d), "row", "text", 5, 0.8).collect()}
     assert [got[i] for i in range(len(texts))] == groups(texts)
 
 
-def test_stage(spark, texts):
+@pytest.mark.parametrize("seed", [1, 2])
+def test_linked(seed):
+    """Edges connect what all pairs within the bound connect, and no pair below it is an edge."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = {100 + i: np.unique(np.r_[base[rng.random(60) < 0.93], rng.integers(0, 1 << 62, rng.integers(0, 4)).astype(np.uint64)]) for i in range(25)}
+    a, b = np.array([(i, j) for i in sets for j in sets if i < j]).T
+    got = near_copies.linked(sets, a, b, 0.8)
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    assert all(alike(i, j) for i, j in got) and len(got) < len(sets)
+    for edges in (got, [(i, j) for i, j in zip(a, b) if alike(i, j)]):
+        of = {i: {i} for i in sets}
+        for i, j in edges:
+            both = of[i] | of[j]
+            of.update(dict.fromkeys(both, both))
+        found = {frozenset(s) for s in of.values()}
+        assert edges is got or found == first
+        first = found
+
+
+def test_lead():
+    import pyarrow as pa
+
+    rows = [(1, 10, 0), (1, 11, 0), (1, 12, 7), (2, 13, 7), (2, 14, 0), (3, 15, 1)]
+    cut = [pa.RecordBatch.from_pydict(dict(zip(("key", "node", "component"), zip(*part)))) for part in (rows[:2], rows[2:4], rows[4:])]
+    assert [tuple(r.values()) for p in near_copies.lead(iter(cut)) for r in p.to_pylist()] == [(12, 10), (14, 13)]
+
+
+def test_stage(spark, texts, monkeypatch):
+    monkeypatch.setattr(near_copies, "TURNS", 1)
     docs = cp.cut_lineage(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], DOCS))
     assert sorted(r.doc_id for r in cp.one_of_each_copy(spark, docs, "").collect()) == sorted(set(groups(texts)))

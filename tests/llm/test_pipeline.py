@@ -4,10 +4,11 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from rekurve.llm import simhash
+from test_near_copies import groups as near_groups
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -45,15 +46,7 @@ def test_stages(spark, tables):
     assert held[0] == key(first)
     second = [r for r in first if "fool" not in r[1]]
     assert held[1] == key(second)
-    prints = [simhash.fingerprints_of(t, cp.COPY_WORDS, cp.COPY_TABLES) for _, t, _ in second]
-    own = list(range(len(second)))
-    for _ in range(4):
-        for i, a in enumerate(prints):
-            for j, b in enumerate(prints[:i]):
-                bits = [(x ^ y).bit_count() for x, y in zip(a, b)]
-                three = [sum(bits[(k + i) % cp.COPY_TABLES] for i in range(cp.COPY_CHECKS + 1)) for k in range(cp.COPY_TABLES)]
-                if any(x <= cp.COPY_BITS and y <= cp.COPY_APART for x, y in zip(bits, three)):
-                    own[i] = own[j] = min(own[i], own[j])
+    own = near_groups([t for _, t, _ in second])
     groups = defaultdict(list)
     for r, g in zip(second, own):
         groups[g].append(r)
@@ -76,6 +69,19 @@ def test_run(spark, tables):
         assert [a for a, _ in sorted(p)] == np.cumsum([0, *(n for _, n in sorted(p))])[:-1].tolist() and sum(n for _, n in p) <= 4096
 
 
+def test_other_columns(spark, tables):
+    """Columns named like those that the stages use inside pass through; repeated rows are copies of each other."""
+    sf, _ = tables
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.filter("doc_id < 20"))
+    more = {c: F.lit(k) for k, c in enumerate(["row", "found", "score", "component_id", "node", "digest"])}
+    wide = cp.cut_lineage(docs.withColumns(more))
+    for _, stage in cp.STAGES[:-1]:
+        wide = cp.cut_lineage(stage(spark, wide, sf))
+        assert wide.columns == [*docs.columns, *more] and wide.select(*more).distinct().collect() == [tuple(range(6))]
+    assert wide.filter("doc_id < 20").count() == wide.filter("doc_id < 20").select("doc_id").distinct().count() == 20
+
+
 def test_empty(spark, tables):
     sf, _ = tables
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
