@@ -12,8 +12,6 @@ from rekurve.llm.common import cut_lineage, free_name
 LANGUAGE_SHARE = 0.5
 #: Near copies share this of their distinct five-word shingles (Jaccard similarity).
 COPY_WORDS, COPY_SHARE = 5, 0.8
-#: Bounds of the search by fingerprints that this stage used before; tests/llm/test_pipeline.py still reads them, no stage does.
-COPY_BITS, COPY_TABLES, COPY_CHECKS, COPY_APART = 6, 6, 2, 36
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +35,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, repeated rows included, the one with the smallest doc_id (a missing one last)."""
     row = free_name(docs, "row")
-    d = docs.withColumn(row, F.monotonically_increasing_id())  # docs are a Parquet table, so a row keeps its number
+    d = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))  # written, so that a row has one number in all that follows
     found = cut_lineage(near_copies.near_copies(d, row, "text", COPY_WORDS, COPY_SHARE))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(row))
     first = found.join(d.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order)[row].alias(row))  # combined before it is shuffled
