@@ -6,8 +6,10 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from rekurve.operators import neighbors as nb
+from rekurve.operators.mixtures import group_mixtures
 from rekurve.operators.ordered import quantiles
 from rekurve.operators.outliers import elliptic_envelope, isolation_forest, prepare
 from rekurve.plans.session import cut_lineage
@@ -23,10 +25,12 @@ def vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(v).transform(v).drop("_raw")
 
 
-def mixture(df: DataFrame, cols: Sequence[str], max_k: int = 6, sensitivity: str | None = "medium", seed: int = 42, min_size: int = 3, starts: int = 2):
+def mixture(df: DataFrame, cols: Sequence[str], max_k: int = 6, sensitivity: str | None = "medium", seed: int = 42, min_size: int = 3, starts: int = 2, fallback: str | None = None):
     """Gaussian mixture with the number of components by BIC: (rows with cluster and probability, k, list of BICs).
 
-    With a sensitivity the search stops at the first component that gains too little; without one the smallest BIC wins.
+    With a sensitivity the search stops at the first component that gains too little; without one the smallest BIC wins.  Where one
+    component is left, ``fallback`` (a key column) looks for density clusters on the standardized columns instead: noise is -1 with
+    probability 0, everything else has probability 1.
     """
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import vector_to_array
@@ -59,6 +63,14 @@ def mixture(df: DataFrame, cols: Sequence[str], max_k: int = 6, sensitivity: str
             best = (top[0], top[1], k)
         elif sensitivity:
             break
+    if best[0] is None and fallback:
+        z = [f"_z{i}" for i in range(d)]
+        p = cut_lineage(v.select(fallback, *[c.alias(n) for c, n in zip(x, z)]))
+        eps = nb.eps_from_neighbors(p, fallback, z)
+        if eps:
+            found = cut_lineage(nb.dbscan(p, fallback, z, eps).select(fallback, F.col("cluster").cast("int").alias("cluster")))
+            k = found.filter("cluster >= 0").select("cluster").distinct().count()
+            return v.drop("features").join(found, fallback).withColumn("cluster_prob", F.when(F.col("cluster") < 0, 0.0).otherwise(1.0)), k, bics
     if best[0] is None:
         return v.withColumn("cluster", F.lit(0)).withColumn("cluster_prob", F.lit(1.0)).drop("features"), 1, bics
     out = best[0].transform(v).withColumn("cluster_prob", F.array_max(vector_to_array("_p"))).drop("_p", "features")
@@ -93,6 +105,26 @@ def separation(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFrame:
     return j.select("k", ch.alias("calinski_harabasz"), "davies_bouldin")
 
 
+def silhouette(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFrame:
+    """Mean silhouette of any labelling by squared distances; one row.  Noise (-1) and missing labels do not count.
+
+    The mean squared distance of a row to a cluster follows from the cluster's size, centre and mean square, so rows meet one row with
+    these numbers of every cluster and never each other.  A row alone in its cluster counts as 0.  NULL for fewer than two clusters.
+    """
+    cols = list(cols)
+    d = df.select(F.col(cluster).alias("_c"), *[F.col(c).cast("double").alias(c) for c in cols]).dropna().filter("_c <> -1")
+    square = lambda at: sum((F.col(c) * F.col(c) for c in at), F.lit(0.0))
+    mid = d.agg(*[F.avg(c).alias(f"m_{c}") for c in cols])  # around the common centre nothing cancels
+    d = d.crossJoin(F.broadcast(mid)).select("_c", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in cols])  # one row
+    one = d.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.avg(square(cols)).alias("sq"), F.array(*[F.avg(c) for c in cols]).alias("centre"))
+    all_of_them = one.agg(F.collect_list(F.struct("_c", "n", "sq", "centre")).alias("of"))
+    to = lambda s: square(cols) + s["sq"] - 2 * sum((F.col(c) * s["centre"][i] for i, c in enumerate(cols)), F.lit(0.0))
+    d = d.crossJoin(F.broadcast(all_of_them))  # one row, as long as there are clusters
+    own = F.filter("of", lambda s: s["_c"] == F.col("_c"))[0]
+    d = d.select((own["n"] > 1).alias("_some"), F.greatest(F.lit(0.0), F.try_divide(to(own) * own["n"], own["n"] - 1)).alias("_own"), F.array_min(F.transform(F.filter("of", lambda s: s["_c"] != F.col("_c")), to)).alias("_other"))
+    return d.agg(F.avg(F.when(F.col("_other").isNotNull(), F.when(F.col("_some"), F.coalesce(F.try_divide(F.col("_other") - F.col("_own"), F.greatest("_own", "_other")), F.lit(0.0))).otherwise(0.0))).alias("silhouette"))
+
+
 def subpopulations(df: DataFrame, key: str, cols: Sequence[str], contamination: float = 0.1) -> DataFrame:
     """Rows flagged by either method stay unclustered, the others get a mixture component."""
     scaled = [f"{c}_scaled" for c in cols]
@@ -105,18 +137,14 @@ def subpopulations(df: DataFrame, key: str, cols: Sequence[str], contamination:
 
 
 def kinetic_subpopulations(df: DataFrame, key: str, group: str, diff: str, residence: str, max_k: int = 3) -> DataFrame:
-    """Per group a mixture on log10 of diffusion and residence, clusters numbered by falling median diffusion."""
-    from pyspark.sql import Window
-
-    from rekurve.operators.ordered import quantiles
-
-    d = df.filter((F.col(diff) > 0) & (F.col(residence) > 0)).withColumn("log_d", F.log10(diff)).withColumn("log_r", F.log10(residence))
-    d = cut_lineage(d.select(key, group, "log_d", "log_r"))
-    out = None
-    for r in d.select(group).distinct().collect():  # experimental groups: a handful, each fit is a distributed job
-        got, _, _ = mixture(d.filter(F.col(group) == r[group]), ["log_d", "log_r"], max_k, None, starts=1)
-        out = got if out is None else out.unionByName(got)
-    out = cut_lineage(out)
-    med = quantiles(out, [group, "cluster"], "log_d", [0.5]).select(group, "cluster", F.col("q")[0].alias("m"))
-    rank = med.withColumn("label", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("m"), "cluster")) - 1).select(group, "cluster", "label")
-    return out.join(rank, [group, "cluster"]).select(key, group, "label", "cluster_prob")
+    """Per group a mixture on log10 of diffusion and residence, clusters numbered by falling median diffusion.
+
+    All groups are fitted at once.  A row whose diffusion or residence is missing or not above zero keeps its place without a label.
+    """
+    log = lambda c: F.when(F.col(c) > 0, F.log10(c))
+    d = df.select(key, group, log(diff).alias("log_d"), log(residence).alias("log_r"))
+    out = cut_lineage(group_mixtures(d, [group], ["log_d", "log_r"], max_k, starts=2))
+    med = quantiles(out.filter("cluster is not null"), [group, "cluster"], "log_d", [0.5]).select(group, "cluster", F.col("q")[0].alias("m"))
+    rank = med.withColumn("label", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("m"), "cluster")) - 1).select(F.col(group).alias("_g"), F.col("cluster").alias("_c"), "label")
+    found = out.join(rank, F.col(group).eqNullSafe(F.col("_g")) & (F.col("cluster") == F.col("_c")), "left")
+    return found.select(key, group, "label", "cluster_prob")

@@ -141,7 +141,7 @@ def o12(spark, sf):
 
 @query("O13_mixture")
 def o13(spark, sf):
-    return cl.mixture(feats(spark, sf).select("cell_id", "price", "bal"), ["price", "bal"], 4)[0].select("cell_id", "cluster", "cluster_prob")
+    return cl.mixture(feats(spark, sf).select("cell_id", "price", "bal"), ["price", "bal"], 4, fallback="cell_id")[0].select("cell_id", "cluster", "cluster_prob")
 
 
 @query("O15_kmeans")
@@ -157,6 +157,14 @@ def o16(spark, sf):
     return cl.separation(feats(spark, sf), ["price", "bal"], "cluster").select("k", rd("calinski_harabasz", 5).alias("calinski_harabasz"), rd("davies_bouldin", 4).alias("davies_bouldin"))
 
 
+@query("O16_silhouette", f"""WITH {FEAT}, z AS (SELECT cluster, price - avg(price) OVER () AS p, bal - avg(bal) OVER () AS b FROM ft), c AS (SELECT cluster, count(*) AS n, avg(p * p + b * b) AS sq, avg(p) AS cp, avg(b) AS cb FROM z GROUP BY 1),
+ d AS (SELECT row_number() OVER () AS i, * FROM z), e AS (SELECT d.i, max(CASE WHEN c.cluster = d.cluster THEN c.n END) AS n, max(CASE WHEN c.cluster = d.cluster THEN d.p * d.p + d.b * d.b + c.sq - 2 * (d.p * c.cp + d.b * c.cb) END) AS own,
+ min(CASE WHEN c.cluster <> d.cluster THEN d.p * d.p + d.b * d.b + c.sq - 2 * (d.p * c.cp + d.b * c.cb) END) AS other FROM d, c GROUP BY 1),
+ s AS (SELECT n, greatest(0, own * n / nullif(n - 1, 0)) AS a, other AS b FROM e) SELECT {RD('avg(CASE WHEN n > 1 THEN coalesce((b - a) / nullif(greatest(a, b), 0), 0) ELSE 0 END)', 5)} AS silhouette FROM s""")
+def o16b(spark, sf):
+    return cl.silhouette(feats(spark, sf), ["price", "bal"], "cluster").select(rd("silhouette", 5).alias("silhouette"))
+
+
 @query("O17_subpopulations")
 def o17(spark, sf):
     return cl.subpopulations(feats(spark, sf).select("cell_id", "price", "bal"), "cell_id", ["price", "bal"]).select("cell_id", "outlier", "cluster", "cluster_prob")
