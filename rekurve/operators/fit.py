@@ -126,8 +126,13 @@ def moment_round(df: DataFrame, keys: Sequence[str], t: str, y: str, p: Pass) ->
 
 def _local_round(b: pd.DataFrame, starts: np.ndarray, t: str, y: str, p: Pass) -> pd.DataFrame:
     """The same pass over whole curves in memory, which lie one behind the other."""
-    tt, yy = b[t].to_numpy(float), b[y].to_numpy(float)
-    m = np.add.reduceat(_products(tt, yy, b, p.columns, p.pairs, p.weight), starts, axis=0)
+    tt, yy, m = b[t].to_numpy(float), b[y].to_numpy(float), None
+    for lo in range(0, len(b), LOCAL_ROWS):  # products of a slice at a time: a long curve takes no more memory than a short one
+        hi = min(lo + LOCAL_ROWS, len(b))
+        x = _products(tt[lo:hi], yy[lo:hi], b.iloc[lo:hi], p.columns, p.pairs, p.weight)
+        first, last = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi, "left")
+        m = np.zeros((len(starts), x.shape[1])) if m is None else m
+        m[first:last] += np.add.reduceat(x, np.maximum(starts[first:last] - lo, 0), axis=0)
     return next(p.solved(b.iloc[starts].reset_index(drop=True), m))
 
 
@@ -304,9 +309,9 @@ def _rounds(first: float, shrink: float, rounds: int | None) -> int:
 
 
 def profile_round(df, keys, model: str, t="t", y="y", offset=True, amp=(0.0, np.inf)) -> DataFrame:
-    """First pass only: the best of each curve's first candidates."""
+    """First pass only: the best of each curve's first candidates; a curve that none fits keeps its row without ``rss``."""
     first = profile_pass(keys, MODELS[model], _types(df, keys), offset, amp)
-    return fit_curves(df, keys, t, y, [], first, [], []).filter("rss < double('inf')")
+    return fit_curves(df, keys, t, y, [], first, [], []).withColumn("rss", F.when(F.col("rss") < np.inf, F.col("rss")))
 
 
 def profile_fit(
@@ -499,9 +504,9 @@ def _long_fits(wide: DataFrame, keys, orders) -> DataFrame:
 
 
 def exponential_round(df, keys, orders=(1, 2, 3), t="t", y="y", max_amp=np.inf, size: int = 18) -> DataFrame:
-    """First pass only, on the lattice of each curve."""
+    """First pass only, on the lattice of each curve; a curve without a fit keeps its rows, with NULL."""
     first = _exponential_pass(keys, _types(df, keys), _Exponentials(orders, size), max_amp)
-    return _long_fits(fit_curves(df, keys, t, y, [], first, [], []), list(keys), orders).filter("rss is not null")
+    return _long_fits(fit_curves(df, keys, t, y, [], first, [], []), list(keys), orders)
 
 
 def exponential_fits(

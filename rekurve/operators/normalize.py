@@ -95,6 +95,7 @@ def double_with_floor(df: DataFrame, pre_frames: int = 5, floor: float = 1e-6) -
     d = attach(d, KEY, bleach=earliest_min(F.col("roi1"), F.col("frame")))
     near = (F.col("frame") < F.col("bleach")) & (F.col("frame") >= F.col("bleach") - pre_frames)
     d = attach(d, KEY, p1=F.avg(F.when(near, F.col("c1"))), p2=F.avg(F.when(near, F.col("c2"))))
+    d = d.withColumn("norm_error", F.when(F.col("p1").isNull() | F.col("p2").isNull(), "no frame before the bleach"))
     return d.withColumn("norm", F.col("c1") / F.col("p1") * (F.col("p2") / F.col("c2")))
 
 
@@ -110,6 +111,7 @@ def reference_ratio(df: DataFrame, pre_frames: int = 5, post_frames: int = 3) ->
     )
     ratio = F.when(F.col("pre2") > 0, clip(F.coalesce(F.col("c2") / F.col("pre2"), F.lit(1.0)), 0.1, 2.0)).otherwise(1.0)
     ok = F.col("pre1") > 0
+    d = d.withColumn("norm_error", F.when(F.col("pre1").isNull(), "no frame before the bleach").when(~ok, "pre-bleach not above background"))
     return d.withColumn("norm", F.when(ok, F.col("c1") / ratio / F.col("pre1"))).withColumn(
         "bleach_depth", F.when(ok, (F.col("pre1") - F.col("post1")) / F.col("pre1"))
     )
@@ -121,7 +123,7 @@ def normalization_report(normed: DataFrame) -> DataFrame:
     r = normed.groupBy(*KEY).agg(F.avg(F.when(head, F.col("norm"))).alias("pre_mean"), F.max("norm").alias("hi"), F.min("norm").alias("lo"))
     return r.withColumn(
         "warnings",
-        F.concat_ws("; ", F.when(F.abs(F.col("pre_mean") - 1) > 0.1, "pre-bleach not 1"), F.when(F.col("hi") > 1.5, "above maximum"), F.when(F.col("lo") < 0, "negative")),
+        F.concat_ws("; ", F.when(F.col("hi").isNull(), "not normalized"), F.when(F.abs(F.col("pre_mean") - 1) > 0.1, "pre-bleach not 1"), F.when(F.col("hi") > 1.5, "above maximum"), F.when(F.col("lo") < 0, "negative")),
     )
 
 
@@ -166,8 +168,10 @@ def acquisition_trend(df: DataFrame, y: str) -> DataFrame:
         F.min(y).alias("lo"), (-F.regr_slope(F.ln(F.when(F.col(y) > 0, F.col(y))), x)).alias("rate"),
     )
     pct = 100 * F.col("slope") / F.greatest(F.abs("first"), F.lit(1e-12))
-    return g.filter("n >= 3").select(
-        *KEY, pct.alias("slope_pct"), F.when(F.col("lo") > 0, F.col("rate")).alias("exp_rate"), (F.abs(pct) > 1.0).alias("flagged")
+    enough = F.col("n") >= 3
+    return g.select(
+        *KEY, F.when(enough, pct).alias("slope_pct"), F.when(enough & (F.col("lo") > 0), F.col("rate")).alias("exp_rate"), F.when(enough, F.abs(pct) > 1.0).alias("flagged"),
+        F.when(~enough, "fewer than 3 frames").alias("reason"),
     )
 
 

@@ -67,10 +67,13 @@ def mad_flags(df: DataFrame, col: str, by: Sequence[str] = (), limit: float = 3.
 
 
 def grubbs(df: DataFrame, key: str, col: str, by: Sequence[str]) -> DataFrame:
-    """The most extreme value of each group and its G."""
+    """The most extreme value of each group and its G; without a G (fewer than 3 values, or all equal) there is a ``reason``."""
     d = attach(df.select(*by, key, col), list(by), _m=F.avg(col), _s=F.stddev_samp(col), n=F.count(col))
-    g = d.filter("n >= 3 and _s > 0").withColumn("g", F.abs(F.col(col) - F.col("_m")) / F.col("_s"))
-    return g.groupBy(*by).agg(F.min_by(F.struct(key, col, "g", "n"), F.struct(-F.col("g"), F.col(key))).alias("x")).select(*by, "x.*")
+    d = d.withColumn("reason", F.when(F.col("n") < 3, "fewer than 3 values").when(~(F.col("_s") > 0), "all values equal"))
+    some = F.col("reason").isNull()
+    g = d.withColumn("g", F.when(some, F.abs(F.col(col) - F.col("_m")) / F.col("_s")))
+    what = F.struct(F.when(some, F.col(key)).alias(key), F.when(some, F.col(col)).alias(col), "g", "n", "reason")
+    return g.groupBy(*by).agg(F.min_by(what, F.struct(F.coalesce(-F.col("g"), F.lit(1.0)), F.col(key))).alias("x")).select(*by, "x.*")
 
 
 def grubbs_decision(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -85,18 +88,27 @@ DIXON = {3: 0.970, 4: 0.829, 5: 0.710, 6: 0.625, 7: 0.568, 8: 0.526, 9: 0.493, 1
 
 
 def dixon(df: DataFrame, key: str, col: str, by: Sequence[str]) -> DataFrame:
-    """Gap over range at both ends of each group, from two order statistics per end."""
+    """Gap over range at both ends of each group, from two order statistics per end.
+
+    A group without a Q (fewer than 3 values, or all equal) keeps its row with NULL and a ``reason``.
+    """
+    groups = df.select(*by).distinct()
     pos = attach(frame_index(df.filter(F.col(col).isNotNull()).select(*by, key, col), list(by), [col, key]), list(by), n=F.count(F.lit(1)))
     at = lambda k, c: F.max(F.when(F.col("frame") == k, F.col(c)))
     g = pos.groupBy(*by).agg(
         F.first("n").alias("n"), at(F.lit(0), col).alias("a"), at(F.lit(1), col).alias("b"), at(F.col("n") - 2, col).alias("y"), at(F.col("n") - 1, col).alias("z"),
         at(F.lit(0), key).alias("ka"), at(F.col("n") - 1, key).alias("kz"),
-    ).filter("n >= 3 and z > a")
+    )
+    g = groups.join(g, list(by), "left") if by else g
+    few = F.coalesce(F.col("n"), F.lit(0)) < 3
+    fine = ~few & (F.col("z") > F.col("a"))
     crit = F.lit(DIXON[10])
     for n, v in DIXON.items():
         crit = F.when(F.col("n") == n, v).otherwise(crit)
-    lo, hi = (F.col("b") - F.col("a")) / (F.col("z") - F.col("a")), (F.col("z") - F.col("y")) / (F.col("z") - F.col("a"))
-    return g.select(*by, "n", F.greatest(lo, hi).alias("q"), F.when(lo >= hi, F.col("ka")).otherwise(F.col("kz")).alias(key), crit.alias("critical"), (F.greatest(lo, hi) > crit).alias("outlier"))
+    lo, hi = (F.when(fine, F.try_divide(d, F.col("z") - F.col("a"))) for d in (F.col("b") - F.col("a"), F.col("z") - F.col("y")))
+    q, at_end = F.greatest(lo, hi), F.when(lo >= hi, F.col("ka")).when(lo < hi, F.col("kz"))
+    why = F.when(few, "fewer than 3 values").when(~fine, "all values equal")
+    return g.select(*by, F.coalesce("n", F.lit(0)).alias("n"), q.alias("q"), at_end.alias(key), F.when(fine, crit).alias("critical"), (q > crit).alias("outlier"), why.alias("reason"))
 
 
 def curve_outliers(df: DataFrame, mobile: str, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

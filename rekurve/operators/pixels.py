@@ -208,14 +208,33 @@ def mask_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _distance_to(mask: np.ndarray) -> np.ndarray:
-    """Distance of every pixel to the nearest set pixel: along columns first, then the lower envelope along rows."""
+    """Distance of every pixel to the nearest set pixel: along columns first, then the lower envelope of parabolas along rows.
+
+    All rows take their next column at the same time, each with a stack of the parabolas that are lowest so far, so the work is in
+    proportion to the pixels and so is the memory.
+    """
     h, w = mask.shape
     rows = np.arange(h)[:, None]
     up = np.maximum.accumulate(np.where(mask, rows, -np.inf), axis=0)
     down = np.minimum.accumulate(np.where(mask, rows, np.inf)[::-1], axis=0)[::-1]
-    g2 = np.minimum(rows - up, down - rows) ** 2
-    x = np.arange(w)
-    return np.sqrt(np.min(g2[:, None, :] + (x[None, :, None] - x[None, None, :]) ** 2, axis=2))
+    g2 = np.minimum(np.minimum(rows - up, down - rows) ** 2, 4.0 * (h + w) ** 2)  # columns without a set pixel: above all that is real
+    g2 = g2 + np.arange(w) ** 2.0  # a parabola at q is g2[q] - 2 q x + x x
+    at, begin, top, r = np.zeros((h, w), np.int64), np.full((h, w), -np.inf), np.zeros(h, np.int64), np.arange(h)
+    for q in range(1, w):
+        todo, meet = r, np.empty(h)
+        while len(todo):
+            last = at[todo, top[todo]]
+            meet[todo] = (g2[todo, q] - g2[todo, last]) / (2.0 * (q - last))
+            todo = todo[(meet[todo] <= begin[todo, top[todo]])]
+            top[todo] -= 1
+        top += 1
+        at[r, top], begin[r, top] = q, meet
+    out, k = np.empty((h, w)), np.zeros(h, np.int64)
+    for q in range(w):
+        while len(go := np.flatnonzero((k < top) & (begin[r, np.minimum(k + 1, w - 1)] <= q))):
+            k[go] += 1
+        out[:, q] = g2[r, at[r, k]] - 2.0 * q * at[r, k] + q * q
+    return np.sqrt(np.maximum(out, 0))
 
 
 def hausdorff(a: DataFrame, b: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:

@@ -1,14 +1,20 @@
-"""Permutation and bootstrap (X17-X22).  Draws are functions of md5(seed, replicate, id), so a recomputed task repeats them."""
+"""Permutation and bootstrap (X17-X22).  Draws are functions of seed, replicate and id, so a recomputed task repeats them.
+
+A row has a 32-bit word from md5 of seed and id; its draw in a replicate is that word and the replicate's own, mixed.  Replicates of
+sums are made where the rows lie, a block of rows by all replicates at a time in NumPy, and only their sums are shuffled.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rekurve.functions import tails
-from rekurve.operators.ordered import attach, frame_index, quantiles, segment_rows, unbound
+from rekurve.operators.ordered import attach, frame_index, quantiles
 from rekurve.plans.session import cut_lineage
 
 
@@ -25,11 +31,55 @@ def draw(seed: int, *parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+MIX, MASK = 0x45D9F3B, 0xFFFFFFFF
+#: Draws from which on a row occurs once, twice and so on: the Poisson distribution with mean one in parts of 2 ** 32.
+OCCURS = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(12)]
+#: Rows that are drawn at once for all replicates, and groups whose sums a task holds.
+BLOCK, HELD = 256, 64
+
+
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def mixed(word: Column) -> Column:
+    """A 32-bit word in a long, well mixed."""
+    fold = lambda x: x.bitwiseXOR(F.shiftright(x, 16))
+    for _ in range(2):
+        word = (_with(word, fold) * F.lit(MIX).cast("long")).bitwiseAND(F.lit(MASK).cast("long"))
+    return _with(word, fold)
+
+
+def mixed_words(x: np.ndarray) -> np.ndarray:
+    """The same for an array of unsigned 32-bit words."""
+    for _ in range(2):
+        x = x ^ (x >> np.uint32(16))
+        x = x * np.uint32(MIX)
+    return x ^ (x >> np.uint32(16))
+
+
+def occurrences(word: Column, rep: Column) -> Column:
+    """How often a row with this word occurs in a replicate: Poisson with mean one."""
+    return _with(mixed(word.bitwiseXOR(mixed(rep.cast("long")))), lambda h: sum(((h >= F.lit(c).cast("long")).cast("int") for c in OCCURS), F.lit(0)))
+
+
+def occurrence_matrix(words: np.ndarray, reps: int) -> np.ndarray:
+    """The same for all words (rows) and replicates (columns)."""
+    h = mixed_words(words.astype(np.uint32)[:, None] ^ mixed_words(np.arange(reps, dtype=np.uint32))[None, :])
+    out = np.zeros(h.shape, np.uint8)
+    for c in OCCURS:
+        if c <= MASK:
+            out += h >= np.uint32(c)
+    return out
+
+
 def permutation_test(df: DataFrame, group: str, value: str, row_id: str, first: str, second: str, reps: int, seed: int = 1) -> DataFrame:
     """Mean difference of every relabeling next to the observed one: ``rep, diff, observed``.
 
-    A relabeling takes the n1 rows with the smallest draws.  Draws are binned: whole bins below the cut only contribute
-    their sums, and just the rows of the one bin that holds the cut are ordered.  No replicate is ever sorted.
+    A relabeling takes the n1 rows with the smallest draws.  Their cut is known up to a few standard deviations before anything is drawn:
+    rows below that window only add to a replicate's sum, rows above it are left out, and just those inside, a share of about
+    14 / sqrt(n), are shuffled and ordered.  Should a cut lie outside after all, the window is widened.
     """
     two = df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull())
     isa = F.col(group) == first
@@ -37,19 +87,37 @@ def permutation_test(df: DataFrame, group: str, value: str, row_id: str, first:
     n1, n, total, observed = obs
     if not n1 or n1 == n:
         raise ValueError("both groups need values")
-    shift = 32 - max(10, math.ceil(math.log2(max(n / segment_rows(df), 1))))  # a bin never holds more than a segment
-    rows = spread(two.select(row_id, value), row_id).select(row_id, value, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    rows = rows.withColumn("h", draw(seed, "rep", row_id)).withColumn("bin", F.shiftright("h", shift).cast("int"))
-    bins = rows.groupBy("rep", "bin").agg(F.count(F.lit(1)).alias("c"), F.sum(value).alias("v"))
-    w = Window.partitionBy("rep").orderBy("bin")
-    bins = cut_lineage(bins.withColumn("upto", F.sum("c").over(w)).withColumn("before", F.col("upto") - F.col("c")))  # reps x bins rows
-    whole = bins.groupBy("rep").agg(F.sum(F.when(F.col("upto") <= n1, F.col("v"))).alias("whole"))
-    cut = bins.filter((F.col("before") < n1) & (F.col("upto") > n1)).select("rep", "bin", (n1 - F.col("before")).alias("need"))
-    in_bin = Window.partitionBy("rep").orderBy("h", row_id)
-    edge = rows.join(F.broadcast(cut), ["rep", "bin"]).withColumn("pos", F.row_number().over(in_bin) - 1).filter("pos < need")  # one row per replicate
-    s1 = F.coalesce("whole", F.lit(0.0)) + F.coalesce("part", F.lit(0.0))
-    out = whole.join(edge.groupBy("rep").agg(F.sum(value).alias("part")), "rep", "left")
-    return out.select("rep", (s1 / n1 - (F.lit(total) - s1) / (n - n1)).alias("diff"), F.lit(observed).alias("observed"))
+    rows = two.select(draw(seed, row_id).alias("word"), F.col(row_id).alias("id"), F.col(value).cast("double").alias("v"))
+    kind = rows.schema["id"].dataType.simpleString()
+    share, spreads = n1 / n, 7.0
+    while True:
+        around = spreads * math.sqrt(share * (1 - share) / n)
+        low, high = (min(max(int(x * 2**32), 0), 2**32) for x in (share - around, share + around))
+
+        def relabel(batches: Iterator[pd.DataFrame], low: int = low, high: int = high) -> Iterator[pd.DataFrame]:
+            count, sums = np.zeros(reps, np.int64), np.zeros(reps)
+            turns = mixed_words(np.arange(reps, dtype=np.uint32))
+            for p in batches:
+                words, v = p["word"].to_numpy(np.int64).astype(np.uint32), p["v"].to_numpy(float)
+                for k in range(0, len(p), BLOCK):
+                    h = mixed_words(words[k : k + BLOCK, None] ^ turns).astype(np.int64)
+                    below = h < low
+                    count += below.sum(0)
+                    sums += v[k : k + BLOCK] @ below
+                    i, rep = np.nonzero(~below & (h < high))
+                    yield pd.DataFrame({"rep": rep, "h": h[i, rep], "id": p["id"].to_numpy()[k + i], "v": v[k + i], "c": 1})
+            yield pd.DataFrame({"rep": np.arange(reps), "h": pd.array([None] * reps, "Int64"), "id": pd.Series([None] * reps, dtype=object), "v": sums, "c": count})
+
+        found = cut_lineage(rows.mapInPandas(relabel, f"rep int, h long, id {kind}, v double, c long"))
+        whole = cut_lineage(found.groupBy("rep").agg(F.sum(F.when(F.col("h").isNull(), F.col("c"))).alias("before"), F.sum(F.when(F.col("h").isNull(), F.col("v"))).alias("whole"), F.count("h").alias("inside")))
+        if whole.filter((F.col("before") > n1) | (F.col("before") + F.col("inside") < n1)).isEmpty():
+            break
+        spreads *= 4
+    pos = F.row_number().over(Window.partitionBy("rep").orderBy("h", "id"))
+    edge = found.filter("h is not null").join(whole.select("rep", (n1 - F.col("before")).alias("need")), "rep").withColumn("pos", pos).filter("pos <= need")
+    s1 = F.col("whole") + F.coalesce("part", F.lit(0.0))
+    out = whole.join(edge.groupBy("rep").agg(F.sum("v").alias("part")), "rep", "left")
+    return out.select("rep", (s1 / n1 - (F.lit(float(total)) - s1) / (n - n1)).alias("diff"), F.lit(observed).alias("observed"))
 
 
 def permutation_p(reps: DataFrame, smoothed: bool = False) -> DataFrame:
@@ -59,14 +127,60 @@ def permutation_p(reps: DataFrame, smoothed: bool = False) -> DataFrame:
 
 
 def bootstrap(df: DataFrame, group: Sequence[str], value: str, order: Sequence[str], reps: int, stat: Callable[[Column], Column] = F.avg, seed: int = 1) -> DataFrame:
-    """Any Spark aggregate of a with-replacement sample per group and replicate: ``group, rep, stat``."""
+    """V1: any Spark aggregate of a with-replacement sample per group and replicate: ``group, rep, stat``.
+
+    A row occurs in each replicate as often as a Poisson draw with mean one says, independent of all other rows; ``order`` tells the rows
+    of a group apart.  Nothing is joined: rows are repeated where they lie and aggregated there before the one exchange.  A replicate in
+    which no row of a group occurs has no row.
+    """
+    group = list(group)
+    rows = df.filter(F.col(value).isNotNull()).select(*group, value, draw(seed, *group, *order).alias("_word"))
+    rows = spread(rows).select(*group, value, "_word", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    rows = rows.withColumn("_times", occurrences(F.col("_word"), F.col("rep"))).filter("_times > 0")
+    rows = rows.select(*group, "rep", value, F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return rows.groupBy(*group, "rep").agg(stat(F.col(value)).alias("stat"))
+
+
+def bootstrap_moments(df: DataFrame, group: Sequence[str], value: str, order: Sequence[str], reps: int, seed: int = 1) -> DataFrame:
+    """``group, rep, n, mean, var`` (of the sample) for the same draws as ``bootstrap``, thousands of replicates at a time.
+
+    A task multiplies a block of rows by its matrix of occurrences and keeps three sums for each group and replicate, which is all that is
+    shuffled.
+    """
     group = list(group)
-    rows = frame_index(df.filter(F.col(value).isNotNull()).select(*group, *order, value), group, list(order))
-    rows = cut_lineage(attach(rows, group, n=F.count(F.lit(1))).select(*group, "frame", "n", value))
-    picks = spread(unbound(rows).select(*group, "n", "frame"), *group, "frame").select(*group, "n", "frame", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    picks = picks.select(*group, "rep", (draw(seed, *group, "rep", "frame") % F.col("n")).alias("frame"))
-    got = picks.join(rows.select(*group, "frame", value), [*group, "frame"])
-    return got.groupBy(*group, "rep").agg(stat(F.col(value)).alias("stat"))
+    rows = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"), draw(seed, *group, *order).alias("_word"))
+    middle = rows.agg(F.avg("_v")).first()[0] or 0.0  # sums of squares around it lose nothing
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame(list(held), columns=[*group]) if group else pd.DataFrame(index=range(len(held)))
+            return out.assign(s=[m.ravel() for m in held.values()])
+
+        for p in batches:
+            codes = p.groupby(group, dropna=False, sort=False).ngroup().to_numpy() if group else np.zeros(len(p), int)
+            words, v = p["_word"].to_numpy(np.int64).astype(np.uint32), p["_v"].to_numpy(float) - middle
+            for c in range(int(codes.max(initial=-1)) + 1):
+                at = np.flatnonzero(codes == c)
+                key = tuple(None if pd.isna(x) else x for x in p[group].iloc[at[0]]) if group else ()
+                total = held.setdefault(key, np.zeros((3, reps)))
+                for k in range(0, len(at), BLOCK):
+                    i = at[k : k + BLOCK]
+                    total += np.stack([np.ones(len(i)), v[i], v[i] * v[i]]) @ occurrence_matrix(words[i], reps).astype(float)
+                if len(held) > HELD:
+                    yield flush()
+                    held.clear()
+        if held:
+            yield flush()
+
+    schema = "".join(f"`{c}` {types[c]}, " for c in group) + "s array<double>"
+    part = spread(rows).mapInPandas(sums, schema)
+    one = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: F.struct(r.alias("rep"), *[F.get("s", r + F.lit(k * reps)).alias(f"s{k}") for k in range(3)]))
+    g = part.select(*group, F.inline(one)).groupBy(*group, "rep").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(3)]).filter("s0 > 0")
+    var = F.when(F.col("s0") > 1, F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / F.col("s0"))) / (F.col("s0") - 1))
+    return g.select(*group, "rep", F.col("s0").cast("long").alias("n"), (F.lit(middle) + F.col("s1") / F.col("s0")).alias("mean"), var.alias("var"))
 
 
 def difference_interval(boot: DataFrame, group: str, first: str, second: str, level: float = 0.95) -> DataFrame:
@@ -101,13 +215,12 @@ def bca_interval(df: DataFrame, boot: DataFrame, group: str, value: str, level:
 
 def bootstrap_effect(df: DataFrame, group: str, value: str, order: Sequence[str], first: str, second: str, reps: int, seed: int = 1) -> DataFrame:
     """Hedges g per replicate."""
-    two = df.filter(F.col(group).isin(first, second))
-    b = bootstrap(two, [group], value, order, reps, lambda c: F.struct(F.count(c).alias("n"), F.avg(c).alias("m"), F.var_samp(c).alias("v")), seed)
-    a = b.filter(F.col(group) == first).select("rep", F.col("stat").alias("a"))
-    z = b.filter(F.col(group) == second).select("rep", F.col("stat").alias("z"))
+    b = bootstrap_moments(df.filter(F.col(group).isin(first, second)), [group], value, order, reps, seed)
+    a = b.filter(F.col(group) == first).select("rep", F.struct("n", "mean", "var").alias("a"))
+    z = b.filter(F.col(group) == second).select("rep", F.struct("n", "mean", "var").alias("z"))
     n1, n2 = F.col("a.n"), F.col("z.n")
-    sp = F.sqrt(((n1 - 1) * F.col("a.v") + (n2 - 1) * F.col("z.v")) / (n1 + n2 - 2))
-    return a.join(z, "rep").select("rep", ((F.col("a.m") - F.col("z.m")) / sp * (1 - 3 / (4 * (n1 + n2) - 9))).alias("g"))
+    sp = F.sqrt(((n1 - 1) * F.col("a.var") + (n2 - 1) * F.col("z.var")) / (n1 + n2 - 2))
+    return a.join(z, "rep").select("rep", (F.try_divide(F.col("a.mean") - F.col("z.mean"), sp) * (1 - 3 / (4 * (n1 + n2) - 9))).alias("g"))
 
 
 def residual_bootstrap_rows(df: DataFrame, keys: Sequence[str], t: str, y: str, fitted: Column, reps: int, seed: int = 1) -> DataFrame:

@@ -132,7 +132,11 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def shapiro(df: DataFrame, group: str, value: str) -> DataFrame:
-    """W by Royston's approximation (calibrated up to 5000 values) and its p value, from positions and normal scores."""
+    """W by Royston's approximation (calibrated up to 5000 values) and its p value, from positions and normal scores.
+
+    A group of fewer than 3 values keeps its row with NULL and a ``reason``.
+    """
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count(value).alias("_n"))
     clean = df.filter(F.col(value).isNotNull()).select(group, value)
     pos = attach(frame_index(clean, [group], [value]), [group], n=F.count(F.lit(1)), _mean=F.avg(value))
     m = tails.normal_quantile((F.col("frame") + 1 - 0.375) / (F.col("n") + 0.25))
@@ -168,7 +172,8 @@ def shapiro(df: DataFrame, group: str, value: str) -> DataFrame:
     two = tails.normal_two_sided(F.col("z"))
     p3 = F.greatest(F.lit(0.0), 1.909859 * (F.asin(F.sqrt("w")) - 1.047198))
     p = F.when(F.col("n") == 3, p3).otherwise(F.when(F.col("z") > 0, two / 2).otherwise(1 - two / 2))
-    return g.select(group, "n", "w", p.alias("p_value"))
+    found = sizes.join(g.select(group, "w", p.alias("p_value")), F.col("_g").eqNullSafe(F.col(group)), "left")
+    return found.select(F.col("_g").alias(group), F.col("_n").alias("n"), "w", "p_value", F.when(F.col("_n") < 3, "fewer than 3 values").alias("reason"))
 
 
 def harmonic(m: Column) -> Column:
@@ -204,7 +209,7 @@ def adjust(df: DataFrame, p: str, method: str = "bh", keys: Sequence[str] = (),
 
 def choose_tests(df: DataFrame, group: str, value: str) -> DataFrame:
     """The test that fits the data, from group sizes and normality; one row."""
-    s = shapiro(df, group, value)
+    s = shapiro(df, group, value).filter("reason is null")
     n = df.filter(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("size"))
     g = n.join(s.select(group, "p_value"), group, "left").agg(
         F.count(F.lit(1)).alias("groups"), F.min("size").alias("smallest"), F.min(F.coalesce(F.col("p_value") > 0.05, F.lit(False))).alias("normal")
@@ -217,7 +222,7 @@ def choose_tests(df: DataFrame, group: str, value: str) -> DataFrame:
 def pairwise(df: DataFrame, group: str, value: str, method: str = "bh") -> DataFrame:
     """Test chosen per pair by normality and size, effect size, adjusted p, and the omnibus eta squared."""
     mom = moments(df, [], group, value)
-    norm = shapiro(df, group, value).select(F.col(group).alias("g"), (F.col("p_value") > 0.05).alias("ok"))
+    norm = shapiro(df, group, value).filter("reason is null").select(F.col(group).alias("g"), (F.col("p_value") > 0.05).alias("ok"))
     t = with_p(welch(mom, group)).select("g1", "g2", "n_1", "n_2", "t_stat", F.col("p_value").alias("p_t"))
     mw = rank_effects(mann_whitney(df, group, value)).select("g1", "g2", "z", "rank_biserial")
     eff = mean_effects(mom, group).select("g1", "g2", "hedges_g")

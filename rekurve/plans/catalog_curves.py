@@ -40,27 +40,27 @@ def n02(spark, sf):
     return d.select("curve_id", "frame", rd("norm").alias("norm"), "norm_error")
 
 
-@query("N03_normalize_double", f"""WITH {HEAD2} SELECT b2.curve_id, frame, {RD('(roi1 / roi2) / (pre1 / pre2)')} AS norm FROM b2 JOIN p2 USING (curve_id)
- WHERE pre1 > 0 AND pre2 > 0 AND ref_min > 0""")
+@query("N03_normalize_double", f"""WITH {HEAD2} SELECT b2.curve_id, frame, CASE WHEN pre1 > 0 AND pre2 > 0 AND ref_min > 0 THEN {RD('(roi1 / roi2) / (pre1 / pre2)')} END AS norm,
+ CASE WHEN pre1 <= 0 OR pre2 <= 0 THEN 'pre-bleach levels must be positive' WHEN ref_min <= 0 THEN 'non-positive reference' END AS norm_error FROM b2 JOIN p2 USING (curve_id)""")
 def n03(spark, sf):
     d = nz.normalize_double(b.roi_frames(spark, sf), "roi1", "roi2")
-    return d.filter("norm_error is null").select("curve_id", "frame", rd("norm").alias("norm"))
+    return d.select("curve_id", "frame", rd("norm").alias("norm"), "norm_error")
 
 
-@query("N04_normalize_full_scale", f"""WITH {HEAD2} SELECT b2.curve_id, frame, {RD('(roi1 - post_min) / (pre1 - post_min)')} AS norm
- FROM b2 JOIN p2 USING (curve_id) WHERE pre1 > post_min""")
+@query("N04_normalize_full_scale", f"""WITH {HEAD2} SELECT b2.curve_id, frame, CASE WHEN pre1 > post_min THEN {RD('(roi1 - post_min) / (pre1 - post_min)')} END AS norm,
+ CASE WHEN post_min IS NULL THEN 'no post-bleach frames' WHEN pre1 <= post_min THEN 'pre-bleach must exceed post-bleach minimum' END AS norm_error FROM b2 JOIN p2 USING (curve_id)""")
 def n04(spark, sf):
     d = nz.normalize_full_scale(b.roi_frames(spark, sf), "roi1")
-    return d.filter("norm_error is null").select("curve_id", "frame", rd("norm").alias("norm"))
+    return d.select("curve_id", "frame", rd("norm").alias("norm"), "norm_error")
 
 
-@query("N05_normalize_mode", f"""WITH {HEAD2}, u AS (SELECT 'double' AS mode, curve_id, (roi1 / roi2) / (pre1 / pre2) AS v FROM b2 JOIN p2 USING (curve_id) WHERE ref_min > 0
- UNION ALL SELECT 'full_scale', curve_id, (roi1 - post_min) / (pre1 - post_min) FROM b2 JOIN p2 USING (curve_id) WHERE pre1 > post_min)
+@query("N05_normalize_mode", f"""WITH {HEAD2}, u AS (SELECT 'double' AS mode, curve_id, CASE WHEN pre1 > 0 AND pre2 > 0 AND ref_min > 0 THEN (roi1 / roi2) / (pre1 / pre2) END AS v FROM b2 JOIN p2 USING (curve_id)
+ UNION ALL SELECT 'full_scale', curve_id, CASE WHEN pre1 > post_min THEN (roi1 - post_min) / (pre1 - post_min) END FROM b2 JOIN p2 USING (curve_id))
  SELECT mode, curve_id, {RD('avg(v)')} AS mean_norm FROM u GROUP BY 1, 2""")
 def n05(spark, sf):
     r = b.roi_frames(spark, sf)
     parts = [nz.normalize(r, "double", roi="roi1", ref="roi2"), nz.normalize(r, "full_scale", signal="roi1")]
-    out = [p.filter("norm is not null").groupBy(*K).agg(rd(F.avg("norm")).alias("mean_norm")).withColumn("mode", F.lit(m)) for p, m in zip(parts, ["double", "full_scale"])]
+    out = [p.groupBy(*K).agg(rd(F.avg("norm")).alias("mean_norm")).withColumn("mode", F.lit(m)) for p, m in zip(parts, ["double", "full_scale"])]
     return out[0].unionByName(out[1])
 
 
@@ -85,34 +85,34 @@ K1R = """kr AS (SELECT curve_id, frame AS bleach FROM (SELECT curve_id, frame, r
 
 @query("N07_double_with_floor", f"""WITH {B2}, {K1R}, f AS (SELECT curve_id, frame, bleach, greatest(roi1 - roi3, 1e-6) AS c1, greatest(roi2 - roi3, 1e-6) AS c2 FROM b2 JOIN kr USING (curve_id)),
  p AS (SELECT curve_id, avg(c1) AS p1, avg(c2) AS p2 FROM f WHERE frame < bleach AND frame >= bleach - 5 GROUP BY 1)
- SELECT curve_id, frame, {RD('c1 / p1 * (p2 / c2)', 5)} AS norm FROM f JOIN p USING (curve_id)""")
+ SELECT curve_id, frame, {RD('c1 / p1 * (p2 / c2)', 5)} AS norm, CASE WHEN p1 IS NULL THEN 'no frame before the bleach' END AS norm_error FROM f LEFT JOIN p USING (curve_id)""")
 def n07(spark, sf):
-    return pick(nz.double_with_floor(b.roi_frames(spark, sf)).filter("p1 is not null"), ["curve_id", "frame"], ["norm"], 5)
+    return pick(nz.double_with_floor(b.roi_frames(spark, sf)), ["curve_id", "frame", "norm_error"], ["norm"], 5)
 
 
 REF2 = BL2 + f""", a2 AS (SELECT curve_id, avg(c1) FILTER (frame < least(bleach, 5)) AS pre1, avg(c2) FILTER (frame < least(bleach, 5)) AS pre2,
  coalesce(avg(c1) FILTER (frame > bleach AND frame <= bleach + 3), min(c1)) AS post1 FROM c2t JOIN k2 USING (curve_id) GROUP BY 1),
- rr AS (SELECT curve_id, frame, bleach, c1 / CASE WHEN pre2 > 0 THEN greatest(0.1, least(2.0, c2 / pre2)) ELSE 1 END / pre1 AS norm,
- (pre1 - post1) / pre1 AS bleach_depth FROM c2t JOIN k2 USING (curve_id) JOIN a2 USING (curve_id) WHERE pre1 > 0)"""
+ rr AS (SELECT curve_id, frame, bleach, CASE WHEN pre1 > 0 THEN c1 / CASE WHEN pre2 > 0 THEN greatest(0.1, least(2.0, c2 / pre2)) ELSE 1 END / pre1 END AS norm,
+ CASE WHEN pre1 > 0 THEN (pre1 - post1) / pre1 END AS bleach_depth, CASE WHEN pre1 IS NULL THEN 'no frame before the bleach' WHEN pre1 <= 0 THEN 'pre-bleach not above background' END AS norm_error FROM c2t JOIN k2 USING (curve_id) JOIN a2 USING (curve_id))"""
 
 
-@query("N08_reference_ratio", f"WITH {REF2} SELECT {pick_sql(['curve_id', 'frame'], ['norm', 'bleach_depth'])} FROM rr")
+@query("N08_reference_ratio", f"WITH {REF2} SELECT {pick_sql(['curve_id', 'frame', 'norm_error'], ['norm', 'bleach_depth'])} FROM rr")
 def n08(spark, sf):
-    return pick(nz.reference_ratio(b.roi_frames(spark, sf)).filter("norm is not null"), ["curve_id", "frame"], ["norm", "bleach_depth"])
+    return pick(nz.reference_ratio(b.roi_frames(spark, sf)), ["curve_id", "frame", "norm_error"], ["norm", "bleach_depth"])
 
 
 @query("P12_normalization_report", f"""WITH {REF2}, g AS (SELECT curve_id, avg(norm) FILTER (frame < least(5, bleach)) AS pre_mean, max(norm) AS hi, min(norm) AS lo FROM rr GROUP BY 1)
- SELECT curve_id, {RD('pre_mean')} AS pre_mean, {RD('hi')} AS hi, {RD('lo')} AS lo, concat_ws('; ', CASE WHEN abs(pre_mean - 1) > 0.1 THEN 'pre-bleach not 1' END,
+ SELECT curve_id, {RD('pre_mean')} AS pre_mean, {RD('hi')} AS hi, {RD('lo')} AS lo, concat_ws('; ', CASE WHEN hi IS NULL THEN 'not normalized' END, CASE WHEN abs(pre_mean - 1) > 0.1 THEN 'pre-bleach not 1' END,
  CASE WHEN hi > 1.5 THEN 'above maximum' END, CASE WHEN lo < 0 THEN 'negative' END) AS warnings FROM g""")
 def p12(spark, sf):
-    return pick(nz.normalization_report(nz.reference_ratio(b.roi_frames(spark, sf)).filter("norm is not null")), ["curve_id", "warnings"], ["pre_mean", "hi", "lo"])
+    return pick(nz.normalization_report(nz.reference_ratio(b.roi_frames(spark, sf))), ["curve_id", "warnings"], ["pre_mean", "hi", "lo"])
 
 
 @query("N09_plateau", f"""WITH {B1}, g AS (SELECT curve_id, min(y) AS lo, max(y) AS hi FROM b1 GROUP BY 1)
- SELECT curve_id, frame, {RD('(y - lo) / (hi - lo)')} AS norm FROM b1 JOIN g USING (curve_id) WHERE hi - lo >= 1e-10""")
+ SELECT curve_id, frame, CASE WHEN hi - lo >= 1e-10 THEN {RD('(y - lo) / (hi - lo)')} END AS norm FROM b1 JOIN g USING (curve_id)""")
 def n09(spark, sf):
     d = od.attach(b.curves(spark, sf), K, lo=F.min("y"), hi=F.max("y"))
-    d = d.withColumn("norm", nz.plateau_normalize(F.col("y"), F.col("lo"), F.col("hi"))).filter("norm is not null")
+    d = d.withColumn("norm", nz.plateau_normalize(F.col("y"), F.col("lo"), F.col("hi")))
     return pick(d, ["curve_id", "frame"], ["norm"])
 
 
@@ -235,9 +235,10 @@ def a02(spark, sf):
 
 
 @query("N22_acquisition_trend", f"""WITH {B2}, g AS (SELECT curve_id, regr_slope(roi2, frame) AS s, max(roi2) FILTER (frame = 0) AS f, -regr_slope(ln(roi2), frame) AS r, count(*) AS n FROM b2 GROUP BY 1)
- SELECT curve_id, {RD('100 * s / greatest(abs(f), 1e-12)')} AS slope_pct, {RD('r')} AS exp_rate, abs(100 * s / greatest(abs(f), 1e-12)) > 1 AS flagged FROM g WHERE n >= 3""")
+ SELECT curve_id, CASE WHEN n >= 3 THEN {RD('100 * s / greatest(abs(f), 1e-12)')} END AS slope_pct, CASE WHEN n >= 3 THEN {RD('r')} END AS exp_rate, CASE WHEN n >= 3 THEN abs(100 * s / greatest(abs(f), 1e-12)) > 1 END AS flagged,
+ CASE WHEN n < 3 THEN 'fewer than 3 frames' END AS reason FROM g""")
 def n22(spark, sf):
-    return pick(nz.acquisition_trend(b.roi_frames(spark, sf), "roi2"), ["curve_id", "flagged"], ["slope_pct", "exp_rate"])
+    return pick(nz.acquisition_trend(b.roi_frames(spark, sf), "roi2"), ["curve_id", "flagged", "reason"], ["slope_pct", "exp_rate"])
 
 
 @query("N23_detrend_linear", f"""WITH {B1}, s AS (SELECT curve_id, regr_slope(y, t) AS s FROM b1 GROUP BY 1) SELECT curve_id, frame, {RD('y - s * t')} AS detrended FROM b1 JOIN s USING (curve_id)""")

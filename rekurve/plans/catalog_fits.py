@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rekurve.functions import models as mo, tails
-from rekurve.operators import align as al, bleach as bl, fit, fit_metrics as fm, normalize as nz, ordered as od, quality as ql
+from rekurve.operators import align as al, bleach as bl, fit, fit_metrics as fm, intervals as iv, normalize as nz, ordered as od, quality as ql
 from rekurve.plans import bindings as b, workflows as wf
 from rekurve.plans.bindings import B1
 from rekurve.plans.catalog_curves import ANCH
@@ -89,7 +89,8 @@ def profile_sql(p0: str, n0: int, p1: str | None, n1: int, basis: str, unbounded
  mo AS (SELECT curve_id, c, any_value(p0) AS p0, any_value(p1) AS p1, count(*) AS n, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy, sum(x * x) AS qx FROM x GROUP BY 1, 2),
  rs AS (SELECT *, {a} AS amp, greatest(0, syy - 2 * {a} * sxy + {a} * {a} * sxx) AS rss FROM mo WHERE sxx > 1e-9 * qx AND qx > 1e-100),
  ms AS (SELECT *, min(rss) OVER (PARTITION BY curve_id) AS ml FROM rs), bs AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY rss > ml + 1e-9 * syy, c) AS rn FROM ms)
- SELECT curve_id, n, CASE WHEN amp > 0 THEN {RD('p0', 5)} END AS p0, {RD('rss / greatest(syy, 1e-12)', 5)} AS unexplained FROM bs WHERE rn = 1"""
+, nn AS (SELECT curve_id, count(*) AS n FROM an GROUP BY 1)
+ SELECT nn.curve_id, nn.n, CASE WHEN amp > 0 THEN {RD('p0', 5)} END AS p0, {RD('rss / greatest(syy, 1e-12)', 5)} AS unexplained FROM nn LEFT JOIN bs ON bs.curve_id = nn.curve_id AND rn = 1"""
 
 
 def profile_query(name: str, model: str, sql: str, unbounded: bool = False):
@@ -108,10 +109,10 @@ profile_query("N24_exponential_trend_round", "decay", profile_sql(geo("0.05 / hi
 
 
 @query("F01_fit_single_round", profile_sql(geo("lo", "20 * hi", 40), 40, None, 1, "1 - exp(-t / p0)").replace(
-    "SELECT curve_id, n, CASE WHEN amp > 0", f"SELECT curve_id, {RD('CASE WHEN n <= 5 THEN NULL ELSE n * ln(greatest(rss, 1e-300) / n) + 6 END', 4)} AS aic, n, CASE WHEN amp > 0"))
+    "SELECT nn.curve_id, nn.n, CASE WHEN amp > 0", f"SELECT nn.curve_id, {RD('CASE WHEN nn.n > 5 AND rss IS NOT NULL THEN nn.n * ln(greatest(rss, 1e-300) / nn.n) + 6 END', 4)} AS aic, nn.n, CASE WHEN amp > 0"))
 def f01(spark, sf):
     r = fit.profile_round(cut_lineage(anchored(spark, sf)), K, "single")
-    aic = F.when(F.col("n") > 5, F.col("n") * F.ln(F.greatest(F.col("rss"), F.lit(1e-300)) / F.col("n")) + 6)
+    aic = F.when((F.col("n") > 5) & F.col("rss").isNotNull(), F.col("n") * F.ln(F.greatest(F.col("rss"), F.lit(1e-300)) / F.col("n")) + 6)
     return r.select("curve_id", "n", F.when(F.col("amp") > 0, rd("_k0", 5)).alias("p0"), rd(F.col("rss") / F.greatest(F.col("sst"), F.lit(1e-12)), 5).alias("unexplained"), rd(aic, 4).alias("aic"))
 
 
@@ -128,10 +129,10 @@ EX = SPAN + """, la AS (SELECT curve_id, i, lo * power(5 * hi / lo, i / 17.0) AS
  o3 AS (SELECT t3.curve_id, p.n, p.syy, ((1 - c * c) * p.q + (b * c - a) * q.q + (a * c - b) * s.q) / det AS m1, ((b * c - a) * p.q + (1 - b * b) * q.q + (a * b - c) * s.q) / det AS m2,
    ((a * c - b) * p.q + (a * b - c) * q.q + (1 - a * a) * s.q) / det AS m3, p.q AS q1, q.q AS q2, s.q AS q3 FROM t3 JOIN sc p ON p.curve_id = t3.curve_id AND p.i = t3.i JOIN sc q ON q.curve_id = t3.curve_id AND q.i = t3.j
    JOIN sc s ON s.curve_id = t3.curve_id AND s.i = t3.k WHERE det > 1e-9),
- r1 AS (SELECT curve_id, min(rss) AS rss, any_value(n) AS n, any_value(syy) AS sst FROM o1 GROUP BY 1),
- r2 AS (SELECT curve_id, min(rss) AS rss, any_value(n) AS n, any_value(syy) AS sst FROM (SELECT curve_id, rss, n, syy FROM o2 WHERE m1 >= 0 AND m2 >= 0 UNION ALL SELECT curve_id, rss, n, syy FROM o1) GROUP BY 1),
+ r1 AS (SELECT curve_id, min(rss) AS rss, max(n) AS n, max(syy) AS sst FROM (SELECT curve_id, rss, n, syy FROM o1 UNION ALL SELECT curve_id, NULL, count(*), var_pop(norm) * count(*) FROM an GROUP BY 1) GROUP BY 1),
+ r2 AS (SELECT curve_id, min(rss) AS rss, any_value(n) AS n, any_value(syy) AS sst FROM (SELECT curve_id, rss, n, syy FROM o2 WHERE m1 >= 0 AND m2 >= 0 UNION ALL SELECT curve_id, rss, n, sst FROM r1) GROUP BY 1),
  r3 AS (SELECT curve_id, min(rss) AS rss, any_value(n) AS n, any_value(syy) AS sst FROM (SELECT curve_id, syy - m1 * q1 - m2 * q2 - m3 * q3 AS rss, n, syy FROM o3 WHERE m1 >= 0 AND m2 >= 0 AND m3 >= 0 UNION ALL SELECT curve_id, rss, n, sst FROM r2) GROUP BY 1),
- fx AS (SELECT curve_id, 'single' AS model, 3 AS p, n, greatest(0, rss) AS rss, sst FROM r1 UNION ALL SELECT curve_id, 'double', 5, n, greatest(0, rss), sst FROM r2 UNION ALL SELECT curve_id, 'triple', 7, n, greatest(0, rss), sst FROM r3)"""
+ fx AS (SELECT curve_id, 'single' AS model, 3 AS p, n, CASE WHEN rss < 0 THEN 0 ELSE rss END AS rss, sst FROM r1 UNION ALL SELECT curve_id, 'double', 5, n, CASE WHEN rss < 0 THEN 0 ELSE rss END, sst FROM r2 UNION ALL SELECT curve_id, 'triple', 7, n, CASE WHEN rss < 0 THEN 0 ELSE rss END, sst FROM r3)"""
 # criteria; a model with too many parameters for the points has infinite information criteria
 FX = EX + """, fk AS (SELECT *, CASE WHEN sst = 0 THEN 0 ELSE 1 - rss / sst END AS r2, CASE WHEN n <= p + 2 THEN 'inf'::DOUBLE WHEN rss > 0 THEN n * ln(rss / n) + 2 * p END AS aic,
  CASE WHEN n <= p + 2 THEN 'inf'::DOUBLE WHEN rss > 0 THEN n * ln(rss / n) + p * ln(n) END AS bic, CASE WHEN n <= p + 2 THEN 'inf'::DOUBLE WHEN rss > 0 THEN n * ln(rss / n) + 2 * p + 2.0 * p * (p + 1) / (n - p - 1) END AS aicc,
@@ -161,7 +162,7 @@ def f13(spark, sf):
     return scored(spark, sf).select("curve_id", "model", "n", "p", *[rd(c, 4).alias(c) for c in CRIT])
 
 
-@query("F16_best_model", f"WITH {FX} SELECT curve_id, model, {RD('aicc', 4)} AS aicc, {RD('r2', 5)} AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY aicc, p, model) AS rn FROM fk) WHERE rn = 1")
+@query("F16_best_model", f"WITH {FX} SELECT curve_id, model, {RD('aicc', 4)} AS aicc, {RD('r2', 5)} AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY coalesce(aicc, 'inf'::DOUBLE), p, model) AS rn FROM fk) WHERE rn = 1")
 def f16(spark, sf):
     return fm.choose_best(scored(spark, sf), K, "aicc").select("curve_id", "model", rd("aicc", 4).alias("aicc"), rd("r2", 5).alias("r2"))
 
@@ -171,7 +172,7 @@ def t01(spark, sf):
     return fm.rank_models(scored(spark, sf), K, ["aic", "bic"]).select("curve_id", "model", "rank")
 
 
-@query("F17_delta_buckets", f"""WITH {FX}, d AS (SELECT curve_id, model, round(aic - min(aic) OVER (PARTITION BY curve_id), 6) AS d FROM fk) SELECT curve_id, model, CASE WHEN isnan(d) THEN NULL WHEN d < 2 THEN 'substantial support' WHEN d >= 4 AND d <= 7 THEN 'considerably less support'
+@query("F17_delta_buckets", f"""WITH {FX}, d AS (SELECT curve_id, model, round(aic - min(aic) OVER (PARTITION BY curve_id), 6) AS d FROM fk) SELECT curve_id, model, CASE WHEN d IS NULL OR isnan(d) THEN NULL WHEN d < 2 THEN 'substantial support' WHEN d >= 4 AND d <= 7 THEN 'considerably less support'
  WHEN d > 10 THEN 'essentially no support' ELSE 'moderate support' END AS support FROM d""")
 def f17(spark, sf):
     d = fm.with_deltas(scored(spark, sf), K, "aic")
@@ -252,45 +253,50 @@ def post(spark, sf):
     return cut_lineage(bl.post_bleach(b.curves(spark, sf)).select("curve_id", "frame", "t_post", "y_post"))
 
 
+def every(spark, sf, found):
+    """A row at least for every curve that there is."""
+    return wf.every_curve(found, b.curves(spark, sf).select("curve_id").distinct(), K)
+
+
 @query("F01_fit_single")
 def f01full(spark, sf):
-    return fm.add_criteria(fit.profile_fit(post(spark, sf), K, "single", "t_post", "y_post"))
+    return every(spark, sf, fm.add_criteria(fit.profile_fit(post(spark, sf), K, "single", "t_post", "y_post")))
 
 
 @query("F02_fit_double")
 def f02full(spark, sf):
-    return fm.add_criteria(fit.exponential_fits(post(spark, sf), K, (2,), "t_post", "y_post"))
+    return every(spark, sf, fm.add_criteria(fit.exponential_fits(post(spark, sf), K, (2,), "t_post", "y_post")))
 
 
 @query("F03_fit_triple")
 def f03full(spark, sf):
-    return fm.add_criteria(fit.exponential_fits(post(spark, sf), K, (3,), "t_post", "y_post"))
+    return every(spark, sf, fm.add_criteria(fit.exponential_fits(post(spark, sf), K, (3,), "t_post", "y_post")))
 
 
 @query("F04_fit_soumpasis")
 def f04full(spark, sf):
-    return fm.add_criteria(fit.profile_fit(post(spark, sf), K, "soumpasis", "t_post", "y_post"))
+    return every(spark, sf, fm.add_criteria(fit.profile_fit(post(spark, sf), K, "soumpasis", "t_post", "y_post")))
 
 
 @query("F05_fit_reaction_diffusion")
 def f05(spark, sf):
-    return wf.reaction_rates(fit.exponential_fits(post(spark, sf), K, (2,), "t_post", "y_post"))
+    return every(spark, sf, wf.reaction_rates(fit.exponential_fits(post(spark, sf), K, (2,), "t_post", "y_post")))
 
 
 @query("F06_fit_two_site_binding")
 def f06(spark, sf):
-    return wf.two_site_rates(fit.exponential_fits(post(spark, sf), K, (3,), "t_post", "y_post"))
+    return every(spark, sf, wf.two_site_rates(fit.exponential_fits(post(spark, sf), K, (3,), "t_post", "y_post")))
 
 
 @query("F07_fit_anomalous")
 def f07(spark, sf):
     f = fm.add_criteria(fit.profile_fit(post(spark, sf), K, "anomalous", "t_post", "y_post"))
-    return f.withColumn("diffusion_type", ql.diffusion_type(F.col("p1")))
+    return every(spark, sf, f.withColumn("diffusion_type", ql.diffusion_type(F.col("p1"))))
 
 
 @query("F07_fit_power_law")
 def f07p(spark, sf):
-    return fm.add_criteria(fit.profile_fit(post(spark, sf), K, "power_law", "t_post", "y_post"))
+    return every(spark, sf, fm.add_criteria(fit.profile_fit(post(spark, sf), K, "power_law", "t_post", "y_post")))
 
 
 @query("F08_recruitment_models")
@@ -313,19 +319,33 @@ def f10(spark, sf):
 @query("F11_robust_fits")
 def f11(spark, sf):
     p = post(spark, sf)
-    parts = [fit.profile_fit(p, K, "single", "t_post", "y_post", robust=r) for r in ("huber", "tukey")]
-    return parts[0].unionByName(parts[1])
+    parts = [fit.profile_fit(p, K, "single", "t_post", "y_post", robust=r) for r in ("soft_l1", "huber", "tukey")]
+    return every(spark, sf, parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 @query("F12_fit_all_models")
 def f12(spark, sf):
-    return wf.fit_all_models(post(spark, sf), K)
+    return every(spark, sf, wf.fit_all_models(post(spark, sf), K))
 
 
 @query("F14_parameter_intervals")
 def f14(spark, sf):
     p = post(spark, sf)
-    return wf.single_intervals(p, fit.profile_fit(p, K, "single", "t_post", "y_post"), K, "t_post", "y_post")
+    return every(spark, sf, wf.single_intervals(p, fit.profile_fit(p, K, "single", "t_post", "y_post"), K, "t_post", "y_post"))
+
+
+def interval_query(name: str, model: str, quantile: str = "normal"):
+    @query(name)
+    def run(spark, sf):
+        p = post(spark, sf)
+        f = fit.exponential_fits(p, K, (iv.SUMS[model],), "t_post", "y_post") if model in iv.SUMS else fit.profile_fit(p, K, model, "t_post", "y_post")
+        return every(spark, sf, iv.parameter_intervals(p, f, K, model, "t_post", "y_post", quantile=quantile))
+
+
+interval_query("F14_intervals_double", "double")
+interval_query("F14_intervals_triple", "triple", "t")
+interval_query("F14_intervals_anomalous", "anomalous")
+interval_query("F14_intervals_soumpasis", "soumpasis")
 
 
 def grouped_post(spark, sf):

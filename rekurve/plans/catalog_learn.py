@@ -47,9 +47,9 @@ def o03(spark, sf):
     return ol.mad_flags(f, "price", ["grp"]).select("cell_id", rd("z").alias("z"), "outlier").join(ref, "cell_id")
 
 
-@query("O04_grubbs", f"WITH {FEAT}, g AS (SELECT batch, cell_id, price, abs(price - avg(price) OVER w) / stddev_samp(price) OVER w AS g, count(*) OVER w AS n FROM ft WINDOW w AS (PARTITION BY batch)) SELECT batch, cell_id, {RD('g')} AS g, n FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY g DESC, cell_id) AS rn FROM g WHERE n >= 3) WHERE rn = 1")
+@query("O04_grubbs", f"WITH {FEAT}, g AS (SELECT batch, cell_id, price, abs(price - avg(price) OVER w) / stddev_samp(price) OVER w AS g, count(*) OVER w AS n FROM ft WINDOW w AS (PARTITION BY batch)) SELECT batch, CASE WHEN n >= 3 THEN cell_id END AS cell_id, CASE WHEN n >= 3 THEN {RD('g')} END AS g, n, CASE WHEN n < 3 THEN 'fewer than 3 values' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY g DESC, cell_id) AS rn FROM g) WHERE rn = 1")
 def o04(spark, sf):
-    return ol.grubbs(feats(spark, sf), "cell_id", "price", ["batch"]).select("batch", "cell_id", rd("g").alias("g"), "n")
+    return ol.grubbs(feats(spark, sf), "cell_id", "price", ["batch"]).select("batch", "cell_id", rd("g").alias("g"), "n", "reason")
 
 
 @query("O04_grubbs_decision")
@@ -59,9 +59,9 @@ def o04d(spark, sf):
 
 @query("O05_dixon", f"""WITH {FEAT}, r AS (SELECT batch, grp, cell_id, price, row_number() OVER (PARTITION BY batch, grp ORDER BY price, cell_id) AS i, count(*) OVER (PARTITION BY batch, grp) AS n FROM ft),
  o AS (SELECT batch, grp, any_value(n) AS n, max(price) FILTER (i = 1) AS a, max(price) FILTER (i = 2) AS b, max(price) FILTER (i = n - 1) AS y, max(price) FILTER (i = n) AS z FROM r GROUP BY 1, 2),
- q AS (SELECT *, greatest((b - a) / (z - a), (z - y) / (z - a)) AS q, [0.970, 0.829, 0.710, 0.625, 0.568, 0.526, 0.493, 0.466][least(n, 10) - 2]::DOUBLE AS c FROM o WHERE n >= 3 AND z > a) SELECT batch, grp, n, {RD('q')} AS q, c AS critical, q > c AS outlier FROM q""")
+ q AS (SELECT *, greatest((b - a) / (z - a), (z - y) / (z - a)) AS q, [0.970, 0.829, 0.710, 0.625, 0.568, 0.526, 0.493, 0.466][least(n, 10) - 2]::DOUBLE AS c FROM o WHERE n >= 3 AND z > a) SELECT batch, grp, o.n, {RD('q')} AS q, c AS critical, q > c AS outlier, CASE WHEN o.n < 3 THEN 'fewer than 3 values' WHEN q IS NULL THEN 'all values equal' END AS reason FROM o LEFT JOIN q USING (batch, grp)""")
 def o05(spark, sf):
-    return ol.dixon(feats(spark, sf), "cell_id", "price", ["batch", "grp"]).select("batch", "grp", "n", rd("q").alias("q"), "critical", "outlier")
+    return ol.dixon(feats(spark, sf), "cell_id", "price", ["batch", "grp"]).select("batch", "grp", "n", rd("q").alias("q"), "critical", "outlier", "reason")
 
 
 @query("O06_curve_outliers", f"""WITH {FEAT}, r AS (SELECT *, CASE WHEN mobile * 1.2 > 200 THEN 'impossible: above 200 %' WHEN mobile * 1.2 > 100 THEN 'above 100 %' WHEN mobile * 1.2 < 0 THEN 'negative' END AS reason FROM ft), s AS (SELECT grp, quantile_cont(spread, 0.25) AS s1, quantile_cont(spread, 0.75) AS s3 FROM r WHERE reason IS NULL GROUP BY 1)
@@ -135,7 +135,7 @@ def o14c(spark, sf):
 @query("O12_forest_classifier")
 def o12(spark, sf):
     d = cut_lineage(ol.iqr_flags(feats(spark, sf), ["price"], factor=0.5).select("cell_id", "price", "spread", "bal", "price_outlier"))
-    model, auc, imp = ol.forest_classifier(d, ["price", "spread", "bal"], "price_outlier", folds=5, trees=20)
+    model, auc, imp = ol.forest_classifier(d, ["price", "spread", "bal"], "price_outlier", folds=5, trees=100)
     return imp.withColumn("auc", F.lit(auc))
 
 

@@ -169,21 +169,35 @@ def md5_sql(seed, *parts):
     return f"('0x' || substr(md5('{seed}:' || {(' || ' + chr(39) + ':' + chr(39) + ' || ').join(f'{p}::VARCHAR' for p in parts)}), 1, 8))::BIGINT"
 
 
-@query("X17_permutation", f"""WITH u AS (SELECT o_orderkey AS id, o_orderstatus AS g, o_totalprice AS v FROM orders WHERE o_orderstatus IN ('F', 'O')), s AS (SELECT count(*) FILTER (g = 'F') AS n1, count(*) AS n, sum(v) AS sv, avg(v) FILTER (g = 'F') - avg(v) FILTER (g = 'O') AS observed FROM u),
- h AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY {md5_sql(1, 'rep', 'id')}, id) AS rn FROM u, range(0, 40) r(rep)), a AS (SELECT rep, sum(v) FILTER (rn <= n1) AS s1 FROM h, s GROUP BY 1)
+def mix_sql(word: str, rows: str) -> str:
+    """``rows`` with the column ``word`` mixed, in place."""
+    for _ in range(2):
+        rows = f"(SELECT * REPLACE ((xor({word}, {word} >> 16) * {rs.MIX}) & {rs.MASK} AS {word}) FROM {rows})"
+    return f"(SELECT * REPLACE (xor({word}, {word} >> 16) AS {word}) FROM {rows})"
+
+
+def drawn_sql(rows: str, reps: int) -> str:
+    """``rows`` times replicates, with the draw of each in ``word``."""
+    turns = mix_sql("m", f"(SELECT rep, rep::BIGINT AS m FROM range(0, {reps}) r(rep))")
+    return mix_sql("word", f"(SELECT u.* REPLACE (xor(u.word, t.m) AS word), t.rep FROM ({rows}) u, {turns} t)")
+
+
+@query("X17_permutation", f"""WITH u AS (SELECT o_orderkey AS id, o_orderstatus AS g, o_totalprice AS v, {md5_sql(1, 'o_orderkey')} AS word FROM orders WHERE o_orderstatus IN ('F', 'O')), s AS (SELECT count(*) FILTER (g = 'F') AS n1, count(*) AS n, sum(v) AS sv, avg(v) FILTER (g = 'F') - avg(v) FILTER (g = 'O') AS observed FROM u),
+ h AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY word, id) AS rn FROM {drawn_sql('SELECT id, v, word FROM u', 1000)}), a AS (SELECT rep, sum(v) FILTER (rn <= n1) AS s1 FROM h, s GROUP BY 1)
  SELECT rep, {RD('s1 / n1 - (sv - s1) / (n - n1)', 3)} AS diff, {RD('observed', 3)} AS observed FROM a, s""")
 def x17(spark, sf):
     o = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("g"), F.col("o_totalprice").alias("v"))
-    r = rs.permutation_test(o, "g", "v", "id", "F", "O", 40)
+    r = rs.permutation_test(o, "g", "v", "id", "F", "O", 1000)
     return r.select(F.col("rep").cast("long").alias("rep"), rd("diff", 3).alias("diff"), rd("observed", 3).alias("observed"))
 
 
-BOOT = B3 + f""", bi AS (SELECT grp, price, row_number() OVER (PARTITION BY grp ORDER BY cell_id) - 1 AS f, count(*) OVER (PARTITION BY grp) AS n FROM b3), pk AS (SELECT grp, rep, {md5_sql(1, 'grp', 'rep', 'f')} % n AS f FROM bi, range(0, 100) r(rep)),
- bt AS (SELECT pk.grp, rep, avg(price) AS m, var_samp(price) AS v, count(*) AS n FROM pk JOIN bi ON bi.grp = pk.grp AND bi.f = pk.f GROUP BY 1, 2)"""
+REPS = 5000
+BOOT = B3 + f""", c AS (SELECT avg(price) AS c FROM b3), dr AS {drawn_sql(f"SELECT grp, price, {md5_sql(1, 'grp', 'cell_id')} AS word FROM b3", REPS)}, pk AS (SELECT grp, rep, price, {' + '.join(f'(word >= {k})::INT' for k in rs.OCCURS)} AS w FROM dr WHERE word >= {rs.OCCURS[0]}),
+ bt AS (SELECT grp, rep, sum(w * price) / sum(w) AS m, (sum(w * (price - c) * (price - c)) - power(sum(w * (price - c)), 2) / sum(w)) / nullif(sum(w) - 1, 0) AS v, sum(w) AS n FROM pk, c GROUP BY 1, 2)"""
 
 
-def boot(spark, sf, stat=F.avg):
-    return rs.bootstrap(b.cells(spark, sf), ["grp"], "price", ["cell_id"], 100, stat)
+def boot(spark, sf):
+    return rs.bootstrap_moments(b.cells(spark, sf), ["grp"], "price", ["cell_id"], REPS).withColumnRenamed("mean", "stat")
 
 
 @query("X18_bootstrap_means", f"WITH {BOOT} SELECT grp, rep, {RD('m', 4)} AS stat FROM bt")
@@ -197,9 +211,10 @@ def x18i(spark, sf):
     return i.select(rd("mean", 4).alias("mean"), rd("lo", 4).alias("lo"), rd("hi", 4).alias("hi"))
 
 
-@query("V01_statistic_plugin", f"""WITH {BOOT.replace("avg(price) AS m", "max(price) - min(price) AS m")} SELECT grp, rep, {RD('m', 4)} AS stat FROM bt""")
+@query("V01_statistic_plugin", f"""WITH {BOOT.replace("sum(w * price) / sum(w) AS m", "max(price) - min(price) AS m")} SELECT grp, rep, {RD('m', 5)} AS stat FROM bt""")
 def v01(spark, sf):
-    return boot(spark, sf, lambda c: F.max(c) - F.min(c)).select("grp", F.col("rep").cast("long").alias("rep"), rd("stat", 4).alias("stat"))
+    r = rs.bootstrap(b.cells(spark, sf), ["grp"], "price", ["cell_id"], REPS, lambda c: F.max(c) - F.min(c))
+    return r.select("grp", F.col("rep").cast("long").alias("rep"), rd("stat", 5).alias("stat"))
 
 
 @query("X19_bca_interval")
@@ -209,7 +224,7 @@ def x19(spark, sf):
 
 @query("X20_bootstrap_effect", f"""WITH {BOOT} SELECT a.rep, {RD('(a.m - z.m) / sqrt(((a.n - 1) * a.v + (z.n - 1) * z.v) / (a.n + z.n - 2)) * (1 - 3 / (4 * (a.n + z.n) - 9))')} AS g FROM bt a JOIN bt z ON a.rep = z.rep AND a.grp = 'BUILDING' AND z.grp = 'MACHINERY'""")
 def x20(spark, sf):
-    g = rs.bootstrap_effect(b.cells(spark, sf), "grp", "price", ["cell_id"], "BUILDING", "MACHINERY", 100)
+    g = rs.bootstrap_effect(b.cells(spark, sf), "grp", "price", ["cell_id"], "BUILDING", "MACHINERY", REPS)
     return g.select(F.col("rep").cast("long").alias("rep"), rd("g").alias("g"))
 
 
@@ -252,7 +267,7 @@ def x24(spark, sf):
 
 
 @query("X25_chi_square", f"""WITH {FEAT}, o AS (SELECT grp, cluster, count(*) AS o FROM ft GROUP BY 1, 2), a AS (SELECT grp, sum(o) AS ra FROM o GROUP BY 1), c AS (SELECT cluster, sum(o) AS rb FROM o GROUP BY 1), t AS (SELECT sum(o) AS t FROM o)
- SELECT {RD('sum(power(coalesce(o, 0) - ra * rb / t, 2) / (ra * rb / t))', 5)} AS chi2, ((count(DISTINCT grp) - 1) * (count(DISTINCT cluster) - 1))::BIGINT AS df FROM (SELECT a.grp, c.cluster, ra, rb, t, o FROM a, c, t, o WHERE false UNION ALL SELECT a.grp, c.cluster, ra, rb, t, o.o FROM a CROSS JOIN c CROSS JOIN t LEFT JOIN o ON o.grp = a.grp AND o.cluster = c.cluster)""".replace("SELECT a.grp, c.cluster, ra, rb, t, o FROM a, c, t, o WHERE false UNION ALL ", ""))
+ SELECT {RD('sum(power(coalesce(o, 0) - ra * rb / t, 2) / (ra * rb / t))', 5)} AS chi2, ((count(DISTINCT grp) - 1) * (count(DISTINCT cluster) - 1))::BIGINT AS df FROM (SELECT a.grp, c.cluster, ra, rb, t, o.o FROM a CROSS JOIN c CROSS JOIN t LEFT JOIN o ON o.grp = a.grp AND o.cluster = c.cluster)""")
 def x25(spark, sf):
     return st.chi_square(feats(spark, sf), "grp", "cluster").select(rd("chi2", 5).alias("chi2"), "df")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rekurve.functions import tails
-from rekurve.operators import align as al, bleach as bl, fit, fit_metrics as fm, normalize as nz, ordered as od, quality as ql, shape as sh
+from rekurve.operators import align as al, bleach as bl, fit, fit_metrics as fm, normalize as nz, ordered as od, quality as ql
 from rekurve.plans.session import cut_lineage
 
 KEY = ["curve_id"]
@@ -47,6 +47,15 @@ def two_site_rates(fits: DataFrame, w: float = 1.0) -> DataFrame:
     })
 
 
+def every_curve(found: DataFrame, curves: DataFrame, keys: Sequence[str], why: str = "no post-bleach part") -> DataFrame:
+    """``found`` and a row of NULLs with a ``reason`` for each of ``curves`` that it lacks."""
+    keys = list(keys)
+    found = cut_lineage(found)
+    have = F.col("reason") if "reason" in found.columns else F.lit(None).cast("string")
+    missing = curves.select(*keys).join(found.select(*keys).distinct(), keys, "left_anti")
+    return found.withColumn("reason", have).unionByName(missing.withColumn("reason", F.lit(why)), allowMissingColumns=True)
+
+
 def predicted(t: Column | str) -> Column:
     """Value of a sum-of-exponentials fit with ``baseline, amps, taus`` at a time column."""
     name = t if isinstance(t, str) else "t"
@@ -159,8 +168,10 @@ def per_cell(df: DataFrame, w: float = 1.0) -> DataFrame:
     """bleach, pre-bleach level, post-bleach fit with one or two rates, mobile fraction and quality flag."""
     b = bl.pre_bleach_level(df)
     j = df.join(b, KEY).filter(F.col("frame") >= F.col("bleach"))
-    j = od.attach(j, KEY, _t0=F.min("t"), _n=F.count(F.lit(1))).filter("_n >= 4").withColumn("t_post", F.col("t") - F.col("_t0"))
-    rows = cut_lineage(j.select("curve_id", "t_post", "y", "pre"))
+    j = od.attach(j, KEY, _t0=F.min("t"), _n=F.count(F.lit(1))).withColumn("t_post", F.col("t") - F.col("_t0"))
+    few = F.col("_n") < 4
+    short = cut_lineage(j.filter(few).select(*KEY).distinct())
+    rows = cut_lineage(j.filter(~few).select("curve_id", "t_post", "y", "pre"))
     fits = cut_lineage(fm.add_criteria(fit.exponential_fits(rows, KEY, (1, 2), "t_post", "y")))
     pick = fm.parsimonious(fits.filter("model = 'single'"), fits.filter("model = 'double'"), KEY).select(*KEY, "model")
     pre = rows.groupBy(*KEY).agg(F.first("pre").alias("pre_bleach"))
@@ -168,7 +179,8 @@ def per_cell(df: DataFrame, w: float = 1.0) -> DataFrame:
     total = F.aggregate("amps", F.lit(0.0), lambda a, x: a + x)
     out = best.withColumn("i0", F.col("baseline")).withColumn("i_inf", F.col("baseline") + total).withColumn("k", 1 / F.get("taus", F.lit(0)))
     out = out.withColumn("mobile_frac", ql.mobile_fraction(F.col("i0"), F.col("i_inf"), F.col("pre_bleach"))).withColumn("t_half", 0.6931471805599453 / F.col("k"))
-    return out.withColumn("bleach_qc", F.coalesce((F.col("r2") > 0.5) & F.col("mobile_frac").between(0, 1), F.lit(False)))
+    out = out.withColumn("bleach_qc", F.coalesce((F.col("r2") > 0.5) & F.col("mobile_frac").between(0, 1), F.lit(False)))
+    return every_curve(out, short, KEY, "fewer than 4 frames after the bleach")
 
 
 def one_call(df: DataFrame, y: str = "y", w: float = 1.0) -> DataFrame:
@@ -178,7 +190,7 @@ def one_call(df: DataFrame, y: str = "y", w: float = 1.0) -> DataFrame:
     d = d.select("curve_id", "frame", "t", (F.col(y) / F.col("_pre")).alias("norm"))
     post = cut_lineage(bl.post_bleach(d, "norm", points=4, floor_negative=True).select("curve_id", "t_post", "y_post"))
     fits = cut_lineage(fit_all_models(post, KEY))
-    return best_features(fits)
+    return every_curve(best_features(fits), df.select(*KEY).distinct(), KEY)
 
 
 def best_features(fits: DataFrame, by: str = "aicc") -> DataFrame:
@@ -187,18 +199,25 @@ def best_features(fits: DataFrame, by: str = "aicc") -> DataFrame:
 
 
 def cli_metrics(rec: DataFrame, w: float = 0.72) -> DataFrame:
-    """double normalization with floors, time-zero correction, even down-sampling, one reaction-diffusion fit, single fit as fallback."""
-    n = cut_lineage(nz.double_with_floor(rec).filter("p1 is not null").select("curve_id", "frame", "t", F.col("norm").alias("y")))
+    """double normalization with floors, time-zero correction, one reaction-diffusion fit, single fit as fallback; a row for every curve.
+
+    All frames after the bleach are fitted; thinning them (``shape.downsample``) is a step of its own.
+    """
+    every = nz.double_with_floor(rec).select("curve_id", "frame", "t", F.col("norm").alias("y"), "norm_error")
+    every = cut_lineage(every)
+    n = every.filter("norm_error is null").drop("norm_error")
     z = bl.time_zero(n).filter("half_frame > 0")
     post = od.reindex(n.join(z, KEY).filter(F.col("frame") >= F.col("bleach")), F.col("frame") - F.col("bleach"))
     post = od.attach(post, KEY, _t0=F.min("t")).withColumn("t_post", F.col("t") - F.col("_t0") + F.col("half_frame"))
     post = post.withColumn("y", F.when(F.col("frame") == 0, F.col("f_zero")).otherwise(F.col("y")))
-    rows = cut_lineage(sh.downsample(post.select("curve_id", "frame", "t_post", "y")))
+    rows = cut_lineage(post.select("curve_id", "frame", "t_post", "y"))
     fits = cut_lineage(fit.exponential_fits(rows, KEY, (1, 2), "t_post", "y"))
     rd = reaction_rates(fits.filter("model = 'double'"), w).filter("mobile_fraction > 0").select(*KEY, "mobile_fraction", F.col("diffusion_coefficient").alias("diffusion"), F.try_divide(F.lit(1.0), "k_off").alias("residency"))
     one = fits.filter("model = 'single'").select(*KEY, F.get("amps", F.lit(0)).alias("m1"), (w * w / (4 * F.get("taus", F.lit(0)))).alias("d1"), F.get("taus", F.lit(0)).alias("r1"))
     j = one.join(rd, KEY, "left")
-    return j.select(*KEY, F.coalesce("mobile_fraction", "m1").alias("mobile_fraction"), F.coalesce("diffusion", "d1").alias("diffusion"), F.coalesce("residency", "r1").alias("residency"))
+    j = j.select(*KEY, F.coalesce("mobile_fraction", "m1").alias("mobile_fraction"), F.coalesce("diffusion", "d1").alias("diffusion"), F.coalesce("residency", "r1").alias("residency"), F.when(F.col("m1").isNull(), "no fit").alias("reason"))
+    why = every.groupBy(*KEY).agg(F.coalesce(F.max("norm_error"), F.lit("no frame after the bleach")).alias("why"))
+    return why.join(j, KEY, "left").select(*KEY, "mobile_fraction", "diffusion", "residency", F.when(F.col("mobile_fraction").isNull(), F.coalesce("reason", "why")).alias("reason"))
 
 
 def robust_methods(df: DataFrame, keys: Sequence[str], t: str, y: str) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rekurve.plans.session import cut_lineage
-from rekurve.sources.schema import standardize
+from rekurve.sources.schema import ALIASES, STABILIZATION
 
 DATA_FILE = r"(?i)\.(json|csv|xls|xlsx)$"
 # Accepted result keys per metric, first non-null number wins.
@@ -20,27 +18,59 @@ METRICS = {
 RADIUS_DEFAULT, RADIUS_WIDE, WIDE_KEYWORDS = 6 * 0.12, 12 * 0.12, ["laser", "ir", "infrared"]
 
 
+def _positions(names: Column, count: Column) -> tuple[dict[str, Column], Column]:
+    """Where each standard column is in a header, by the rules of ``schema.resolve_columns``, and if all of them were found by name."""
+    found: dict[str, Column] = {}
+
+    def fits(i: Column, words: list[str], taken: list[Column]) -> Column:
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(F.get(names, i), F.lit(w))
+        for t in taken:
+            hit = hit & (t.isNull() | (i != t))
+        return F.coalesce(hit, F.lit(False))
+
+    for std, words in ALIASES.items():
+        taken = list(found.values())
+        found[std] = F.get(F.filter(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: fits(i, words, taken)), F.lit(0))
+    every = F.lit(True)
+    for t in found.values():
+        every = every & t.isNotNull()
+    return found, every
+
+
 def read_curves(spark: SparkSession, path: str) -> DataFrame:
-    """All CSV recordings below ``path``.  ``curve_id`` is the file's place below ``path`` without its extension, so files of the same
-    name in two folders stay two curves; columns are resolved for every header that occurs, whatever its order."""
+    """All CSV recordings below ``path``, in one pass whatever the number of layouts.
+
+    ``curve_id`` is the file's place below ``path`` without its extension, so files of the same name in two folders stay two curves.
+    Columns are found by the names in each file's own first line, whatever their order; a first line of numbers only is a row like the
+    others, and columns then go by position.  Motion columns are given if any file has them.  A value that is no number is NULL; a file
+    whose columns can't be told is an error.
+    """
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[!.~]*.csv")
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     lines = files.text(path).select(F.col("_metadata.file_path").alias("path"), "value", place.alias("place"))
-    heads = lines.groupBy("path").agg(F.min_by("value", "place").alias("head"), F.min("place").alias("place"))
-    kinds = sorted(r["head"] for r in heads.select("head").distinct().collect())  # one for each layout of recordings
-    if len(kinds) < 2:
-        raw = files.option("header", True).csv(path).withColumn("path", F.col("_metadata.file_path"))
-        out = standardize(raw, keep=["path"])
-    else:
-        heads = cut_lineage(heads)
-        parts = []
-        for kind in kinds:
-            names = next(csv.reader([kind]))
-            body = lines.join(heads.filter(F.col("head") == kind).select("path", F.col("place").alias("_first")), "path").filter("place <> _first and value <> ''")
-            parts.append(standardize(body.select("path", F.from_csv("value", ", ".join(f"`{n}` string" for n in names)).alias("r")).select("path", "r.*"), keep=["path"]))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)
+    heads = cut_lineage(lines.groupBy("path").agg(F.min_by("value", "place").alias("head"), F.min("place").alias("first")))
+    width = heads.agg(F.max(F.size(F.split("head", ",")))).first()[0] or len(ALIASES)
+    fields = [f"_c{i}" for i in range(width)]
+    cells = lambda c: F.from_csv(c, ", ".join(f"{f} string" for f in fields))
+    h = heads.withColumn("r", cells(F.col("head"))).withColumn("count", F.size(F.split("head", ",")))
+    h = h.withColumn("names", F.transform(F.array(*[f"r.{f}" for f in fields]), lambda x: F.lower(F.trim(x))))
+    here = F.filter("names", lambda x: x.isNotNull())
+    h = h.withColumn("plain", F.forall(here, lambda x: x.try_cast("double").isNotNull()) & (F.size(here) > 0))
+    at, every = _positions(F.col("names"), F.col("count"))
+    known = F.coalesce(every & ~F.col("plain"), F.lit(False))
+    by_place = F.col("count") >= len(at)
+    wrong = F.raise_error(F.concat(F.lit("columns of "), F.col("path"), F.lit(" can't be told: "), F.col("head"))).cast("int")
+    where = [F.when(known, c).when(by_place, F.lit(i)).otherwise(wrong).alias(f"_at_{std}") for i, (std, c) in enumerate(at.items())]
+    motion = [F.when(~F.col("plain"), F.array_position("names", c) - 1).cast("int").alias(f"_at_{c}") for c in STABILIZATION]
+    h = cut_lineage(h.select("path", "first", "plain", *where, *motion))
+    some = h.agg(*[F.max(F.col(f"_at_{c}") >= 0).alias(c) for c in STABILIZATION]).first()  # one row
+    extra = [c for c in STABILIZATION if some[c]]
+    body = lines.join(h, "path").filter((F.col("plain") | (F.col("place") != F.col("first"))) & (F.trim("value") != ""))
+    body = body.withColumn("_r", cells(F.col("value"))).withColumn("_f", F.array(*[f"_r.{f}" for f in fields]))
+    value = lambda c: F.when(F.col(f"_at_{c}") >= 0, F.get("_f", F.col(f"_at_{c}")))
+    out = body.select("path", *[value(std).try_cast("double").alias(std) for std in ALIASES], *[value(c).alias(c) for c in extra])
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
     below = F.regexp_replace(F.regexp_replace("path", r"^[A-Za-z][\w+.-]*:(//[^/]*)?", ""), r"\.[^./]+$", "")
     own = F.when(below.startswith(root), F.substring(below, len(root) + 1, 1 << 20))

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from rekurve.operators.tracks import kalman_gains
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -55,29 +54,31 @@ def live_bleach(stream: DataFrame, threshold: float = 0.3) -> DataFrame:
 
 
 class _Smoother(StatefulProcessor):
-    """Constant-velocity filter; the state is frame number, position and velocity."""
+    """Constant-velocity filter; the state is frame number, position, velocity and their covariance, from which the next gain follows."""
 
-    def __init__(self, gains: np.ndarray, jump: float):
-        self.gains, self.jump = gains, jump
+    def __init__(self, q_pos: float, q_vel: float, r: float, jump: float):
+        self.q_pos, self.q_vel, self.r, self.jump = q_pos, q_vel, r, jump
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("motion", "frame long, x double, y double, vx double, vy double")
+        self.state = handle.getValueState("motion", "frame long, x double, y double, vx double, vy double, pp double, pv double, vv double")
 
     def handleInputRows(self, key, rows, timerValues):
         s = self.state.get() if self.state.exists() else None
-        frame, x, y, vx, vy = s if s is not None else (0, 0.0, 0.0, 0.0, 0.0)
+        frame, x, y, vx, vy, pp, pv, vv = s if s is not None else (0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0)
         b = pd.concat(list(rows)).sort_values("seq")
         out = []
         for seq, zx, zy in zip(b["seq"], b["x"], b["y"]):
             if frame == 0:
                 x, y, vx, vy = zx, zy, 0.0, 0.0
-            k = self.gains[min(frame, len(self.gains) - 1)]
+            pp, pv, vv = pp + 2 * pv + vv + self.q_pos, pv + vv, vv + self.q_vel
+            k = pp / (pp + self.r), pv / (pp + self.r)
+            pp, pv, vv = (1 - k[0]) * pp, (1 - k[0]) * pv, vv - k[1] * pv
             px, py = x + vx, y + vy
             ex, ey = zx - px, zy - py
             x, y, vx, vy = px + k[0] * ex, py + k[0] * ey, vx + k[1] * ex, vy + k[1] * ey
             out.append((key[0], frame, x, y, float(np.hypot(ex, ey)) > self.jump))
             frame += 1
-        self.state.update((frame, float(x), float(y), float(vx), float(vy)))
+        self.state.update((frame, *map(float, (x, y, vx, vy, pp, pv, vv))))
         yield pd.DataFrame(out, columns=["track_id", "frame", "xs", "ys", "flag"])
 
     def close(self) -> None:
@@ -87,7 +88,7 @@ class _Smoother(StatefulProcessor):
 def live_positions(stream: DataFrame, q_pos: float = 0.01, q_vel: float = 0.1, r: float = 1.0, jump: float = 10.0) -> DataFrame:
     """Rows ``track_id, seq, x, y``; smoothed positions and a motion flag."""
     out = StructType([StructField("track_id", LongType()), StructField("frame", LongType()), StructField("xs", DoubleType()), StructField("ys", DoubleType()), StructField("flag", BooleanType())])
-    return stream.groupBy("track_id").transformWithStateInPandas(_Smoother(kalman_gains(2000, q_pos, q_vel, r), jump), outputStructType=out, outputMode="Append", timeMode="None")
+    return stream.groupBy("track_id").transformWithStateInPandas(_Smoother(q_pos, q_vel, r, jump), outputStructType=out, outputMode="Append", timeMode="None")
 
 
 def live_means(stream: DataFrame, time: str, group: str, value: str, width: str = "1 day", late: str = "10 minutes") -> DataFrame:

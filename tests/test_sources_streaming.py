@@ -16,10 +16,35 @@ def test_read_curve_files(spark, tmp_path):
         (sub / f"{name}.csv").write_text("Time (s),Intensity of region 1,Region 2,Background\n" + "\n".join(f"{i},{100 + i * tau},200,5" for i in range(20)))
     (tmp_path / "group_a" / "~$cell_3.csv").write_text("Time (s),a,b,c\n1,2,3,4\n")
     d = rs.read_curves(spark, str(tmp_path))
-    assert {r["curve_id"]: r["n"] for r in d.groupBy("curve_id").agg(F.count("roi1").alias("n")).collect()} == {"cell_1": 20, "cell_2": 20}
+    assert {r["curve_id"]: r["n"] for r in d.groupBy("curve_id").agg(F.count("roi1").alias("n")).collect()} == {"group_a/cell_1": 20, "group_a/cell_2": 20}
     assert d.select(rs.subfolder(F.col("path")).alias("g")).distinct().first()["g"] == "group_a"
 
 
+def test_read_curves_of_many_layouts(spark, tmp_path):
+    """The same name in two folders, swapped columns, motion columns in one file, no header, a value that is no number; one plan for all."""
+    body = lambda f: "\n".join(f(i) for i in range(12))
+    for folder, text in (
+        ("a", "Time (s),Region 1,Region 2,Background\n" + body(lambda i: f"{i},{100 + i},200,5")),
+        ("b", "Background,Region 2,Displacement,Region 1,Seconds\n" + body(lambda i: f"6,300,0.{i},{500 + i},{i * 2}") + "\n\n7,300,x,oops,99"),
+        ("c/d", body(lambda i: f"{i},{700 + i},400,8") + "\n"),
+        ("e", "one,two,three,four,five\n" + body(lambda i: f"{i},{900 + i},500,\"9\",0")),
+    ):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "cell.csv").write_text(text)
+    d = rs.read_curves(spark, str(tmp_path))
+    assert d.columns == ["path", "time", "roi1", "roi2", "roi3", "displacement", "curve_id"]
+    got = {}
+    for r in d.collect():
+        got.setdefault(r.curve_id, []).append((r.time, r.roi1, r.roi2, r.roi3, r.displacement))
+    assert sorted(got["a/cell"]) == [(i, 100 + i, 200, 5, None) for i in range(12)]
+    assert sorted(got["b/cell"], key=lambda r: r[0]) == [(2 * i, 500 + i, 300, 6, f"0.{i}") for i in range(12)] + [(99, None, 300, 7, "x")]
+    assert sorted(got["c/d/cell"]) == [(i, 700 + i, 400, 8, None) for i in range(12)]  # its first line is a row
+    assert sorted(got["e/cell"]) == [(i, 900 + i, 500, 9, None) for i in range(12)]  # by position
+    (tmp_path / "e" / "bad.csv").write_text("time,what\n1,2\n")
+    with pytest.raises(Exception, match="can't be told"):
+        rs.read_curves(spark, str(tmp_path)).collect()
+
+
 def test_alias_rules():
     assert sc.resolve_columns(["Elapsed sec", "Bleach", "Control", "background"]) == {"time": "Elapsed sec", "roi1": "Bleach", "roi2": "Control", "roi3": "background"}
     assert sc.resolve_columns(["a", "b", "c", "d", "e"])["roi3"] == "d"  # by position
@@ -73,3 +98,15 @@ def test_live_positions_equal_batch(spark):
     batch = tr.kalman(od.frame_index(d, ["track_id"], ["seq"]).drop("seq"))
     r = lambda t: sorted((x["track_id"], x["frame"], round(x["xs"], 9), round(x["ys"], 9), x["flag"]) for x in t.collect())
     assert r(got) == r(batch)
+
+
+def test_live_positions_of_a_slow_filter(spark):
+    """Gains that go on falling for thousands of frames: live and batch still agree."""
+    path = shared_scratch(spark, "test")
+    d = spark.range(6000).select(F.lit(1).cast("long").alias("track_id"), F.col("id").alias("seq"), (F.col("id") * 0.01 + F.pmod(F.hash("id"), F.lit(100)) / 50).alias("x"), F.sin(F.col("id") / 500).alias("y"))
+    d.coalesce(1).write.parquet(path)
+    got = live.run_available(live.live_positions(spark.readStream.schema(d.schema).parquet(path), 1e-10, 1e-13), shared_scratch(spark, "test"))
+    batch = tr.kalman(od.frame_index(d, ["track_id"], ["seq"]).drop("seq"), 1e-10, 1e-13)
+    j = got.select("frame", "xs", "ys").join(batch.select("frame", F.col("xs").alias("xb"), F.col("ys").alias("yb")), "frame")
+    r = j.agg(F.count(F.lit(1)), F.max(F.abs(F.col("xs") - F.col("xb"))), F.max(F.abs(F.col("ys") - F.col("yb")))).first()
+    assert r[0] == 6000 and r[1] < 1e-8 and r[2] < 1e-8
