@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from rekurve.plans.session import cut_lineage, ship_package
+from rekurve.plans.session import STAGES, cut_lineage, ship_package
 
 #: Keys looked at for each range boundary; bounds what range_splits gathers.
 SAMPLE_PER_RANGE = 64
@@ -19,6 +20,26 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written inside are removed at the end, but for those that went straight through the function it gives.
+
+    What leaves the block must read nothing else.
+    """
+    begun, kept = len(STAGES), []
+
+    def keep(written: DataFrame) -> DataFrame:
+        kept.append(STAGES[-1])
+        return written
+
+    yield keep
+    gone = [p for p in STAGES[begun:] if p not in kept]
+    STAGES[begun:] = kept
+    for p in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, with underscores until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}
@@ -148,4 +169,4 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([], "node long, component long") if out is None else out
 
 
-__all__ = ["SAMPLE_PER_RANGE", "components", "cut_lineage", "free_name", "held_out", "literal", "positions", "range_index", "range_splits", "ranks", "share_hash", "ship_package", "width"]
+__all__ = ["SAMPLE_PER_RANGE", "components", "cut_lineage", "free_name", "held_out", "literal", "positions", "range_index", "range_splits", "ranks", "share_hash", "ship_package", "temporary", "width"]

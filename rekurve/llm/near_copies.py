@@ -10,27 +10,25 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rekurve.llm.common import components, cut_lineage, ship_package, width
+from rekurve.llm.common import components, cut_lineage, ship_package, temporary, width
 from rekurve.llm.simhash import BITS, fingerprint_of_hashes, shingles_of, trie_links
 
 #: A pair that shares 0.8 of its shingles agrees on a minimum hash with chance 0.8, on all of a band with 0.33, and on one band or more with 0.99995.
 BANDS, BAND_ROWS = 25, 5
 FACTORS = np.random.default_rng(7).integers(0, 1 << 31, BANDS * BAND_ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
-#: In the last step, a pair goes to its texts if its share of equal minimum hashes is less than this below the bound: 4.5 standard deviations at 0.8.
-MARGIN = 0.16
-#: Turns in which a text is held against one text that shares a band with it; then all pairs that are still unconnected.
+#: Turns in which a text is held against one text that shares a band with it; then all that is still unconnected.
 TURNS = 3
-#: Members of a band that one task compares by their minimum hashes, and shingles of the texts whose sets one task holds for each side.
-PART, PART_SHINGLES = 2000, 200_000
+#: Shingles of the texts whose sets one task holds for each of two sides.
+PART_SHINGLES = 200_000
 
 
-def sketch_of(text: str | None, words: int) -> tuple[bytes, int, int, bytes, list[int]]:
-    """A digest of the set of shingles, its size, the SimHash, a byte of each minimum hash, and a key for each band; a text without words has no band."""
+def sketch_of(text: str | None, words: int) -> tuple[bytes, int, int, list[int]]:
+    """A digest of the set of shingles, its size, the SimHash, and a key for each band of minimum hashes; a text without words has no band."""
     all_of_them = shingles_of(text, words)
     h = np.unique(all_of_them)
     digest = xxhash.xxh3_128_digest(h.tobytes())
     if not len(h):
-        return digest, 0, 0, b"", []
+        return digest, 0, 0, []
     x, least = (h >> np.uint64(32)).astype(np.uint32), np.full(len(FACTORS), (1 << 32) - 1, np.uint32)
     for i in range(0, len(x), 512):
         np.minimum(least, (x[i : i + 512, None] * FACTORS).min(0), out=least)
@@ -38,15 +36,14 @@ def sketch_of(text: str | None, words: int) -> tuple[bytes, int, int, bytes, lis
     for column in least.astype(np.uint64).reshape(BANDS, BAND_ROWS).T:
         key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    marks = ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
-    return digest, len(h), int(np.uint64(fingerprint_of_hashes(all_of_them)).view(np.int64)), marks, key.view(np.int64).tolist()
+    return digest, len(h), int(np.uint64(fingerprint_of_hashes(all_of_them)).view(np.int64)), key.view(np.int64).tolist()
 
 
 def sketches(text: Column, words: int) -> Column:
-    @F.pandas_udf("digest binary, size int, print long, marks binary, bands array<long>")
+    @F.pandas_udf("digest binary, size int, print long, bands array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([sketch_of(t, words) for t in s], columns=["digest", "size", "print", "marks", "bands"])
+            yield pd.DataFrame([sketch_of(t, words) for t in s], columns=["digest", "size", "print", "bands"])
 
     return run.asNondeterministic()(text)
 
@@ -62,42 +59,63 @@ def shingle_sets(text: Column, words: int) -> Column:
     return run.asNondeterministic()(text)
 
 
+class Tree:
+    """Groups of nodes by their edges; an edge inside a group is left out."""
+
+    def __init__(self, size: int):
+        self.parent = list(range(size))
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.parent[i] = j
+        return i != j
+
+
+class Sets:
+    """Sets of shingle hashes side by side: how much each of some shares with one more set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.start = np.cumsum(self.size) - self.size
+        self.values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ids, self.flag = ids.astype(np.int32), np.zeros(len(self.values), bool)
+
+    def alike(self, hashes: np.ndarray, which: np.ndarray, least: float) -> np.ndarray:
+        """Those of ``which`` that share ``least`` of what they and ``hashes`` have together; none of the sets is empty."""
+        at = np.searchsorted(self.values, hashes)
+        at = at[at < len(self.values)]
+        mine = at[self.values[at] == hashes[: len(at)]]  # hashes are sorted, so only the last ones are beyond all values
+        self.flag[mine] = True
+        out = []
+        for k in range(0, len(which), 256):
+            w = which[k : k + 256]
+            n = self.size[w]
+            first = np.cumsum(n) - n
+            common = np.add.reduceat(self.flag[self.ids[np.repeat(self.start[w] - first, n) + np.arange(int(n.sum()))]].astype(np.int64), first)
+            out.append(w[common >= least * (n + len(hashes) - common) - 1e-9])
+        self.flag[mine] = False
+        return np.concatenate(out) if out else which[:0]
+
+
 def linked(sets: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Of the pairs ``a, b``, a tree of edges over those whose sets share ``least`` of what they have together."""
     nodes = list(sets)
-    place = {n: i for i, n in enumerate(nodes)}
-    size = np.array([len(sets[n]) for n in nodes], np.int64)
-    start = np.cumsum(size) - size
-    ids = np.unique(np.concatenate([sets[n] for n in nodes]), return_inverse=True)[1]
+    place, held, tree, out = {n: i for i, n in enumerate(nodes)}, Sets(list(sets.values())), Tree(len(nodes)), []
     x, y = (np.fromiter((place[n] for n in side.tolist()), np.int64, len(side)) for side in (a, b))
     often = np.bincount(np.r_[x, y], minlength=len(nodes))
     x, y = np.where(often[x] >= often[y], x, y), np.where(often[x] >= often[y], y, x)  # x has the hubs
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order]
-    parent, out, flag = list(range(len(nodes))), [], np.zeros(int(ids.max(initial=-1)) + 1, bool)
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     for own in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1) if len(x) else []:
-        hub = x[own[0]]
-        mine = ids[start[hub] : start[hub] + size[hub]]
-        flag[mine] = True
-        for k in range(0, len(own), 256):
-            other = y[own[k : k + 256]]
-            n = size[other]
-            first = np.cumsum(n) - n
-            at = np.repeat(start[other] - first, n) + np.arange(int(n.sum()))
-            common = np.add.reduceat(flag[ids[at]].astype(np.int64), first) if len(at) else np.zeros(len(other), np.int64)
-            for i in other[common >= least * (n + size[hub] - common) - 1e-9].tolist():
-                p, q = root(i), root(hub)
-                if p != q:
-                    parent[p] = q
-                    out.append((nodes[i], nodes[hub]))
-        flag[mine] = False
+        hub = int(x[own[0]])
+        out += [(nodes[i], nodes[hub]) for i in held.alike(sets[nodes[hub]], y[own], least).tolist() if tree.join(i, hub)]
     return out
 
 
@@ -113,14 +131,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, l
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("long")
     sets = cut_lineage(texts.join(ends, "node").select("node", shingle_sets(F.col("text"), words).alias("hashes")))
     dealt = pairs.select("a", "b", F.least(part("a"), part("b")).alias("low"), F.greatest(part("a"), part("b")).alias("high"))
-    needs = dealt.select(F.explode(F.array("a", "b")).alias("node"), "low", "high").distinct()
-    needs = cut_lineage(needs.join(sets, "node"))
+    needs = dealt.select(F.explode(F.array("a", "b")).alias("node"), "low", "high").distinct().join(sets, "node")
+    needs = needs.select("node", "hashes", F.col("low").alias("part_low"), F.col("high").alias("part_high"))
 
     def decide(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = linked({n: np.frombuffer(h, np.uint64) for n, h in zip(right["node"], right["hashes"])}, left["a"].to_numpy(), left["b"].to_numpy(), least) if len(left) else []
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return dealt.groupBy("low", "high").cogroup(needs.groupBy("low", "high")).applyInPandas(decide, "a long, b long")
+    return dealt.groupBy("low", "high").cogroup(needs.groupBy("part_low", "part_high")).applyInPandas(decide, "a long, b long")
 
 
 def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,40 +156,50 @@ def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node[apart]), pa.array(node[first][apart])], ["node", "to"])
 
 
-def unconnected(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """All pairs ``a, b`` within a key of ``members(key, node, component)`` that differ in their component and may be near copies.
+def unconnected(members: DataFrame, nodes: DataFrame, of: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Edges ``a, b`` for all that is near and not connected within a key of ``members(key, node, component)``; keys have several components.
 
-    Members of a key that are not of its largest component are held against all of its members.  These are cut into parts and those into
-    chunks of about ``PART``; a member goes to every chunk and one outside of the largest component also to every part, so what is sent
-    grows with the square of those outside only, and no more than one task's part and chunk are held at a time.
+    A member outside of its key's largest component is held against that whole component, and members outside against each other.  The
+    sets of one side are cut into parts and those of the other into chunks of about ``PART_SHINGLES``; every part meets every chunk in a
+    task, which gives a tree of edges and no pairs.  So a component goes to as many tasks as it has parts, times the chunks of those
+    outside; only texts that are all unconnected, although they share a band, are compared each with each.
     """
-    of = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    of = of.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most"))
-    of = of.select("key", F.ceil(F.col("all") / PART).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("most.n")) / PART).cast("int").alias("chunks"), F.col("most.component").alias("main"))
-    d = members.join(cut_lineage(of), "key").join(nodes.select("node", "size", "marks"), "node")
-    d = d.withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "chunk": F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")})
-    each = lambda n, row: F.transform(F.sequence(F.lit(0), F.col(n) - 1), row)
-    as_member = each("chunks", lambda k: F.struct(F.col("part").alias("p"), k.alias("c"), F.lit(False).alias("asks")))
-    as_asking = each("parts", lambda k: F.struct(k.alias("p"), F.col("chunk").alias("c"), F.lit(True).alias("asks")))
-    d = d.withColumn("outside", F.col("component") != F.col("main"))
-    d = d.select("key", "node", "component", "size", "marks", "outside", F.inline(F.when(F.col("outside"), F.concat(as_member, as_asking)).otherwise(as_member)))
+    count = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = count.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    outside = cut_lineage(members.join(cut_lineage(main), "key").filter("component <> main"))
+    asking = outside.select(F.lit(False).alias("own"), F.col("main").alias("target"), "node", "component").distinct()
+    whole = nodes.select("node").join(of, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    whole = whole.join(asking.select(F.col("target").alias("component")).distinct(), "component", "left_semi")
+    asked = whole.select(F.lit(False).alias("own"), F.col("component").alias("target"), "node", "component")
+    several = outside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    others = outside.join(several, "key", "left_semi").select(F.lit(True).alias("own"), F.col("key").alias("target"), "node", "component")
+    of_both = asking.withColumn("asks", F.lit(True)).unionByName(asked.withColumn("asks", F.lit(False)))
+    of_both = of_both.unionByName(others.withColumn("asks", F.explode(F.array(F.lit(True), F.lit(False)))))
+    d = cut_lineage(of_both.join(nodes.select("node", "size"), "node"))
+    sets = d.select("node").distinct().join(texts, "node").select("node", shingle_sets(F.col("text"), words).alias("hashes"))
+    shingles = lambda asks: F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("asks") == asks, F.col("size")).otherwise(0)) / PART_SHINGLES)).cast("int")
+    cuts = cut_lineage(d.groupBy("own", "target").agg(shingles(False).alias("parts"), shingles(True).alias("chunks")))
+    d = d.join(cuts, ["own", "target"])
+    spot = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    d = d.withColumn("part", F.explode(F.when(F.col("asks"), every("parts")).otherwise(F.array(spot("parts", 0)))))
+    d = d.withColumn("chunk", F.explode(F.when(F.col("asks"), F.array(spot("chunks", 1))).otherwise(every("chunks"))))
+    d = d.select("own", "target", "part", "chunk", "asks", "node", "component").join(cut_lineage(sets), "node")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         asks = g["asks"].to_numpy(bool)
         x, y = g[asks], g[~asks]
-        mark = [np.frombuffer(b"".join(t.marks), np.uint8).reshape(len(t), -1) if len(t) else np.zeros((0, 1), np.uint8) for t in (x, y)]
-        (n1, c1, s1), (n2, c2, s2) = ([t[c].to_numpy(np.int64) for c in ("node", "component", "size")] for t in (x, y))
-        twice, out = y["outside"].to_numpy(bool), []  # such a pair is met from both ends
-        for i in range(len(x)):
-            good = (c2 != c1[i]) & (~twice | (n1[i] < n2)) & (np.minimum(s1[i], s2) >= least * np.maximum(s1[i], s2) - 1e-9)
-            at = np.flatnonzero(good)
-            at = at[(mark[1][at] == mark[0][i]).mean(1) >= least - MARGIN]
-            if len(at):
-                out.append(pd.DataFrame({"a": n1[i], "b": n2[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        out = []
+        if len(x) and len(y):
+            held = Sets([np.frombuffer(h, np.uint64) for h in y["hashes"]])
+            node, comp = y["node"].to_numpy(np.int64), y["component"].to_numpy(np.int64)
+            codes, tree = pd.factorize(np.r_[comp, x["component"].to_numpy(np.int64)])[0], Tree(len(g))
+            for i, (n, c, h) in enumerate(zip(x["node"], x["component"], x["hashes"])):
+                near = held.alike(np.frombuffer(h, np.uint64), np.flatnonzero(comp != c), least)
+                out += [(n, int(node[j])) for j in near.tolist() if tree.join(int(codes[j]), int(codes[len(y) + i]))]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    found = d.groupBy("key", "p", "c").applyInPandas(compare, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return d.groupBy("own", "target", "part", "chunk").applyInPandas(compare, "a long, b long")
 
 
 def near_copies(docs: DataFrame, row: str, text: str, words: int, least: float) -> DataFrame:
@@ -183,7 +211,7 @@ def near_copies(docs: DataFrame, row: str, text: str, words: int, least: float)
 
     Candidates come first from the binary tries over SimHash fingerprints, which connect what differs little.  Nodes that agree in a band of
     minimum hashes are candidates too: in each turn a node gets one of the nodes that lead its bands, which connects a large group of
-    copies by as many comparisons as it has texts, and at last all pairs in a band that are not connected are met.  ``docs`` is read more
+    copies by as many comparisons as it has texts, and at last all that shares a band and is not connected is met.  ``docs`` is read more
     than once, so it has to be a written table or one that repeats its rows exactly.
     """
     ship_package(docs.sparkSession)
@@ -193,15 +221,20 @@ def near_copies(docs: DataFrame, row: str, text: str, words: int, least: float)
     texts = docs.select(F.col(row).alias("node"), F.col(text).alias("text"))
     links = of = tested = None
 
-    def connect(pairs: DataFrame) -> None:
-        """Decide the pairs ``a, b`` (a < b) that were not met before, and what is connected then."""
+    def connect(pairs: DataFrame | None = None, rest: DataFrame | None = None) -> None:
+        """Decide the pairs ``a, b`` (a < b) that were not met before, or all that is unconnected in ``rest``, and what is connected then."""
         nonlocal links, of, tested
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        good = cut_lineage(verified(pairs, nodes, texts, words, least))
-        tested, links = (pairs, good) if tested is None else (tested.unionByName(pairs), links.unionByName(good))
-        of = cut_lineage(components(links))
+        with temporary(docs.sparkSession) as keep:
+            if rest is not None:
+                good = keep(cut_lineage(unconnected(rest, nodes, of, texts, words, least)))
+            else:
+                if tested is not None:
+                    pairs = pairs.join(tested, ["a", "b"], "left_anti")
+                pairs = keep(cut_lineage(pairs))
+                good = keep(cut_lineage(verified(pairs, nodes, texts, words, least)))
+                tested = pairs if tested is None else tested.unionByName(pairs)
+            links = good if links is None else links.unionByName(good)
+            of = keep(cut_lineage(components(links)))
 
     prints = nodes.filter("size > 0").select("node", F.col("print").alias("value"))
     lone = cut_lineage(prints.groupBy("value").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
@@ -222,10 +255,9 @@ def near_copies(docs: DataFrame, row: str, text: str, words: int, least: float)
             dealt = m.withColumn("draw", draw).repartitionByRange(width(docs.sparkSession), "key", "draw", "node").sortWithinPartitions("key", "draw", "node")
             pairs = dealt.select("key", "node", "component").mapInArrow(lead, "node long, to long")
             pairs = pairs.groupBy("node").agg(F.min_by("to", F.xxhash64("to", "node", F.lit(turn))).alias("to"))
-            pairs = pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+            connect(pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct())
         else:
-            pairs = unconnected(m, nodes, least)
-        connect(pairs)
+            connect(rest=m)
         m = m.select("key", "node")
     found = same.join(of, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return d.select(F.col("node").alias(row), "digest").join(cut_lineage(found), "digest").drop("digest")

@@ -55,10 +55,9 @@ def texts():
     return out + ["one two", "One  two", "one", "", None, " \n", "a b c d e", "a b c d f"]
 
 
-@pytest.mark.parametrize("turns, part, shingles", [(2, 2000, 200_000), (0, 7, 1500)])
-def test_true_similarity_decides(spark, texts, monkeypatch, turns, part, shingles):
+@pytest.mark.parametrize("turns, shingles", [(2, 200_000), (0, 1500)])
+def test_true_similarity_decides(spark, texts, monkeypatch, turns, shingles):
     monkeypatch.setattr(near_copies, "TURNS", turns)
-    monkeypatch.setattr(near_copies, "PART", part)
     monkeypatch.setattr(near_copies, "PART_SHINGLES", shingles)
     d = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
     got = {r.row: r.component_id for r in near_copies.near_copies(cp.cut_lineage(d), "row", "text", 5, 0.8).collect()}
