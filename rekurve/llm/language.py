@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rekurve.llm.common import held_out, share_hash, ship_package
 
-#: About so many labelled rows of each language are learned from; with LANGUAGES it bounds the model.
-ROWS_PER_LANGUAGE, LANGUAGES = 1500, 200
-#: Buckets of hashed letter triples.
-BUCKETS = 1 << 16
+#: About so many labelled rows of each language are learned from.
+ROWS_PER_LANGUAGE = 1500
+#: Buckets of hashed letter triples, and the counts that a model holds at most: with more than 200 languages buckets are halved until they
+#: fit, down to LEAST_BUCKETS, which leaves room for 51200 languages.
+BUCKETS, LEAST_BUCKETS, COUNTS = 1 << 16, 1 << 8, 200 << 16
 #: Log-probability a change of language costs; a share of letters below which a script isn't one of a language's.
 SWITCH, SCRIPT_SHARE = 9.0, 0.02
 UNKNOWN = "und"
@@ -32,7 +33,9 @@ SCRIPTS = [
 ]
 STARTS, NAMES = np.array([s for s, _ in SCRIPTS]), sorted({n for _, n in SCRIPTS})
 SCRIPT_OF = np.array([NAMES.index(n) for _, n in SCRIPTS])
-WORD = re.compile(r"[^\W\d_]+")
+#: Numerals that the word class of ``re`` counts in although they are no letters, such as superscripts, fractions and Roman numerals.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -68,7 +71,7 @@ class Model:
     """Log-probabilities of letter triples by language, and the scripts each language is written in."""
 
     def __init__(self, langs: list[str], counts: np.ndarray, letters: np.ndarray):
-        self.langs = langs
+        self.langs, self.buckets = langs, counts.shape[1]
         p = (counts + 0.05) / (counts + 0.05).sum(1, keepdims=True)
         self.logs = np.ascontiguousarray(np.log(p).T.astype(np.float32))  # bucket x language
         share = letters / np.maximum(letters.sum(1, keepdims=True), 1)
@@ -80,7 +83,7 @@ class Model:
         if not words:
             return np.zeros((0, len(self.langs)), np.float32)
         bucket, start = triples(words)
-        out = np.add.reduceat(self.logs[bucket], start, axis=0)
+        out = np.add.reduceat(self.logs[bucket % self.buckets], start, axis=0)
         first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
         ruled_out = ~self.scripts[SCRIPT_OF[np.searchsorted(STARTS, first, "right") - 1]]
         out[ruled_out] = -np.inf
@@ -98,7 +101,8 @@ def viterbi(scores: np.ndarray, codes: np.ndarray, lengths: np.ndarray, switch:
     order = np.argsort(-lengths, kind="stable")
     start = (np.cumsum(lengths) - lengths)[order]
     size = lengths[order]
-    best = np.empty(len(codes), np.int16)
+    kind = np.int16 if scores.shape[1] < 1 << 15 else np.int32
+    best = np.empty(len(codes), kind)
     if not len(codes):
         return best
     running = np.searchsorted(-size, -np.arange(size[0]), "left")  # texts with more than t words
@@ -114,7 +118,7 @@ def viterbi(scores: np.ndarray, codes: np.ndarray, lengths: np.ndarray, switch:
         top = v.argmax(1)
         jump = v[np.arange(k), top] - switch
         stay = v >= jump[:, None]
-        back.append(np.where(stay, np.arange(v.shape[1], dtype=np.int16), top.astype(np.int16)[:, None]))
+        back.append(np.where(stay, np.arange(v.shape[1], dtype=kind), top.astype(kind)[:, None]))
         v = np.where(stay, v, jump[:, None]) + scores[codes[start[:k] + t]]
         v -= v.max(1, keepdims=True)
     state = np.empty(0, np.int64)
@@ -167,26 +171,29 @@ class Reader:
 def learn(experiments: DataFrame, experiment_id: str = "experiment_id", description: str = "description", language: str = "language", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Count letter triples and scripts by language over about ``rows_per_language`` descriptions of each, none of them held out.
 
-    The driver gets at most ``BUCKETS`` counts for each of the ``LANGUAGES`` most frequent languages.
+    The driver gets at most ``COUNTS`` counts, whatever the number of languages: the more there are, the fewer buckets each has.
     """
     spark = experiments.sparkSession
     ship_package(spark)
     d = experiments.select(F.col(experiment_id).alias("experiment_id"), F.col(description).alias("description"), F.col(language).cast("string").alias("language"))
     d = d.filter(~held_out(F.col("experiment_id")) & F.col("language").isNotNull() & F.col("description").isNotNull())
-    sizes = {r[0]: r[1] for r in d.groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in d.groupBy("language").count().orderBy(F.desc("count"), "language").limit(COUNTS // LEAST_BUCKETS).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, BUCKETS)), np.zeros((0, len(NAMES))))
-    rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, rows_per_language / sizes[k]))])
-    sample = d.filter(share_hash(F.col("experiment_id"), salt=1) < F.coalesce(rate[F.col("language")], F.lit(0.0)))
+    buckets = BUCKETS
+    while buckets > LEAST_BUCKETS and buckets * len(langs) > COUNTS:
+        buckets //= 2
+    rates = spark.createDataFrame([(k, i, min(1.0, rows_per_language / sizes[k])) for i, k in enumerate(langs)], "language string, lang int, rate double")
+    sample = d.join(F.broadcast(rates), "language").filter(share_hash(F.col("experiment_id"), salt=1) < F.col("rate")).select("lang", "description")  # a row for each language
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, letters = np.zeros((len(langs), BUCKETS), np.int64), np.zeros((len(langs), len(NAMES)), np.int64)
+        grams, letters = np.zeros((len(langs), buckets), np.int64), np.zeros((len(langs), len(NAMES)), np.int64)
         for p in batches:
-            for lang, text in zip(p.language, p.description):
-                k, words = langs.index(lang), words_of(text)
+            for k, text in zip(p.lang, p.description):
+                words = words_of(text)
                 for i in range(0, len(words), 50_000):
-                    np.add.at(grams[k], triples(words[i : i + 50_000])[0], 1)
+                    np.add.at(grams[k], triples(words[i : i + 50_000])[0] % buckets, 1)
                 for w, n in Counter(words).items():
                     letters[k, script_of(w)] += n * len(w)
         both = np.concatenate([grams, letters], 1)
@@ -194,9 +201,9 @@ def learn(experiments: DataFrame, experiment_id: str = "experiment_id", descript
         yield pd.DataFrame({"lang": k, "at": at, "n": both[k, at]})
 
     found = sample.mapInPandas(count, "lang int, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
-    both = np.zeros((len(langs), BUCKETS + len(NAMES)), np.int64)
+    both = np.zeros((len(langs), buckets + len(NAMES)), np.int64)
     both[found["lang"], found["at"]] = found["n"]
-    return Model(langs, both[:, :BUCKETS], both[:, BUCKETS:])
+    return Model(langs, both[:, :buckets], both[:, buckets:])
 
 
 SPANS = "array<struct<language: string, words: int>>"
@@ -205,7 +212,7 @@ SPANS = "array<struct<language: string, words: int>>"
 def language_of(spark: SparkSession, description: Column, model: Model, spans: bool = False) -> Column:
     """A struct of ``language``, ``score`` and, if asked for, the ``spans`` of the text in order."""
     ship_package(spark)
-    sent = spark.sparkContext.broadcast(model)  # bounded by BUCKETS x LANGUAGES
+    sent = spark.sparkContext.broadcast(model)  # bounded by COUNTS
 
     @F.pandas_udf("language string, score double" + (f", spans {SPANS}" if spans else ""))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

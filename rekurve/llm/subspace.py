@@ -97,9 +97,9 @@ def near_duplicate_cells(
     fine = F.forall("features", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & F.exists("features", lambda v: v != 0)
     d = d.withColumn("fits", F.coalesce(fine & F.col("cell_id").isNotNull() & F.col("condition").isNotNull(), F.lit(False)))
     classes = cut_lineage(d.filter("fits").groupBy("condition", "features").agg(F.min("cell_id").alias("node"), F.count(F.lit(1)).alias("n")))
-    most = classes.groupBy("condition", F.size("features").alias("dim")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    most, dim = classes.groupBy("condition", F.size("features").alias("dim")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.max("dim")).first()
     grid = 0
-    while most > TASK_ROWS * 2**grid and grid < 4:  # a grid coordinate leaves about half of the vectors in a cell
+    while (most or 0) > TASK_ROWS * 2**grid and grid < -(-dim // blocks) - 1:  # a grid coordinate leaves about half of the vectors in a cell
         grid += 1
 
     def cells(vectors: bool):

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rekurve.llm.bpe import Memory
 from rekurve.llm.common import share_hash, ship_package
 
-#: Descriptions looked at for the table of frequent pre-tokens, tasks that look, and entries of the table.
-SAMPLE_ROWS, SAMPLE_TASKS, TABLE = 2000, 8, 20_000
+#: Descriptions looked at for the table of frequent pre-tokens, and entries of the table.
+SAMPLE_ROWS, TABLE = 2000, 20_000
 LIMIT = 1024
 #: Below this code point the letter, number and space classes of ``regex`` are the library's.
 BEYOND = regex.compile("[^\x00-՗]")
@@ -60,12 +60,14 @@ def frequent_lengths(experiments: DataFrame, path: str, experiment_id: str = "ex
     """Lengths of the most frequent pre-tokens of about ``SAMPLE_ROWS`` descriptions; it decides on speed, never on a count."""
     d = experiments.select(F.col(experiment_id).alias("id"), F.col(description).alias("text"))
     rows = max(1, d.count())
-    sample = d.filter(share_hash(F.col("id"), salt=4) < min(1.0, SAMPLE_ROWS / rows)).coalesce(SAMPLE_TASKS)
+    sample = d.filter(share_hash(F.col("id"), salt=4) < min(1.0, SAMPLE_ROWS / rows))  # stays in as many tasks as the scan has
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lengths, met = Lengths(path, {}), Counter()
+        lengths, met = None, Counter()
         for p in batches:
             for text in p["text"].dropna():
+                if lengths is None:  # most tasks of a large table meet no such row
+                    lengths = Lengths(path, {})
                 met.update(x for x in lengths.pieces(text) if len(x) <= 32)
         top = met.most_common(TABLE)
         if top:

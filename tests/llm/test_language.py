@@ -68,3 +68,22 @@ def test_one_word_of_another_script(spark):
     more = [(900, "the cell was bleached and клетка the signal came back", None)]
     got = next(r for r in language.note_languages(fixture(spark, more)).collect() if r.experiment_id == 900)
     assert [(s.language, s.words) for s in got.spans] == [("en", 5), ("ru", 1), ("en", 4)] and got.score < 1
+
+
+def test_numerals_are_no_letters(spark):
+    more = [(900 + i, t, "en") for i, t in enumerate(["5² ½ 12 %", "Ⅷ ① ٣", "x²", "the³ signal½ came back"])]
+    got = {r.experiment_id: r for r in language.note_languages(fixture(spark, more)).collect()}
+    assert [got[k].language for k in (900, 901)] == ["und"] * 2 and got[900].score == got[901].score == 0
+    assert got[902].language in ("en", "fr") and got[903].language == "en" and sum(s.words for s in got[903].spans) == 4
+    assert language.words_of("5² ½ Ⅷ ① ٣ é日я") == ["é日я"]
+
+
+def test_more_languages_than_buckets(spark, monkeypatch):
+    """Every language is learned; a table of fewer counts has fewer buckets for each."""
+    monkeypatch.setattr(language, "COUNTS", 20 << 8)
+    words = {f"k{k:02}": " ".join(chr(97 + (k * 7 + i) % 26) * 2 + chr(97 + (k * 3 + i * i) % 26) for i in range(12)) for k in range(20)}
+    d = spark.createDataFrame([(20 * i + n, w, k) for i in range(25) for n, (k, w) in enumerate(words.items())], NOTES)
+    m = language.learn(d)
+    assert m.langs == sorted(words) and m.buckets == 256
+    got = language.note_languages(d, m).join(d.select("experiment_id", F.col("language").alias("want")), "experiment_id").collect()
+    assert np.mean([r.language == r.want for r in got]) > 0.95

@@ -71,3 +71,14 @@ def test_label_only_in_the_checked_fifth():
     y = np.array([0, 0, 0, 1] * 30)
     m = toxicity.fit(texts, y, ["en"] * 120, np.ones(120), np.where(y, 0.9, 0.1))
     assert [s >= 0.5 for s in toxicity.Scorer(m).scores(texts)] == y.astype(bool).tolist()
+
+
+def test_contradicting_reviews(spark):
+    """Repeated and contradicting reviews of an experiment, and repeated experiments: one row is learned from, whatever the order."""
+    rows = [(i, "fool of a plateau" if i % 3 == 0 else "signal on its plateau", None) for i in range(120)]
+    d = spark.createDataFrame(rows + rows[:30] * 3 + [(6, None, None)], NOTES)
+    r = [(i, int(i % 3 == 0)) for i in range(120)] + [(i, 0) for i in range(0, 60, 3)]
+    found = [sorted(toxicity.toxic_notes(t, spark.createDataFrame(q, REVIEWS)).select("experiment_id", "score", "predicted").collect()) for t, q in ((d, r), (d.repartition(7), r[::-1]))]
+    assert [(x.experiment_id, x.predicted) for x in found[0]] == [(x.experiment_id, x.predicted) for x in found[1]]
+    assert [x.score for x in found[0]] == pytest.approx([x.score for x in found[1]], abs=1e-6)
+    assert {x.experiment_id for x in found[0] if x.predicted} == set(range(0, 120, 3))
