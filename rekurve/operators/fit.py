@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from rekurve.functions.basis import MODELS, Model, rise
-from rekurve.operators.ordered import SEGMENT_CONF, SEGMENT_ROWS
+from rekurve.operators.ordered import SEGMENT_CONF, SEGMENT_ROWS, group_starts, whole_groups
 from rekurve.plans.session import cut_lineage
 
 LOCAL_ROWS = 20_000  # rows of whole curves that a task works on at once
@@ -124,8 +124,8 @@ def moment_round(df: DataFrame, keys: Sequence[str], t: str, y: str, p: Pass) ->
     return part.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_merge_then(keys, p.solved), p.schema)
 
 
-def _local_round(b: pd.DataFrame, starts: np.ndarray, t: str, y: str, p: Pass) -> pd.DataFrame:
-    """The same pass over whole curves in memory, which lie one behind the other."""
+def _local_sums(b: pd.DataFrame, starts: np.ndarray, t: str, y: str, p: Pass) -> np.ndarray:
+    """The sums of whole curves in memory, which lie one behind the other."""
     tt, yy, m = b[t].to_numpy(float), b[y].to_numpy(float), None
     for lo in range(0, len(b), LOCAL_ROWS):  # products of a slice at a time: a long curve takes no more memory than a short one
         hi = min(lo + LOCAL_ROWS, len(b))
@@ -133,7 +133,12 @@ def _local_round(b: pd.DataFrame, starts: np.ndarray, t: str, y: str, p: Pass) -
         first, last = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi, "left")
         m = np.zeros((len(starts), x.shape[1])) if m is None else m
         m[first:last] += np.add.reduceat(x, np.maximum(starts[first:last] - lo, 0), axis=0)
-    return next(p.solved(b.iloc[starts].reset_index(drop=True), m))
+    return m
+
+
+def _local_round(b: pd.DataFrame, starts: np.ndarray, t: str, y: str, p: Pass) -> pd.DataFrame:
+    """A pass over whole curves in memory."""
+    return pd.concat(p.solved(b.iloc[starts].reset_index(drop=True), _local_sums(b, starts, t, y, p)), ignore_index=True)
 
 
 def curve_span(df: DataFrame, keys: Sequence[str], t: str = "t") -> DataFrame:
@@ -262,36 +267,42 @@ def profile_pass(keys, model: Model, types: str, offset=True, amp=(0.0, np.inf),
     ks, sts = [f"_k{j}" for j in range(dims)], [f"_st{j}" for j in range(dims)]
     n_cols = len(axes) if axes is not None else len(list(itertools.product(*model.grid(1e-3, 1.0))))
 
-    def params(rows) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def params(rows) -> list[np.ndarray]:
+        if axes is None:
+            return _first(model, rows["_lo"].to_numpy(float), rows["_hi"].to_numpy(float))[0]
+        return _moved(model, [rows[k].to_numpy(float) for k in ks], [rows[c].to_numpy(float) for c in sts], axes)
+
+    def next_steps(rows) -> list[np.ndarray]:
+        """By row and candidate: smaller, but as they were for one at the edge, which says that the best lies further on."""
         if axes is None:
-            return _first(model, rows["_lo"].to_numpy(float), rows["_hi"].to_numpy(float))
-        steps = [rows[c].to_numpy(float) for c in sts]
-        return _moved(model, [rows[k].to_numpy(float) for k in ks], steps, axes), [c * shrink for c in steps]
+            return [np.repeat(s[:, None], n_cols, 1) for s in _first(model, rows["_lo"].to_numpy(float), rows["_hi"].to_numpy(float))[1]]
+        edge = np.abs(axes) == np.abs(axes).max(0)
+        return [np.where(edge[:, j], s[:, None], s[:, None] * shrink) for j, s in enumerate(rows[c].to_numpy(float) for c in sts)]
 
     def columns(tt, b):
-        return model.basis(tt[:, None], *params(b)[0])
+        return model.basis(tt[:, None], *params(b))
 
     def best(rows, n, sw, sy, syy, sx, sxy, sxx):
         a, base, rss = _profile_rss(sw, sy, syy, sx, sxy, sxx, offset, amp)
         syc = syy - sy * sy / sw if offset else syy
-        (p, steps), k, r = params(rows), _first_best(rss, syc), np.arange(len(rows))
+        p, steps, k, r = params(rows), next_steps(rows), _first_best(rss, syc), np.arange(len(rows))
         out = rows[list(keys)].copy()
         out["n"], out["sst"], out["rss"] = n.astype("int64"), syy - sy * sy / sw, rss[r, k]
         out["amp"], out["baseline"] = a[r, k], base[r, k]
         for j in range(dims):
-            out[f"_k{j}"], out[f"_st{j}"] = p[j][r, k], steps[j]
+            out[f"_k{j}"], out[f"_st{j}"] = p[j][r, k], steps[j][r, k]
         yield out
 
     def pool(rows, n, sw, sy, syy, sx, sxy, sxx):
         rss = _profile_rss(sw, sy, syy, sx, sxy, sxx, offset, amp)[2]
         rss = np.where(np.isfinite(rss), rss, (syy - sy * sy / sw)[:, None])
         head, tot, first = _sums_by_key(rows, list(pooled), rss)
-        p, steps = params(rows)
+        p, steps = params(rows), next_steps(rows)
         for i in range(len(head)):
             at = first[i]
             yield pd.DataFrame({
                 **{g: [head.iloc[i][g]] * n_cols for g in pooled}, "i": range(n_cols), "rss": tot[i],
-                **{f"_k{j}": p[j][at] for j in range(dims)}, **{f"_st{j}": [steps[j][at]] * n_cols for j in range(dims)},
+                **{f"_k{j}": p[j][at] for j in range(dims)}, **{f"_st{j}": steps[j][at] for j in range(dims)},
             })
 
     kcols = "".join(f", _k{j} double, _st{j} double" for j in range(dims))
@@ -523,27 +534,66 @@ def exponential_fits(
 
 
 # ---- global fits: shared nonlinear parameters per group, own amplitude and offset per curve -----------------------------
+def _global(df: DataFrame, group: list[str], keys: list[str], t: str, y: str, first: Pass, zooms: list[Pass], last: Pass, winner: list[str]) -> DataFrame:
+    """The ``last`` pass of every curve with its group's ``winner`` columns, which pooled passes over all curves of the group have found.
+
+    A group that is not above ``spark.rekurve.segmentRows`` comes to a task in one exchange, and all passes follow each other there.  The
+    points of a larger one stay where they are: each pass adds up moments map-side, shuffles the sums of curves and then those of groups.
+    """
+    df = df.select(*keys, t, y)
+    spark = df.sparkSession
+    limit = int(spark.conf.get(SEGMENT_CONF, str(SEGMENT_ROWS)))
+    large = cut_lineage(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit))
+    some = not large.isEmpty()
+    usual = df.join(large, group, "left_anti") if some else df
+    own = [f"_own{c}" for c in winner]
+    schema = last.schema + "".join(f", {c} double" for c in own)
+
+    def best(pooled: pd.DataFrame) -> pd.DataFrame:
+        return pooled.sort_values(["rss", "i"], kind="stable").drop_duplicates(group)[[*group, *winner]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, at in whole_groups(batches, group, LOCAL_ROWS):
+            b, of = b.reset_index(drop=True), np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(b)]))
+            curves = group_starts(b, keys)
+            lo, hi = _local_span(b[t].to_numpy(float), at)
+            b = b.assign(_lo=lo[of], _hi=hi[of])
+            names = b.iloc[at][group].reset_index(drop=True).assign(_of=np.arange(len(at)))
+            for p in (first, *zooms):
+                w = names.merge(best(_local_round(b, curves, t, y, p)), on=group).set_index("_of")
+                b = b.assign(**{c: w[c].to_numpy()[of] for c in winner})
+            yield _local_round(b, curves, t, y, last).assign(**{o: b[c].to_numpy()[curves] for o, c in zip(own, winner)})
+
+    out = usual.repartition(*group).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    if some:
+        rows = cut_lineage(df.join(large.drop("_n"), group, "left_semi"))
+
+        def pooled(data: DataFrame, p: Pass) -> DataFrame:
+            g = moment_round(data, keys, t, y, p).groupBy(*group, "i").agg(F.sum("rss").alias("rss"), *[F.first(c).alias(c) for c in winner])
+            return cut_lineage(g.groupBy(*group).agg(F.min_by(F.struct(*winner), F.struct("rss", "i")).alias("w")).select(*group, "w.*"))
+
+        win = pooled(rows.join(cut_lineage(curve_span(rows, group, t)), group), first)
+        for p in zooms:
+            win = pooled(rows.join(win, group), p)
+        found = moment_round(rows.join(win, group), keys, t, y, last)
+        out = out.unionByName(found.join(win.select(*group, *[F.col(c).alias(o) for c, o in zip(winner, own)]), group))
+    return out
+
+
 def global_profile_fit(df, group: Sequence[str], curve: Sequence[str], model: str, t="t", y="y", rounds: int | None = None, amp=(0.0, np.inf)) -> tuple[DataFrame, DataFrame]:
     """(group table: shared parameters, total rss; curve table: amplitude, baseline) (F22); candidates follow the group's span."""
     m = MODELS[model]
     group, keys, dims = list(group), [*group, *curve], len(m.log)
     ks, sts, points = [f"_k{j}" for j in range(dims)], [f"_st{j}" for j in range(dims)], 6 if dims == 1 else 3
     types, gtypes, shrink = _types(df, keys), _types(df, group), 1.5 / (points + 1)
-
-    def winner(rows, p):
-        pooled = moment_round(rows, keys, t, y, p)
-        g = pooled.groupBy(*group, "i").agg(F.sum("rss").alias("rss"), *[F.first(k).alias(k) for k in [*ks, *sts]])
-        return cut_lineage(g.groupBy(*group).agg(F.min_by(F.struct(*ks, *sts), F.struct("rss", "i")).alias("w")).select(*group, "w.*"))
-
-    win = winner(df.join(cut_lineage(curve_span(df, group, t)), group), profile_pass(keys, m, types, amp=amp, pooled=group, pooled_types=gtypes))
+    first = profile_pass(keys, m, types, amp=amp, pooled=group, pooled_types=gtypes)
     zoom = profile_pass(keys, m, types, amp=amp, axes=_axes(dims, points), shrink=shrink, pooled=group, pooled_types=gtypes)
-    for _ in range(_rounds(0.4, shrink, rounds)):
-        win = winner(df.join(win, group), zoom)
-    fits = cut_lineage(moment_round(df.join(win, group), keys, t, y, profile_pass(keys, m, types, amp=amp, axes=np.zeros((1, dims)))))
+    last = profile_pass(keys, m, types, amp=amp, axes=np.zeros((1, dims)))
+    fits = cut_lineage(_global(df, group, keys, t, y, first, [zoom] * _rounds(0.4, shrink, rounds), last, [*ks, *sts]))
     fits = fits.withColumn("rss", F.when(F.col("rss") < np.inf, F.col("rss")).otherwise(F.col("sst")))  # a flat curve has no amplitude
-    tot = fits.groupBy(*group).agg(F.sum("n").alias("n"), F.sum("rss").alias("rss"), F.sum("sst").alias("sst"), F.count(F.lit(1)).alias("curves"))
-    table = win.select(*group, *[F.col(k).alias(f"p{j}") for j, k in enumerate(ks)]).join(tot, group)
-    return table.withColumn("model", F.lit(model)).withColumn("p", 2 * F.col("curves") + dims), fits
+    shared = [F.first(f"_own{k}").alias(f"p{j}") for j, k in enumerate(ks)]
+    table = fits.groupBy(*group).agg(*shared, F.sum("n").alias("n"), F.sum("rss").alias("rss"), F.sum("sst").alias("sst"), F.count(F.lit(1)).alias("curves"))
+    return table.withColumn("model", F.lit(model)).withColumn("p", 2 * F.col("curves") + dims), fits.drop(*[f"_own{c}" for c in (*ks, *sts)])
 
 
 def global_exponential_fit(df, group: Sequence[str], curve: Sequence[str], order: int, t="t", y="y", rounds: int = 8, max_amp=np.inf, side: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -551,7 +601,7 @@ def global_exponential_fit(df, group: Sequence[str], curve: Sequence[str], order
     group, keys = list(group), [*group, *curve]
     cols = [f"_t{order}_{i}" for i in range(order)]
 
-    def winner(data, ex):
+    def pooled(ex: _Exponentials) -> Pass:
         combos = np.array(list(itertools.combinations(range(ex.n_cols), order) if ex.size else itertools.product(*ex.groups[order])))
 
         def solve(rows, n, sw, sy, syy, sx, sxy, sxx):
@@ -566,18 +616,16 @@ def global_exponential_fit(df, group: Sequence[str], curve: Sequence[str], order
                 tt = cand[i][combos]
                 yield pd.DataFrame({**{c: [head.iloc[i][c]] * len(combos) for c in group}, "i": range(len(combos)), "rss": tot[i], "_step": step[i], **{c: tt[:, j] for j, c in enumerate(cols)}})
 
-        schema = _types(data, group) + ", i int, rss double, _step double" + "".join(f", {c} double" for c in cols)
-        pooled = moment_round(data, keys, t, y, Pass(ex.columns, ex.n_cols, ex.pairs, solve, schema, ex.carry))
-        g = pooled.groupBy(*group, "i").agg(F.sum("rss").alias("rss"), *[F.first(c).alias(c) for c in [*cols, "_step"]])
-        return cut_lineage(g.groupBy(*group).agg(F.min_by(F.struct(*cols, "_step"), F.struct("rss", "i")).alias("w")).select(*group, "w.*"))
+        schema = _types(df, group) + ", i int, rss double, _step double" + "".join(f", {c} double" for c in cols)
+        return Pass(ex.columns, ex.n_cols, ex.pairs, solve, schema, ex.carry)
 
-    win = winner(df.join(cut_lineage(curve_span(df, group, t)), group), _Exponentials([order], 14))
-    for _ in range(rounds):
-        win = winner(df.join(win, group), _Exponentials([order], side=side))
     last = _exponential_pass(keys, _types(df, keys), _Exponentials([order], side=0), max_amp)
-    fits = cut_lineage(_long_fits(moment_round(df.join(win, group), keys, t, y, last), keys, [order]))
+    zooms = [pooled(_Exponentials([order], side=side))] * rounds
+    wide = cut_lineage(_global(df, group, keys, t, y, pooled(_Exponentials([order], 14)), zooms, last, [*cols, "_step"]))
+    fits = _long_fits(wide, keys, [order])
+    shared = wide.groupBy(*group).agg(F.array_sort(F.array(*[F.first(f"_own{c}") for c in cols])).alias("taus"))
     tot = fits.groupBy(*group).agg(F.sum("n").alias("n"), F.sum(F.coalesce("rss", "sst")).alias("rss"), F.sum("sst").alias("sst"), F.count(F.lit(1)).alias("curves"))
-    table = win.select(*group, F.array_sort(F.array(*cols)).alias("taus")).join(tot, group)
+    table = shared.join(tot, group)
     return table.withColumn("model", F.lit(_name(order))).withColumn("p", (order + 1) * F.col("curves") + order), fits
 
 

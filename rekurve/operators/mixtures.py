@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from rekurve.operators.ordered import SEGMENT_CONF, SEGMENT_ROWS
+from rekurve.operators.ordered import SEGMENT_CONF, SEGMENT_ROWS, whole_groups
 from rekurve.plans.session import cut_lineage
 
 #: Rows that a task works on at once, and added to every variance (columns have unit variance).
@@ -172,34 +172,6 @@ def fit_groups(x: np.ndarray, starts_at: np.ndarray, max_k: int, starts: int, ne
     return cluster, prob, ks, bic
 
 
-def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str], rows: int = LOCAL_ROWS) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Frames of at least ``rows`` rows (the last one fewer) that hold whole groups of rows sorted by group, and where each group begins."""
-    held, count = [], 0
-    for p in batches:
-        held.append(p)
-        count += len(p)
-        if count < rows:
-            continue
-        b = pd.concat(held, ignore_index=True)
-        starts = _starts(b, keys)
-        done = int(starts[-1])
-        if done:
-            yield b.iloc[:done], starts[:-1]
-        held, count = [b.iloc[done:]], len(b) - done
-    if count:
-        b = pd.concat(held, ignore_index=True)
-        yield b, _starts(b, keys)
-
-
-def _starts(b: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
-    new = np.zeros(len(b), bool)
-    new[0] = True
-    for k in keys:
-        codes = pd.factorize(b[k], use_na_sentinel=False)[0]
-        new[1:] |= codes[1:] != codes[:-1]
-    return np.flatnonzero(new)
-
-
 def group_mixtures(df: DataFrame, group: Sequence[str], cols: Sequence[str], max_k: int = 3, starts: int = 2, gain: float | None = None, min_size: int = 3) -> DataFrame:
     """Every row with ``cluster, cluster_prob, k, bic`` of the Gaussian mixture that its group gets.
 
@@ -224,7 +196,7 @@ def group_mixtures(df: DataFrame, group: Sequence[str], cols: Sequence[str], max
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", cluster int, cluster_prob double, k int, bic double"
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b, at in whole_groups(batches, group):
+        for b, at in whole_groups(batches, group, LOCAL_ROWS):
             cluster, prob, k, bic = fit_groups(b[cols].to_numpy(float), at, max_k, starts, gain, min_size)
             size = np.diff(np.r_[at, len(b)])
             yield b.assign(cluster=cluster, cluster_prob=prob, k=np.repeat(k, size), bic=np.repeat(bic, size))

@@ -8,8 +8,10 @@ border are copied into the neighbouring segment so that bounded frames see every
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SEGMENT_ROWS = 1_000_000
@@ -240,3 +242,32 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
         aggs.append(F.max(pos - F.floor(pos)).alias(f"_w{i}"))
     mix = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}") for i in range(len(probs))]
     return ranked.groupBy(*keys).agg(*aggs).select(*keys, F.array(*mix).alias(out))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str], rows: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of at least ``rows`` rows (the last one fewer) that hold whole groups of rows sorted by group, and where each group begins."""
+    held, count = [], 0
+    for p in batches:
+        held.append(p)
+        count += len(p)
+        if count < rows:
+            continue
+        b = pd.concat(held, ignore_index=True)
+        starts = group_starts(b, keys)
+        done = int(starts[-1])
+        if done:
+            yield b.iloc[:done], starts[:-1]
+        held, count = [b.iloc[done:]], len(b) - done
+    if count:
+        b = pd.concat(held, ignore_index=True)
+        yield b, group_starts(b, keys)
+
+
+def group_starts(b: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    """Where each group begins among rows sorted by group; missing keys are a value like any other."""
+    new = np.zeros(len(b), bool)
+    new[0] = True
+    for k in keys:
+        codes = pd.factorize(b[k], use_na_sentinel=False)[0]
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)

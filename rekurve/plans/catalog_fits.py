@@ -387,7 +387,7 @@ def aligned_groups(spark, sf):
 
 @query("F25_mean_curve_fit")
 def f25(spark, sf):
-    return wf.mean_curve_fits(aligned_groups(spark, sf), ["grp"])
+    return wf.mean_curve_fits(aligned_groups(spark, sf), ["grp"], ("single", "double", "triple", "anomalous", "soumpasis", "power_law"))
 
 
 @query("F25_mean_curve_fit_weighted")

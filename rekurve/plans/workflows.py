@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rekurve.functions import tails
+from rekurve.functions.basis import MODELS
 from rekurve.operators import align as al, bleach as bl, fit, fit_metrics as fm, normalize as nz, ordered as od, quality as ql
 from rekurve.plans.session import cut_lineage
 
@@ -152,15 +153,21 @@ def unified_workflow(df: DataFrame, group: Sequence[str], curve: Sequence[str],
 
 
 def mean_curve_fits(aligned: DataFrame, group: list[str], models: Sequence[str] = ("single", "anomalous"), weighted: bool = False) -> DataFrame:
-    """fit the mean curve of each group; with ``weighted`` the points count by inverse squared SEM."""
+    """fit the mean curve of each group; with ``weighted`` the points count by inverse squared SEM.
+
+    ``models`` are names of ``basis.MODELS`` (``amp, p0, p1``) or ``double`` and ``triple`` (``amps, taus``), which are not weighted.
+    """
     m = cut_lineage(al.mean_curve(aligned, group))
     if weighted:
         m = od.attach(m.filter("sem > 0"), group, _mean=F.avg(1 / (F.col("sem") * F.col("sem"))))
         m = cut_lineage(m.withColumn("_wt", 1 / (F.col("sem") * F.col("sem")) / F.col("_mean")))
-    parts = [fit.profile_fit(m, group, name, "x", "mean", weight="_wt" if weighted else None) for name in models]
+    parts = [fit.profile_fit(m, group, name, "x", "mean", weight="_wt" if weighted else None) for name in models if name in MODELS]
+    sums = [o for o, name in ((2, "double"), (3, "triple")) if name in models]
+    if sums:
+        parts.append(fit.exponential_fits(m, group, sums, "x", "mean"))
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p, allowMissingColumns=True)
     return fm.add_criteria(out)
 
 
@@ -247,7 +254,13 @@ def unified_comparison(df: DataFrame, group: str, curve: str, controls: list[str
 
 
 def group_analysis(post: DataFrame, keys: Sequence[str], model: str | None = None, t="t_post", y="y_post") -> DataFrame:
-    """per-curve parameters for one model, or for the best by AIC when ``model`` is None."""
+    """per-curve parameters for one model, or for the best sum of exponentials by AIC when ``model`` is None.
+
+    Models with one amplitude and a time constant first (``basis.MODELS``) give it as their only component.
+    """
+    if model in MODELS and model != "single":
+        one = fm.add_criteria(fit.profile_fit(post, list(keys), model, t, y))
+        return fm.component_features(one.withColumns({"amps": F.array("amp"), "taus": F.array("p0")}))
     fits = fm.add_criteria(fit.exponential_fits(post, list(keys), (1, 2, 3), t, y))
     chosen = fits.filter(F.col("model") == model) if model else fm.choose_best(cut_lineage(fits), list(keys), "aic")
     return fm.component_features(chosen)
