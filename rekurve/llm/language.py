@@ -33,13 +33,15 @@ SCRIPTS = [
 ]
 STARTS, NAMES = np.array([s for s, _ in SCRIPTS]), sorted({n for _, n in SCRIPTS})
 SCRIPT_OF = np.array([NAMES.index(n) for _, n in SCRIPTS])
-#: Numerals that the word class of ``re`` counts in although they are no letters, such as superscripts, fractions and Roman numerals.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Runs of letters.  The word class of ``re`` counts in numerals such as superscripts, fractions and Roman numerals, which are none."""
+    words = WORD.findall((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split(" ") if part]
 
 
 def has_letter(text: Column) -> Column:
@@ -47,7 +49,7 @@ def has_letter(text: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(WORD.search(t or "")) for t in texts], dtype=bool)
+        return pd.Series([any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
 
     return run(text)
 
