@@ -417,7 +417,7 @@ def f31(spark, sf):
 
 @query("F33_rate_spectrum")
 def f33(spark, sf):
-    return fit.rate_spectrum(post(spark, sf), K, "t_post", "y_post")
+    return every(spark, sf, fit.rate_spectrum(post(spark, sf), K, "t_post", "y_post"))
 
 
 @query("T04_spectrum_peaks")
@@ -432,7 +432,7 @@ def f35(spark, sf):
 
 @query("F36_robust_methods")
 def f36(spark, sf):
-    return wf.robust_methods(post(spark, sf), K, "t_post", "y_post")
+    return every(spark, sf, wf.robust_methods(post(spark, sf), K, "t_post", "y_post"))
 
 
 @query("F37_unified_comparison")
@@ -442,7 +442,7 @@ def f37(spark, sf):
 
 @query("F38_group_analysis")
 def f38(spark, sf):
-    return wf.group_analysis(post(spark, sf), K)
+    return every(spark, sf, wf.group_analysis(post(spark, sf), K))
 
 
 @query("F39_spectrum_methods")
@@ -451,7 +451,7 @@ def f39(spark, sf):
     weak = fit.rate_spectrum(p, K, "t_post", "y_post", alphas=[1e-6]).withColumn("method", F.lit("weak"))
     strong = fit.rate_spectrum(p, K, "t_post", "y_post", alphas=[1e-2]).withColumn("method", F.lit("strong"))
     auto = fit.rate_spectrum(p, K, "t_post", "y_post").withColumn("method", F.lit("corner"))
-    return weak.unionByName(strong).unionByName(auto)
+    return every(spark, sf, weak.unionByName(strong).unionByName(auto))
 
 
 @query("N24_exponential_detrend")
