@@ -43,7 +43,7 @@ def main() -> None:
     if "N06_three_region" in times:
         rates["normalized_points_per_s"] = round(points / times["N06_three_region"], 1)
     if "X17_permutation" in times:
-        rates["permutation_replicates_per_s"] = round(40 / times["X17_permutation"], 2)
+        rates["permutation_replicates_per_s"] = round(1000 / times["X17_permutation"], 2)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf, "rates": rates}))
 
 

@@ -211,10 +211,10 @@ def x18i(spark, sf):
     return i.select(rd("mean", 4).alias("mean"), rd("lo", 4).alias("lo"), rd("hi", 4).alias("hi"))
 
 
-@query("V01_statistic_plugin", f"""WITH {BOOT.replace("sum(w * price) / sum(w) AS m", "max(price) - min(price) AS m")} SELECT grp, rep, {RD('m', 5)} AS stat FROM bt""")
+@query("V01_statistic_plugin", f"""WITH {BOOT.replace("sum(w * price) / sum(w) AS m", "max(price) - min(price) AS m")} SELECT grp, rep, {RD('m', 7)} AS stat FROM bt""")
 def v01(spark, sf):
     r = rs.bootstrap(b.cells(spark, sf), ["grp"], "price", ["cell_id"], REPS, lambda c: F.max(c) - F.min(c))
-    return r.select("grp", F.col("rep").cast("long").alias("rep"), rd("stat", 5).alias("stat"))
+    return r.select("grp", F.col("rep").cast("long").alias("rep"), rd("stat", 7).alias("stat"))
 
 
 @query("X19_bca_interval")
